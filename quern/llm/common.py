@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20) -> Ite
     if values.nbytes <= max_bytes:
         yield batch
         return
-    sizes = pa.compute.binary_length(values).to_pylist()
+    sizes = pc.binary_length(values).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + (n or 0) > max_bytes:
