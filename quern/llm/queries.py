@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, packing, pii, secrets, tokenfiles
+from . import bpe, chat, graphann, langid, media, neardup, packing, pii, secrets, tokenfiles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,11 @@ def op3_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphann.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op5_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -37,6 +43,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_harmonic_packing, op2_language_id, op3_media_archive, op5_chat_masks, op6_secret_scan, op8_bpe_queue, op9_bit_planes, op10_pii_anchors)
+    ops = (op1_harmonic_packing, op2_language_id, op3_media_archive, op4_nn_descent, op5_chat_masks, op6_secret_scan, op7_order_minhash, op8_bpe_queue, op9_bit_planes, op10_pii_anchors)
     return {f.__name__: f for f in ops}
 
 

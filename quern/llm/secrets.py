@@ -193,3 +193,9 @@ def redact_text(text: str) -> str:
         out += [text[at:start], f"[{KINDS[kind]}]"]
         at, k = end, k + 1
     return "".join([*out, text[at:]])
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """redact_secrets for the table of documents: n_chars, where there is one, follows the text."""
+    out = redact_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
