@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import dialogue, ingestion, monitoring, retrieval, routing, stores, traversal
+from quern.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-MODULES: tuple = ()
+MODULES = (retrieval, ingestion, dialogue, monitoring, traversal, routing, stores)
 
 
 def queries() -> dict[str, Query]:
-    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
+    return {name: run for module in MODULES for name, run in module.Q.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.Q.sql.items()}
