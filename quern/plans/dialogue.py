@@ -1,3 +1,132 @@
+"""Windows over conversations, memory scores, claims and answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import memory
 from quern.plans.registry import Registry
+from quern.sources.tables import table
 
 Q = Registry()
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+@Q.query("last_n_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
+def last_n_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.last_turns(turns(spark, sf_dir), 3).select("conv_id", "turn", "role")
+
+
+BUDGET_SQL = """WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END AS tokens FROM conversations),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM t) SELECT conv_id, turn, CAST(tokens AS BIGINT) AS tokens FROM u WHERE used <= 800"""
+
+
+@Q.query("history_budget", BUDGET_SQL)
+def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.history_budget(turns(spark, sf_dir), 800)
+
+
+@Q.query("turn_position", "SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS is_first, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) < count(*) OVER (PARTITION BY conv_id) / 2 AS first_half FROM conversations")
+def turn_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.positions(turns(spark, sf_dir)).select("conv_id", "turn", (F.col("place") == 0).alias("is_first"), (F.col("place") < F.col("total") / 2).alias("first_half"))
+
+
+@Q.query("session_summary", """SELECT conv_id, count(*) AS turns, arg_min(text, turn) FILTER (role = 'user') AS first_user, arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant FROM conversations GROUP BY conv_id HAVING count(*) >= 4""")
+def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.summaries(turns(spark, sf_dir), 4)
+
+
+@Q.query("memory_importance", r"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
+SELECT conv_id, turn, round(greatest(0.0, least(1.0, CASE WHEN contains(text, '```') THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\b(error|exception|traceback|stack\s?trace)\b|nullpointer|500|502|503|404|401|403|timeout') THEN 0.2 ELSE 0 END
+ + CASE WHEN place = 0 THEN 0.15 ELSE 0 END + CASE WHEN length(text) > 100 THEN 0.15 ELSE 0 END + CASE WHEN role = 'user' THEN 0.1 ELSE 0 END + CASE WHEN contains(text, '?') THEN 0.1 ELSE 0 END
+ + CASE WHEN len(regexp_extract_all(text, '@ohos\.[\w.]+|API\s*\d{1,2}|https?://\S+|[A-Z][a-z]+(?:[A-Z][a-z]+)+')) >= 2 THEN 0.1 ELSE 0 END + CASE WHEN place < total / 2 THEN 0.05 ELSE 0 END)), 6)::DOUBLE AS importance FROM p""")
+def memory_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.positions(turns(spark, sf_dir)).select("conv_id", "turn", F.round(memory.importance(F.col("text"), F.col("role"), F.col("place"), F.col("total")), 6).alias("importance"))
+
+
+@Q.query("memory_rank", """WITH m AS (SELECT user_id, event_id, (event_id % 10) / 10.0 AS relevance, (event_id % 7) / 7.0 AS importance, greatest(0, epoch(TIMESTAMP '2024-03-01' - ts)) / 86400.0 AS age FROM events),
+s AS (SELECT user_id, event_id, round(0.5 * relevance + 0.3 * importance + 0.2 * pow(2.718281828, -age / 30), 6) AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM s) SELECT user_id, event_id, score, rank FROM r WHERE rank <= 3""")
+def memory_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    rows = events.select("user_id", "event_id", (F.col("event_id") % 10 / 10.0).alias("relevance"), (F.col("event_id") % 7 / 7.0).alias("importance"), "ts")
+    scored = rows.withColumn("score", F.round(memory.recall_score(F.col("relevance"), F.col("importance"), F.col("ts"), F.lit("2024-03-01").cast("timestamp")), 6))
+    order = Window.partitionBy("user_id").orderBy(F.desc("score"), "event_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("user_id", "event_id", "score", "rank")
+
+
+@Q.query("memory_cap", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 100")
+def memory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(order)).filter("r <= 100").select("user_id", "event_id")
+
+
+@Q.query("memory_route", r"""WITH s AS (SELECT conv_id, turn, trim(text) AS t, CASE WHEN regexp_matches(lower(text), 'rag|agent|project|pipeline') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(text, '(?i)\b\d{6}\b|api[_-]?key\s*[:=]\s*\S+|password\s*[:=]\s*\S+|token\s*[:=]\s*\S+|\b1[3-9]\d{9}\b') THEN 5 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS score FROM conversations)
+SELECT conv_id, turn, CAST(score AS INT) AS score, CASE WHEN score >= 4 THEN 'short_term,episodic,semantic' WHEN score >= 3 THEN 'short_term,semantic' ELSE 'short_term' END AS targets FROM s WHERE t <> ''""")
+def memory_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.routes(turns(spark, sf_dir), F.col("role") == "user").select("conv_id", "turn", "score", F.array_join("targets", ",").alias("targets"))
+
+
+@Q.query("memory_dedup", "SELECT conv_id, min(turn) AS turn, count(*) AS copies FROM conversations GROUP BY conv_id, sha256(lower(trim(text)))")
+def memory_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).groupBy("conv_id", T.query_key(F.col("text")).alias("key")).agg(F.min("turn").alias("turn"), F.count("*").alias("copies")).drop("key")
+
+
+@Q.query("cache_lookup", """WITH k AS (SELECT conv_id, turn, sha256(lower(trim(text))) AS key FROM conversations WHERE role = 'user'), f AS (SELECT key, min(conv_id * 1000 + turn) AS first FROM k GROUP BY key)
+SELECT conv_id, turn, first < conv_id * 1000 + turn AS hit FROM k JOIN f USING (key)""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a user's text was asked before, in the order of conversations and turns."""
+    keyed = turns(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn", T.query_key(F.col("text")).alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    first = keyed.groupBy("key").agg(F.min("at").alias("first"))
+    return keyed.join(first, "key").select("conv_id", "turn", (F.col("first") < F.col("at")).alias("hit"))
+
+
+@Q.query("cache_stats", """WITH k AS (SELECT conv_id * 1000 + turn AS pos, sha256(lower(trim(text))) AS key FROM conversations WHERE role = 'user'), f AS (SELECT key, min(pos) AS first FROM k GROUP BY key)
+SELECT count(*) AS lookups, count(*) FILTER (first < pos) AS hits, round(count(*) FILTER (first < pos) / greatest(count(*), 1), 4) AS hit_rate FROM k JOIN f USING (key)""")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.count_if("hit")
+    return cache_lookup(spark, sf_dir).agg(F.count("*").alias("lookups"), hits.alias("hits"), F.round(hits / F.greatest(F.count("*"), F.lit(1)), 4).alias("hit_rate"))
+
+
+CLAIMS_SQL = r"""s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([。！？.!?\n])', '\1' || chr(1), 'g'), chr(1))) AS raw FROM conversations WHERE role = 'assistant'),
+cl AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '')) AS claim FROM s),
+cw AS (SELECT conv_id, turn, claim, list_filter(list_distinct(string_split_regex(lower(claim), '\s+')), lambda x: length(x) > 2) AS words FROM cl WHERE length(claim) > 3),
+u AS (SELECT conv_id, string_agg(lower(text), ' ' ORDER BY turn) AS context FROM conversations WHERE role = 'user' GROUP BY conv_id),
+g AS (SELECT conv_id, turn, claim, CASE WHEN len(words) = 0 THEN 0.3 ELSE CASE WHEN r >= 0.5 THEN least(1.0, 0.5 + 0.5 * r) WHEN r >= 0.3 THEN 0.4 ELSE 0.2 END END AS confidence, len(words) > 0 AND r >= 0.5 AS grounded
+ FROM (SELECT cw.*, len(list_filter(words, lambda w: list_contains(string_split_regex(coalesce(context, ''), '\s+'), w))) / greatest(len(words), 1) AS r FROM cw LEFT JOIN u USING (conv_id)))"""
+
+
+@Q.query("claim_grounding", "WITH " + CLAIMS_SQL + " SELECT conv_id, turn, claim, round(confidence, 6)::DOUBLE AS confidence, grounded FROM g")
+def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir)
+    answers = rows.filter("role = 'assistant'").select("conv_id", "turn", "text")
+    context = memory.joined_texts(rows.filter("role = 'user'"))
+    return memory.claims(answers, context).withColumn("confidence", F.round("confidence", 6))
+
+
+@Q.query("claim_rollup", "WITH " + CLAIMS_SQL + """ SELECT conv_id, turn, count(*) AS claims, count(*) FILTER (grounded) AS grounded, count(*) FILTER (NOT grounded AND confidence < 0.3) AS hallucinated, count(*) FILTER (NOT grounded AND confidence >= 0.3) AS uncertain,
+ count(*) FILTER (NOT grounded AND confidence < 0.3) = 0 AND count(*) FILTER (NOT grounded AND confidence >= 0.3) <= greatest(1, 0.2 * count(*)) AS verified FROM g GROUP BY conv_id, turn""")
+def claim_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.claim_rollup(claim_grounding(spark, sf_dir), "conv_id", "turn")
+
+
+@Q.query("answer_eval", """WITH a AS (SELECT conv_id, turn, text, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations), f AS (SELECT *, contains(text, '[') AS cites, length(text) > 20 AS long_enough, regexp_matches(lower(text), 'cannot|sorry|nicht') AS refuses FROM a WHERE role = 'assistant')
+SELECT count(*) AS answers, round(avg(cites::INT), 4) AS citation_rate, round(avg(long_enough::INT), 4) AS length_rate, round(avg(refuses::INT), 4) AS refusal_rate, round(avg((question IS NOT NULL)::INT), 4) AS answered_rate FROM f""")
+def answer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = turns(spark, sf_dir).withColumn("question", F.lag("text").over(order)).filter("role = 'assistant'")
+    rate = lambda flag, name: F.round(F.avg(flag.cast("int")), 4).alias(name)
+    return rows.agg(F.count("*").alias("answers"), rate(F.contains("text", F.lit("[")), "citation_rate"), rate(F.length("text") > 20, "length_rate"), rate(F.lower("text").rlike("cannot|sorry|nicht"), "refusal_rate"), rate(F.col("question").isNotNull(), "answered_rate"))
+
+
+@Q.query("feedback_capture", """WITH j AS (SELECT d.doc_id, l.quality, l.toxic, length(text) AS n FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, quality = 0 AS thumbs_down, concat_ws('; ', CASE WHEN n < 100 THEN 'short' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality IS NULL THEN 'no feedback' END) AS reason FROM j""")
+def feedback_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    reason = F.concat_ws("; ", F.when(F.length("text") < 100, "short"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality").isNull(), "no feedback"))
+    return rows.select("doc_id", (F.col("quality") == 0).alias("thumbs_down"), reason.alias("reason"))

@@ -1,3 +1,115 @@
+"""Cleaning, hashing, dedup and chunking of documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import chunking, dedup
 from quern.plans.registry import Registry
+from quern.sources.tables import changes, table
 
 Q = Registry()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+CLEAN_SQL = r"""regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '，，', '，'), '。。', '。'), '^\s+', ''), '\s+$', '')"""
+
+
+@Q.query("scan_documents", "SELECT doc_id, source, text AS content FROM documents WHERE trim(text) <> ''")
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter(F.trim("text") != "").select("doc_id", "source", F.col("text").alias("content"))
+
+
+@Q.query("clean_text", f"SELECT doc_id, cleaned, length(cleaned) AS char_count FROM (SELECT doc_id, {CLEAN_SQL} AS cleaned FROM documents)")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("cleaned")).withColumn("char_count", F.length("cleaned").cast("long"))
+
+
+@Q.query("document_profile", f"""SELECT doc_id, length({CLEAN_SQL}) AS char_count, len(regexp_extract_all(text, '!\\[.*?\\]\\((.*?)\\)', 1)) AS images, len(regexp_extract_all(text, '\\[\\d+\\]')) AS citations, regexp_extract(text, '(?m)^#+\\s+(.+)$', 1) AS title FROM documents""")
+def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", F.length(T.clean_text(c)).cast("long").alias("char_count"), F.size(T.image_refs(c)).cast("long").alias("images"), F.size(T.citations(c)).cast("long").alias("citations"), T.first_heading(c).alias("title"))
+
+
+@Q.query("token_estimate", "SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@Q.query("summary_text", "SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS summary FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
+def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.summary(F.col("text")).alias("summary"))
+
+
+@Q.query("sensitive_filter", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b\d{6}\b|api[_-]?key\s*[:=]\s*\S+|password\s*[:=]\s*\S+|token\s*[:=]\s*\S+|\b1[3-9]\d{9}\b')")
+def sensitive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter(T.sensitive(F.col("text"))).select("doc_id")
+
+
+@Q.query("blocklist_filter", "SELECT item_id, contains(lower(text), 'the') OR contains(lower(text), 'eval(') OR contains(lower(text), 'exec(') AS blocked FROM benchmark")
+def blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*map(F.lit, ("the", "eval(", "exec(")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.exists(marks, lambda m: F.contains(F.lower("text"), m)).alias("blocked"))
+
+
+@Q.query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, substr(sha256(text), 1, 12) AS prompt_hash, sha256(lower(trim(text))) AS query_key FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), T.content_hash(F.col("text"), 12).alias("prompt_hash"), T.query_key(F.col("text")).alias("query_key"))
+
+
+@Q.query("fingerprint_text", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 500) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END AS fingerprint FROM documents")
+def fingerprint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.fingerprint_text(F.col("text")).alias("fingerprint"))
+
+
+@Q.query("exact_dedup", "SELECT substr(sha256(text), 1, 16) AS digest, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY 1")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_of_each(documents(spark, sf_dir), T.content_hash(F.col("text")), F.col("doc_id"), "doc_id", "source")
+
+
+@Q.query("near_dup_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.95")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.similar_pairs(table(spark, sf_dir, "embeddings"), 64, 0.95)
+
+
+@Q.query("greedy_dedup")
+def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order decides who is kept: held against a plain loop in the tests."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return dedup.greedy_keep(vectors.select(F.col("vec_id").alias("id")), dedup.similar_pairs(vectors, 64, 0.95))
+
+
+@Q.query("chunk_documents")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks depend on what was packed before them: held against fixtures in the tests."""
+    return chunking.chunk_documents(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content")))
+
+
+@Q.query("change_detection", """WITH o AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END) AS d FROM documents WHERE doc_id % 11 <> 0)
+SELECT doc_id, CASE WHEN o.d IS NULL THEN 'new' WHEN n.d IS NULL THEN 'deleted' WHEN o.d <> n.d THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n USING (doc_id)""")
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of a folder, made from one table: some documents missing in either, some in capitals in the newer."""
+    docs = documents(spark, sf_dir)
+    old = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("digest"))
+    new = docs.filter("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("digest"))
+    return changes(old, new, "doc_id", "digest")
+
+
+@Q.query("page_sections", r"SELECT page_id, len(regexp_extract_all(html, '<h[1-6]')) AS headings, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(<h[1-6])"), 1)).cast("long").alias("headings"), F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
+
+
+@Q.query("word_sets", r"SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))) AS distinct_words, len(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS terms FROM documents")
+def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.size(T.word_set(F.col("text"))).cast("long").alias("distinct_words"), F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), 1)).cast("long").alias("terms"))
+
+
+@Q.query("code_density", "SELECT doc_id, 0.0::DOUBLE AS density, contains(text, '```') AS has_code FROM documents")
+def code_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.code_density(F.col("text")).alias("density"), T.has_code(F.col("text")).alias("has_code"))
