@@ -90,14 +90,14 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content")))
 
 
-@Q.query("change_detection", """WITH o AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END) AS d FROM documents WHERE doc_id % 11 <> 0)
+@Q.query("change_detection", f"""WITH o AS (SELECT doc_id, sha256(text) AS d FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT -1 - item_id, sha256(text) FROM benchmark), n AS (SELECT doc_id, sha256({CLEAN_SQL}) AS d FROM documents)
 SELECT doc_id, CASE WHEN o.d IS NULL THEN 'new' WHEN n.d IS NULL THEN 'deleted' WHEN o.d <> n.d THEN 'changed' ELSE 'same' END AS status FROM o FULL JOIN n USING (doc_id)""")
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two states of a folder, made from one table: some documents missing in either, some in capitals in the newer."""
+    """Two states of a folder: labelled documents and benchmark items before, all documents cleaned after."""
     docs = documents(spark, sf_dir)
-    old = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("digest"))
-    new = docs.filter("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("digest"))
-    return changes(old, new, "doc_id", "digest")
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest"))
+    old = labelled.union(table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id"), F.sha2("text", 256)))
+    return changes(old, docs.select("doc_id", F.sha2(T.clean_text(F.col("text")), 256).alias("digest")), "doc_id", "digest")
 
 
 @Q.query("page_sections", r"SELECT page_id, len(regexp_extract_all(html, '<h[1-6]')) AS headings, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")

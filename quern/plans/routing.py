@@ -1,3 +1,59 @@
+"""Query rewriting, intents and plans, with benchmark items, pages and events as their input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import fusion, route
 from quern.plans.registry import Registry
+from quern.sources.tables import table
 
 Q = Registry()
+
+STOPS = ", ".join(f"'{w}'" for w in route.STOP_WORDS)
+
+
+@Q.query("query_rewrite", rf"""WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), k AS (SELECT item_id, w, list_filter(w, lambda x: x NOT IN ({STOPS})) AS kept FROM w),
+p AS (SELECT item_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE w END) AS x, generate_subscripts(CASE WHEN len(kept) > 0 THEN kept ELSE w END, 1) AS i FROM k) SELECT item_id, string_agg(x, ' ' ORDER BY length(x) DESC, i) AS rewritten FROM p GROUP BY item_id""")
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", route.recovery_rewrite(F.col("text")).alias("rewritten"))
+
+
+@Q.query("intent_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{s}', {w}::DOUBLE)" for i, s, w in fusion.intent_weights()) + ") t(intent, source, weight)")
+def intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(fusion.intent_weights(), "intent string, source string, weight double")
+
+
+@Q.query("plan_templates", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p['keyword']}::DOUBLE, {p['vector']}::DOUBLE, {p['graph']}::DOUBLE, {p['graph_depth']}::DOUBLE)" for n, p in route.PLANS.items()) + ") t(plan, keyword, vector, graph, graph_depth)")
+def plan_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(n,) for n in route.PLANS], "plan string")
+    return names.select("plan", route.plan(F.col("plan")).alias("p")).select("plan", "p.*")
+
+
+@Q.query("fallback_decisions", """SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 4 >= 1 THEN 'human' ELSE 'retry_tool' END WHEN 'view' THEN CASE WHEN event_id % 4 >= 2 THEN 'human' ELSE 'rewrite_query' END WHEN 'click' THEN CASE WHEN event_id % 4 >= 2 THEN 'human' ELSE 'expand_search' END ELSE 'human' END AS action FROM events""")
+def fallback_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "tool_failure").when(F.col("event_type") == "view", "no_results").when(F.col("event_type") == "click", "low_score").otherwise("unknown_intent")
+    return table(spark, sf_dir, "events").select("event_id", route.fallback(kind, F.col("event_id") % 4)["action"].alias("action"))
+
+
+@Q.query("next_steps", """WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'intent' WHEN 1 THEN 'retrieve' WHEN 2 THEN 'context' WHEN 3 THEN 'generate' WHEN 4 THEN 'verify' ELSE '' END AS last, value > 20 AS ok, event_id % 20 AS steps FROM events)
+SELECT event_id, CASE WHEN steps >= 18 THEN 'human_fallback' WHEN last = 'intent' THEN 'retrieve' WHEN last = 'retrieve' AND ok THEN 'context' WHEN last = 'retrieve' THEN 'recover' WHEN last = 'context' THEN 'generate' WHEN last = 'generate' THEN 'verify' WHEN last = 'verify' AND ok THEN 'finalize' WHEN last = 'verify' THEN 'recover' ELSE 'intent' END AS step FROM s""")
+def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.expr("CASE event_id % 6 WHEN 0 THEN 'intent' WHEN 1 THEN 'retrieve' WHEN 2 THEN 'context' WHEN 3 THEN 'generate' WHEN 4 THEN 'verify' ELSE '' END")
+    return table(spark, sf_dir, "events").select("event_id", route.next_step(last, F.col("value") > 20, F.col("value") > 20, F.col("event_id") % 20).alias("step"))
+
+
+@Q.query("expansion_terms", r"""WITH w AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark), p AS (SELECT DISTINCT query_id, lower(p_name) AS term FROM w JOIN part ON p_partkey % 40 = query_id % 40),
+r AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS rank FROM p JOIN w USING (query_id) WHERE length(term) >= 2 AND NOT list_contains(w, term)) SELECT query_id, term, rank FROM r WHERE rank <= 15""")
+def expansion_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), (F.col("p_partkey") % 40).alias("slot"))
+    paths = queries.select("query_id", (F.col("query_id") % 40).alias("slot")).join(parts, "slot")
+    return route.expansion_terms(paths, queries)
+
+
+@Q.query("cache_scope", "SELECT c_custkey, 'r' || c_nationkey % 3 || '|' || CASE WHEN c_acctbal > 0 THEN 'read,write' ELSE 'read' END AS scope FROM customer")
+def cache_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    granted = F.when(F.col("c_acctbal") > 0, F.array(F.lit("write"), F.lit("read"))).otherwise(F.array(F.lit("read")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("|", F.concat(F.lit("r"), F.col("c_nationkey") % 3), F.array_join(F.array_sort(granted), ",")).alias("scope"))
