@@ -17,6 +17,7 @@ id. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shared_dir
 
 NODE = "id long, code binary, scale float, digest binary"
 
@@ -79,7 +80,7 @@ def nearest_of(points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.take_along_axis(d, at, 1)
 
 
-EDGE = ["a", "b", "d"], [pa.int64(), pa.int64(), pa.float32()]
+LINK = ["key", "other", "d"], [pa.int64(), pa.int64(), pa.float32()]
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
@@ -133,69 +134,141 @@ def first_edges(nodes: DataFrame, width: int, turn: int, block: int) -> DataFram
                 part = rows.slice(0, take)
                 ids = part.column("id").to_numpy()
                 at, d = nearest_of(decoded(part.column("code").to_pylist(), part.column("scale").to_pylist()), width)
-                yield batch_of(*EDGE, [np.repeat(ids, at.shape[1]), ids[at].ravel(), d.ravel()])
+                yield batch_of(*LINK, [np.repeat(ids, at.shape[1]), ids[at].ravel(), d.ravel()])
                 rows = rows.slice(take)
 
     order = ["place", "along", "id"]
-    return nodes.select("id", "code", "scale").mapInArrow(mark, "id long, code binary, scale float, place long, along float").repartitionByRange(parts_of(nodes), *order).sortWithinPartitions(*order).mapInArrow(meet, "a long, b long, d float")
+    return nodes.select("id", "code", "scale").mapInArrow(mark, "id long, code binary, scale float, place long, along float").repartitionByRange(parts_of(nodes), *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
 
 
-def nearest_edges(edges: DataFrame, width: int, by: str = "a") -> DataFrame:
-    """The width nearest edges of each node, once each."""
-    once = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
-    order = Window.partitionBy(by).orderBy("d", "b", "a")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= width).select("a", "b", "d")
+def sent(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows brought together by key, in the order of key and then columns."""
+    return df.repartition(parts_of(df), "key").sortWithinPartitions("key", *columns)
 
 
-def both_ways(edges: DataFrame, width: int) -> DataFrame:
-    """(a, b): the edges, and the nearest width reversed edges of each node."""
-    reverse = nearest_edges(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), width)
-    return edges.select("a", "b").union(reverse.select("a", "b")).distinct()
+def array(parts: list[pa.RecordBatch], column: str, kind=np.int64) -> np.ndarray:
+    return np.concatenate([p.column(column).to_numpy(zero_copy_only=False) for p in parts]).astype(kind)
 
 
-def joined_round(edges: DataFrame, nodes: DataFrame, width: int, best: int) -> DataFrame:
-    """Edges after the neighbours of each node, in either direction, have met."""
-    reach = edges.groupBy("a").agg(F.max("d").alias("reach"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.when(F.col("n") < width, F.lit(float("inf"))).otherwise(F.col("reach")).cast("float").alias("reach"))
-    known = nodes.select("id", "code", "scale").join(reach, "id")
-    around = both_ways(edges, width).join(known, F.col("b") == F.col("id")).select("a", "b", "code", "scale", "reach")
+def with_links(nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """(id, code, scale, ids, ds): each node's nearest of what it has (ids, ds) and of links (key, other, d)."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for parts in groups(batches, "key"):
+            own = parts[0]
+            if own.column("code")[0].as_py() is None:
+                continue
+            others, ds = array(parts, "other"), array(parts, "d", np.float32)
+            others, ds = others[1:], ds[1:]  # the first row is the node itself
+            if own.column("ids")[0].as_py():
+                others = np.concatenate([others, own.column("ids")[0].values.to_numpy()])
+                ds = np.concatenate([ds, own.column("ds")[0].values.to_numpy()])
+            others, first = np.unique(others, return_index=True)
+            ds = ds[first]
+            order = np.lexsort((others, ds))[:width]
+            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), own.column("scale")[0].as_py(), others[order], ds[order]))
+            if len(out) == 2048:
+                yield batch_of(STATE_NAMES, STATE_TYPES, list(zip(*out, strict=True)))
+                out = []
+        if out:
+            yield batch_of(STATE_NAMES, STATE_TYPES, list(zip(*out, strict=True)))
+
+    has = "ids" in nodes.columns
+    own = nodes.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "scale", *([F.col("ids"), F.col("ds")] if has else [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds")]))
+    new = links.select("key", F.lit(1).alias("kind"), "other", "d", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
+    return sent(own.unionByName(new), "kind").mapInArrow(merge, STATE)
+
+
+STATE = "id long, code binary, scale float, ids array<long>, ds array<float>"
+STATE_NAMES = ["id", "code", "scale", "ids", "ds"]
+STATE_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32())]
+
+
+def around(state: DataFrame, width: int) -> DataFrame:
+    """(id, code, scale, reach, near): each node, how far its neighbours reach, and its neighbours in either direction.
+
+    Of the nodes that name it the nearest ``width`` count; reach is infinite while a node has fewer neighbours than that.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for parts in groups(batches, "key"):
+            own = parts[0]
+            if own.column("code")[0].as_py() is None:
+                continue
+            ids = own.column("ids")[0].values.to_numpy()
+            reach = own.column("reach")[0].as_py() if len(ids) >= width else float("inf")
+            back = array(parts, "other")[1 : 1 + width]
+            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), own.column("scale")[0].as_py(), reach, np.unique(np.concatenate([ids, back]))))
+            if len(out) == 2048:
+                yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
+                out = []
+        if out:
+            yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
+
+    own = state.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "scale", F.array_max("ds").alias("reach"), "ids")
+    pairs = state.select("id", F.explode(F.arrays_zip("ids", "ds")).alias("x")).select(F.col("x.ids").alias("key"), F.lit(1).alias("kind"), F.col("id").alias("other"), F.col("x.ds").alias("d"))
+    back = pairs.select("*", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("float").alias("reach"), F.lit(None).cast("array<long>").alias("ids"))
+    return sent(own.unionByName(back), "kind", "d", "other").mapInArrow(gather, NEAR)
+
+
+NEAR = "id long, code binary, scale float, reach float, near array<long>"
+NEAR_NAMES = ["id", "code", "scale", "reach", "near"]
+NEAR_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.float32(), pa.list_(pa.int64())]
+
+
+def told(near: DataFrame) -> DataFrame:
+    """(key, other, code, scale, reach): every node tells its neighbours, in either direction, what it is."""
+    return sent(near.select(F.explode("near").alias("key"), F.col("id").alias("other"), "code", "scale", "reach"), "other")
+
+
+def met(near: DataFrame, best: int) -> DataFrame:
+    """Links (key, other, d) between nodes that have a neighbour in common and are nearer than what one of them knows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         held = 0
-        for parts in groups(batches, "a"):
-            ids = np.array(values(parts, "b"))
+        for parts in groups(batches, "key"):
+            ids = array(parts, "other")
             if len(ids) < 2:
                 continue
-            at, d = nearest_of(decoded(values(parts, "code"), values(parts, "scale")), best)
-            nearer = d < np.array(values(parts, "reach"), np.float32)[:, None]
+            at, d = nearest_of(decoded(values(parts, "code"), array(parts, "scale", np.float32)), best)
+            nearer = d < array(parts, "reach", np.float32)[:, None]
             found.append((np.repeat(ids, at.shape[1])[nearer.ravel()], ids[at][nearer], d[nearer]))
             held += len(found[-1][0])
             if held > 50_000:
-                yield batch_of(*EDGE, [np.concatenate(x) for x in zip(*found, strict=True)])
+                yield batch_of(*LINK, [np.concatenate(x) for x in zip(*found, strict=True)])
                 found, held = [], 0
         if found:
-            yield batch_of(*EDGE, [np.concatenate(x) for x in zip(*found, strict=True)])
+            yield batch_of(*LINK, [np.concatenate(x) for x in zip(*found, strict=True)])
 
-    fresh = around.repartition(parts_of(edges), "a").sortWithinPartitions("a").mapInArrow(meet, "a long, b long, d float")
-    return nearest_edges(edges.union(fresh), width)
+    return told(near).mapInArrow(meet, LINKS)
+
+
+LINKS = "key long, other long, d float"
 
 
 def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int) -> DataFrame:
-    """(a, b, d): the neighbour graph of nodes by NN-descent; d is a squared distance of codes."""
-    edges = first_edges(nodes, width, 0, block)
+    """(id, code, scale, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances of codes."""
+    links = first_edges(nodes, width, 0, block)
     for turn in range(1, starts):
-        edges = edges.union(first_edges(nodes, width, turn, block))
-    edges = checkpointed(nearest_edges(edges, width), "graph")
+        links = links.union(first_edges(nodes, width, turn, block))
+    state = checkpointed(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
     for _ in range(rounds):
-        edges = checkpointed(joined_round(edges, nodes, width, best), "graph")
-    return edges
+        state = checkpointed(with_links(state, met(around(state, width), best), width), "graph")
+    return state
 
 
-def fat_graph(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def fat_graph(state: DataFrame, width: int) -> DataFrame:
     """(node, ids, codes, scales): each node with the codes of its neighbours in either direction, two widths at most."""
-    around = both_ways(edges, width).join(nodes.select(F.col("id").alias("b"), "code", "scale"), "b")
-    held = around.groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct("b", "code", "scale")).alias("held"))
-    return held.select("node", F.col("held.b").alias("ids"), F.col("held.code").alias("codes"), F.col("held.scale").alias("scales"))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in groups(batches, "key"):
+            columns = [[parts[0].column("key")[0].as_py()], [array(parts, "other")], [values(parts, "code")], [array(parts, "scale", np.float32)]]
+            yield batch_of(["node", "ids", "codes", "scales"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.float32())], columns)
+
+    return told(around(state, width)).mapInArrow(collect, "node long, ids array<long>, codes array<binary>, scales array<float>")
 
 
 SEEN = "query long, ids array<long>, ds array<float>"
@@ -204,28 +277,31 @@ SEEN = "query long, ids array<long>, ds array<float>"
 def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int) -> DataFrame:
     """(query, ids, ds): the nearest nodes that each query (query, code, scale; a node itself) finds, nearest first.
 
-    In each round a query opens all nodes among its beam nearest that it hasn't opened; it ends when there are none.
+    In each round a query opens all nodes among its beam nearest that it hasn't opened; it ends when there are none. The
+    graph should be bucketed by node: then only the open nodes and what they show are shuffled.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            cols = [batch.column(c).to_pylist() for c in ("query", "code", "scale", "bound", "ids", "codes", "scales")]
-            for query, code, scale, bound, ids, codes, scales in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("query", "code", "scale", "bound", "codes", "scales")]
+            ids = batch.column("ids")
+            for k, (query, code, scale, bound, codes, scales) in enumerate(zip(*cols, strict=True)):
                 d = squares(decoded([code], [scale]), decoded(codes, scales))[0]
                 near = d < bound
                 if near.any():
                     out[0].append(query)
-                    out[1].append(np.asarray(ids)[near])
+                    out[1].append(ids[k].values.to_numpy()[near])
                     out[2].append(d[near])
             yield batch_of(["query", "ids", "ds"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32())], list(out))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in groups(batches, "query"):
-            query = parts[0].column("query")[0].as_py()
-            ids = np.concatenate([np.asarray(x, np.int64) for x in values(parts, "ids")] or [np.empty(0, np.int64)])
-            ds = np.concatenate([np.asarray(x, np.float32) for x in values(parts, "ds")] or [np.empty(0, np.float32)])
-            done = np.unique(np.concatenate([np.asarray(x or [], np.int64) for x in values(parts, "done")]))
+        for parts in groups(batches, "key"):
+            own = parts[0]
+            query = own.column("key")[0].as_py()
+            ids = np.concatenate([x.values.to_numpy() for p in parts for x in p.column("ids")])
+            ds = np.concatenate([x.values.to_numpy() for p in parts for x in p.column("ds")])
+            done = own.column("done")[0].values.to_numpy()
             ids, first = np.unique(ids, return_index=True)
             ds = ds[first]
             keep = ids != query
@@ -233,29 +309,31 @@ def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int) -> DataFrame
             ids, ds = ids[keep][order], ds[keep][order]
             fresh = ids[~np.isin(ids, done)]
             bound = float(ds[-1]) if len(ds) == beam else float("inf")
-            yield batch_of(STATE_NAMES, STATE_TYPES, [[query], [ids], [ds], [np.concatenate([done, fresh])], [fresh], [bound]])
+            yield batch_of(WALK_NAMES, WALK_TYPES, [[query], own.column("code").to_pylist()[:1], own.column("scale").to_pylist()[:1], [ids], [ds], [np.concatenate([done, fresh])], [fresh], [bound]])
 
-    n = parts_of(graph)
-    known = starts.select("query", "code", "scale")
-    frontier = known.select("query", "code", "scale", F.lit(float("inf")).alias("bound"), F.col("query").alias("node"))
-    state = None
+    state = starts.select("query", "code", "scale", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("ds"), F.array("query").alias("done"), F.array("query").alias("fresh"), F.lit(float("inf")).alias("bound"))
     for _ in range(most):
-        seen = frontier.join(graph, "node").select("query", "code", "scale", "bound", "ids", "codes", "scales").mapInArrow(look, SEEN).withColumn("done", F.lit(None).cast("array<long>"))
-        if state is None:
-            seen = seen.unionByName(known.select("query", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("ds"), F.array("query").alias("done")))
-        else:
-            seen = seen.unionByName(state.select("query", "ids", "ds", "done"))
-        state = checkpointed(seen.repartition(n, "query").sortWithinPartitions("query").mapInArrow(merge, STATE), "walk")
-        active = state.filter(F.size("fresh") > 0)
-        if active.isEmpty():
+        frontier = state.select("query", "code", "scale", "bound", F.explode("fresh").alias("node"))
+        seen = frontier.join(graph, "node").select("query", "code", "scale", "bound", "ids", "codes", "scales").mapInArrow(look, SEEN)
+        own = state.select(F.col("query").alias("key"), F.lit(0).alias("kind"), "code", "scale", "ids", "ds", "done")
+        new = seen.select(F.col("query").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "ids", "ds", F.lit(None).cast("array<long>").alias("done"))
+        state = checkpointed(sent(own.unionByName(new), "kind").mapInArrow(merge, WALK), "walk")
+        if state.filter(F.size("fresh") > 0).isEmpty():
             break
-        frontier = active.select("query", "bound", F.explode("fresh").alias("node")).join(known, "query")
     return state.select("query", "ids", "ds")
 
 
-STATE = "query long, ids array<long>, ds array<float>, done array<long>, fresh array<long>, bound double"
-STATE_NAMES = ["query", "ids", "ds", "done", "fresh", "bound"]
-STATE_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
+WALK = "query long, code binary, scale float, ids array<long>, ds array<float>, done array<long>, fresh array<long>, bound double"
+WALK_NAMES = ["query", "code", "scale", "ids", "ds", "done", "fresh", "bound"]
+WALK_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
+
+
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, bucketed by key, and the table's name: joins by key need not shuffle it."""
+    spark, n = df.sparkSession, parts_of(df)
+    name = f"graph_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", shared_dir(spark, "fat")).saveAsTable(name)
+    return spark.table(name), name
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 3, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, most: int = 40, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -270,11 +348,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, widt
     ranked = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).select("digest", "id")
     reps = coded.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = checkpointed(coded.join(reps, ["digest"]).filter(F.col("id") == F.col("rep")).select("id", "code", "scale", "digest"), "nodes")
-    graph = checkpointed(fat_graph(build_graph(nodes, width, rounds, starts, block, best), nodes, width), "fat")
+    graph, name = bucketed(fat_graph(build_graph(nodes, width, rounds, starts, block, best), width), "node")
 
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct().join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"))
     begin = asked.select("query").distinct().join(nodes.select(F.col("id").alias("query"), "code", "scale"), "query")
     found = walk(begin, graph, beam, most)
+    vectors.sparkSession.sql(f"DROP TABLE {name}")
     near = found.select("query", F.explode(F.slice(F.concat(F.array("query"), "ids"), 1, k + spare + 1)).alias("node"))
     members = ranked.join(reps, "digest").select(F.col("rep").alias("node"), F.col("id").alias("vec_id"))
     exact = rows.select("id", "vector").dropDuplicates(["id"])
