@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """The vocabulary of a tokenizers file with byte letters, word ends and lower case."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -129,7 +129,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 texts, plain = plain_texts(part.column("text").cast(pa.large_string()))
                 words, coded, counts = split_words(texts.filter(pa.array(plain)))
                 found = model.strings_of(words)

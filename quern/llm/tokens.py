@@ -71,7 +71,7 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 class WordEncoder:
     """Encodes batches of texts; keeps the ids of at most max_words distinct words."""
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         self.tokenizer, self.max_words = library_tokenizer(path), max_words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
