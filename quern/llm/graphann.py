@@ -108,7 +108,7 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_edges(nodes: DataFrame, width: int, turn: int, block: int) -> DataFrame:
+def first_edges(nodes: DataFrame, width: int, turn: int, block: int, spread: int) -> DataFrame:
     """Edges within blocks of vectors in the order of one set of random hyperplanes."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def first_edges(nodes: DataFrame, width: int, turn: int, block: int) -> DataFram
                 rows = rows.slice(take)
 
     order = ["place", "along", "id"]
-    return nodes.select("id", "code", "scale").mapInArrow(mark, "id long, code binary, scale float, place long, along float").repartitionByRange(parts_of(nodes), *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
+    return nodes.select("id", "code", "scale").mapInArrow(mark, "id long, code binary, scale float, place long, along float").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
 
 
 def sent(df: DataFrame, *columns: str) -> DataFrame:
@@ -251,9 +251,10 @@ LINKS = "key long, other long, d float"
 
 def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int) -> DataFrame:
     """(id, code, scale, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances of codes."""
-    links = first_edges(nodes, width, 0, block)
+    spread = max(1, min(parts_of(nodes), nodes.count() // (2 * block)))  # a part with few nodes would be cut off
+    links = first_edges(nodes, width, 0, block, spread)
     for turn in range(1, starts):
-        links = links.union(first_edges(nodes, width, turn, block))
+        links = links.union(first_edges(nodes, width, turn, block, spread))
     state = checkpointed(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
     for _ in range(rounds):
         state = checkpointed(with_links(state, met(around(state, width), best), width), "graph")
