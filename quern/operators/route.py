@@ -22,7 +22,7 @@ INTENT_PATTERNS = (
     ("concept_qa", r"(?i)what is|explain|什么是|原理|区别|介绍"),
 )
 RELATIONAL = r"(?i)depends? on|relation|between|caused? by|依赖|关系|影响|之间|导致"
-EXACT = r"(?i)\b\d{8,}\b|@ohos\.[\w.]+|\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
+EXACT = r"\b\d{8,}\b|@ohos\.[\w.]+|\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
 SEMANTIC = r"(?i)what is|why|explain|什么是|为什么|原理|介绍|区别"
 #: Weights and depths of the plans.
 PLANS = {

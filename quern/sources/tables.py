@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, source, content) of the Markdown files that aren't blank."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    return files.filter(F.trim("value") != "").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
+    return files.filter(F.col("value").rlike(r"\S")).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
