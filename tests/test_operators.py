@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, dedup, fusion, graph, memory, monitor, rank, route, search
+from quern.operators import chunking, conflicts, dedup, documents, embed, evaluate, fusion, graph, memory, monitor, rank, route, search
 from quern.sources import tables
 from quern.streaming import replay
 
@@ -284,3 +284,47 @@ def test_extraction(spark):
     assert {("RouterOptions", "CLASS"), ("@ohos.router", "API"), ("API 10", "API_LEVEL"), ("16000001", "ERROR_CODE"), ("pushUrl", "FUNCTION"), ("main.ets", "FILE")} <= got
     rels = {(r.source, r.target, r.rel) for r in graph.pattern_relations(found, chunks).collect()}
     assert ("RouterOptions", "@ohos.router", "DEPENDS_ON") in rels
+
+
+def test_markdown_structure():
+    text = "# A  \n二、B\n3) C\n\n| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 | 4 |\ntext\n```py\nimport os\nclass K:\n  def f(self): g()\n```\n```ts\nexport class Foo extends Bar {}\nnew Baz()\n```\n"
+    assert documents.find_sections(text) == [(1, "A", 0), (2, "二、B", 6), (2, "3. C", 10)]
+    assert documents.find_tables(text) == [(4, 2)]
+    assert [(lang, a, b) for lang, a, b, _ in documents.find_code(text)] == [("py", 10, 14), ("ts", 15, 18)]
+    assert {("os", "IMPORT", 1.0), ("K", "CLASS", 1.0), ("f", "FUNCTION", 1.0), ("g", "METHOD_CALL", 0.9), ("Foo", "CLASS", 0.7), ("Baz", "METHOD_CALL", 0.7)} <= set(documents.find_symbols(text))
+    assert documents.find_symbols("```py\ndef (\n```") == []
+
+
+def test_markdown_rows(spark):
+    docs = spark.createDataFrame([(1, "# T\n```js\nfunction go() {}\n```"), (2, None)], "chunk_id long, content string")
+    assert [tuple(r) for r in documents.sections(docs).collect()] == [(1, 1, "T", 0)]
+    assert documents.code_blocks(docs).first().language == "js" and documents.pipe_tables(docs).count() == 0
+    assert ("go", "FUNCTION") in {(r.name, r.kind) for r in documents.code_symbols(docs).collect()}
+
+
+def test_mock_embedding(spark):
+    import hashlib
+
+    digest = hashlib.sha256("héllo".encode()).digest()
+    want = [b / 127.5 - 1 for b in digest + hashlib.sha256(digest).digest()][:40]
+    assert one(spark, "héllo", embed.mock_embedding(F.col("x"), 40)) == pytest.approx(want)
+
+
+def test_contradictions(spark):
+    rows = [
+        (1, 1, "@ohos.router works on API 9 and is not supported here"), (1, 2, "@ohos.router is supported since api 12"), (1, 3, "nothing shared"),
+        (2, 1, "@ohos.a deprecated in API 11. We recommend using the old way"), (2, 2, "@ohos.a call; best practice to write tests first"),
+    ]
+    docs = spark.createDataFrame([(q, c, t, "s") for q, c, t in rows], "query_id long, chunk_id long, content string, title string")
+    got = {(r.query_id, r.a, r.b, r.kind) for r in conflicts.contradictions(docs).collect()}
+    assert got == {(1, 1, 2, "version"), (1, 1, 2, "negation"), (2, 1, 2, "deprecation"), (2, 1, 2, "recommendation")}
+
+
+def test_split_version(spark):
+    import hashlib
+
+    users = [f"u{i}" for i in range(50)]
+    rows = spark.createDataFrame([(u,) for u in users], "x string").select("x", evaluate.split_version(F.col("x"), {"b": 1.0, "a": 3.0}).alias("v")).collect()
+    for r in rows:
+        roll = random.Random(int(hashlib.md5(r.x.encode()).hexdigest()[:8], 16)).random()
+        assert r.v == ("a" if roll <= 0.75 else "b")
