@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
@@ -35,7 +36,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """The vocabulary of a tokenizers file with byte letters, word ends and lower case."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -115,8 +116,31 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+def digest(data) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def encode_batch(model: Bpe, batch: pa.RecordBatch) -> list[tuple[int, str, str]]:
+    """Of each text: how many ids, the digest of the ids with blanks between, the digest of the decoded text."""
+    texts, plain = plain_texts(batch.column("text").cast(pa.large_string()))
+    words, coded, counts = split_words(texts.filter(pa.array(plain)))
+    found = model.strings_of(words)
+    sizes = np.fromiter((x[0] for x in found), np.int64, len(found))[coded]
+    totals = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    keep = sizes > 0  # not the empty strings of the split
+    bounds = pa.array(np.concatenate([[0], np.cumsum(keep)])[ends], pa.int32())
+    places = pa.array(coded[keep])
+    joined = [pc.binary_join(pa.ListArray.from_arrays(bounds, pa.array([x[k] for x in found], pa.string()).take(places)), " ") for k in (1, 2)]
+    own = zip(np.diff(totals[ends]).tolist(), *([digest(x.as_buffer()) for x in column] for column in joined), strict=True)
+    rows = []
+    for k, is_plain in enumerate(plain.tolist()):
+        if is_plain:
+            rows.append(next(own))
+        else:
+            ids = model.encode(texts[k].as_py())
+            rows.append((len(ids), digest(" ".join(map(str, ids)).encode()), digest(model.decode(ids).encode())))
+    return rows
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -130,25 +154,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         model = bpe(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                texts, plain = plain_texts(part.column("text").cast(pa.large_string()))
-                words, coded, counts = split_words(texts.filter(pa.array(plain)))
-                found = model.strings_of(words)
-                sizes = np.fromiter((x[0] for x in found), np.int64, len(found))[coded]
-                totals = np.concatenate([[0], np.cumsum(sizes)])
-                keep = sizes > 0
-                kept = np.concatenate([[0], np.cumsum(keep)])
-                words_of = coded[keep].tolist()
-                rows, at = [], 0
-                n_of = iter(counts.tolist())
-                for k, is_plain in enumerate(plain.tolist()):
-                    if is_plain:
-                        end = at + next(n_of)
-                        own = [found[w] for w in words_of[kept[at] : kept[end]]]
-                        rows.append((int(totals[end] - totals[at]), digest(" ".join([x[1] for x in own])), digest(" ".join([x[2] for x in own]))))
-                        at = end
-                    else:
-                        ids = model.encode(texts[k].as_py())
-                        rows.append((len(ids), digest(" ".join(map(str, ids))), digest(model.decode(ids))))
+                rows = encode_batch(model, part)
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
