@@ -35,12 +35,12 @@ def one_hop(seeds: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     return steps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "edge_id", F.col("dst").alias("node"), "rel", "weight", "rank")
 
 
-def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 15) -> DataFrame:
+def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 15, digits: int = 2) -> DataFrame:
     """(seed, mid, node, rels, weight): paths over two different edges to another node; weights multiply."""
     both = both_ways(edges)
     first = seeds.select("seed").join(both, F.col("seed") == F.col("src")).select("seed", F.col("edge_id").alias("e1"), F.col("dst").alias("mid"), F.col("rel").alias("r1"), F.col("weight").alias("w1"))
     second = both.select(F.col("edge_id").alias("e2"), F.col("src").alias("at"), F.col("dst").alias("node"), F.col("rel").alias("r2"), F.col("weight").alias("w2"))
-    paths = first.join(second, F.col("mid") == F.col("at")).filter("node <> seed AND mid <> seed AND node <> mid AND e1 <> e2").withColumn("weight", F.round(F.col("w1") * F.col("w2"), 2))
+    paths = first.join(second, F.col("mid") == F.col("at")).filter("node <> seed AND mid <> seed AND node <> mid AND e1 <> e2").withColumn("weight", F.round(F.col("w1") * F.col("w2"), digits))
     order = Window.partitionBy("seed").orderBy(F.desc("weight"), "node", "mid", "e1", "e2")
     return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "mid", "node", F.concat_ws(",", "r1", "r2").alias("rels"), "weight", "rank")
 

@@ -11,16 +11,16 @@ from quern.sources.tables import table
 
 Q = Registry()
 
-EDGES_SQL = """edges AS (SELECT l_partkey * 100000 + l_suppkey AS edge_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE WHEN any_value(l_partkey) % 3 = 0 THEN 'DEPENDS_ON' ELSE 'SUPPLIED_BY' END AS rel, round(avg(l_quantity) / 50, 2) AS weight
+EDGES_SQL = """edges AS (SELECT l_partkey * 100000 + l_suppkey AS edge_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CASE WHEN any_value(l_partkey) % 3 = 0 THEN 'DEPENDS_ON' ELSE 'SUPPLIED_BY' END AS rel, avg(l_quantity) / 50 AS weight
  FROM lineitem GROUP BY l_partkey, l_suppkey),
 both_ways AS (SELECT edge_id, src, dst, rel, weight FROM edges UNION ALL SELECT edge_id, dst, src, rel, weight FROM edges), seeds AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0)"""
 ONE_SQL = """one AS (SELECT seed, edge_id, dst AS node, rel, weight, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, dst, edge_id) AS rank FROM seeds JOIN both_ways ON seed = src WHERE dst <> seed)"""
-TWO_SQL = """two AS (SELECT seed, a.dst AS mid, b.dst AS node, a.rel || ',' || b.rel AS rels, round(a.weight * b.weight, 2) AS weight, row_number() OVER (PARTITION BY seed ORDER BY round(a.weight * b.weight, 2) DESC, b.dst, a.dst, a.edge_id, b.edge_id) AS rank
+TWO_SQL = """two AS (SELECT seed, a.dst AS mid, b.dst AS node, a.rel || ',' || b.rel AS rels, round(a.weight * b.weight, 6) AS weight, row_number() OVER (PARTITION BY seed ORDER BY round(a.weight * b.weight, 6) DESC, b.dst, a.dst, a.edge_id, b.edge_id) AS rank
  FROM seeds JOIN both_ways a ON seed = a.src JOIN both_ways b ON a.dst = b.src WHERE b.dst <> seed AND a.dst <> seed AND b.dst <> a.dst AND a.edge_id <> b.edge_id)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_quantity") / 50, 2).alias("weight"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg((F.avg("l_quantity") / 50).alias("weight"))
     rel = F.when(F.col("l_partkey") % 3 == 0, "DEPENDS_ON").otherwise("SUPPLIED_BY")
     return rows.select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("edge_id"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), rel.alias("rel"), "weight")
 
@@ -30,14 +30,14 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("seed"))
 
 
-@Q.query("graph_1hop", f"WITH {EDGES_SQL}, {ONE_SQL} SELECT * FROM one WHERE rank <= 20")
+@Q.query("graph_1hop", f"WITH {EDGES_SQL}, {ONE_SQL} SELECT seed, edge_id, node, rel, round(weight, 6) AS weight, rank FROM one WHERE rank <= 20")
 def graph_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.one_hop(seeds(spark, sf_dir), edges(spark, sf_dir))
+    return graph.one_hop(seeds(spark, sf_dir), edges(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @Q.query("graph_2hop", f"WITH {EDGES_SQL}, {TWO_SQL} SELECT * FROM two WHERE rank <= 15")
 def graph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.two_hop(seeds(spark, sf_dir), edges(spark, sf_dir))
+    return graph.two_hop(seeds(spark, sf_dir), edges(spark, sf_dir), digits=6)
 
 
 @Q.query("path_score", f"""WITH {EDGES_SQL}, {ONE_SQL}, {TWO_SQL}, p AS (SELECT node AS chunk_id, seed, weight, 1 AS hops FROM one WHERE rank <= 20 UNION ALL SELECT node, seed, weight, 2 FROM two WHERE rank <= 15),
