@@ -46,6 +46,22 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of the shared folder that an operator needs only until its result is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.n = spark, shared_dir(spark, label), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        drop_dir(self.spark, self.root)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and the path of a URI or of a local path."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

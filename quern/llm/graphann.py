@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import Scratch, checkpointed
 
 NODE = "id long, code binary, scale float, digest binary"
 
@@ -249,15 +249,15 @@ def met(near: DataFrame, best: int) -> DataFrame:
 LINKS = "key long, other long, d float"
 
 
-def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int) -> DataFrame:
+def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int, scratch: Scratch) -> DataFrame:
     """(id, code, scale, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances of codes."""
     spread = max(1, min(parts_of(nodes), nodes.count() // (2 * block)))  # a part with few nodes would be cut off
     links = first_edges(nodes, width, 0, block, spread)
     for turn in range(1, starts):
         links = links.union(first_edges(nodes, width, turn, block, spread))
-    state = checkpointed(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
+    state = scratch.keep(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
     for _ in range(rounds):
-        state = checkpointed(with_links(state, met(around(state, width), best), width), "graph")
+        state = scratch.keep(with_links(state, met(around(state, width), best), width), "graph")
     return state
 
 
@@ -275,7 +275,7 @@ def fat_graph(state: DataFrame, width: int) -> DataFrame:
 SEEN = "query long, ids array<long>, ds array<float>"
 
 
-def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int) -> DataFrame:
+def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int, scratch: Scratch) -> DataFrame:
     """(query, ids, ds): the nearest nodes that each query (query, code, scale; a node itself) finds, nearest first.
 
     In each round a query opens all nodes among its beam nearest that it hasn't opened; it ends when there are none. The
@@ -318,7 +318,7 @@ def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int) -> DataFrame
         seen = frontier.join(graph, "node").select("query", "code", "scale", "bound", "ids", "codes", "scales").mapInArrow(look, SEEN)
         own = state.select(F.col("query").alias("key"), F.lit(0).alias("kind"), "code", "scale", "ids", "ds", "done")
         new = seen.select(F.col("query").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "ids", "ds", F.lit(None).cast("array<long>").alias("done"))
-        state = checkpointed(sent(own.unionByName(new), "kind").mapInArrow(merge, WALK), "walk")
+        state = scratch.keep(sent(own.unionByName(new), "kind").mapInArrow(merge, WALK), "walk")
         if state.filter(F.size("fresh") > 0).isEmpty():
             break
     return state.select("query", "ids", "ds")
@@ -329,11 +329,11 @@ WALK_NAMES = ["query", "code", "scale", "ids", "ds", "done", "fresh", "bound"]
 WALK_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
 
 
-def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, bucketed by key, and the table's name: joins by key need not shuffle it."""
+def bucketed(df: DataFrame, key: str, folder: str) -> tuple[DataFrame, str]:
+    """df as a table in a shared folder, bucketed by key, and the table's name: joins by key need not shuffle it."""
     spark, n = df.sparkSession, parts_of(df)
     name = f"graph_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", shared_dir(spark, "fat")).saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{folder}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -343,18 +343,20 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, widt
     width: neighbours that a node keeps; rounds of NN-descent; beam: nodes that a query holds; spare: how many found
     nodes beyond k are measured again; most: a bound of the rounds of a walk, which end by themselves long before.
     """
+    scratch = Scratch(vectors.sparkSession, "ann")
     rows = checkpointed(valid_vectors(vectors, id_col, vector_col), "vectors")
     coded = checkpointed(encode_nodes(rows).distinct(), "codes")
     order = Window.partitionBy("digest").orderBy("id")
     ranked = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).select("digest", "id")
     reps = coded.groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = checkpointed(coded.join(reps, ["digest"]).filter(F.col("id") == F.col("rep")).select("id", "code", "scale", "digest"), "nodes")
-    graph, name = bucketed(fat_graph(build_graph(nodes, width, rounds, starts, block, best), width), "node")
+    graph, name = bucketed(fat_graph(build_graph(nodes, width, rounds, starts, block, best, scratch), width), "node", scratch.root)
 
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct().join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"))
     begin = asked.select("query").distinct().join(nodes.select(F.col("id").alias("query"), "code", "scale"), "query")
-    found = walk(begin, graph, beam, most)
+    found = checkpointed(walk(begin, graph, beam, most, scratch), "walk")
     vectors.sparkSession.sql(f"DROP TABLE {name}")
+    scratch.drop()
     near = found.select("query", F.explode(F.slice(F.concat(F.array("query"), "ids"), 1, k + spare + 1)).alias("node"))
     members = ranked.join(reps, "digest").select(F.col("rep").alias("node"), F.col("id").alias("vec_id"))
     exact = rows.select("id", "vector").dropDuplicates(["id"])

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,13 +139,11 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float, text_col:
     Rejected are null texts, texts without a letter, and texts that are far from every profile.
     """
 
-    def score(batches):
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([0.0 if x is None else profiles.predict(x)[1] for x in texts], dtype="float64")
 
-    scored = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(score, "double")
     return docs.filter(scored(F.col(text_col).cast("string")) >= F.lit(least))
 
 

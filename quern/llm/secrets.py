@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,11 +175,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null texts stay null, texts without secrets stay as they are, other columns are kept.
     """
 
-    def redact(batches):
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(redact_text, na_action="ignore")
 
-    return docs.withColumn(text_col, F.pandas_udf(redact, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, F.pandas_udf(redact, "string")(F.col(text_col).cast("string")))
 
 
 def redact_text(text: str) -> str:
