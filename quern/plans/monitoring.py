@@ -138,3 +138,9 @@ def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A breaker's state depends on its past: held against a plain loop in the tests."""
     return replay.circuit_breaker(events(spark, sf_dir).select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok")), 2, 3600.0)
+
+
+@Q.query("cache_replay")
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is held depends on what was evicted: held against a plain loop in the tests."""
+    return replay.cache_hits(events(spark, sf_dir).select("event_id", "user_id", "ts", F.col("props").alias("key")), 86400.0 * 3, 20)

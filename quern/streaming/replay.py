@@ -107,3 +107,63 @@ def new_suffix(states: DataFrame, order) -> DataFrame:
     """(session, at, delta): what each snapshot of a growing text adds to the one before."""
     before = F.coalesce(F.lag("text").over(order), F.lit(""))
     return states.withColumn("delta", F.when(F.startswith("text", before), F.substring(F.col("text"), F.length(before) + 1, F.length("text"))).otherwise(F.col("text")))
+
+
+class Cache:
+    """Keeps keys for ``ttl`` seconds after they were stored, ``capacity`` of them at most; the one used longest ago goes first."""
+
+    def __init__(self, ttl: float, capacity: int, held: dict[str, tuple[float, float]] | None = None):
+        self.ttl, self.capacity, self.held = ttl, capacity, dict(held or {})
+
+    def step(self, key: str, at: float) -> bool:
+        """Whether the key is held; it is stored if not."""
+        stored = self.held.get(key)
+        if stored and at - stored[0] < self.ttl:
+            self.held[key] = (stored[0], at)
+            return True
+        self.held.pop(key, None)
+        if len(self.held) >= self.capacity:
+            del self.held[min(self.held, key=lambda k: (self.held[k][1], k))]
+        self.held[key] = (at, at)
+        return False
+
+
+def cache_hits(rows: DataFrame, ttl: float, capacity: int) -> DataFrame:
+    """(event_id, user_id, hit) of lookups (event_id, user_id, ts, key), with a cache for each user."""
+
+    def run(state: dict, key, group: pd.DataFrame) -> pd.DataFrame:
+        cache = state.setdefault(key, Cache(ttl, capacity))
+        return pd.DataFrame({"event_id": group.event_id, "user_id": group.user_id, "hit": [cache.step(k, at) for k, at in zip(group.key, seconds(group.ts), strict=True)]})
+
+    return by_key(rows.select("event_id", "user_id", "ts", "key"), "user_id", run, "event_id long, user_id long, hit boolean")
+
+
+def session_stream(turns: DataFrame, last: int = 10, ttl_seconds: int = 24 * 3600) -> DataFrame:
+    """(session_id, n, texts) after each batch of a stream (session_id, ts, text): the last turns; a silent session is forgotten."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        texts = list(state.get[0]) if state.exists else []
+        for frame in frames:
+            texts = (texts + frame.sort_values("ts").text.tolist())[-last:]
+        state.update((texts,))
+        state.setTimeoutDuration(ttl_seconds * 1000)
+        yield pd.DataFrame({"session_id": [key[0]], "n": [len(texts)], "texts": [texts]})
+
+    return turns.groupBy("session_id").applyInPandasWithState(run, "session_id string, n int, texts array<string>", "texts array<string>", "update", "ProcessingTimeTimeout")
+
+
+def append_batches(stream: DataFrame, target: str):
+    """A writer that puts each batch into a folder of its own under target; a batch that comes twice replaces itself."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def newest(batches: DataFrame, key: str) -> DataFrame:
+    """Of what append_batches wrote the last row of each key."""
+    return batches.groupBy(key).agg(F.max_by(F.struct(*[c for c in batches.columns if c != key]), "batch").alias("x")).select(key, "x.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, conflicts, dedup, documents, embed, evaluate, fusion, graph, memory, monitor, rank, route, search
+from quern.operators import answers, chunking, conflicts, dedup, documents, embed, evaluate, fusion, graph, memory, monitor, rank, route, search
 from quern.sources import tables
 from quern.streaming import replay
 
@@ -328,3 +328,52 @@ def test_split_version(spark):
     for r in rows:
         roll = random.Random(int(hashlib.md5(r.x.encode()).hexdigest()[:8], 16)).random()
         assert r.v == ("a" if roll <= 0.75 else "b")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(None, None), ("", None), ('x {"a": 1} y', '{"a": 1}'), ('```json\n{"a": {"b": "}"}}\n```', '{"a": {"b": "}"}}'), ("{broken", None), ("[1]", None), ('```\n{"k": "é"}```', '{"k": "é"}')],
+)
+def test_json_in_answers(spark, text, want):
+    assert answers.json_in(text) == want
+    assert one(spark, text, answers.extract_json(F.col("x"))) == want
+
+
+def test_validation(spark):
+    r = one(spark, '{"primary_intent": " Migration ", "secondary_intents": ["API_USAGE", "migration", "odd"], "difficulty": "huge", "retrieval_plan": {"mode": "parallel"}}', answers.validated(F.col("x")))
+    assert (r.primary_intent, r.secondary_intents, r.difficulty, r.risk_level, r["mode"], r.needs_clarification) == ("migration", ["api_usage"], "low", "low", "parallel", False)
+    r = one(spark, "not json", answers.validated(F.col("x")))
+    assert (r.primary_intent, r.secondary_intents, r["mode"]) == ("concept_qa", [], "hybrid_only")
+
+
+def test_cache(spark):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(2), start + dt.timedelta(seconds=rng.randrange(2000)), i, f"k{rng.randrange(12)}") for i in range(400)]
+    found = {r.event_id: r.hit for r in replay.cache_hits(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, key string"), 300.0, 5).collect()}
+    held: dict = {0: {}, 1: {}}
+    for user, ts, i, key in sorted(rows, key=lambda r: (r[1], r[2])):
+        own = held[user]
+        hit = key in own and (ts - own[key][0]).total_seconds() < 300
+        assert found[i] == hit
+        if hit:
+            own[key][1] = ts
+        else:
+            own.pop(key, None)
+            if len(own) >= 5:
+                del own[min(own, key=lambda k: (own[k][1], k))]
+            own[key] = [ts, ts]
+
+
+def test_session_and_batches_on_a_stream(spark, tmp_path):
+    schema = "session_id string, ts timestamp, text string"
+    rows = [(f"s{i % 2}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), f"t{i}") for i in range(10)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = replay.session_stream(stream, last=3).writeStream.format("memory").queryName("sessions").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.session_id, tuple(r.texts)) for r in spark.table("sessions").collect()} == {("s0", ("t4", "t6", "t8")), ("s1", ("t5", "t7", "t9"))}
+    query = replay.append_batches(stream, str(tmp_path / "out")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(120)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 10 and replay.newest(written, "session_id").count() == 2
