@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +48,46 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2,
     return ranked(hits, "query_id", [F.desc("score"), F.col("chunk_id")], k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine search of a stated set of queries against all vectors.
+def blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """(ids, matrix): rows packed into blocks, matrix holding unit vectors in double precision. Nothing is shuffled.
+
+    Zero vectors stay zero, so their cosine is 0. Null vectors are left out.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+                unit = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    return rows.mapInArrow(pack, "ids array<long>, matrix binary")
+
 
-    queries (query_id, q) is the small side: every vector is compared to each query, nothing else. The best k of each
-    partition go on, so what is shuffled is bounded by partitions and k, not by vectors.
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosine search of a stated set of queries (query_id, q) against all vectors.
+
+    Blocks of queries meet blocks of vectors, each pair of blocks is one matrix product, and only a block's best k of each
+    query go on. All vectors have one length.
     """
-    pairs = vectors.crossJoin(queries).filter(F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), digits).alias("score"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, matrix, asked, wanted in zip(*(batch.column(c).to_pylist() for c in ("ids", "matrix", "asked", "wanted")), strict=True):
+                v, q = np.frombuffer(matrix).reshape(len(ids), -1), np.frombuffer(wanted).reshape(len(asked), -1)
+                ids, asked = np.asarray(ids), np.asarray(asked)
+                scores = np.round(q @ v.T, digits)
+                scores[asked[:, None] == ids[None]] = -np.inf
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
+                found = np.take_along_axis(scores, best, 1)
+                real = np.isfinite(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, best.shape[1])[real.ravel()]), pa.array(ids[best][real]), pa.array(found[real])], names=["query_id", "vec_id", "score"])
+
+    wanted = blocks(queries, "query_id", "q", block).select(F.col("ids").alias("asked"), F.col("matrix").alias("wanted"))
+    scored = blocks(vectors, "vec_id", "embedding", block).crossJoin(wanted).mapInArrow(score, "query_id long, vec_id long, score double")
     return ranked(scored, "query_id", [F.desc("score"), F.col("vec_id")], k)
 
 
