@@ -108,24 +108,25 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_edges(nodes: DataFrame, width: int, turn: int, block: int, spread: int) -> DataFrame:
-    """Edges within blocks of vectors in the order of one set of random hyperplanes."""
+def first_edges(nodes: DataFrame, width: int, starts: int, block: int, spread: int) -> DataFrame:
+    """Links within blocks of vectors, in the orders that some sets of random hyperplanes give them."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             points = decoded(batch.column("code").to_pylist(), batch.column("scale").to_pylist())
-            planes = np.random.default_rng(turn).standard_normal((points.shape[1], 17)).astype(np.float32)
-            sides = points @ planes
-            place = (sides[:, :16] > 0) @ (1 << np.arange(16, dtype=np.int64)[::-1])
-            yield batch_of(["id", "code", "scale", "place", "along"], [pa.int64(), pa.binary(), pa.float32(), pa.int64(), pa.float32()], [batch.column("id").to_pylist(), batch.column("code").to_pylist(), batch.column("scale").to_pylist(), place, sides[:, 16]])
+            for turn in range(starts):
+                planes = np.random.default_rng(turn).standard_normal((points.shape[1], 17)).astype(np.float32)
+                sides = points @ planes
+                place = (turn << 16) + (sides[:, :16] > 0) @ (1 << np.arange(16, dtype=np.int64)[::-1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "code", "scale")), pa.array(place), pa.array(sides[:, 16])], names=["id", "code", "scale", "place", "along"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in chain(batches, [None]):
-            rows = pa.Table.from_batches([x for x in (left, batch) if x is not None]).combine_chunks().to_batches() if (left is not None or batch is not None) else []
-            rows, left = (rows[0] if rows else None), None
+            held = [x for x in (left, batch) if x is not None and len(x)]
+            rows, left = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None, None
             while rows is not None and len(rows) > 1:
                 if batch is not None and len(rows) < 2 * block:  # keep enough for a last block that is no stump
                     left = rows
@@ -134,7 +135,8 @@ def first_edges(nodes: DataFrame, width: int, turn: int, block: int, spread: int
                 part = rows.slice(0, take)
                 ids = part.column("id").to_numpy()
                 at, d = nearest_of(decoded(part.column("code").to_pylist(), part.column("scale").to_pylist()), width)
-                yield batch_of(*LINK, [np.repeat(ids, at.shape[1]), ids[at].ravel(), d.ravel()])
+                apart = np.repeat(ids, at.shape[1]) != ids[at].ravel()  # where two orders meet a node may meet itself
+                yield batch_of(*LINK, [np.repeat(ids, at.shape[1])[apart], ids[at].ravel()[apart], d.ravel()[apart]])
                 rows = rows.slice(take)
 
     order = ["place", "along", "id"]
@@ -251,10 +253,8 @@ LINKS = "key long, other long, d float"
 
 def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int, scratch: Scratch) -> DataFrame:
     """(id, code, scale, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances of codes."""
-    spread = max(1, min(parts_of(nodes), nodes.count() // (2 * block)))  # a part with few nodes would be cut off
-    links = first_edges(nodes, width, 0, block, spread)
-    for turn in range(1, starts):
-        links = links.union(first_edges(nodes, width, turn, block, spread))
+    spread = max(1, min(parts_of(nodes), nodes.count() * starts // (2 * block)))  # a part with few nodes would be cut off
+    links = first_edges(nodes, width, starts, block, spread)
     state = scratch.keep(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
     for _ in range(rounds):
         state = scratch.keep(with_links(state, met(around(state, width), best), width), "graph")
@@ -337,31 +337,34 @@ def bucketed(df: DataFrame, key: str, folder: str) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 3, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, most: int = 40, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 2, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, most: int = 40, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of queries (its ids, among those of vectors).
 
     width: neighbours that a node keeps; rounds of NN-descent; beam: nodes that a query holds; spare: how many found
     nodes beyond k are measured again; most: a bound of the rounds of a walk, which end by themselves long before.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
-    rows = checkpointed(valid_vectors(vectors, id_col, vector_col), "vectors")
-    coded = checkpointed(encode_nodes(rows).distinct(), "codes")
-    order = Window.partitionBy("digest").orderBy("id")
-    ranked = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).select("digest", "id")
-    reps = coded.groupBy("digest").agg(F.min("id").alias("rep"))
-    nodes = checkpointed(coded.join(reps, ["digest"]).filter(F.col("id") == F.col("rep")).select("id", "code", "scale", "digest"), "nodes")
+    rows = valid_vectors(vectors, id_col, vector_col)
+    coded = checkpointed(encode_nodes(rows), "codes")
+    reps = coded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("code").alias("code"), F.first("scale").alias("scale"))
+    reps = checkpointed(reps, "nodes")
+    nodes = reps.select(F.col("rep").alias("id"), "code", "scale")
     graph, name = bucketed(fat_graph(build_graph(nodes, width, rounds, starts, block, best, scratch), width), "node", scratch.root)
 
-    asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct().join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"))
-    begin = asked.select("query").distinct().join(nodes.select(F.col("id").alias("query"), "code", "scale"), "query")
+    ids = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
+    asked = ids.join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"), "code", "scale").distinct()
+    asked = checkpointed(asked, "asked")
+    begin = asked.select("query", "code", "scale").dropDuplicates(["query"])
     found = checkpointed(walk(begin, graph, beam, most, scratch), "walk")
     vectors.sparkSession.sql(f"DROP TABLE {name}")
     scratch.drop()
     near = found.select("query", F.explode(F.slice(F.concat(F.array("query"), "ids"), 1, k + spare + 1)).alias("node"))
-    members = ranked.join(reps, "digest").select(F.col("rep").alias("node"), F.col("id").alias("vec_id"))
-    exact = rows.select("id", "vector").dropDuplicates(["id"])
-    pairs = asked.join(near, "query").join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id")
+    order = Window.partitionBy("digest").orderBy("id")
+    least = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
+    members = least.join(reps.select("digest", F.col("rep").alias("node")), "digest").select("node", F.col("id").alias("vec_id"))
+    pairs = asked.select("query_id", "query").join(near, "query").join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id")
+    exact = rows.select("id", "vector")
     measured = pairs.join(exact.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(exact.select(F.col("id").alias("vec_id"), F.col("vector").alias("v")), "vec_id")
     score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     top = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return measured.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(top).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return measured.select("query_id", "vec_id", score.alias("score")).distinct().withColumn("rank", F.row_number().over(top).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
