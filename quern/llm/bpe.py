@@ -98,16 +98,16 @@ class Bpe:
         return out
 
     def strings_of(self, words: list[str]) -> list[tuple[int, str, str]]:
-        """Of each word of a batch: how many ids, the ids with blanks between, the decoded ids."""
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        known = self.known
-        out = []
+        """Of each word of a batch: how many ids, the ids with blanks between, the decoded ids. The first max_words are kept."""
+        known, out = self.known, []
         for w in words:
-            if w not in known:
+            found = known.get(w)
+            if found is None:
                 ids = self.word(self.normal(w))
-                known[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            out.append(known[w])
+                found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(known) < self.max_words:
+                    known[w] = found
+            out.append(found)
         return out
 
 

@@ -69,22 +69,18 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """Encodes batches of texts; keeps the ids of at most max_words distinct words."""
+    """Encodes batches of texts. Keeps the ids of the first max_words distinct words; others are encoded when they come."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         self.tokenizer, self.max_words = library_tokenizer(path), max_words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[str, int] = {"": 0}  # the split leaves an empty string at an end with white space
+        self.n, self.used = 1, 0
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.empty(1 << 14, np.int64)
-        self.lengths = np.empty(1 << 14, np.int64)
-        self.starts[0] = self.lengths[0] = 0
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words and how many each has: encoded as one text and cut after each id that ends a word."""
@@ -96,25 +92,25 @@ class WordEncoder:
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def _places(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > self.max_words:
-            self._clear()
-        place = self.place
-        fresh = [w for w in words if w not in place]
+        """Where the ids of each word lie. What goes beyond max_words is not kept, so n and used must be set back after use."""
+        fresh = [w for w in words if w not in self.place]
+        held = self.place if len(self.place) + len(fresh) <= self.max_words else {}
         for k in range(0, len(fresh), 1 << 10):
             part = fresh[k : k + (1 << 10)]
             found, lengths = self._encode_words(part)
-            n, first, total = len(part), len(place), len(found)
-            while first + n > len(self.starts):
+            end, used = self.n + len(part), self.used + len(found)
+            while end > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
                 self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-            while self.used + total > len(self.ids):
+            while used > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first : first + n] = lengths
-            self.ids[self.used : self.used + total] = found
-            self.used += total
-            place.update(zip(part, range(first, first + n), strict=True))
-        return np.fromiter((place[w] for w in words), np.int64, len(words))
+            self.starts[self.n : end] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[self.n : end] = lengths
+            self.ids[self.used : used] = found
+            held.update(zip(part, range(self.n, end), strict=True))
+            self.n, self.used = end, used
+        place = self.place
+        return np.fromiter((place[w] if w in place else held[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts one after another, and the n + 1 bounds of each text's ids."""
@@ -123,9 +119,12 @@ class WordEncoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         texts, plain = plain_texts(texts.cast(pa.large_string()).fill_null(""))
         words, coded, counts = split_words(texts.filter(pa.array(plain)))
+        kept = len(self.place), self.n, self.used
         places = self._places(words)[coded]
         ids = self.ids[ragged(self.starts[places], self.lengths[places])]
         per_word = np.concatenate([[0], np.cumsum(self.lengths[places])])
+        if len(self.place) == kept[0]:
+            _, self.n, self.used = kept
         ends = np.cumsum(counts)
         sizes = np.zeros(n, np.int64)
         sizes[plain] = per_word[ends] - per_word[ends - counts]
