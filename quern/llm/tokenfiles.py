@@ -196,12 +196,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in READ.split(", ")]
         types = [pa.int32()] + [pa.int64()] * 5
         for batch in batches:
-            for part, path in zip(batch.column("part").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for part, path, before in zip(*(batch.column(c).to_pylist() for c in ("part", "path", "before")), strict=True):
                 fs, at = open_fs(path)
                 rows = []
                 with fs.open_input_file(at) as file:
-                    for k, row in enumerate(PlaneReader(file).each()):
-                        rows.append((part, k, *row))
+                    for k, (doc, start, n, crc) in enumerate(PlaneReader(file).each()):
+                        rows.append((part, k, doc, before + start, n, crc))
                         if len(rows) == 8192:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                             rows = []
@@ -210,10 +210,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     # The manifest has a row per file, not per document: small enough for one running sum.
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    bases = manifest.select(F.col("part").alias("base_part"), before)
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = manifest.select("part", "path").repartition(n, "part").mapInArrow(read, READ)
-    return rows.join(bases, F.col("part") == F.col("base_part")).select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    return manifest.select("part", "path", before).repartition(n, "part").mapInArrow(read, READ).select("doc_id", "start", "n_tokens", "ids_crc32", "part", "seq")
 
 
 def token_file_round_trip(docs: DataFrame, **options) -> DataFrame:
