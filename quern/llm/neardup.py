@@ -8,8 +8,10 @@ with L / (n + m - L) of 0.8 or more. Classes are the connected components of lin
 
 Equal texts form a group first, and one of each group goes on. All pairs of a small bucket are verified. A large bucket is
 a star in each round: every member is aligned with one leader, the member that meets most others; as long as large buckets
-hold several classes, rounds with their next leaders follow, until a round links nothing. So no group is gathered in one
-task and no group's pairs are all made.
+hold several classes, rounds with their next leaders follow, until a round links nothing. Stars only make classes few: of each
+bucket that still holds several, all pairs of different classes are then compared by counts of shingles, which rule out no
+similar pair, and those that could be similar are aligned. So every pair with a common sketch ends in one class or was tested
+or ruled out, and no group is gathered in one task.
 
 Null texts are classes of their own. Empty texts are equal texts. Texts under five words are one shingle. Rows with the same
 id belong to one class. An empty table gives no rows. Columns other than id and text are not read.
@@ -34,6 +36,8 @@ from .components import components
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCHES, TAKEN, SMALL = 32, 5, 16
+#: Counters of a document's shingles, and members of a large bucket that are compared at a time.
+COUNTERS, BLOCK = 256, 256
 
 
 class WordHashes(dict):
@@ -235,6 +239,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int
         links, tested, led = links.union(more), tested.union(fresh), led.union(leaders)
         labels = components(links)
 
+    if not large.isEmpty():
+        rest = scratch.keep(open_pairs(large, labels, texts, k, least, scratch).join(tested, ["a", "b"], "left_anti"), "rest")
+        first = scratch.keep(rest.groupBy("la", "lb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+        links = links.union(scratch.keep(verified(first, texts, k, least), "links"))
+        labels = components(links)
+        ends = [labels.select(F.col("id").alias(c), F.col("label").alias(f"now_{c}")) for c in ("a", "b")]
+        apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+        left = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("a", "b")
+        more = scratch.keep(verified(left, texts, k, least), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+
     scratch.drop()
     reps = groups.select("digest", "rep").join(labels, groups["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     return base.select("doc_id", "digest").join(reps, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -262,6 +278,64 @@ def star_pairs(members: DataFrame, leaders: DataFrame, least: float) -> DataFram
     return joined.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
+def counters(texts: DataFrame, k: int) -> DataFrame:
+    """(id, counts): how many of a text's labelled shingles fall to each of COUNTERS hash values, 255 at most.
+
+    The sum of the differences of two texts' counts is at most the number of shingles that only one of them has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                held = (np.bincount((labelled(t, hashes, k) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for t in part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in held], pa.binary())], names=["id", "counts"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, counts binary")
+
+
+def open_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, k: int, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b, la, lb, apart), a < b: all pairs of different labels in large buckets, but for those that counts rule out.
+
+    The members of a bucket are dealt into blocks, a label of many members into blocks of its own, and blocks meet in pairs.
+    """
+    marked = large.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("own"))
+    sizes = parts.groupBy("key").agg(F.sum("own").alias("size"), F.count("*").alias("labels")).filter("labels > 1").select("key", "size")
+    alone = F.col("own") >= BLOCK
+    slot = F.when(alone, F.xxhash64("id") % F.ceil(F.col("own") / BLOCK)).otherwise(F.xxhash64("label") % F.ceil(F.col("size") / BLOCK))
+    dealt = marked.join(parts.join(sizes, "key"), ["key", "label"]).select("key", "id", "n", "label", F.struct(F.when(alone, F.col("label")).alias("only"), slot.alias("slot")).alias("block"))
+    dealt = scratch.keep(dealt, "open")
+    counts = scratch.keep(counters(texts.join(dealt.select("id").distinct(), "id", "left_semi"), k), "counts")
+    row = F.struct("id", "n", "label", "counts")
+    blocks = scratch.keep(dealt.join(counts, "id").groupBy("key", "block").agg(F.collect_list(row).alias("rows")), "blocks")
+    names = blocks.select("key", "block")
+    meet = names.withColumnRenamed("block", "left").join(names.withColumnRenamed("block", "right"), "key").filter("left <= right AND NOT (left.only <=> right.only AND left.only IS NOT NULL)")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                (ids, ns, labs, at), (ids2, ns2, labs2, at2) = (columns_of(batch.column(c)[i].values) for c in ("one", "two"))
+                found: list[tuple] = []
+                for id_, n, lab, own in zip(ids, ns, labs, at, strict=True):
+                    able = np.flatnonzero((labs2 != lab) & (np.minimum(ns2, n) >= np.maximum(ns2, n) * least - 1e-9))
+                    apart = np.abs(at2[able] - own).sum(axis=1, dtype=np.int64)
+                    near_ = apart <= (ns2[able] + n) * ((1 - least) / (1 + least)) + 1e-6
+                    able, apart = able[near_], apart[near_]
+                    swap = ids2[able] < id_
+                    found.append((np.where(swap, ids2[able], id_), np.where(swap, id_, ids2[able]), np.minimum(labs2[able], lab), np.maximum(labs2[able], lab), apart))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b", "la", "lb", "apart"])
+
+    sides = [blocks.select("key", F.col("block").alias(c), F.col("rows").alias(r)) for c, r in (("left", "one"), ("right", "two"))]
+    cells = meet.join(sides[0], ["key", "left"]).join(sides[1], ["key", "right"]).select("one", "two")
+    return cells.mapInArrow(compare, "a long, b long, la long, lb long, apart long").distinct()
+
+
+def columns_of(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, ns, labels = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "n", "label"))
+    return ids, ns, labels, np.frombuffer(b"".join(rows.field("counts").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, that of the least id; columns as they were. Rows without an id stay."""
     classes = near_duplicates(docs, **options)

@@ -66,6 +66,45 @@ def test_large_bucket(spark):
     assert found == brute_classes(rows)
 
 
+def test_families_in_one_large_bucket(spark):
+    """Two pairs of near copies among many documents that share a passage; the documents that meet most others are near none."""
+    rng = random.Random(15)
+
+    def other(n):
+        return [f"x{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join([*passage, *other(40)])) for i in range(60)]
+    for first in (100, 200):
+        own = [*passage, *other(40)]
+        rows += [(first, " ".join(own)), (first + 1, " ".join([*own[:-16], *other(16)]))]
+    seeds = neardup.mixed(np.arange(1, 4, dtype=np.uint64) * neardup.MIX)
+    keys = {i: set(neardup.sketches(neardup.labelled(t, neardup.WordHashes(), 5), seeds, neardup.TAKEN).tolist()) for i, t in rows}
+    for first in (100, 200):
+        common = keys[first] & keys[first + 1]
+        assert common and all(sum(key in held for held in keys.values()) > 16 for key in common)
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), count=3).collect()}
+    assert found == brute_classes(rows)
+    assert found[101] == 100 and found[201] == 200
+
+
+def test_counts_rule_out_no_similar_pair(spark, monkeypatch):
+    """All pairs of different labels in a large bucket whose shingles could be similar come out, in many blocks too."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(9)
+    original = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(i, edited(original, 2 + i % 9, rng)) for i in range(30)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    sequences = {i: neardup.shingles(t, 5) for i, t in rows}
+    large = spark.createDataFrame([(key, i, len(sequences[i])) for key in (1, 2) for i, _ in rows if key == 1 or i % 2], "key long, id long, n int")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(24)], "id long, label long")
+    scratch = neardup.Scratch(spark, "test")
+    got = {(r.a, r.b) for r in neardup.open_pairs(large, labels, texts, 5, 0.8, scratch).collect()}
+    label = {i: i % 3 if i < 24 else i for i, _ in rows}
+    want = {(i, j) for i in sequences for j in sequences if i < j and label[i] != label[j] and neardup.similarity(sequences[i], sequences[j], 0.8) >= 0.8}
+    assert want and want <= got and all(label[a] != label[b] and a < b for a, b in got)
+
+
 def test_short_texts(spark):
     rows = [(0, "a b c d e f g h i"), (1, "a b c d e f g h"), (2, "a b c d e f g h i j"), (3, "q r"), (4, "q r"), (5, "Q, R!"), (6, None), (7, None), (8, ""), (9, "")]
     found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
