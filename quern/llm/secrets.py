@@ -31,8 +31,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "ssh")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+#: A header's first character is that of base64 of a brace or of white space; matches may overlap.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([eICD][A-Za-z0-9_-]{7,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\[rn])*(?:[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*(?:\s|\\[rn])+)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*(?:\r|\n|\\r|\\n)+[\x20\t]*)+[A-Za-z0-9+/_-]*={0,2}")
+BREAK = re.compile(r"[\x20\t]*(?:\r|\n|\\r|\\n)+[\x20\t]*")
+#: Where a key may begin in a run of base64: its first character, or the next after a separator.
+BEGIN = re.compile(r"(?:^|(?<=[+/_-]))(?=M|b3BlbnNzaC1rZXktdjEA)")
+#: Algorithms of encrypted PKCS#8: those of PKCS#5 and of PKCS#12.
+PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
@@ -73,6 +80,9 @@ def is_der_key(data: bytes) -> bool:
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     parts = der_values(data, *outer[0][1:])
+    if parts and [t for t, _, _ in parts] == [0x30, 0x04]:  # encrypted PKCS#8: an algorithm, then what it encrypted
+        algorithm = der_values(data, *parts[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(PBE)
     if not parts or len(parts) < 3 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
         return False
     tags = [t for t, _, _ in parts]
@@ -98,6 +108,57 @@ def is_ssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
 
 
+def key_in(run: str, breaks: frozenset[int] = frozenset()) -> tuple[int, int, int] | None:
+    """(start, kind, end) of the first key in a run of base64, begun at any separator; a DER key ends where its length says.
+
+    breaks are places of the run before which a line ended.
+    """
+    body = run.rstrip("=")
+    for at in sorted({*(m.start() for m in BEGIN.finditer(body)), *(b for b in breaks if BEGIN.match(body[b : b + 20]))}):
+        if body[at] != "M":
+            data = decode_base64(body[at : len(body) - (len(body) - at) % 4] if (len(body) - at) % 4 == 1 else body[at:])
+            if data and is_ssh_key(data):
+                return at, 6, len(run)
+            continue
+        head = decode_base64(body[at : at + 8])
+        if not head or len(head) < 6 or head[0] != 0x30:
+            continue
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        if wide > 4:
+            continue
+        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+        end = at + (size * 4 + 2) // 3
+        if end > len(body) or not (end == len(body) or end in breaks or body[end] in "+/_-"):
+            continue
+        data = decode_base64(body[at:end])
+        if data and is_der_key(data):
+            return at, 5, len(run) if end == len(body) else end
+    return None
+
+
+def wrapped_key(text: str, start: int, end: int) -> tuple[int, int, int] | None:
+    """key_in of a run of base64 that goes over lines."""
+    pieces, at = [], start
+    for m in BREAK.finditer(text, start, end):
+        pieces.append((at, text[at : m.start()]))
+        at = m.end()
+    pieces.append((at, text[at:end]))
+    places = [i for first, piece in pieces for i in range(first, first + len(piece))]
+    breaks, held = set(), 0
+    for _, piece in pieces[:-1]:
+        held += len(piece)
+        breaks.add(held)
+    found = key_in("".join(piece for _, piece in pieces), frozenset(breaks))
+    if found and found[1] == 6:  # no length says where it ends: its lines are alike, and with a shorter last one make whole bytes
+        ends = [0, *sorted(breaks), held + len(pieces[-1][1])]
+        last = next((i for i in range(2, len(ends)) if ends[i] - ends[i - 1] != ends[i - 1] - ends[i - 2]), len(ends) - 1)
+        whole = last == len(ends) - 1 or ends[last] - ends[last - 1] < ends[last - 1] - ends[last - 2]
+        found = found[0], 6, ends[last] if whole and (ends[last] - found[0]) % 4 == 0 else ends[max(1, last - 1)]
+        if found[2] <= found[0]:
+            return None
+    return found and (places[found[0]], found[1], places[found[2] - 1] + 1)
+
+
 def is_jwt(run: str) -> bool:
     """The first part decodes to a JSON object that names an algorithm, the second to a JSON object."""
     header, body, _ = run.split(".")
@@ -123,25 +184,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans whose decoded content has the structure of a key or of a signed token."""
-    found = []
-    if "eyJ" in text:
-        found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
+    found = [(m.start(), 3, m.end(1)) for m in JWT.finditer(text) if is_jwt(m[1])]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = decode_base64(re.sub(r"\\n|\s", "", m[2]))
-            if data and (is_der_key(data) or is_ssh_key(data)):
+            data = decode_base64(re.sub(r"\\[rn]|\s", "", m[3]))
+            locked = "ENCRYPTED" in m[2] and "DEK-Info" in m[2]  # its content is a cipher's blocks
+            if data and (is_der_key(data) or is_ssh_key(data) or locked and len(data) % 8 == 0):
                 found.append((m.start(), 4, m.end()))
+    pems = [(start, end) for start, kind, end in found if kind == 4]
     for m in BASE64.finditer(text):
-        data = decode_base64(m[0])
-        if data and data[0] == 0x30 and is_der_key(data):
-            found.append((m.start(), 5, m.end()))
-        elif data and is_ssh_key(data):
-            found.append((m.start(), 6, m.end()))
+        key = key_in(m[0])
+        if key:
+            found.append((m.start() + key[0], key[1], m.start() + key[2]))
+    for m in WRAPPED.finditer(text):
+        key = None if any(start <= m.start() < end for start, end in pems) else wrapped_key(text, m.start(), m.end())
+        if key:
+            found = [x for x in found if (x[0], x[1]) != key[:2] or x[2] > key[2]]
+            found.append(key)
     for m in HEX_KEY.finditer(text):
         data = bytes.fromhex(m[0])
         if data[0] == 0x30 and is_der_key(data):
             found.append((m.start(), 5, m.end()))
-    return sorted(found)
+        elif is_ssh_key(data):
+            found.append((m.start(), 6, m.end()))
+    return sorted(set(found))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -82,6 +82,34 @@ def test_hex_key_and_pem_and_token():
     assert secrets.confirmed_spans(f"{part({'typ': 'JWT'})}.{part({'sub': 1})}.c2ln") == []
 
 
+LOCKED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, b"c" * 64))
+
+
+def test_keys_in_other_places():
+    key = base64.b64encode(PKCS8).decode().rstrip("=")
+    for before in ("path/", "key_", "a-b-"):
+        assert secrets.joined(secrets.confirmed_spans(f"{before}{key} end")) == f"der:{len(before)}:{len(before) + len(key)}"
+    assert secrets.joined(secrets.confirmed_spans(f"x {SSH.hex()} y")) == f"ssh:2:{2 + len(SSH.hex())}"
+    for data, kind in ((PKCS8, "der"), (SSH, "ssh"), (LOCKED, "der")):
+        for end in ("\n", "\r\n", "\\n"):
+            text = base64.encodebytes(data).decode().rstrip().replace("\n", end)
+            assert secrets.joined(secrets.confirmed_spans(f"k: {text}\nprose{end}")) == f"{kind}:3:{3 + len(text)}", (kind, end)
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, b"c" * 32))
+    assert secrets.confirmed_spans(base64.b64encode(digest).decode()) == []
+
+
+def test_locked_pem_and_spaced_token():
+    for label, data in (("ENCRYPTED PRIVATE KEY", LOCKED), ("RSA PRIVATE KEY", b"Proc")):
+        head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n" if data == b"Proc" else ""
+        body = base64.encodebytes(bytes(range(64)) if head else data).decode()
+        pem = f"-----BEGIN {label}-----\n{head}{body}-----END {label}-----"
+        assert secrets.joined(secrets.confirmed_spans(pem)) == f"pem:0:{len(pem)}"
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for header in (b'{ "alg": "HS256"}', b' {"alg":"HS256"}', b'{\n"alg":"none"}'):
+        token = f"{part(header)}.{part(b'{}')}.c2ln"
+        assert secrets.joined(secrets.confirmed_spans(f"a.{token}")) == f"jwt:2:{2 + len(token)}"
+
+
 def test_scan_of_odd_documents(docs, no_docs):
     for r in secrets.scan_secrets(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         base = brute_secrets(r.text or "")
