@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.lineage import cut
+from quern.operators.search import blocks
 
 
 def first_of_each(rows: DataFrame, digest: Column, order: Column, *columns: str) -> DataFrame:
@@ -15,22 +19,25 @@ def first_of_each(rows: DataFrame, digest: Column, order: Column, *columns: str)
     return rows.groupBy(digest.alias("digest")).agg(F.min_by(F.struct(*columns), order).alias("first"), F.count("*").alias("copies")).select("digest", "first.*", "copies")
 
 
-def hyperplane_bands(vector: Column, dims: int, bands: int, bits: int, seed: int = 11) -> Column:
-    """Array of band keys: the signs of a vector against fixed random hyperplanes."""
-    planes = np.random.default_rng(seed).choice([-1.0, 1.0], size=(bands, bits, dims))
-
-    def side(plane: np.ndarray) -> Column:
-        signs = F.array(*[F.lit(float(x)) for x in plane])
-        return F.when(F.aggregate(F.zip_with(vector, signs, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > 0, F.lit(1)).otherwise(F.lit(0))
-
-    return F.array(*[F.concat(F.lit(f"{b}:"), *[side(p).cast("string") for p in planes[b]]) for b in range(bands)])
+def similar_pairs(vectors: DataFrame, dims: int, least: float, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, similarity), a < b, of all vectors of dims components whose cosine is at least ``least``.
 
+    Blocks of vectors meet as matrix products; what comes near the threshold there is measured as in the result.
+    """
 
-def similar_pairs(vectors: DataFrame, dims: int, least: float, bands: int = 12, bits: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, similarity), a < b, of vectors with a band in common whose cosine is at least ``least``."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    keyed = rows.select("id", F.explode(hyperplane_bands(F.col("v"), dims, bands, bits)).alias("band"))
-    pairs = keyed.select(F.col("id").alias("a"), "band").join(keyed.select(F.col("id").alias("b"), "band"), "band").filter("a < b").select("a", "b").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, one, others, two in zip(*(batch.column(c).to_pylist() for c in ("ids", "matrix", "others", "two")), strict=True):
+                x, y = np.frombuffer(one).reshape(len(ids), -1), np.frombuffer(two).reshape(len(others), -1)
+                ids, others = np.asarray(ids), np.asarray(others)
+                for at in range(0, len(ids), 256):
+                    near = ~(x[at : at + 256] @ y.T < least - 1e-5) & (ids[at : at + 256, None] < others[None])
+                    i, j = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i], pa.int64()), pa.array(others[j], pa.int64())], names=["a", "b"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
+    packed = blocks(rows, "id", "v", block)
+    pairs = packed.crossJoin(packed.select(F.col("ids").alias("others"), F.col("matrix").alias("two"))).mapInArrow(meet, "a long, b long").distinct()
     found = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     return found.select("a", "b", F.round(T.cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 

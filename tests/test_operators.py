@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -72,6 +73,23 @@ def test_chunk_rows(spark):
     assert [(r.chunk_id, r.content, r.tenant_id, len(r.content_hash)) for r in rows] == [("s_0", "aaaa\n\nbbbb", "default", 16), ("s_1", "cccc", "default", 16)]
 
 
+def test_similar_pairs_without_a_band_in_common(spark):
+    """Pairs just above the threshold, among them those on different sides of planes in each of 12 bands of 6."""
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 60_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    planes = np.random.default_rng(11).choice([-1.0, 1.0], size=(12 * 6, 64))
+    apart = ~((x @ planes.T > 0) == (y @ planes.T > 0)).reshape(-1, 12, 6).all(2).any(1)
+    assert apart.any()
+    held = np.concatenate([x[apart], y[apart], x[:20], y[:20]])
+    cosines = np.round(held @ held.T, 6)
+    want = {(i, j) for i in range(len(held)) for j in range(i + 1, len(held)) if cosines[i, j] >= 0.95}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "vec_id long, embedding array<double>")
+    assert {(r.a, r.b) for r in dedup.similar_pairs(df, 64, 0.95).collect()} == want
+
+
 def test_greedy_keep(spark):
     rng = random.Random(0)
     pairs = [(0, 1), (1, 2), (2, 3), (3, 4), *{tuple(sorted(rng.sample(range(10, 80), 2))) for _ in range(120)}]
