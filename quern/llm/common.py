@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder that the driver and every executor can see.
 
-    It lies under ``spark.checkpoint.dir``. Only where a session has no such setting (tests, one machine)
-    is a temporary folder made and set.
+    It lies under ``spark.checkpoint.dir``, or the folder of ``setCheckpointDir``. Only where one machine runs all and has
+    neither is a temporary folder made and set; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -47,7 +50,7 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of the shared folder that an operator needs only until its result is written."""
+    """Tables of the shared folder that an operator needs only until its result is written; they go if it fails, too."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, shared_dir(spark, label), 0
@@ -61,6 +64,12 @@ class Scratch:
     def drop(self) -> None:
         drop_dir(self.spark, self.root)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and the path of a URI or of a local path."""

@@ -6,15 +6,17 @@ documents have a sketch in common if they share these shingles in this order. Do
 a pair is linked if the best alignment of the two sequences, within the band that the threshold allows, matches L shingles
 with L / (n + m - L) of 0.8 or more. Classes are the connected components of links.
 
-Equal texts form a group first, and one of each group goes on. All pairs of a small bucket are verified. A large bucket is
-a star in each round: every member is aligned with one leader, the member that meets most others; as long as large buckets
-hold several classes, rounds with their next leaders follow, until a round links nothing. Stars only make classes few: of each
-bucket that still holds several, all pairs of different classes are then compared by counts of shingles, which rule out no
-similar pair, and those that could be similar are aligned. So every pair with a common sketch ends in one class or was tested
-or ruled out, and no group is gathered in one task.
+Equal texts form a group first, and one of each group goes on. All pairs of a small bucket are verified. In a large bucket,
+members are aligned first with one leader, the member that meets most others, in up to ROUNDS rounds; that only makes classes
+few. Then every large bucket that still holds several classes is compared whole: its members are dealt into blocks of a
+bounded size, by length, and each pair of blocks is a task's work of its own. A pair is left out only if both are of one class
+by then, if they met in another open bucket, or if their lengths or the shingles that they share rule the threshold out.
+So every pair with a common sketch ends in one class or was tested or ruled out, whatever the size of the bucket, and no group
+is gathered in one task. That work grows with the square of the classes that stay in a bucket.
 
 Null texts are classes of their own. Empty texts are equal texts. Texts under five words are one shingle. Rows with the same
-id belong to one class. An empty table gives no rows. Columns other than id and text are not read.
+id belong to one class, whatever their texts. Rows without an id take the class of their text, or none. An empty table gives
+no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from .components import components
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCHES, TAKEN, SMALL = 32, 5, 16
-#: Counters of a document's shingles, and members of a large bucket that are compared at a time.
-COUNTERS, BLOCK = 256, 256
+#: Rounds of leaders; members of a large bucket in a block, and the shingles that these have together.
+ROUNDS, BLOCK, WEIGHT = 3, 128, 1 << 16
 
 
 class WordHashes(dict):
@@ -56,8 +58,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled(text: str, hashes: WordHashes, k: int) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles of k words, in the order of the text."""
+def sequence(text: str, hashes: WordHashes, k: int) -> np.ndarray:
+    """Hashes of the shingles of k words, in the order of the text."""
     words = WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.uint64)
@@ -66,17 +68,27 @@ def labelled(text: str, hashes: WordHashes, k: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
         out = mixed(out * MIX + h[j : j + n])
-    order = np.argsort(out, kind="stable")
-    run = out[order]
-    first = np.concatenate([[True], run[1:] != run[:-1]])
-    if not first.all():
-        place = np.arange(n)
-        seen = np.empty(n, np.uint64)
-        seen[order] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
-        out = mixed(out + seen * MIX)
     return out
 
 
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """h with each value changed by how often it has occurred before; first occurrences stay."""
+    order = np.argsort(h, kind="stable")
+    run = h[order]
+    first = np.concatenate([[True], run[1:] != run[:-1]])[: len(h)]
+    if first.all():
+        return h
+    place = np.arange(len(h))
+    seen = np.empty(len(h), np.uint64)
+    seen[order] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+    return np.where(seen > 0, mixed(h + seen * MIX), h)
+
+
+def labelled(text: str, hashes: WordHashes, k: int) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of k words, in the order of the text."""
+    return occurrences(sequence(text, hashes, k))
+
+
 def ordered_key(picked: np.ndarray, salt: int) -> np.ndarray:
     """A hash of each row of picked, in its order."""
     key = np.full(picked.shape[:-1], np.uint64(salt))
@@ -139,22 +151,23 @@ def banded_matches(a: list, b: list, width: int) -> int:
     return found + (row ^ window).bit_count()
 
 
-def similarity(a: list, b: list, least: float) -> float:
-    """L / (n + m - L) for the alignment of a and b; 0 if it can't reach least."""
+def similarity(a, b, least: float) -> float:
+    """L / (n + m - L) for the alignment of the sequences a and b; 0 if it can't reach least."""
+    a, b = np.asarray(a), np.asarray(b)
     n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
     need = least * (n + m) / (1 + least) - 1e-9
-    if min(n, m) < need or (Counter(a) & Counter(b)).total() < need:
+    rest = min(n, m)
+    if not rest or rest < need:
         return 0.0
-    k = 0
-    while k < min(n, m) and a[k] == b[k]:
-        k += 1
-    e = 0
-    while e < min(n, m) - k and a[n - 1 - e] == b[m - 1 - e]:
-        e += 1
-    width = max(0, int(n + m - 2 * need))
-    found = k + e + banded_matches(a[k : n - e], b[k : m - e], width)
+    apart = np.flatnonzero(a[:rest] != b[:rest])
+    k = int(apart[0]) if len(apart) else rest
+    rest -= k
+    apart = np.flatnonzero(a[n - rest :] != b[m - rest :])
+    e = rest - 1 - int(apart[-1]) if len(apart) else rest
+    left, right = a[k : n - e].tolist(), b[k : m - e].tolist()
+    if k + e + (Counter(left) & Counter(right)).total() < need:
+        return 0.0
+    found = k + e + banded_matches(left, right, max(0, int(n + m - 2 * need)))
     return found / (n + m - found)
 
 
@@ -179,161 +192,223 @@ def sketch_documents(docs: DataFrame, k: int, count: int, taken: int, id_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def sequences(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, seq): the hashes of each text's shingles, 8 bytes each, and how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, "tb", 4 << 20):
-                keep, last, own = [], None, []
-                for a, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                    if a != last:
-                        last, own = a, shingles(ta, k)
-                    keep.append(similarity(own, shingles(tb, k), least) >= least)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
+            for part in slices(batch, "text", 4 << 20):
+                held = [sequence(t, hashes, k) for t in part.column("text").to_pylist()]
+                columns = [part.column("id"), pa.array([len(x) for x in held], pa.int32()), pa.array([x.tobytes() for x in held], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "seq"])
 
-def near(n: str, m: str, least: float):
-    """Whether numbers of shingles allow the similarity at all."""
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(least) - F.lit(1e-9)
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, seq binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int = SKETCHES, taken: int = TAKEN, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id) of each document; class_id is the least doc_id of its class."""
-    scratch = Scratch(docs.sparkSession, "near")
-    base = checkpointed(sketch_documents(docs, k, count, taken, id_col, text_col), "sketches")
-    groups = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    buckets = groups.filter("n > 0 AND rep IS NOT NULL").select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = scratch.keep(buckets.join(shared, "key"), "members")
-    met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    large = scratch.keep(members.filter(F.col("size") > small).join(met, "id").select("key", "id", "n", "met"), "large")
-
-    found = members.filter(F.col("size") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("held"))
-    pairs_of = F.expr(f"flatten(transform(held, x -> transform(filter(held, y -> x.id < y.id AND least(x.n, y.n) >= greatest(x.n, y.n) * {least}D - 1e-9D), y -> struct(x.id AS a, y.id AS b))))")
-    pairs = found.select(F.explode(pairs_of).alias("p")).select("p.a", "p.b")
-    leaders = scratch.keep(next_leaders(large, None), "leaders")
-    tested = scratch.keep(pairs.union(star_pairs(large.withColumn("label", F.col("id")), leaders.withColumn("label", F.col("id")), least)).distinct(), "pairs")
-
-    ids = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = scratch.keep(texts.join(ids, "id", "left_semi"), "texts").dropDuplicates(["id"]) if has_repeated_ids(base) else scratch.keep(texts.join(ids, "id", "left_semi"), "texts")
-    links = scratch.keep(verified(tested, texts, k, least), "links")
-    labels = components(links)
-
-    led = leaders
-    while not leaders.isEmpty():
-        marked = large.join(labels, "id", "left").select("key", "id", "n", "met", F.coalesce("label", "id").alias("label"))
-        still = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        marked = scratch.keep(marked.join(still, "key"), "open")
-        leaders = scratch.keep(next_leaders(marked, led), "leaders")
-        stars = star_pairs(marked, leaders.join(marked.select("key", "id", "label"), ["key", "id"]), least)
-        fresh = scratch.keep(stars.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.keep(verified(fresh, texts, k, least), "links")
-        if more.isEmpty():
-            break
-        links, tested, led = links.union(more), tested.union(fresh), led.union(leaders)
-        labels = components(links)
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sequences are similar. Many b may meet one a."""
 
-    if not large.isEmpty():
-        rest = scratch.keep(open_pairs(large, labels, texts, k, least, scratch).join(tested, ["a", "b"], "left_anti"), "rest")
-        first = scratch.keep(rest.groupBy("la", "lb").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-        links = links.union(scratch.keep(verified(first, texts, k, least), "links"))
-        labels = components(links)
-        ends = [labels.select(F.col("id").alias(c), F.col("label").alias(f"now_{c}")) for c in ("a", "b")]
-        apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
-        left = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("a", "b")
-        more = scratch.keep(verified(left, texts, k, least), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    scratch.drop()
-    reps = groups.select("digest", "rep").join(labels, groups["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    return base.select("doc_id", "digest").join(reps, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    left = texts.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
+    right = texts.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def has_repeated_ids(base: DataFrame) -> bool:
-    """Whether an id has rows with different texts."""
-    return not base.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").isEmpty()
+def small_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of small buckets whose lengths allow the similarity."""
+    held = members.groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("held"))
+    able = f"x.id < y.id AND least(x.n, y.n) >= greatest(x.n, y.n) * {least}D - 1e-9D"
+    pairs = F.expr(f"flatten(transform(held, x -> transform(filter(held, y -> {able}), y -> struct(x.id AS a, y.id AS b))))")
+    return held.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def next_leaders(members: DataFrame, led: DataFrame | None) -> DataFrame:
-    """(key, id, n): of each bucket the member that meets most others in all its buckets and hasn't led yet.
+def first_stars(large: DataFrame) -> DataFrame:
+    """(a, b): each member b of a large bucket with the leader a of the largest bucket that it is in.
 
-    An original meets all its copies more often than these meet each other, so it leads wherever it is.
+    The leader meets most others in all its buckets: an original meets all its copies more often than these meet each other.
     """
-    left = members if led is None else members.join(led.select("key", "id"), ["key", "id"], "left_anti")
-    first = left.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("met", "id")).alias("first"))
-    return first.select("key", "first.id", "first.n")
+    leaders = large.groupBy(F.col("best").alias("key")).agg(F.max_by("id", F.struct("met", "id")).alias("a"))
+    return large.select(F.col("best").alias("key"), F.col("id").alias("b")).join(leaders, "key").filter("a <> b").select("a", "b")
 
 
-def star_pairs(members: DataFrame, leaders: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's leader, unless they have one label or lengths rule it out."""
-    first = leaders.select("key", F.col("id").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label"))
-    joined = members.join(first, "key").filter((F.col("id") != F.col("leader")) & (F.col("label") != F.col("leader_label")) & near(F.col("n"), F.col("leader_n"), least))
-    return joined.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+def next_stars(large: DataFrame) -> DataFrame:
+    """(a, b): each member b of an open bucket with that bucket's next leader a, if they are of different classes; one a each."""
+    rows = large.select("id", "met", "label", "led", F.explode("keys").alias("key"))
+    leader = F.max_by(F.struct("id", "label", "led"), F.struct(~F.col("led"), "met", "id")).alias("leader")
+    held = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), leader)
+    still = held.filter("low < high AND NOT leader.led").select("key", "size", F.col("leader.id").alias("a"), F.col("leader.label").alias("own"))
+    meets = rows.select("key", "id", "label").join(still, "key").filter("label <> own")
+    return meets.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("size", "key")).alias("a")).select("a", "b")
 
 
-def counters(texts: DataFrame, k: int) -> DataFrame:
-    """(id, counts): how many of a text's labelled shingles fall to each of COUNTERS hash values, 255 at most.
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int = SKETCHES, taken: int = TAKEN, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id) of each document; class_id is the least doc_id of its class."""
+    with Scratch(docs.sparkSession, "near") as scratch:
+        base = checkpointed(sketch_documents(docs, k, count, taken, id_col, text_col), "sketches")
+        groups = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).filter("rep IS NOT NULL")
+        reps = groups.select("digest", "rep")
+        buckets = groups.filter("n > 0").select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n")
+        shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        members = scratch.keep(buckets.join(shared, "key"), "members")
+        by_id = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count("digest").alias("texts"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        repeated = scratch.keep(by_id.filter("rows > 1"), "repeated")
+        ids_twice = not repeated.isEmpty()
+
+        ids = members.select("id").distinct()
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").filter("text IS NOT NULL")
+        if ids_twice:
+            texts = texts.dropDuplicates(["id", "text"])
+        texts = scratch.keep(sequences(texts, k), "sequences")
+        links = scratch.keep(verified(small_pairs(members.filter(F.col("size") <= small), least), texts, least), "links")
+
+        several = F.col("low") < F.col("high")
+        mixed_ids = repeated.filter(several | (F.col("texts").between(F.lit(1), F.col("rows") - 1))).select("doc_id") if ids_twice else None
+        if ids_twice:  # rows of one id are of one class, whatever their texts
+            own = scratch.keep(base.select("doc_id", "digest").join(mixed_ids, "doc_id").join(reps, "digest").select("doc_id", "rep").distinct(), "own")
+            first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+            links = scratch.keep(links.union(own.join(first, "doc_id").select("a", F.col("rep").alias("b"))), "links")
+
+        of_large = members.filter(F.col("size") > small).groupBy("id").agg(F.sum("size").alias("met"), F.max_by("key", F.struct("size", "key")).alias("best"), F.collect_set("key").alias("keys"))
+        large = scratch.keep(of_large.withColumns({"led": F.lit(False)}), "large")
+        some = not large.isEmpty()
+        turn = 0
+        while some and turn < ROUNDS:
+            stars = scratch.keep(first_stars(large) if not turn else next_stars(large), "stars")
+            more = scratch.keep(verified(stars, texts, least), "links")
+            if turn and more.isEmpty():
+                break
+            links = links.union(more)
+            large = scratch.keep(marked(large, components(links), stars), "large")
+            turn += 1
+        if some:
+            links = links.union(scratch.keep(block_links(large, texts, least, scratch), "links"))
+        labels = components(links)
+        classes = checkpointed(reps.join(labels, reps["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("class_id")), "classes")
+        other = checkpointed(own.join(labels, own["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id")), "others") if ids_twice else None
 
-    The sum of the differences of two texts' counts is at most the number of shingles that only one of them has.
-    """
+    named = base.filter("digest IS NOT NULL").select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
+    blank = base.filter("digest IS NULL").select("doc_id")
+    blank = blank.join(other, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")) if ids_twice else blank.select("doc_id", F.col("doc_id").alias("class_id"))
+    return named.union(blank)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                held = (np.bincount((labelled(t, hashes, k) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for t in part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in held], pa.binary())], names=["id", "counts"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, counts binary")
+def marked(large: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """large with each member's class so far, and whether it has led."""
+    led = stars.select(F.col("a").alias("id"), F.lit(True).alias("now")).distinct()
+    rows = large.select("id", "met", "keys", "led").join(labels, "id", "left").join(led, "id", "left")
+    return rows.select("id", "met", "keys", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"), F.coalesce("label", "id").alias("label"))
 
 
-def open_pairs(large: DataFrame, labels: DataFrame, texts: DataFrame, k: int, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b, la, lb, apart), a < b: all pairs of different labels in large buckets, but for those that counts rule out.
+def block_links(large: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join all classes of the open large buckets (id, label, keys) that are near each other.
 
-    The members of a bucket are dealt into blocks, a label of many members into blocks of its own, and blocks meet in pairs.
+    A bucket's members are dealt into blocks by length, a class of many members into blocks of its own, and blocks meet in
+    pairs. Lengths of two neighbouring ranges may be near, others can't.
     """
-    marked = large.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    parts = marked.groupBy("key", "label").agg(F.count("*").alias("own"))
-    sizes = parts.groupBy("key").agg(F.sum("own").alias("size"), F.count("*").alias("labels")).filter("labels > 1").select("key", "size")
+    rows = large.select("id", "label", F.explode("keys").alias("key"))
+    still = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    held = scratch.keep(rows.join(still, "key"), "open")
+    if held.isEmpty():
+        return held.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    keys = held.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    size = F.floor(F.log("n") / (np.log(1 / least) * 1.0001)).cast("int") if least < 1 else F.col("n")
+    sized = held.join(texts.select("id", "n"), "id").withColumn("range", size)
+    parts = sized.groupBy("key", "range", "label").agg(F.count("*").alias("own"), F.sum("n").alias("own_weight"))
+    sizes = parts.groupBy("key", "range").agg(F.sum("own").alias("all"), F.sum("own_weight").alias("all_weight"))
+
+    def slot(what: str, n: str, weight: str):
+        return F.pmod(F.xxhash64(what), F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(weight) / WEIGHT)))
+
     alone = F.col("own") >= BLOCK
-    slot = F.when(alone, F.xxhash64("id") % F.ceil(F.col("own") / BLOCK)).otherwise(F.xxhash64("label") % F.ceil(F.col("size") / BLOCK))
-    dealt = marked.join(parts.join(sizes, "key"), ["key", "label"]).select("key", "id", "n", "label", F.struct(F.when(alone, F.col("label")).alias("only"), slot.alias("slot")).alias("block"))
-    dealt = scratch.keep(dealt, "open")
-    counts = scratch.keep(counters(texts.join(dealt.select("id").distinct(), "id", "left_semi"), k), "counts")
-    row = F.struct("id", "n", "label", "counts")
-    blocks = scratch.keep(dealt.join(counts, "id").groupBy("key", "block").agg(F.collect_list(row).alias("rows")), "blocks")
+    block = F.struct("range", F.when(alone, F.col("label")).alias("only"), F.when(alone, slot("id", "own", "own_weight")).otherwise(slot("id", "all", "all_weight")).alias("slot"))
+    dealt = scratch.keep(sized.join(parts.join(sizes, ["key", "range"]), ["key", "range", "label"]).select("key", "id", "n", "label", block.alias("block")), "dealt")
+    member = F.struct("id", "label", "seq", "keys")
+    blocks = scratch.keep(dealt.join(keys, "id").join(texts, ["id", "n"]).groupBy("key", "block").agg(F.collect_list(member).alias("rows")), "blocks")
     names = blocks.select("key", "block")
-    meet = names.withColumnRenamed("block", "left").join(names.withColumnRenamed("block", "right"), "key").filter("left <= right AND NOT (left.only <=> right.only AND left.only IS NOT NULL)")
+    near = "left <= right AND abs(left.range - right.range) <= 1 AND NOT (left.only <=> right.only AND left.only IS NOT NULL)"
+    cells = names.withColumnRenamed("block", "left").join(names.withColumnRenamed("block", "right"), "key").filter(near)
+    sides = [blocks.select("key", F.col("block").alias(c), F.col("rows").alias(r)) for c, r in (("left", "one"), ("right", "two"))]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                (ids, ns, labs, at), (ids2, ns2, labs2, at2) = (columns_of(batch.column(c)[i].values) for c in ("one", "two"))
-                found: list[tuple] = []
-                for id_, n, lab, own in zip(ids, ns, labs, at, strict=True):
-                    able = np.flatnonzero((labs2 != lab) & (np.minimum(ns2, n) >= np.maximum(ns2, n) * least - 1e-9))
-                    apart = np.abs(at2[able] - own).sum(axis=1, dtype=np.int64)
-                    near_ = apart <= (ns2[able] + n) * ((1 - least) / (1 + least)) + 1e-6
-                    able, apart = able[near_], apart[near_]
-                    swap = ids2[able] < id_
-                    found.append((np.where(swap, ids2[able], id_), np.where(swap, id_, ids2[able]), np.minimum(labs2[able], lab), np.maximum(labs2[able], lab), apart))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b", "la", "lb", "apart"])
+            columns = [batch.column(c) for c in ("key", "same", "one", "two")]
+            found = [p for i in range(len(batch)) for p in cell_links(columns[0][i].as_py(), columns[1][i].as_py(), Block(columns[2][i].values), Block(columns[3][i].values), least)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    met = cells.join(sides[0], ["key", "left"]).join(sides[1], ["key", "right"]).select("key", (F.col("left") == F.col("right")).alias("same"), "one", "two")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
+class Block:
+    """Members of a bucket: ids, classes, sequences of shingles, open buckets of each."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.ids, self.labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label"))
+        self.sequences = [np.frombuffer(x, np.uint64) for x in rows.field("seq").to_pylist()]
+        self.sizes = np.fromiter(map(len, self.sequences), np.int64, len(rows))
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.shingles = np.concatenate([occurrences(x) for x in self.sequences])
+        held = rows.field("keys")
+        self.keys = held.flatten().to_numpy(zero_copy_only=False)
+        self.key_row = np.repeat(np.arange(len(rows)), np.diff(held.offsets.to_numpy()))
+
+
+def overlaps(one: Block, two: Block) -> np.ndarray:
+    """How many labelled shingles each member of one shares with each of two."""
+    common = np.intersect1d(one.shingles, two.shingles)
+    out = np.zeros((len(one.ids), len(two.ids)), np.float32)
+    held = []
+    for block in (one, two):
+        at = np.minimum(np.searchsorted(common, block.shingles), max(len(common) - 1, 0))
+        there = common[at] == block.shingles if len(common) else np.zeros(len(at), bool)
+        held.append((block.row[there], at[there], len(block.ids)))
+    for first in range(0, len(common), 4096):
+        marks = []
+        for row, at, n in held:
+            inside = (at >= first) & (at < first + 4096)
+            mark = np.zeros((n, min(4096, len(common) - first)), np.float32)
+            mark[row[inside], at[inside] - first] = 1
+            marks.append(mark)
+        out += marks[0] @ marks[1].T
+    return out
 
-    sides = [blocks.select("key", F.col("block").alias(c), F.col("rows").alias(r)) for c, r in (("left", "one"), ("right", "two"))]
-    cells = meet.join(sides[0], ["key", "left"]).join(sides[1], ["key", "right"]).select("one", "two")
-    return cells.mapInArrow(compare, "a long, b long, la long, lb long, apart long").distinct()
 
+def cell_links(key: int, same: bool, one: Block, two: Block, least: float) -> list[tuple[int, int]]:
+    """Links between members of two blocks, enough to join all classes that are near each other there.
 
-def columns_of(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, ns, labels = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "n", "label"))
-    return ids, ns, labels, np.frombuffer(b"".join(rows.field("counts").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int16)
+    Pairs that have an open bucket before this key in common are that bucket's.
+    """
+    share = overlaps(one, two)
+    total = one.sizes[:, None] + two.sizes[None]
+    able = (share >= least * total / (1 + least) - 1e-6) & (one.labels[:, None] != two.labels[None])
+    if same:
+        able &= np.triu(np.ones(able.shape, bool), 1)
+    for before in np.intersect1d(one.keys, two.keys).tolist():
+        if before >= key:
+            break
+        able[np.ix_(one.key_row[one.keys == before], two.key_row[two.keys == before])] = False
+    left, right = np.nonzero(able)
+    best = np.argsort(-share[left, right] / total[left, right], kind="stable")
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(left[best].tolist(), right[best].tolist(), strict=True):
+        a, b = find(one.labels[i].item()), find(two.labels[j].item())
+        if a != b and similarity(one.sequences[i], two.sequences[j], least) >= least:
+            parent[max(a, b)] = min(a, b)
+            found.append((one.ids[i].item(), two.ids[j].item()))
+    return found
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -88,21 +88,62 @@ def test_families_in_one_large_bucket(spark):
     assert found[101] == 100 and found[201] == 200
 
 
-def test_counts_rule_out_no_similar_pair(spark, monkeypatch):
-    """All pairs of different labels in a large bucket whose shingles could be similar come out, in many blocks too."""
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize("block", [3, 128])
+def test_blocks_link_all_classes(spark, monkeypatch, block):
+    """The links of open large buckets join all classes that a common bucket holds and that are near each other, and no others."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(9)
-    original = [f"w{rng.randrange(500)}" for _ in range(150)]
-    rows = [(i, edited(original, 2 + i % 9, rng)) for i in range(30)]
-    texts = spark.createDataFrame(rows, "id long, text string")
-    sequences = {i: neardup.shingles(t, 5) for i, t in rows}
-    large = spark.createDataFrame([(key, i, len(sequences[i])) for key in (1, 2) for i, _ in rows if key == 1 or i % 2], "key long, id long, n int")
-    labels = spark.createDataFrame([(i, i % 3) for i in range(24)], "id long, label long")
-    scratch = neardup.Scratch(spark, "test")
-    got = {(r.a, r.b) for r in neardup.open_pairs(large, labels, texts, 5, 0.8, scratch).collect()}
+    original = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = [(i, edited(original, 2 + i % 9, rng)) for i in range(60)]
+    texts = neardup.sequences(spark.createDataFrame(rows, "id long, text string"), 5)
+    keys = {i: [key for key, own in ((1, i < 40), (2, i % 2), (3, i >= 30)) if own] for i, _ in rows}
     label = {i: i % 3 if i < 24 else i for i, _ in rows}
-    want = {(i, j) for i in sequences for j in sequences if i < j and label[i] != label[j] and neardup.similarity(sequences[i], sequences[j], 0.8) >= 0.8}
-    assert want and want <= got and all(label[a] != label[b] and a < b for a, b in got)
+    large = spark.createDataFrame([(i, label[i], keys[i]) for i, _ in rows if keys[i]], "id long, label long, keys array<long>")
+    with neardup.Scratch(spark, "test") as scratch:
+        got = [(r.a, r.b) for r in neardup.block_links(large, texts, 0.8, scratch).collect()]
+    held = {i: neardup.shingles(t, 5) for i, t in rows}
+    near = [(i, j) for i in held for j in held if i < j and set(keys[i]) & set(keys[j]) and neardup.similarity(held[i], held[j], 0.8) >= 0.8]
+    assert {tuple(sorted(p)) for p in got} <= set(near)
+    classes = []
+    for links in (near, got):
+        own = dict(label)
+        for a, b in links:
+            old, new = own[a], own[b]
+            own = {i: new if c == old else c for i, c in own.items()}
+        classes.append({frozenset(i for i in own if own[i] == c) for c in own.values()})
+    assert near and classes[0] == classes[1] and len(classes[0]) < len(set(label.values()))
+
+
+def test_shared_passage_near_the_threshold(spark):
+    """80 documents share a licence; 10 pairs are just similar enough and all others just not. Defaults."""
+    rng = random.Random(21)
+    licence = [f"l{i}" for i in range(354)]
+    rows = []
+    for i in range(70):
+        rows.append((i, " ".join([*licence, *(f"x{rng.randrange(10**9)}" for _ in range(46))])))
+        if i < 10:
+            own = rows[-1][1].split()
+            rows.append((100 + i, " ".join([*own[:-39], *(f"y{rng.randrange(10**9)}" for _ in range(39))])))
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 70
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_one_repeated_shingle(spark):
+    """A document that repeats some words still meets its copy that doesn't."""
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *words[:8]]))]
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1}
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are of one class with all that any of them is near; null texts too."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (5, None), (8, None), (9, None), (9, None), (None, a), (None, "z"), (4, "q"), (4, "q")]
+    found = [tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(found, key=key) == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (5, 3), (8, 8), (9, 9), (9, 9), (None, 3), (None, None), (4, 4), (4, 4)], key=key)
 
 
 def test_short_texts(spark):
