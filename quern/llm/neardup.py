@@ -39,14 +39,14 @@ WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCHES, TAKEN, SMALL = 32, 5, 16
 #: Rounds of leaders; members of a large bucket in a block, and the shingles that these have together.
-ROUNDS, BLOCK, WEIGHT = 3, 128, 1 << 16
+ROUNDS, BLOCK, WEIGHT = 2, 128, 1 << 16
 
 
 class WordHashes(dict):
     """64-bit hashes of words, the same in every process; forgets all when it is large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
         return value
@@ -178,7 +178,7 @@ def sketch_documents(docs: DataFrame, k: int, count: int, taken: int, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 rows = []
                 for text in part.column("text").to_pylist():
                     if text is None:
@@ -276,21 +276,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int
 
         of_large = members.filter(F.col("size") > small).groupBy("id").agg(F.sum("size").alias("met"), F.max_by("key", F.struct("size", "key")).alias("best"), F.collect_set("key").alias("keys"))
         large = scratch.keep(of_large.withColumns({"led": F.lit(False)}), "large")
-        some = not large.isEmpty()
-        turn = 0
-        while some and turn < ROUNDS:
+        some, labels, later = not large.isEmpty(), None, None
+        for turn in range(ROUNDS if some else 0):
             stars = scratch.keep(first_stars(large) if not turn else next_stars(large), "stars")
             more = scratch.keep(verified(stars, texts, least), "links")
-            if turn and more.isEmpty():
+            if not turn:
+                labels = components(links.union(more))
+                large = scratch.keep(marked(large, labels, stars, None), "large")
+            elif more.isEmpty():
                 break
-            links = links.union(more)
-            large = scratch.keep(marked(large, components(links), stars), "large")
-            turn += 1
+            else:
+                later = scratch.keep(between(more, large, later), "later")
+                large = scratch.keep(marked(large, labels, stars, components(later)), "large")
+        labels = labels if some else components(links)
         if some:
-            links = links.union(scratch.keep(block_links(large, texts, least, scratch), "links"))
-        labels = components(links)
-        classes = checkpointed(reps.join(labels, reps["rep"] == labels["id"], "left").select("digest", F.coalesce("label", "rep").alias("class_id")), "classes")
-        other = checkpointed(own.join(labels, own["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id")), "others") if ids_twice else None
+            later = between(scratch.keep(block_links(large, texts, least, scratch), "links"), large, later)
+        roots = components(later).select(F.col("id").alias("label"), F.col("label").alias("root")) if some else None
+
+        def classed(reps: DataFrame) -> DataFrame:
+            out = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            return out.join(roots, "label", "left").withColumn("class_id", F.coalesce("root", "label")) if some else out.withColumn("class_id", F.col("label"))
+
+        classes = checkpointed(classed(reps).select("digest", "class_id"), "classes")
+        other = checkpointed(classed(own).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "others") if ids_twice else None
 
     named = base.filter("digest IS NOT NULL").select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
     blank = base.filter("digest IS NULL").select("doc_id")
@@ -298,11 +306,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int
     return named.union(blank)
 
 
-def marked(large: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
-    """large with each member's class so far, and whether it has led."""
+def marked(large: DataFrame, labels: DataFrame, stars: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """large with each member's class: base by the first links, label by those that came later; and whether it has led."""
     led = stars.select(F.col("a").alias("id"), F.lit(True).alias("now")).distinct()
     rows = large.select("id", "met", "keys", "led").join(labels, "id", "left").join(led, "id", "left")
-    return rows.select("id", "met", "keys", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"), F.coalesce("label", "id").alias("label"))
+    rows = rows.select("id", "met", "keys", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"), F.coalesce("label", "id").alias("base"))
+    if roots is None:
+        return rows.withColumn("label", F.col("base"))
+    return rows.join(roots.select(F.col("id").alias("base"), "label"), "base", "left").withColumn("label", F.coalesce("label", "base"))
+
+
+def between(links: DataFrame, large: DataFrame, others: DataFrame | None) -> DataFrame:
+    """Links (a, b) of members of large as links of their first classes, together with others that are such."""
+    ends = [large.select(F.col("id").alias(c), F.col("base").alias(f"base_{c}")) for c in ("a", "b")]
+    found = links.join(ends[0], "a").join(ends[1], "b").select(F.col("base_a").alias("a"), F.col("base_b").alias("b"))
+    return found if others is None else found.union(others)
 
 
 def block_links(large: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
