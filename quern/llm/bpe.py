@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """The vocabulary of a tokenizers file with byte letters, word ends and lower case."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -49,7 +49,6 @@ class Bpe:
         self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): rank for rank, pair in enumerate(model["merges"])}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-        self.max_words, self.known = max_words, {}
 
     def word(self, word: str) -> list[int]:
         """Ids of one word that is in lower case already."""
@@ -97,15 +96,15 @@ class Bpe:
                 out += [i for ids in self.segment(piece) for i in ids]
         return out
 
-    def strings_of(self, words: list[str]) -> list[tuple[int, str, str]]:
-        """Of each word of a batch: how many ids, the ids with blanks between, the decoded ids. The first max_words are kept."""
-        known, out = self.known, []
+    def strings_of(self, words: list[str], known: dict, max_words: int) -> list[tuple[int, str, str]]:
+        """Of each word of a batch: how many ids, the ids with blanks between, the decoded ids. known keeps the first max_words."""
+        out = []
         for w in words:
             found = known.get(w)
             if found is None:
                 ids = self.word(self.normal(w))
                 found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-                if len(known) < self.max_words:
+                if len(known) < max_words:
                     known[w] = found
             out.append(found)
         return out
@@ -120,11 +119,11 @@ def digest(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def encode_batch(model: Bpe, batch: pa.RecordBatch) -> list[tuple[int, str, str]]:
+def encode_batch(model: Bpe, batch: pa.RecordBatch, known: dict, max_words: int) -> list[tuple[int, str, str]]:
     """Of each text: how many ids, the digest of the ids with blanks between, the digest of the decoded text."""
     texts, plain = plain_texts(batch.column("text").cast(pa.large_string()))
     words, coded, counts = split_words(texts.filter(pa.array(plain)))
-    found = model.strings_of(words)
+    found = model.strings_of(words, known, max_words)
     sizes = np.fromiter((x[0] for x in found), np.int64, len(found))[coded]
     totals = np.concatenate([[0], np.cumsum(sizes)])
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -146,15 +145,18 @@ def encode_batch(model: Bpe, batch: pa.RecordBatch) -> list[tuple[int, str, str]
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: how many ids, the digest of the ids, and the digest of the text decoded from them."""
+def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, max_words: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: how many ids, the digest of the ids, and the digest of the text decoded from them.
+
+    A task keeps what it knows of its first max_words words (some 20 MB) and drops it at its end.
+    """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(path)
+        model, known = bpe(path), {}
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                rows = encode_batch(model, part)
+                rows = encode_batch(model, part, known, max_words)
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
-from .tokens import END_ID, vocabulary_path, word_encoder
+from .tokens import END_ID, WordEncoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class int"
 
@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shortest: int = 64, vo
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, encoder = Bins(TaskContext.get().partitionId(), capacity), word_encoder(path)
+        bins, encoder = Bins(TaskContext.get().partitionId(), capacity), WordEncoder(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 ids, bounds = encoder.encode(part.column("text"))

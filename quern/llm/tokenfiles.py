@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, open_fs, shared_dir, slices
-from .tokens import END_ID, vocabulary_path, word_encoder
+from .tokens import END_ID, WordEncoder, vocabulary_path
 
 #: Fixed values of the format: the mark at both ends, and a footer's tail (its length, the mark).
 MARK = b"BPLANE01"
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     path = vocabulary or vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, part = word_encoder(path), None, TaskContext.get().partitionId()
+        encoder, writer, part = WordEncoder(path), None, TaskContext.get().partitionId()
         for batch in batches:
             for rows in slices(batch, "text", 4 << 20):
                 if not len(rows):

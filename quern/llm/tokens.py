@@ -68,14 +68,23 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), counts
 
 
+@cache
+def word_ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    vocabulary = library_tokenizer(path).get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+    return ends
+
+
 class WordEncoder:
-    """Encodes batches of texts. Keeps the ids of the first max_words distinct words; others are encoded when they come."""
+    """Encodes batches of texts. Keeps the ids of the first max_words distinct words; others are encoded when they come.
 
-    def __init__(self, path: str, max_words: int = 700_000):
-        self.tokenizer, self.max_words = library_tokenizer(path), max_words
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+    A task makes its own, so what it keeps goes with the task: some 10 MB at 50,000 words, most of which are frequent ones.
+    """
+
+    def __init__(self, path: str, max_words: int = 50_000):
+        self.tokenizer, self.max_words, self.ends_word = library_tokenizer(path), max_words, word_ends(path)
         self.place: dict[str, int] = {"": 0}  # the split leaves an empty string at an end with white space
         self.n, self.used = 1, 0
         self.ids = np.empty(1 << 16, np.uint32)
@@ -91,12 +100,20 @@ class WordEncoder:
         found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Where the ids of each word lie. What goes beyond max_words is not kept, so n and used must be set back after use."""
+    def _places(self, words: list[str]) -> tuple[np.ndarray, int, int]:
+        """Where the ids of each word lie, and the n and used to which those go back after use that are not kept."""
         fresh = [w for w in words if w not in self.place]
-        held = self.place if len(self.place) + len(fresh) <= self.max_words else {}
-        for k in range(0, len(fresh), 1 << 10):
-            part = fresh[k : k + (1 << 10)]
+        room = max(0, self.max_words - len(self.place))
+        other: dict[str, int] = {}
+        self._add(fresh[:room], self.place)
+        back = self.n, self.used
+        self._add(fresh[room:], other)
+        place = self.place
+        return np.fromiter((place[w] if w in place else other[w] for w in words), np.int64, len(words)), *back
+
+    def _add(self, words: list[str], held: dict[str, int]) -> None:
+        for k in range(0, len(words), 1 << 10):
+            part = words[k : k + (1 << 10)]
             found, lengths = self._encode_words(part)
             end, used = self.n + len(part), self.used + len(found)
             while end > len(self.starts):
@@ -109,8 +126,6 @@ class WordEncoder:
             self.ids[self.used : used] = found
             held.update(zip(part, range(self.n, end), strict=True))
             self.n, self.used = end, used
-        place = self.place
-        return np.fromiter((place[w] if w in place else held[w] for w in words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts one after another, and the n + 1 bounds of each text's ids."""
@@ -119,12 +134,11 @@ class WordEncoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         texts, plain = plain_texts(texts.cast(pa.large_string()).fill_null(""))
         words, coded, counts = split_words(texts.filter(pa.array(plain)))
-        kept = len(self.place), self.n, self.used
-        places = self._places(words)[coded]
+        own, *back = self._places(words)
+        places = own[coded]
         ids = self.ids[ragged(self.starts[places], self.lengths[places])]
         per_word = np.concatenate([[0], np.cumsum(self.lengths[places])])
-        if len(self.place) == kept[0]:
-            _, self.n, self.used = kept
+        self.n, self.used = back
         ends = np.cumsum(counts)
         sizes = np.zeros(n, np.int64)
         sizes[plain] = per_word[ends] - per_word[ends - counts]
@@ -138,7 +152,3 @@ class WordEncoder:
         out[~np.repeat(plain, sizes)] = np.concatenate(odd)
         return out, bounds
 
-
-@cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)

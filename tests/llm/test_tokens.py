@@ -34,7 +34,7 @@ def odd_texts(n, seed):
 
 def test_encoder_equals_library():
     texts = odd_texts(4000, 1)
-    ids, bounds = tokens.word_encoder(tokens.vocabulary_path()).encode(pa.array([*texts, None]))
+    ids, bounds = tokens.WordEncoder(tokens.vocabulary_path()).encode(pa.array([*texts, None]))
     for k, text in enumerate([*texts, ""]):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == ids_of(text), text
 
