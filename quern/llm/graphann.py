@@ -6,8 +6,11 @@ direction meet, and those that are nearer to each other than what they knew repl
 own place: it looks at the neighbours of the nearest vectors that it has seen, until none of those is new. What it ends with
 is measured again on the original vectors, in double precision.
 
-Vectors travel as 8-bit codes with a scale each. Equal vectors are one node; a node keeps as many of its least ids as a
-result can hold. All joins are by node; none holds more than a bounded number of rows for each node.
+Vectors travel as they are, in the precision of their column, and distances are taken in double precision, so near copies keep
+their order. Equal vectors are one node; a node keeps as many of its least ids as a result can hold. A node answers the
+nearest nodes that name it, a width of them, and hears of the nearest that name it, so no group holds more than two widths
+of rows, however many nodes name a hub: rows beyond that are cut before they are shuffled. Rounds go on until few neighbours
+change.
 
 Vectors that are null, zero, hold null or non-finite components, or whose length is not that of most (of the longest where
 that is a tie) take no part, nor do rows with a null id. Rows with the same id and vector count once. Ties go to the lesser
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed
 
-NODE = "id long, code binary, scale float, digest binary"
+NODE = "id long, code binary, digest binary"
 
 
 def batch_of(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
@@ -44,26 +47,20 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.filter(F.size("vector") == (size or 0))
 
 
-def encode_nodes(rows: DataFrame) -> DataFrame:
-    """Each vector as 8-bit components and a scale, and a digest of its components."""
+def encode_nodes(rows: DataFrame, kind: str) -> DataFrame:
+    """Each vector as bytes of NumPy's kind, and a digest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, codes, scales, digests = batch.column("id").to_pylist(), [], [], []
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.empty((0, 1))
-            flat = flat + 0.0  # no negative zeros
-            scale = np.maximum(np.abs(flat).max(axis=1), 1e-300) / 127
-            for row, s in zip(flat, scale, strict=True):
-                codes.append(np.rint(row / s).astype(np.int8).tobytes())
-                scales.append(s)
-                digests.append(hashlib.md5(row.tobytes()).digest())
-            yield batch_of(["id", "code", "scale", "digest"], [pa.int64(), pa.binary(), pa.float32(), pa.binary()], [ids, codes, scales, digests])
+            codes = [row.tobytes() for row in (flat + 0.0).astype(kind)]  # no negative zeros
+            yield batch_of(["id", "code", "digest"], [pa.int64(), pa.binary(), pa.binary()], [batch.column("id").to_pylist(), codes, [hashlib.md5(x).digest() for x in codes]])
 
     return rows.select("id", "vector").mapInArrow(run, NODE)
 
 
-def decoded(codes: list[bytes], scales) -> np.ndarray:
-    return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32) * np.asarray(scales, np.float32)[:, None]
+def decoded(codes: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), kind).reshape(len(codes), -1).astype(np.float64)
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,19 +105,19 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_edges(nodes: DataFrame, width: int, starts: int, block: int, spread: int) -> DataFrame:
+def first_edges(nodes: DataFrame, kind: str, width: int, starts: int, block: int, spread: int) -> DataFrame:
     """Links within blocks of vectors, in the orders that some sets of random hyperplanes give them."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            points = decoded(batch.column("code").to_pylist(), batch.column("scale").to_pylist())
+            points = decoded(batch.column("code").to_pylist(), kind)
             for turn in range(starts):
-                planes = np.random.default_rng(turn).standard_normal((points.shape[1], 17)).astype(np.float32)
+                planes = np.random.default_rng(turn).standard_normal((points.shape[1], 17))
                 sides = points @ planes
                 place = (turn << 16) + (sides[:, :16] > 0) @ (1 << np.arange(16, dtype=np.int64)[::-1])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "code", "scale")), pa.array(place), pa.array(sides[:, 16])], names=["id", "code", "scale", "place", "along"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array(place), pa.array(sides[:, 16])], names=["id", "code", "place", "along"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -134,13 +131,13 @@ def first_edges(nodes: DataFrame, width: int, starts: int, block: int, spread: i
                 take = len(rows) if len(rows) < 2 * block else block
                 part = rows.slice(0, take)
                 ids = part.column("id").to_numpy()
-                at, d = nearest_of(decoded(part.column("code").to_pylist(), part.column("scale").to_pylist()), width)
+                at, d = nearest_of(decoded(part.column("code").to_pylist(), kind), width)
                 apart = np.repeat(ids, at.shape[1]) != ids[at].ravel()  # where two orders meet a node may meet itself
                 yield batch_of(*LINK, [np.repeat(ids, at.shape[1])[apart], ids[at].ravel()[apart], d.ravel()[apart]])
                 rows = rows.slice(take)
 
     order = ["place", "along", "id"]
-    return nodes.select("id", "code", "scale").mapInArrow(mark, "id long, code binary, scale float, place long, along float").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
+    return nodes.select("id", "code").mapInArrow(mark, "id long, code binary, place long, along double").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
 
 
 def sent(df: DataFrame, *columns: str) -> DataFrame:
@@ -152,8 +149,14 @@ def array(parts: list[pa.RecordBatch], column: str, kind=np.int64) -> np.ndarray
     return np.concatenate([p.column(column).to_numpy(zero_copy_only=False) for p in parts]).astype(kind)
 
 
+def limited(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """Like sent, with at most so many first rows of a key; rows beyond that are cut before the shuffle, too."""
+    order = Window.partitionBy("key").orderBy(*columns)
+    return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+
+
 def with_links(nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """(id, code, scale, ids, ds): each node's nearest of what it has (ids, ds) and of links (key, other, d)."""
+    """(id, code, ids, ds, fresh): each node's nearest of what it has (ids, ds) and of links (key, other, d); how many are new."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -163,13 +166,15 @@ def with_links(nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
                 continue
             others, ds = array(parts, "other"), array(parts, "d", np.float32)
             others, ds = others[1:], ds[1:]  # the first row is the node itself
+            had = np.empty(0, np.int64)
             if own.column("ids")[0].as_py():
-                others = np.concatenate([others, own.column("ids")[0].values.to_numpy()])
+                had = own.column("ids")[0].values.to_numpy()
+                others = np.concatenate([others, had])
                 ds = np.concatenate([ds, own.column("ds")[0].values.to_numpy()])
             others, first = np.unique(others, return_index=True)
             ds = ds[first]
             order = np.lexsort((others, ds))[:width]
-            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), own.column("scale")[0].as_py(), others[order], ds[order]))
+            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), others[order], ds[order], int((~np.isin(others[order], had)).sum())))
             if len(out) == 2048:
                 yield batch_of(STATE_NAMES, STATE_TYPES, list(zip(*out, strict=True)))
                 out = []
@@ -177,20 +182,20 @@ def with_links(nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
             yield batch_of(STATE_NAMES, STATE_TYPES, list(zip(*out, strict=True)))
 
     has = "ids" in nodes.columns
-    own = nodes.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "scale", *([F.col("ids"), F.col("ds")] if has else [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds")]))
-    new = links.select("key", F.lit(1).alias("kind"), "other", "d", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
+    own = nodes.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", *([F.col("ids"), F.col("ds")] if has else [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds")]))
+    new = links.select("key", F.lit(1).alias("kind"), "other", "d", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
     return sent(own.unionByName(new), "kind").mapInArrow(merge, STATE)
 
 
-STATE = "id long, code binary, scale float, ids array<long>, ds array<float>"
-STATE_NAMES = ["id", "code", "scale", "ids", "ds"]
-STATE_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32())]
+STATE = "id long, code binary, ids array<long>, ds array<float>, fresh int"
+STATE_NAMES = ["id", "code", "ids", "ds", "fresh"]
+STATE_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.int32()]
 
 
 def around(state: DataFrame, width: int) -> DataFrame:
-    """(id, code, scale, reach, near): each node, how far its neighbours reach, and its neighbours in either direction.
+    """(id, code, reach, ids, ds, back): each node, how far its neighbours reach, these, and the nearest width that name it.
 
-    Of the nodes that name it the nearest ``width`` count; reach is infinite while a node has fewer neighbours than that.
+    reach is infinite while a node has fewer neighbours than width.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,44 +204,49 @@ def around(state: DataFrame, width: int) -> DataFrame:
             own = parts[0]
             if own.column("code")[0].as_py() is None:
                 continue
-            ids = own.column("ids")[0].values.to_numpy()
-            reach = own.column("reach")[0].as_py() if len(ids) >= width else float("inf")
-            back = array(parts, "other")[1 : 1 + width]
-            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), own.column("scale")[0].as_py(), reach, np.unique(np.concatenate([ids, back]))))
+            ids, ds = (own.column(c)[0].values.to_numpy() for c in ("ids", "ds"))
+            reach = float(ds.max()) if len(ids) >= width else float("inf")
+            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), reach, ids, ds, array(parts, "other")[1:]))
             if len(out) == 2048:
                 yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
                 out = []
         if out:
             yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
 
-    own = state.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "scale", F.array_max("ds").alias("reach"), "ids")
+    own = state.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "ids", "ds")
     pairs = state.select("id", F.explode(F.arrays_zip("ids", "ds")).alias("x")).select(F.col("x.ids").alias("key"), F.lit(1).alias("kind"), F.col("id").alias("other"), F.col("x.ds").alias("d"))
-    back = pairs.select("*", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("float").alias("reach"), F.lit(None).cast("array<long>").alias("ids"))
-    return sent(own.unionByName(back), "kind", "d", "other").mapInArrow(gather, NEAR)
+    back = pairs.select("*", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
+    return limited(own.unionByName(back), width + 1, "kind", "d", "other").mapInArrow(gather, NEAR)
 
 
-NEAR = "id long, code binary, scale float, reach float, near array<long>"
-NEAR_NAMES = ["id", "code", "scale", "reach", "near"]
-NEAR_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.float32(), pa.list_(pa.int64())]
+NEAR = "id long, code binary, reach float, ids array<long>, ds array<float>, back array<long>"
+NEAR_NAMES = ["id", "code", "reach", "ids", "ds", "back"]
+NEAR_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64())]
 
 
-def told(near: DataFrame) -> DataFrame:
-    """(key, other, code, scale, reach): every node tells its neighbours, in either direction, what it is."""
-    return sent(near.select(F.explode("near").alias("key"), F.col("id").alias("other"), "code", "scale", "reach"), "other")
+def told(near: DataFrame, width: int) -> DataFrame:
+    """(key, other, code, reach): every node tells what it is to those of its back links, and to those that it names.
 
+    Of a key's rows two widths are kept: all answers, as it names no more than a width, and then the nearest that name it.
+    """
+    answers = near.select(F.explode("back").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("float").alias("d"), F.col("id").alias("other"), "code", "reach")
+    names = near.select(F.explode(F.arrays_zip("ids", "ds")).alias("x"), "id", "code", "reach").select(F.col("x.ids").alias("key"), F.lit(1).alias("kind"), F.col("x.ds").alias("d"), F.col("id").alias("other"), "code", "reach")
+    return limited(answers.unionByName(names), 2 * width, "kind", "d", "other").select("key", "other", "code", "reach")
 
-def met(near: DataFrame, best: int) -> DataFrame:
+
+def met(near: DataFrame, kind: str, best: int, width: int) -> DataFrame:
     """Links (key, other, d) between nodes that have a neighbour in common and are nearer than what one of them knows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         held = 0
         for parts in groups(batches, "key"):
-            ids = array(parts, "other")
+            ids, first = np.unique(array(parts, "other"), return_index=True)
             if len(ids) < 2:
                 continue
-            at, d = nearest_of(decoded(values(parts, "code"), array(parts, "scale", np.float32)), best)
-            nearer = d < array(parts, "reach", np.float32)[:, None]
+            codes = values(parts, "code")
+            at, d = nearest_of(decoded([codes[i] for i in first], kind), best)
+            nearer = d < array(parts, "reach", np.float32)[first][:, None]
             found.append((np.repeat(ids, at.shape[1])[nearer.ravel()], ids[at][nearer], d[nearer]))
             held += len(found[-1][0])
             if held > 50_000:
@@ -245,50 +255,57 @@ def met(near: DataFrame, best: int) -> DataFrame:
         if found:
             yield batch_of(*LINK, [np.concatenate(x) for x in zip(*found, strict=True)])
 
-    return told(near).mapInArrow(meet, LINKS)
+    return told(near, width).mapInArrow(meet, LINKS)
 
 
 LINKS = "key long, other long, d float"
 
 
-def build_graph(nodes: DataFrame, width: int, rounds: int, starts: int, block: int, best: int, scratch: Scratch) -> DataFrame:
-    """(id, code, scale, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances of codes."""
-    spread = max(1, min(parts_of(nodes), nodes.count() * starts // (2 * block)))  # a part with few nodes would be cut off
-    links = first_edges(nodes, width, starts, block, spread)
-    state = scratch.keep(with_links(nodes.select("id", "code", "scale"), links, width), "graph")
+def build_graph(nodes: DataFrame, kind: str, width: int, rounds: int, least_change: float, starts: int, block: int, best: int, scratch: Scratch) -> DataFrame:
+    """(id, code, ids, ds): the neighbour graph of nodes by NN-descent; ds are squared distances.
+
+    It ends when a round changes less than a share least_change of all neighbours.
+    """
+    count = nodes.count()
+    spread = max(1, min(parts_of(nodes), count * starts // (2 * block)))  # a part with few nodes would be cut off
+    links = first_edges(nodes, kind, width, starts, block, spread)
+    state = scratch.keep(with_links(nodes.select("id", "code"), links, width), "graph")
     for _ in range(rounds):
-        state = scratch.keep(with_links(state, met(around(state, width), best), width), "graph")
+        state = scratch.keep(with_links(state, met(around(state, width), kind, best, width), width), "graph")
+        if (state.agg(F.sum("fresh")).first()[0] or 0) < least_change * count * width:
+            break
     return state
 
 
 def fat_graph(state: DataFrame, width: int) -> DataFrame:
-    """(node, ids, codes, scales): each node with the codes of its neighbours in either direction, two widths at most."""
+    """(node, ids, codes): each node with the vectors of its neighbours in either direction, two widths at most."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in groups(batches, "key"):
-            columns = [[parts[0].column("key")[0].as_py()], [array(parts, "other")], [values(parts, "code")], [array(parts, "scale", np.float32)]]
-            yield batch_of(["node", "ids", "codes", "scales"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.float32())], columns)
+            ids, first = np.unique(array(parts, "other"), return_index=True)
+            codes = values(parts, "code")
+            yield batch_of(["node", "ids", "codes"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())], [[parts[0].column("key")[0].as_py()], [ids], [[codes[i] for i in first]]])
 
-    return told(around(state, width)).mapInArrow(collect, "node long, ids array<long>, codes array<binary>, scales array<float>")
+    return told(around(state, width), width).mapInArrow(collect, "node long, ids array<long>, codes array<binary>")
 
 
 SEEN = "query long, ids array<long>, ds array<float>"
 
 
-def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int, scratch: Scratch) -> DataFrame:
-    """(query, ids, ds): the nearest nodes that each query (query, code, scale; a node itself) finds, nearest first.
+def walk(starts: DataFrame, graph: DataFrame, kind: str, k: int, beam: int, slack: float, most: int, scratch: Scratch) -> DataFrame:
+    """(query, ids, ds): the nearest nodes that each query (query, code; a node itself) finds, nearest first.
 
-    In each round a query opens all nodes among its beam nearest that it hasn't opened; it ends when there are none. The
-    graph should be bucketed by node: then only the open nodes and what they show are shuffled.
+    A query holds its beam nearest, and all within 1 + slack times the distance of its k-th, up to most. In each round it
+    opens all that it holds and hasn't opened; it ends when there are none. The graph should be bucketed by node: then only the open nodes and what they show are shuffled.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            cols = [batch.column(c).to_pylist() for c in ("query", "code", "scale", "bound", "codes", "scales")]
+            cols = [batch.column(c).to_pylist() for c in ("query", "code", "bound", "codes")]
             ids = batch.column("ids")
-            for k, (query, code, scale, bound, codes, scales) in enumerate(zip(*cols, strict=True)):
-                d = squares(decoded([code], [scale]), decoded(codes, scales))[0]
+            for k, (query, code, bound, codes) in enumerate(zip(*cols, strict=True)):
+                d = squares(decoded([code], kind), decoded(codes, kind))[0]
                 near = d < bound
                 if near.any():
                     out[0].append(query)
@@ -306,27 +323,30 @@ def walk(starts: DataFrame, graph: DataFrame, beam: int, most: int, scratch: Scr
             ids, first = np.unique(ids, return_index=True)
             ds = ds[first]
             keep = ids != query
-            order = np.lexsort((ids[keep], ds[keep]))[:beam]
+            order = np.lexsort((ids[keep], ds[keep]))[:most]
             ids, ds = ids[keep][order], ds[keep][order]
+            bound = float("inf")
+            if len(ds) > beam:
+                bound = max(float(ds[beam - 1]), float(ds[min(k, beam) - 1]) * (1 + slack) ** 2)
+                held = max(beam, int(np.searchsorted(ds, bound, side="right")))
+                ids, ds = ids[:held], ds[:held]
             fresh = ids[~np.isin(ids, done)]
-            bound = float(ds[-1]) if len(ds) == beam else float("inf")
-            yield batch_of(WALK_NAMES, WALK_TYPES, [[query], own.column("code").to_pylist()[:1], own.column("scale").to_pylist()[:1], [ids], [ds], [np.concatenate([done, fresh])], [fresh], [bound]])
-
-    state = starts.select("query", "code", "scale", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("ds"), F.array("query").alias("done"), F.array("query").alias("fresh"), F.lit(float("inf")).alias("bound"))
-    for _ in range(most):
-        frontier = state.select("query", "code", "scale", "bound", F.explode("fresh").alias("node"))
-        seen = frontier.join(graph, "node").select("query", "code", "scale", "bound", "ids", "codes", "scales").mapInArrow(look, SEEN)
-        own = state.select(F.col("query").alias("key"), F.lit(0).alias("kind"), "code", "scale", "ids", "ds", "done")
-        new = seen.select(F.col("query").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "ids", "ds", F.lit(None).cast("array<long>").alias("done"))
+            yield batch_of(WALK_NAMES, WALK_TYPES, [[query], own.column("code").to_pylist()[:1], [ids], [ds], [np.concatenate([done, fresh])], [fresh], [bound]])
+
+    state = starts.select("query", "code", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("ds"), F.array("query").alias("done"), F.array("query").alias("fresh"), F.lit(float("inf")).alias("bound"))
+    while True:  # each round opens nodes that were not open before
+        frontier = state.select("query", "code", "bound", F.explode("fresh").alias("node"))
+        seen = frontier.join(graph, "node").select("query", "code", "bound", "ids", "codes").mapInArrow(look, SEEN)
+        own = state.select(F.col("query").alias("key"), F.lit(0).alias("kind"), "code", "ids", "ds", "done")
+        new = seen.select(F.col("query").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), "ids", "ds", F.lit(None).cast("array<long>").alias("done"))
         state = scratch.keep(sent(own.unionByName(new), "kind").mapInArrow(merge, WALK), "walk")
         if state.filter(F.size("fresh") > 0).isEmpty():
-            break
-    return state.select("query", "ids", "ds")
+            return state.select("query", "ids", "ds")
 
 
-WALK = "query long, code binary, scale float, ids array<long>, ds array<float>, done array<long>, fresh array<long>, bound double"
-WALK_NAMES = ["query", "code", "scale", "ids", "ds", "done", "fresh", "bound"]
-WALK_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
+WALK = "query long, code binary, ids array<long>, ds array<float>, done array<long>, fresh array<long>, bound double"
+WALK_NAMES = ["query", "code", "ids", "ds", "done", "fresh", "bound"]
+WALK_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
 
 
 def bucketed(df: DataFrame, key: str, folder: str) -> tuple[DataFrame, str]:
@@ -337,27 +357,26 @@ def bucketed(df: DataFrame, key: str, folder: str) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 2, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, most: int = 40, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 20, least_change: float = 0.25, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, slack: float = 0.15, most: int = 5000, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of queries (its ids, among those of vectors).
 
-    width: neighbours that a node keeps; rounds of NN-descent; beam: nodes that a query holds; spare: how many found
-    nodes beyond k are measured again; most: a bound of the rounds of a walk, which end by themselves long before.
+    width: neighbours that a node keeps; NN-descent ends when a round changes less than a share least_change of them, or after
+    so many rounds; beam: nodes that a query holds at least; slack: it holds all within 1 + slack times the distance of its
+    k-th, up to most; spare: how many found nodes beyond k are measured again.
     """
-    scratch = Scratch(vectors.sparkSession, "ann")
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = valid_vectors(vectors, id_col, vector_col)
-    coded = checkpointed(encode_nodes(rows), "codes")
-    reps = coded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("code").alias("code"), F.first("scale").alias("scale"))
+    coded = checkpointed(encode_nodes(rows, kind), "codes")
+    reps = coded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("code").alias("code"))
     reps = checkpointed(reps, "nodes")
-    nodes = reps.select(F.col("rep").alias("id"), "code", "scale")
-    graph, name = bucketed(fat_graph(build_graph(nodes, width, rounds, starts, block, best, scratch), width), "node", scratch.root)
-
     ids = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
-    asked = ids.join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"), "code", "scale").distinct()
+    asked = ids.join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"), "code").distinct()
     asked = checkpointed(asked, "asked")
-    begin = asked.select("query", "code", "scale").dropDuplicates(["query"])
-    found = checkpointed(walk(begin, graph, beam, most, scratch), "walk")
-    vectors.sparkSession.sql(f"DROP TABLE {name}")
-    scratch.drop()
+    with Scratch(vectors.sparkSession, "ann") as scratch:
+        state = build_graph(reps.select(F.col("rep").alias("id"), "code"), kind, width, rounds, least_change, starts, block, best, scratch)
+        graph, name = bucketed(fat_graph(state, width), "node", scratch.root)
+        found = checkpointed(walk(asked.select("query", "code").dropDuplicates(["query"]), graph, kind, k, beam, slack, most, scratch), "walk")
+        vectors.sparkSession.sql(f"DROP TABLE {name}")
     near = found.select("query", F.explode(F.slice(F.concat(F.array("query"), "ids"), 1, k + spare + 1)).alias("node"))
     order = Window.partitionBy("digest").orderBy("id")
     least = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)

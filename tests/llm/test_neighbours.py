@@ -244,3 +244,37 @@ def test_few_vectors(spark):
     assert graphann.nearest_neighbours(one, one).count() == 0
     none = df.filter("vec_id < 0")
     assert graphann.nearest_neighbours(none, none).count() == 0
+
+
+def recall(spark, points, asked):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in graphann.nearest_neighbours(df, df.filter(F.col("vec_id").isin(asked))).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    far = np.linalg.norm(points[asked][:, None].astype(np.float64) - points[None].astype(np.float64), axis=2)
+    far[np.arange(len(asked)), asked] = np.inf
+    nearest = np.argsort(far, axis=1, kind="stable")[:, :10]
+    return sum(len(found[q] & set(own.tolist())) for q, own in zip(asked, nearest, strict=True)) / (10 * len(asked))
+
+
+def test_cluster_of_near_copies(spark):
+    """Vectors that differ by far less than their length keep their order."""
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.standard_normal(32) + 1e-4 * rng.standard_normal((1000, 32)), rng.standard_normal((200, 32))]).astype(np.float32)
+    assert recall(spark, points, list(range(0, 1200, 30))) >= 0.9
+
+
+def test_hub(spark):
+    """A vector near the centre of points on a sphere is a neighbour of all; its group stays within two widths."""
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((1500, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    points[0] = 1e-3
+    points = points.astype(np.float32)
+    assert recall(spark, points, list(range(0, 1500, 50))) >= 0.9
+    nodes = graphann.encode_nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, vector array<double>"), "<f4")
+    with graphann.Scratch(spark, "hub") as scratch:
+        state = graphann.build_graph(nodes, "<f4", 20, 2, 0.0, 2, 256, 6, scratch)
+        assert state.filter(F.array_contains("ids", 0)).count() > 700
+        heard = graphann.told(graphann.around(state, 20), 20).groupBy("key").count()
+        assert heard.agg(F.max("count")).first()[0] <= 40
