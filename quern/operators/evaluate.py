@@ -68,3 +68,40 @@ def split_version(user: Column, split: dict[str, float]) -> Column:
             yield pd.Series(out, dtype="object")
 
     return F.pandas_udf(run, "string")(user, F.conv(F.substring(F.md5(user), 1, 8), 16, 10).cast("long"))
+
+
+#: Words that a question of an intent is expected to have.
+EXPECTED_WORDS = {
+    "api_usage": ("权限", "申请", "permission"),
+    "migration": ("迁移", "变化", "api 12"),
+    "best_practice": ("最佳实践", "导航", "arkui"),
+    "error_diagnosis": ("错误码", "15500000"),
+    "code_generation": ("typescript", "网络", "请求"),
+    "concept_qa": ("stage", "fa", "区别", "模型"),
+    "compatibility": ("兼容", "api 12"),
+    "project_debug": ("崩溃", "调试", "api 12"),
+}
+
+
+def proxy_faithfulness(query: Column, intent: Column) -> Column:
+    """Nine tenths of the share of an intent's expected words that the query has as words, 0.3 at least; 0.7 for other intents."""
+    words = F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda x: x != "")
+    share = lambda expected: F.size(F.array_intersect(words, F.array(*map(F.lit, expected)))) / float(len(expected))
+    scores = [F.when(intent == i, F.least(F.lit(1.0), F.greatest(F.lit(0.3), share(x) * 0.9))) for i, x in EXPECTED_WORDS.items()]
+    return F.coalesce(*scores, F.lit(0.7))
+
+
+def proxy_relevancy(query: Column, intent: Column) -> Column:
+    """Half, and a tenth for each sign of a question that can be answered; 1 at most."""
+    words = F.filter(F.split(query, r"(?U)\s+"), lambda x: x != "")
+    signs = [F.length(query) > 10, query.rlike(r"[?？]"), F.size(words) > 3, query.rlike("如何|怎么|什么|为什么"), intent != "unknown"]
+    total = F.lit(0)
+    for sign in signs:
+        total = total + F.when(sign, 1).otherwise(0)
+    return F.least(F.lit(1.0), 0.5 + total / 10)
+
+
+def decision_accuracy(cases: DataFrame) -> DataFrame:
+    """(cases, intent_accuracy, plan_accuracy, mode_accuracy) of rows with what was decided and what was expected."""
+    share = lambda a, b: F.avg(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0))
+    return cases.agg(F.count("*").alias("cases"), share("intent", "expected_intent").alias("intent_accuracy"), share("plan", "expected_plan").alias("plan_accuracy"), share("mode", "expected_mode").alias("mode_accuracy"))

@@ -12,7 +12,16 @@ from quern.functions import text as T
 #: What raises a turn's importance.
 ERRORS = r"(?i)\b(error|exception|traceback|stack\s?trace)\b|nullpointer|失败|错误|异常|报错|堆栈|500|502|503|404|401|403|timeout|超时"
 TECHNICAL = r"(@ohos\.[\w.]+|import\s+\{.*?\}\s+from|API\s*\d{1,2}|HarmonyOS\s*(?:NEXT\s*)?\d+\.\d+|https?://[^\s]+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)"
-PROJECT = r"rag|agent|project|pipeline"
+#: What makes a turn worth keeping or not; letters in either case. Project words may stand anywhere.
+PROJECT = r"rag|agent|langgraph|milvus|elasticsearch|neo4j|redis|postgresql|评测|部署"
+PROFILE = {
+    "preferred_language": r"以后.*(中文|英文).*回答|以后.*用(中文|英文)|回答.*用(中文|英文)",
+    "answer_style": r"以后.*(简洁|详细|分步骤|直接).*回答|回答.*(简洁|详细|分步骤|直接)",
+    "primary_stack": r"我主要(写|做|负责).*(Python|Java|Go|前端|后端|RAG|Agent)|我的技术栈.*(Python|Java|Go|React|FastAPI|LangGraph)",
+}
+LONG_TERM = r"我在做.*(项目|系统|平台)|我负责.*(项目|模块|系统|平台)|我们项目.*(使用|采用|基于)|长期.*(目标|计划|需求)|之后.*都要.*"
+ONE_OFF = r"这次先|临时|今天|明天|刚才|等会"
+CORRECTION = r"不是.*是.*|我刚才说错了|纠正一下"
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
@@ -61,12 +70,25 @@ def recall_score(relevance: Column, weight: Column, created: Column, as_of: Colu
     return 0.5 * relevance + 0.3 * weight + 0.2 * F.pow(F.lit(2.718281828), -days / 30)
 
 
-def routes(turns: DataFrame, repeated: Column) -> DataFrame:
-    """Score and target layers of each turn that isn't blank."""
-    text = F.trim("text")
-    score = F.when(F.lower("text").rlike(PROJECT), 2).otherwise(0) - F.when(T.sensitive(F.col("text")), 5).otherwise(0) + F.when(repeated, 1).otherwise(0)
-    targets = F.filter(F.array(F.lit("short_term"), F.when(F.col("score") >= 4, "episodic"), F.when(F.col("score") >= 3, "semantic")), lambda x: x.isNotNull())
-    return turns.filter(text != "").withColumn("score", score).withColumn("targets", targets).withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 6)))
+def routes(turns: DataFrame, repeated: Column, inferred: Column | None = None, workflow: Column | None = None, session_turns: Column | None = None, session_tokens: Column | None = None) -> DataFrame:
+    """Score, profile field, target layers and importance of each turn that isn't blank.
+
+    repeated: told before; inferred: by a model, not by the user; workflow: a state of execution; then how long the session is.
+    """
+    no, none = F.lit(False), F.lit(0)
+    inferred, workflow = (no if x is None else x for x in (inferred, workflow))
+    session_turns, session_tokens = (none if x is None else x for x in (session_turns, session_tokens))
+    text = F.col("text")
+    has = lambda p: text.rlike("(?diuU)" + p)
+    points = lambda held, n: F.when(held, n).otherwise(0)
+    secret, once = T.sensitive(text), has(ONE_OFF)
+    field = F.coalesce(*[F.when(has(p), F.lit(name)) for name, p in PROFILE.items()], F.lit(None).cast("string"))
+    score = points(field.isNotNull(), 3) + points(has(LONG_TERM), 2) + points(F.lower(text).rlike(PROJECT), 2) + points(repeated, 1) + points(has(CORRECTION), 1) - points(once, 3) - points(secret, 5) - points(inferred, 2)
+    profile = F.col("field").isNotNull() & (F.col("score") >= 3)
+    kept = [F.when(secret, "skip"), F.when(~secret & profile, "user_profile"), F.when(~secret & profile, "semantic"), F.when(~secret & (F.col("score") >= 4) & ~once, "episodic")]
+    layers = F.array(F.lit("short_term"), F.when(workflow, "checkpoint"), *[F.when(~workflow, x) for x in (F.when((session_turns >= 20) | (session_tokens >= 6000), "summary"), *kept)])
+    rows = turns.filter(F.regexp_replace("text", r"(?U)\s", "") != "").withColumns({"field": field, "score": score})
+    return rows.withColumn("targets", F.filter(layers, lambda x: x.isNotNull())).withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 6)))
 
 
 def joined_texts(turns: DataFrame) -> DataFrame:
@@ -92,3 +114,24 @@ def claim_rollup(rows: DataFrame, *key: str) -> DataFrame:
     wrong, unsure = F.count_if(~F.col("grounded") & (F.col("confidence") < 0.3)), F.count_if(~F.col("grounded") & (F.col("confidence") >= 0.3))
     counted = rows.groupBy(*key).agg(F.count("*").alias("claims"), F.count_if("grounded").alias("grounded"), wrong.alias("hallucinated"), unsure.alias("uncertain"))
     return counted.withColumn("verified", (F.col("hallucinated") == 0) & (F.col("uncertain") <= F.greatest(F.lit(1.0), 0.2 * F.col("claims"))))
+
+
+def claim_evidence(claims: DataFrame, docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(conv_id, turn, claim, doc): documents (conv_id, doc, text) of the same conversation that share most words with a claim.
+
+    The share is of the larger of both sets of words. Both sides are keyed by conversation, so none meets all documents.
+    """
+    left = claims.select("conv_id", "turn", "claim", T.word_set(F.col("claim")).alias("own"))
+    right = docs.select("conv_id", "doc", T.word_set(F.col("text")).alias("words"))
+    share = F.size(F.array_intersect("own", "words")) / F.greatest(F.size("own"), F.size("words"))
+    return left.join(right, "conv_id").filter((F.size("own") > 0) & (F.size("words") > 0) & (share > least)).select("conv_id", "turn", "claim", "doc")
+
+
+def rule_verdict(answer: Column, docs: Column, best_score: Column, mean_score: Column, citations: Column, conflicts: Column) -> Column:
+    """struct(issues, verified): an answer may have one issue at most; a blank one, or one without documents, is never verified."""
+    cites = answer.rlike(r"参考来源|引用|\[1\]|citation")
+    text = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)^\s+|\s+$", "")
+    noise = (docs >= 2) & (mean_score > 0) & (best_score / mean_score < 1.1) & (best_score < 0.02)
+    found = [F.when(noise, "noise"), F.when(~cites & (citations > 0), "no_marks"), F.when(~cites & (citations == 0), "no_citations"), F.when(F.length(text) < 10, "short"), F.when(conflicts > 0, "conflicts")]
+    issues = F.when(text == "", F.array(F.lit("empty"))).when(docs == 0, F.array(F.lit("no_docs"))).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return F.struct(issues.alias("issues"), ((text != "") & (docs > 0) & (F.size(issues) <= 1)).alias("verified"))

@@ -87,3 +87,23 @@ def firing(rows: DataFrame, key: str, time: str, over: Column, least: int) -> Da
 def canary_bucket(value: Column) -> Column:
     """0 to 99, from the first eight hex digits of the MD5."""
     return (F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long") % 100).cast("long")
+
+
+#: Rates that call for an alert of the dashboard: name, level, bound, and whether rates above or below it do.
+DASHBOARD = (("fallback_rate", "warning", 0.25, True), ("human_fallback_rate", "warning", 0.15, True), ("tool_success_rate", "error", 0.9, False), ("verification_pass_rate", "warning", 0.85, False))
+#: Bounds beyond which a release is critical: seconds, and shares.
+CRITICAL = {"p95_latency": 30.0, "error_rate": 0.25, "verification_pass_rate": 0.85, "hallucination_rate": 0.15}
+
+
+def dashboard_alerts(rates: dict[str, Column], attempts: dict[str, Column]) -> Column:
+    """array of struct(name, level, rate): rates that are out of bounds. Rates with attempts count only if there were any."""
+    found = []
+    for name, level, bound, above in DASHBOARD:
+        out = rates[name] > bound if above else rates[name] < bound
+        found.append(F.when(out & (attempts[name] > 0) if name in attempts else out, F.struct(F.lit(name).alias("name"), F.lit(level).alias("level"), rates[name].alias("rate"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def critical(p95_ms: Column, error_rate: Column, pass_rate: Column, hallucination_rate: Column, bounds: dict[str, float] = CRITICAL) -> Column:
+    """How many of the four bounds of a release are breached; two call for a rollback."""
+    return breaches(p95_ms / 1000 > bounds["p95_latency"], error_rate > bounds["error_rate"], pass_rate < bounds["verification_pass_rate"], hallucination_rate > bounds["hallucination_rate"])

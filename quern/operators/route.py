@@ -1,4 +1,4 @@
-"""Query understanding and routing as projections: rewriting, intents, plans, fallbacks."""
+"""Query understanding and routing as projections: rewriting, query types, intents, plans, failures and what follows them."""
 
 from __future__ import annotations
 
@@ -9,53 +9,206 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-#: Separators that split a question, synonyms, and words left out when a search is tried again.
-SEPARATORS = ("以及", "并且", "还有", "另外", "同时", "；", ";", "，", ",", "、")
-SYNONYMS = (("登录", "登录 登陆 认证"), ("报错", "报错 错误 异常"), ("权限", "权限 授权 许可"), ("部署", "部署 发布 上线"), ("配置", "配置 设置 参数"), ("接口", "接口 API"), ("文档", "文档 手册 说明"))
-STOP_WORDS = ("的", "了", "是", "在", "怎么", "如何", "什么", "请问", "a", "an", "the", "is", "are", "how", "what", "to", "of", "in", "and")
-#: What names an intent, in the order in which they are tried.
-INTENT_PATTERNS = (
-    ("error_diagnosis", r"(?i)error|exception|failed|报错|错误|异常|失败|\b\d{8,}\b"),
-    ("migration", r"(?i)migrat|upgrade|deprecat|迁移|升级|废弃|替代"),
-    ("code_generation", r"(?i)write .*code|sample code|example|示例|代码|实现|demo"),
-    ("api_usage", r"(?i)\bapi\b|@ohos|interface|接口|调用|用法"),
-    ("concept_qa", r"(?i)what is|explain|什么是|原理|区别|介绍"),
+#: Separators that split a question.
+SEPARATORS = ("？", "?", "；", ";", "。", "和", "与", "以及", "还有", "另外")
+#: Synonyms that are put in after the first occurrence of a word.
+SYNONYMS = {
+    "API": "API 接口 应用程序接口",
+    "认证": "认证 鉴权 登录",
+    "密码": "密码 口令 凭证",
+    "错误": "错误 异常 报错 故障",
+    "权限": "权限 授权 访问控制",
+    "配置": "配置 设置 参数",
+    "部署": "部署 上线 发布",
+}
+#: Words left out when a search is tried again.
+STOP_WORDS = ("的", "了", "是", "在", "和", "也", "就", "都", "而", "及", "与", "着", "或", "一个", "没有", "我们", "你们", "他们", "这个", "那个", "什么", "怎么", "为什么", "如何", "我", "你", "他", "她", "它")
+#: Markers of query types.
+SEMANTIC_MARKERS = ("是什么", "为什么", "如何", "怎样", "含义", "区别", "关系", "影响")
+KEYWORD_MARKERS = ("工单", "TKT-", "错误码", "AUTH_", "版本", "配置")
+#: What names an intent; letters in either case.
+INTENT_PATTERNS = {
+    "error_diagnosis": (
+        r"报错|错误|异常|失败|error|failed|exception|denied|hvigor|crash|白屏|黑屏|闪退|卡顿|OOM|ANR|不工作|不行|无法|超时|401|403|404|500|502|503|"
+        r"崩溃|宕机|挂掉|起不来|打不开|没反应|SIGABRT|SIGSEGV|TypeError|ReferenceError|SyntaxError|RangeError|URIError|BusinessError|ArkTS:ERROR|"
+        r"compile.*failed|runtime.*error|install.*fail|启动.*闪退|启动.*黑屏|启动.*白屏|启动.*卡住"
+    ),
+    "project_debug": r"项目|页面|启动|首页|运行|工程|模块|编译|构建|build|打包|签名|发布|部署|安装|真机|模拟器|设备|预览|DevEco|IDE|调试|debug|运行不了|跑不起来|打不开页面|进不去|点了没反应",
+    "code_generation": (
+        r"写一个|生成|实现|封装|demo|示例代码|代码|怎么写|如何写|怎么实现|怎么封装|怎么生成|帮我写|帮我实现|帮我生成|给我.*代码|"
+        r"一段代码|代码片段|snippet|example|完整代码|参考代码|代码示例|sample|模板|template|脚手架|scaffold"
+    ),
+    "migration": (
+        r"迁移|升级|替换|改成|废弃|deprecated|从.*到|换成|替代|取代|改为|转为|不再维护|不再支持|下架|移除|淘汰|迁移到|升级到|替换为|替换成|"
+        r"迁移方案|升级方案|迁移步骤|新版本|旧.*API|新.*API"
+    ),
+    "api_usage": (
+        r"怎么用|如何使用|参数|返回值|接口|组件|API|使用方法|调用方式|怎么调|如何调|怎么发|如何发|传入什么|返回什么|参数说明|接口说明|"
+        r"有哪些参数|参数列表|返回值类型|怎么调用|如何调用|调用示例|怎么请求|如何请求|调用方法|用法|使用方式|使用方法|配置项|配置参数|配置方法|"
+        r"GET\s*请求|POST\s*请求|HTTP\s*请求|@ohos\.\w+"
+    ),
+    "concept_qa": (
+        r"是什么|区别|原理|机制|生命周期|什么是|什么意思|含义|概念|有什么不同|和.*区别|和.*有什么不同|作用|功能|用途|介绍|说明|概述|"
+        r"架构|设计.*理念|设计.*思想|为什么.*要|为什么要|关系|联系|关联|优点|缺点|优势|劣势|适用场景"
+    ),
+}
+#: What names a scenario; letters in either case.
+SCENARIO_PATTERNS = {
+    "white_screen": r"白屏|white\s*screen|页面.*白|空白.*页",
+    "black_screen": r"黑屏|black\s*screen|页面.*黑",
+    "crash": r"闪退|crash|崩溃|SIGABRT|SIGSEGV|ANR",
+    "permission_error": r"permission\s*denied|权限.*拒绝|权限.*错误|无权限|没权限|权限.*失败",
+    "build_error": r"编译.*错误|编译.*失败|build.*fail|hvigor.*ERROR|compile.*error",
+    "install_error": r"安装.*失败|install.*fail|签名.*错误|打包.*失败",
+    "network_error": r"网络.*错误|网络.*异常|http.*error|请求.*失败|timeout|超时|连接.*失败",
+    "router_to_navigation": r"Router.*Navigation|router.*navigation|路由.*迁移|路由.*升级",
+    "fa_to_stage": r"FA.*Stage|fa.*stage|FA模型.*Stage|元服务.*迁移",
+    "js_to_arkts": r"JS.*ArkTS|js.*arkts|JavaScript.*ArkTS|JS.*迁移",
+    "api_deprecation": r"deprecated|废弃|不再.*维护|API.*变更|API.*变化|接口.*变更",
+    "lifecycle": r"生命周期|lifecycle|onCreate|onDestroy|onForeground|onBackground",
+    "data_persistence": r"数据.*存储|持久化|preferences|database|KV|关系型|数据库",
+    "ui_layout": r"布局|layout|排列|对齐|居中|flex|Column|Row|Stack",
+    "navigation": r"导航|跳转|Navigation|Router|页面.*跳转|路由",
+    "notification": r"通知|Notification|notification|推送|push",
+    "distributed": r"分布式|distributed|跨设备|多设备|协同|continuation",
+}
+#: Tools that an intent calls for besides the two searches, those that scenarios add, and modes.
+INTENT_TOOLS = {
+    "error_diagnosis": ("error_diagnosis_search", "official_doc_search"),
+    "code_generation": ("sample_code_search", "api_reference_search", "official_doc_search", "code_review"),
+    "migration": ("graph_search", "official_doc_search", "api_reference_search"),
+    "api_usage": ("api_reference_search", "sample_code_search", "official_doc_search"),
+    "concept_qa": ("official_doc_search", "hybrid_rag_search"),
+}
+SCENARIO_TOOLS = {"version_compatibility_check": ("permission_error",), "ticket_search": ("build_error", "install_error")}
+INTENT_MODES = {"migration": "graph_first", "code_generation": "parallel", "api_usage": "parallel"}
+#: Features of a query that routing asks for; letters as they are.
+FEATURES = {
+    "relation": r"关系|依赖|调用链|影响.*哪些|导致|上下游|链路|生命周期|路径|关联|有关|涉及|联系|相连|连接|触发|回调|监听|订阅|通知|依赖关系|调用关系|什么关系|之间.*关系",
+    "error_code": r"\b\d{4,10}\b|\bERR[A-Z_]+\b|\bAUTH_\w+\b|\b[A-Z]{2,6}_\d{3,8}\b",
+    "api_name": r"@ohos\.\w+|@\w+\.\w+|\b\w+API\b|\bimport\s+\{",
+    "class_name": r"\b[A-Z][a-z]+Ability\b|\bclass\s+\w+|\bextends\s+\w+|\bComponent\b",
+    "function_name": r"\bon\w+Create\b|\bon\w+Destroy\b|\b\w+\(\)",
+    "config_name": r"\b[A-Z_]{3,30}\b|module\.json|app\.json|\.env\b",
+    "semantic": r"为什么|怎么解决|可能原因|如何优化|区别|排查|怎么办|如何|怎么|怎样|什么是|含义|原因|可能|建议|推荐|最佳实践|有哪些|介绍|说明|解释",
+    "several_entities": r"\b[A-Z][a-zA-Z]+\b.*(?:和|与|、|,|and).*\b[A-Z][a-zA-Z]+\b",
+}
+CODE_QUERY = (
+    r"代码|示例|example|怎么写|怎么调用|demo|snippet|接入|使用示例|用法|implement|how\s+to\s+use|调用方法|怎么用|使用方法|"
+    r"code\s+sample|example\s+code|完整示例|参考代码|代码片段"
 )
-RELATIONAL = r"(?i)depends? on|relation|between|caused? by|依赖|关系|影响|之间|导致"
-EXACT = r"\b\d{8,}\b|@ohos\.[\w.]+|\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
-SEMANTIC = r"(?i)what is|why|explain|什么是|为什么|原理|介绍|区别"
-#: Weights and depths of the plans.
+#: Plans with their mode, weights and depths, how many rows each source gives, and how far the graph is followed.
 PLANS = {
-    "hybrid": {"keyword": 0.4, "vector": 0.6, "graph": 0.0, "graph_depth": 0},
-    "graph_first": {"keyword": 0.2, "vector": 0.3, "graph": 0.5, "graph_depth": 2},
-    "exact": {"keyword": 0.7, "vector": 0.3, "graph": 0.0, "graph_depth": 0},
-    "semantic": {"keyword": 0.2, "vector": 0.6, "graph": 0.2, "graph_depth": 1},
-    "default": {"keyword": 0.3, "vector": 0.5, "graph": 0.2, "graph_depth": 1},
+    "hybrid_only": {"mode": "hybrid_only", "keyword": 0.4, "vector": 0.6, "graph": 0.0, "keyword_k": 5, "vector_k": 5, "graph_k": 0, "graph_depth": 0},
+    "graph_first": {"mode": "graph_first", "keyword": 0.2, "vector": 0.3, "graph": 0.5, "keyword_k": 5, "vector_k": 5, "graph_k": 30, "graph_depth": 2},
+    "deep_keyword": {"mode": "parallel", "keyword": 0.6, "vector": 0.25, "graph": 0.15, "keyword_k": 10, "vector_k": 5, "graph_k": 15, "graph_depth": 1},
+    "deep_vector": {"mode": "parallel", "keyword": 0.2, "vector": 0.65, "graph": 0.15, "keyword_k": 5, "vector_k": 10, "graph_k": 15, "graph_depth": 1},
+    "exact": {"mode": "parallel", "keyword": 0.7, "vector": 0.3, "graph": 0.0, "keyword_k": 10, "vector_k": 5, "graph_k": 0, "graph_depth": 1},
+    "semantic": {"mode": "parallel", "keyword": 0.2, "vector": 0.6, "graph": 0.2, "keyword_k": 5, "vector_k": 10, "graph_k": 30, "graph_depth": 1},
+    "default": {"mode": "parallel", "keyword": 0.3, "vector": 0.5, "graph": 0.2, "keyword_k": 5, "vector_k": 5, "graph_k": 30, "graph_depth": 1},
 }
-#: What follows a failure, and how often it is tried again.
-FALLBACKS = (("no_results", "rewrite_query", 2), ("low_score", "expand_search", 2), ("tool_failure", "retry_tool", 1), ("verification_failed", "regenerate", 1), ("timeout", "simplify", 1), ("unknown_intent", "clarify", 0), ("step_budget", "human", 0))
+#: Plans that a known intent calls for, and intents that stand for a feature.
+INTENT_PLANS = {"migration": "graph_first", "api_usage": "deep_keyword", "code_generation": "deep_keyword", "error_diagnosis": "deep_keyword", "concept_qa": "deep_vector"}
+RELATIONAL_INTENTS = ("relational", "relationship", "graph_query")
+EXACT_INTENTS = ("exact", "precise", "keyword_lookup")
+SEMANTIC_INTENTS = ("semantic", "explanation", "technical_question")
+#: What follows a failure, and how often it is tried again (None: it is not tried again).
+FALLBACKS = {
+    "permission_denied": ("final_refusal", None),
+    "no_relevant_docs": ("rewrite_query", 1),
+    "low_retrieval_score": ("use_keyword_retriever", 1),
+    "tool_failure": ("retry", 2),
+    "answer_not_grounded": ("regenerate_answer", 1),
+    "llm_failure": ("retry", 1),
+    "unknown_intent": ("human_fallback", None),
+    "code_execution_failed": ("retry", 2),
+    "code_generation_failed": ("retry", 2),
+}
+#: Words that name a programming language, in the order in which languages are tried.
+LANGUAGES = {
+    "python": ("python", "py", "pytest"),
+    "typescript": ("typescript", "ts", "arkts", "ets", "harmonyos", "@ohos"),
+    "javascript": ("javascript", "js", "node"),
+    "bash": ("bash", "shell", "sh", "命令行"),
+}
+
+#: Flags for Java: a dot is anything but a line feed, and classes are Unicode's.
+EXACT_CASE, ANY_CASE = "(?dU)", "(?diuU)"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def named(pairs: list[tuple[Column, str]]) -> Column:
+    """The names whose conditions hold, in order."""
+    return F.filter(F.array(*[F.when(held, F.lit(name)) for held, name in pairs]), lambda x: x.isNotNull())
 
 
 def rewrite(query: Column) -> Column:
     """struct(rewritten, variants, strategy): parts of a compound question, else with synonyms, else unchanged."""
-    parts = F.filter(F.transform(F.split(query, "|".join(SEPARATORS)), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    expanded = reduce(lambda c, s: F.when(F.contains(c, F.lit(s[0])), F.regexp_replace(c, f"^(.*?){s[0]}", f"$1{s[1]}")).otherwise(c), SYNONYMS, query)
-    has_parts, has_synonym = F.size(parts) > 1, expanded != query
-    variants = F.when(has_parts, parts).when(has_synonym, F.array(query, expanded)).otherwise(F.array(query))
-    return F.struct(F.when(~has_parts & has_synonym, expanded).otherwise(query).alias("rewritten"), variants.alias("variants"), F.when(has_parts, "decompose").when(has_synonym, "synonym").otherwise("none").alias("strategy"))
+    at = "|".join("\\" + x if x == "?" else x for x in SEPARATORS)
+    parts = F.filter(F.transform(F.split(query, at), strip), lambda x: x != "")
+    expanded = reduce(lambda c, s: F.regexp_replace(c, f"(?s)^(.*?){s[0]}", f"$1{s[1]}"), SYNONYMS.items(), query)  # no synonym holds a later word
+    several, changed = F.size(parts) > 1, expanded != query
+    rewritten = F.when(several, F.array_join(parts, " ")).otherwise(expanded)
+    variants = F.when(several, F.concat(F.array(query), parts)).when(changed, F.array(query, expanded)).otherwise(F.array(query))
+    return F.struct(rewritten.alias("rewritten"), variants.alias("variants"), F.when(several, "decomposition").when(changed, "expansion").otherwise("none").alias("strategy"))
 
 
 def recovery_rewrite(query: Column) -> Column:
     """The words of a query without stop words, longest first; all of them if nothing else is left."""
-    words = T.words(query)
-    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(query, r"(?U)\s+"), lambda x: x != "")
+    kept = F.filter(words, lambda w: ~F.lower(w).isin(*STOP_WORDS))
     return F.array_join(T.longest_first(F.when(F.size(kept) > 0, kept).otherwise(words)), " ")
 
 
+def query_type(query: Column) -> Column:
+    """semantic or keyword, whichever has more markers in the query; mixed in a tie."""
+    count = lambda marks: reduce(lambda a, m: a + F.contains(query, F.lit(m)).cast("int"), marks, F.lit(0))
+    meaning, words = count(SEMANTIC_MARKERS), count(KEYWORD_MARKERS)
+    return F.when(meaning > words, "semantic").when(words > meaning, "keyword").otherwise("mixed")
+
+
 def intents(query: Column) -> Column:
-    """Candidate intents in order; concept_qa if nothing is named."""
-    named = F.filter(F.array(*[F.when(query.rlike(p), F.lit(name)) for name, p in INTENT_PATTERNS]), lambda x: x.isNotNull())
-    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("concept_qa")))
+    """Candidate intents, the first of which leads; concept_qa if nothing is named.
+
+    Writing code goes before a project's troubles, these before an error, and migration, interfaces and concepts follow.
+    """
+    has = {name: query.rlike(ANY_CASE + p) for name, p in INTENT_PATTERNS.items()}
+    code, project = has["code_generation"], has["project_debug"]
+    found = named([(code & project, "code_generation"), (project, "project_debug"), (has["error_diagnosis"], "error_diagnosis"), (code & ~project, "code_generation"), *((has[x], x) for x in ("migration", "api_usage", "concept_qa"))])
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("concept_qa")))
+
+
+def signals(query: Column) -> Column:
+    """struct of each intent: the different strings that name it, sorted."""
+    return F.struct(*[F.array_sort(F.array_distinct(F.regexp_extract_all(query, F.lit(f"({ANY_CASE}{p})"), 1))).alias(name) for name, p in INTENT_PATTERNS.items()])
+
+
+def scenarios(query: Column) -> Column:
+    return named([(query.rlike(ANY_CASE + p), name) for name, p in SCENARIO_PATTERNS.items()])
+
+
+def tools(primary: Column, hints: Column) -> Column:
+    """Tools for the leading intent: both searches, then its own, and for errors those that scenarios add."""
+    added = named([(F.arrays_overlap(hints, F.array(*map(F.lit, names))), tool) for tool, names in SCENARIO_TOOLS.items()])
+    own = reduce(lambda rest, x: F.when(primary == x[0], F.array(*map(F.lit, x[1]))).otherwise(rest), INTENT_TOOLS.items(), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.lit("keyword_search"), F.lit("vector_search")), own, F.when(primary == "error_diagnosis", added).otherwise(none))
+
+
+def mode(primary: Column) -> Column:
+    return F.coalesce(*[F.when(primary == i, F.lit(m)) for i, m in INTENT_MODES.items()], F.lit("hybrid_only"))
+
+
+def is_code_query(query: Column) -> Column:
+    return query.rlike(EXACT_CASE + CODE_QUERY)
+
+
+def features(query: Column) -> Column:
+    """struct of flags, one for each feature."""
+    return F.struct(*[query.rlike(EXACT_CASE + p).alias(name) for name, p in FEATURES.items()])
 
 
 def intent_confidence(candidates: Column, entities: Column) -> Column:
@@ -64,22 +217,58 @@ def intent_confidence(candidates: Column, entities: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
 
 
-def plan_name(query: Column, graph_on: Column) -> Column:
-    """The plan of a query: relational, exact and semantic questions in this order; hybrid where there is no graph."""
-    return F.when(~graph_on, "hybrid").when(query.rlike(RELATIONAL), "graph_first").when(query.rlike(EXACT), "exact").when(query.rlike(SEMANTIC), "semantic").otherwise("default")
+def plan_name(query: Column, graph_on: Column, intent: Column | None = None) -> Column:
+    """The plan of a query: by its intent where that calls for one, else relational, exact and semantic questions in this order.
+
+    Without a graph all queries take the hybrid plan.
+    """
+    intent = F.coalesce(intent if intent is not None else F.lit("general_question"), F.lit("general_question"))
+    has = {name: query.rlike(EXACT_CASE + p) for name, p in FEATURES.items()}
+    by_intent = F.coalesce(*[F.when(intent == i, F.lit(p)) for i, p in INTENT_PLANS.items()])
+    relational = has["relation"] | intent.isin(*RELATIONAL_INTENTS)
+    exact = has["error_code"] | (has["api_name"] & ~has["semantic"]) | has["class_name"] | has["function_name"] | has["config_name"] | intent.isin(*EXACT_INTENTS)
+    asks = (F.length(query) > 20) & ~has["error_code"] & ~has["api_name"] & query.rlike("什么是|如何|为什么")
+    semantic = (has["semantic"] & ~has["error_code"]) | intent.isin(*SEMANTIC_INTENTS) | asks
+    ruled = F.when(relational, "graph_first").when(exact, "exact").when(semantic, "semantic").otherwise("default")
+    return F.when(~graph_on, "hybrid_only").otherwise(F.coalesce(by_intent, ruled))
 
 
 def plan(name: Column) -> Column:
-    """The plan's weights and depth as a struct."""
-    pick = lambda key: F.coalesce(*[F.when(name == n, F.lit(float(p[key]))) for n, p in PLANS.items()])
-    return F.struct(*[pick(k).alias(k) for k in ("keyword", "vector", "graph", "graph_depth")])
+    """The plan's mode, weights, row counts and depth as a struct."""
+    pick = lambda key: F.coalesce(*[F.when(name == n, F.lit(p[key])) for n, p in PLANS.items()])
+    return F.struct(*[pick(k).alias(k) for k in PLANS["default"]])
 
 
 def fallback(kind: Column, tries: Column) -> Column:
-    """struct(action, escalate): what follows a failure of a kind; escalates when the tries are used up."""
-    action = F.coalesce(*[F.when(kind == k, F.lit(a)) for k, a, _ in FALLBACKS], F.lit("clarify"))
-    most = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, _, n in FALLBACKS], F.lit(0))
-    return F.struct(F.when(tries >= most, "human").otherwise(action).alias("action"), (tries >= most).alias("escalate"))
+    """struct(kind, action, exhausted, recoverable): what follows a failure of a kind after so many tries.
+
+    An unknown kind counts as an unknown intent. When its tries are used up a failure goes to a person.
+    """
+    kind = F.when(kind.isin(*FALLBACKS), kind).otherwise(F.lit("unknown_intent"))
+    action = F.coalesce(*[F.when(kind == k, F.lit(a)) for k, (a, _) in FALLBACKS.items()])
+    most = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, (_, n) in FALLBACKS.items() if n is not None])
+    exhausted = F.coalesce(tries >= most, F.lit(False))
+    action = F.when(exhausted, "human_fallback").otherwise(action)
+    return F.struct(kind.alias("kind"), action.alias("action"), exhausted.alias("exhausted"), (action != "final_refusal").alias("recoverable"))
+
+
+def failure_kind(permissions: Column, intent: Column, docs: Column, best_score: Column, tool_errors: Column, verified: Column) -> Column:
+    """The first failure that a state shows; unknown_intent if it shows none."""
+    return (
+        F.when(~F.array_contains(permissions, "knowledge_search"), "permission_denied")
+        .when(intent == "unknown", "unknown_intent")
+        .when(docs == 0, "no_relevant_docs")
+        .when(best_score < 0.1, "low_retrieval_score")
+        .when(tool_errors > 0, "tool_failure")
+        .when(~verified, "answer_not_grounded")
+        .otherwise("unknown_intent")
+    )
+
+
+def target_language(query: Column) -> Column:
+    """The first programming language of which a word occurs anywhere in the query; typescript if none does."""
+    low = F.lower(query)
+    return F.coalesce(*[F.when(reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False)), F.lit(name)) for name, words in LANGUAGES.items()], F.lit("typescript"))
 
 
 def next_step(last: Column, has_docs: Column, verified: Column, steps: Column, budget: int = 18) -> Column:

@@ -66,10 +66,45 @@ def memory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(order)).filter("r <= 100").select("user_id", "event_id")
 
 
-@Q.query("memory_route", r"""WITH s AS (SELECT conv_id, turn, trim(text) AS t, CASE WHEN regexp_matches(lower(text), 'rag|agent|project|pipeline') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(text, '(?i)\b\d{6}\b|api[_-]?key\s*[:=]\s*\S+|password\s*[:=]\s*\S+|token\s*[:=]\s*\S+|\b1[3-9]\d{9}\b') THEN 5 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS score FROM conversations)
-SELECT conv_id, turn, CAST(score AS INT) AS score, CASE WHEN score >= 4 THEN 'short_term,episodic,semantic' WHEN score >= 3 THEN 'short_term,semantic' ELSE 'short_term' END AS targets FROM s WHERE t <> ''""")
+#: Phrases that are put before turns, as the tables' own texts hold none of the words that routing asks for.
+TOLD = ("", "以后请用中文回答", "我在做一个 RAG 平台", "我主要写 Python 后端", "这次先不用管", "纠正一下 不是 A 是 B", "我负责部署系统", "token = abc123")
+
+
+def sql_told(pattern: str) -> str:
+    return f"regexp_matches(text, '(?-s){pattern}', 'i')"
+
+
+@Q.query("memory_route", rf"""WITH t AS (SELECT conv_id, turn, role, [{", ".join(f"'{x}'" for x in TOLD)}][1 + (conv_id + turn) % {len(TOLD)}] || ' ' || text AS text FROM conversations),
+m AS (SELECT *, CASE {" ".join(f"WHEN {sql_told(p)} THEN '{n}'" for n, p in memory.PROFILE.items())} END AS field, {sql_told(memory.ONE_OFF)} AS once, regexp_matches(text, '(?i)\b\d{{6}}\b|api[_-]?key\s*[:=]\s*\S+|password\s*[:=]\s*\S+|token\s*[:=]\s*\S+|\b1[3-9]\d{{9}}\b') AS secret FROM t),
+s AS (SELECT *, CASE WHEN field IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN {sql_told(memory.LONG_TERM)} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{memory.PROJECT}') THEN 2 ELSE 0 END + (role = 'user')::INT + {sql_told(memory.CORRECTION)}::INT - CASE WHEN once THEN 3 ELSE 0 END - CASE WHEN secret THEN 5 ELSE 0 END - CASE WHEN role = 'assistant' THEN 2 ELSE 0 END AS score FROM m)
+SELECT conv_id, turn, CAST(score AS INT) AS score, field, concat_ws(',', 'short_term', CASE WHEN role = 'system' THEN 'checkpoint' END, CASE WHEN role <> 'system' THEN nullif(concat_ws(',', CASE WHEN turn * 4 >= 20 THEN 'summary' END, CASE WHEN secret THEN 'skip' END, CASE WHEN NOT secret AND field IS NOT NULL AND score >= 3 THEN 'user_profile,semantic' END, CASE WHEN NOT secret AND score >= 4 AND NOT once THEN 'episodic' END), '') END) AS targets FROM s""")
 def memory_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.routes(turns(spark, sf_dir), F.col("role") == "user").select("conv_id", "turn", "score", F.array_join("targets", ",").alias("targets"))
+    """Users' turns count as told before, assistants' as inferred, system turns as states of execution."""
+    slot = ((F.col("conv_id") + F.col("turn")) % len(TOLD) + 1).cast("int")
+    told = turns(spark, sf_dir).withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, TOLD)), slot), F.lit(" "), "text"))
+    routed = memory.routes(told, F.col("role") == "user", F.col("role") == "assistant", F.col("role") == "system", F.col("turn") * 4)
+    return routed.select("conv_id", "turn", "score", "field", F.array_join("targets", ",").alias("targets"))
+
+
+@Q.query("claim_evidence", r"""WITH c AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\n+')) AS claim FROM conversations WHERE role = 'assistant'), d AS (SELECT conv_id, turn AS doc, text FROM conversations WHERE role <> 'assistant'),
+w AS (SELECT DISTINCT conv_id, turn, doc, claim, list_distinct(list_filter(string_split_regex(lower(claim), '\s+'), lambda x: x <> '')) AS own, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS words FROM c JOIN d USING (conv_id))
+SELECT conv_id, turn, claim, doc FROM w WHERE len(own) > 0 AND len(words) > 0 AND len(list_intersect(own, words)) / greatest(len(own), len(words))::DOUBLE > 0.02""")
+def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of answers and the other turns of their conversations that share words with them; these texts share few."""
+    said = turns(spark, sf_dir)
+    lines = said.filter("role = 'assistant'").select("conv_id", "turn", F.explode(F.split("text", r"\n+")).alias("claim")).distinct()
+    return memory.claim_evidence(lines, said.filter("role <> 'assistant'").select("conv_id", F.col("turn").alias("doc"), "text"), 0.02)
+
+
+@Q.query("rule_verdict", r"""WITH a AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN text || ' [1]' ELSE text END AS answer, conv_id % 4 AS docs, 0.001 * (1 + turn) AS best, 0.00095 * (1 + turn) AS mean, conv_id % 3 AS citations, (conv_id % 5 = 0)::INT AS conflicts FROM conversations WHERE role <> 'system'),
+f AS (SELECT *, trim(answer) = '' AS blank, regexp_matches(answer, '参考来源|引用|\[1\]|citation') AS cites FROM a),
+i AS (SELECT *, CASE WHEN blank THEN 'empty' WHEN docs = 0 THEN 'no_docs' ELSE concat_ws(',', CASE WHEN docs >= 2 AND mean > 0 AND best / mean < 1.1 AND best < 0.02 THEN 'noise' END, CASE WHEN NOT cites AND citations > 0 THEN 'no_marks' END, CASE WHEN NOT cites AND citations = 0 THEN 'no_citations' END, CASE WHEN length(trim(answer)) < 10 THEN 'short' END, CASE WHEN conflicts > 0 THEN 'conflicts' END) END AS issues FROM f)
+SELECT conv_id, turn, issues, NOT blank AND docs > 0 AND (issues = '' OR NOT contains(issues, ',')) AS verified FROM i""")
+def rule_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.when(F.col("turn") % 5 == 0, "").when(F.col("turn") % 5 == 1, F.concat("text", F.lit(" [1]"))).otherwise(F.col("text"))
+    verdict = memory.rule_verdict(answer, F.col("conv_id") % 4, 0.001 * (1 + F.col("turn")), 0.00095 * (1 + F.col("turn")), F.col("conv_id") % 3, (F.col("conv_id") % 5 == 0).cast("int"))
+    found = turns(spark, sf_dir).filter("role <> 'system'").select("conv_id", "turn", verdict.alias("v"))
+    return found.select("conv_id", "turn", F.array_join("v.issues", ",").alias("issues"), "v.verified")
 
 
 @Q.query("memory_dedup", "SELECT conv_id, min(turn) AS turn, count(*) AS copies FROM conversations GROUP BY conv_id, sha256(lower(trim(text)))")

@@ -76,10 +76,14 @@ DAILY = """d AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n,
 e AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (event_type = 'error') / count(*) AS error_rate, max(value) AS top FROM events GROUP BY 1)"""
 
 
-@Q.query("rollback_decision", "WITH " + DAILY + " SELECT strftime(day, '%Y-%m-%d') AS day, CAST((top > 400)::INT + (error_rate > 0.2)::INT + (top > 450)::INT AS INT) AS breached, (top > 400)::INT + (error_rate > 0.2)::INT + (top > 450)::INT >= 2 AS rollback FROM e")
+@Q.query("rollback_decision", """WITH d AS (SELECT CAST(ts AS DATE) AS day, max(value) * 100 AS p95, avg((event_type = 'error')::INT::DOUBLE) AS error_rate, avg((event_type <> 'view')::INT::DOUBLE) AS pass_rate, avg((event_type = 'signup')::INT::DOUBLE) AS made_up FROM events GROUP BY 1),
+b AS (SELECT day, (p95 / 1000 > 30)::INT + (error_rate > 0.25)::INT + (pass_rate < 0.85)::INT + (made_up > 0.15)::INT AS breached FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, CAST(breached AS INT) AS breached, breached >= 2 AS rollback FROM b""")
 def rollback_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("error_rate"), F.max("value").alias("top"))
-    breached = monitor.breaches(F.col("top") > 400, F.col("error_rate") > 0.2, F.col("top") > 450)
+    """Days against the critical bounds: the largest value stands for latency, shares of event types for the rates."""
+    share = lambda held: F.avg(held.cast("int").cast("double"))
+    kind = F.col("event_type")
+    daily = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg((F.max("value") * 100).alias("p95"), share(kind == "error").alias("error_rate"), share(kind != "view").alias("pass_rate"), share(kind == "signup").alias("made_up"))
+    breached = monitor.critical(F.col("p95"), F.col("error_rate"), F.col("pass_rate"), F.col("made_up"))
     return daily.select(F.col("day").cast("string").alias("day"), breached.alias("breached"), (breached >= 2).alias("rollback"))
 
 
@@ -92,9 +96,17 @@ def alert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("event_type", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "periods")
 
 
-@Q.query("dashboard_alerts", """SELECT event_type, concat_ws(',', CASE WHEN count(*) > 1500 THEN 'busy' END, CASE WHEN avg(value) > 60 THEN 'slow' END, CASE WHEN event_type = 'error' THEN 'failing' END) AS alerts FROM events GROUP BY event_type""")
+@Q.query("dashboard_alerts", """WITH m AS (SELECT user_id, avg((event_type = 'error')::INT::DOUBLE) AS fallback, avg((event_type = 'signup')::INT::DOUBLE) AS human, count(*) FILTER (event_type IN ('click', 'purchase')) AS tools, coalesce(avg((event_type = 'click')::INT::DOUBLE) FILTER (event_type IN ('click', 'purchase')), 0) AS tool_rate, count(*) FILTER (event_type = 'view') AS checks, coalesce(avg((value > 20)::INT::DOUBLE) FILTER (event_type = 'view'), 0) AS pass_rate FROM events GROUP BY user_id)
+SELECT user_id, concat_ws(',', CASE WHEN fallback > 0.25 THEN 'fallback_rate' END, CASE WHEN human > 0.15 THEN 'human_fallback_rate' END, CASE WHEN tool_rate < 0.9 AND tools > 0 THEN 'tool_success_rate' END, CASE WHEN pass_rate < 0.85 AND checks > 0 THEN 'verification_pass_rate' END) AS alerts FROM m""")
 def dashboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(F.concat_ws(",", F.when(F.count("*") > 1500, "busy"), F.when(F.avg("value") > 60, "slow"), F.when(F.first("event_type") == "error", "failing")).alias("alerts"))
+    """A user's events as a service's: errors fall back, signups go to people, clicks among clicks and purchases succeed, views are checks."""
+    kind = F.col("event_type")
+    share = lambda held, among: F.coalesce(F.avg(F.when(among, held.cast("int").cast("double"))), F.lit(0.0))
+    calls, checks, all_ = kind.isin("click", "purchase"), kind == "view", F.lit(True)
+    rates = {"fallback_rate": share(kind == "error", all_), "human_fallback_rate": share(kind == "signup", all_), "tool_success_rate": share(kind == "click", calls), "verification_pass_rate": share(F.col("value") > 20, checks)}
+    counted = events(spark, sf_dir).groupBy("user_id").agg(*[c.alias(n) for n, c in rates.items()], F.count_if(calls).alias("calls"), F.count_if(checks).alias("checks"))
+    alerts = monitor.dashboard_alerts({n: F.col(n) for n in rates}, {"tool_success_rate": F.col("calls"), "verification_pass_rate": F.col("checks")})
+    return counted.select("user_id", F.array_join(F.transform(alerts, lambda x: x["name"]), ",").alias("alerts"))
 
 
 @Q.query("canary_bucket", "SELECT event_id, CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS BIGINT) AS bucket, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10 AS canary FROM events")

@@ -1,11 +1,11 @@
-"""Query rewriting, intents and plans, with benchmark items, pages and events as their input."""
+"""Query rewriting, intents, plans and failures, with benchmark items, conversations, parts and events as their input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import fusion, route
+from quern.operators import evaluate, fusion, route
 from quern.plans.registry import Registry
 from quern.sources.tables import table
 
@@ -13,28 +13,151 @@ Q = Registry()
 
 STOPS = ", ".join(f"'{w}'" for w in route.STOP_WORDS)
 
+#: Questions that are put before the texts of conversations, as the tables' own texts hold none of the words that rules ask for;
+#: with the intent, the plan and the mode that a person expects.
+QUESTIONS = (
+    ("登录页面报错 401，怎么解决？", "project_debug", "exact", "hybrid_only"),
+    ("从 FA 模型迁移到 Stage 模型有哪些步骤", "migration", "semantic", "graph_first"),
+    ("什么是 Stage 模型；和 FA 有什么区别", "concept_qa", "semantic", "hybrid_only"),
+    ("写一个 Router 跳转 Navigation 的 demo", "code_generation", "default", "parallel"),
+    ("@ohos.net.http 怎么调用 GET 请求", "api_usage", "exact", "parallel"),
+    ("UserService 依赖 AuthService 吗，之间有什么关系", "concept_qa", "graph_first", "hybrid_only"),
+    ("编译失败 hvigor ERROR AUTH_1001", "error_diagnosis", "exact", "hybrid_only"),
+    ("部署配置 权限 API 密码", "project_debug", "default", "hybrid_only"),
+    ("python 脚本 permission denied 闪退", "error_diagnosis", "default", "hybrid_only"),
+    ("工单 TKT-1 版本 配置", "concept_qa", "default", "hybrid_only"),
+    ("hello", "concept_qa", "default", "hybrid_only"),
+)
+ASKED = "q AS (SELECT conv_id, turn, 1 + (conv_id + turn) % " + str(len(QUESTIONS)) + " AS slot, [" + ", ".join(f"'{x[0]}'" for x in QUESTIONS) + "][1 + (conv_id + turn) % " + str(len(QUESTIONS)) + "] || ' ' || text AS query FROM conversations)"
 
-@Q.query("query_rewrite", rf"""WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark), k AS (SELECT item_id, w, list_filter(w, lambda x: x NOT IN ({STOPS})) AS kept FROM w),
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, query, expected_intent, expected_plan, expected_mode): each turn's whole text after one of the questions."""
+    slot = ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS) + 1).cast("int")
+    at = [F.element_at(F.array(*[F.lit(x[i]) for x in QUESTIONS]), slot) for i in range(4)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(at[0], F.lit(" "), "text").alias("query"), *[c.alias(n) for c, n in zip(at[1:], ("expected_intent", "expected_plan", "expected_mode"), strict=True)])
+
+
+def sql_has(pattern: str, any_case: bool = False) -> str:
+    return f"regexp_matches(query, '(?-s){pattern}'" + (", 'i')" if any_case else ")")
+
+
+def sql_count(marks: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(query, '{m}')::INT" for m in marks)
+
+
+def sql_first(pairs: list[tuple[str, str]]) -> str:
+    """The names whose conditions hold, with commas between."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {held} THEN '{name}' END" for held, name in pairs) + ")"
+
+
+NAMED = ASKED + ", h AS (SELECT *, " + ", ".join(f"{sql_has(p, True)} AS {name}" for name, p in route.INTENT_PATTERNS.items()) + " FROM q), i AS (SELECT *, coalesce(nullif(" + sql_first([("code_generation AND project_debug", "code_generation"), ("project_debug", "project_debug"), ("error_diagnosis", "error_diagnosis"), ("code_generation AND NOT project_debug", "code_generation"), *((x, x) for x in ("migration", "api_usage", "concept_qa"))]) + ", ''), 'concept_qa') AS intents FROM h), l AS (SELECT *, split_part(intents, ',', 1) AS intent FROM i)"
+SQL_MODE = "CASE intent " + " ".join(f"WHEN '{i}' THEN '{m}'" for i, m in route.INTENT_MODES.items()) + " ELSE 'hybrid_only' END"
+SCENARIOS = sql_first([(sql_has(p, True), name) for name, p in route.SCENARIO_PATTERNS.items()])
+TOOLS = "'keyword_search,vector_search' || CASE intent " + " ".join(f"WHEN '{i}' THEN ',{','.join(t)}'" for i, t in route.INTENT_TOOLS.items()) + " ELSE '' END || " + " || ".join(f"CASE WHEN intent = 'error_diagnosis' AND regexp_matches(scenarios, '{'|'.join(names)}') THEN ',{tool}' ELSE '' END" for tool, names in route.SCENARIO_TOOLS.items())
+#: DuckDB's word boundary knows ASCII letters only; these texts hold accents. So boundaries of two named things are spelled out.
+SEVERAL = r"(?:^|[^\pL\pN_])[A-Z][a-zA-Z]+(?:[^\pL\pN_\n].*(?:和|与|、|,|and).*[^\pL\pN_\n]|[^\pL\pN_\n].*[、,]|[、,].*[^\pL\pN_\n]|[、,])[A-Z][a-zA-Z]+(?:[^\pL\pN_]|$)"
+FLAGS = "f AS (SELECT *, " + ", ".join(f"{sql_has(SEVERAL if name == 'several_entities' else p)} AS {name}" for name, p in route.FEATURES.items()) + " FROM "
+RULED = """CASE WHEN relation THEN 'graph_first' WHEN error_code OR (api_name AND NOT semantic) OR class_name OR function_name OR config_name {exact} THEN 'exact'
+WHEN (semantic AND NOT error_code) OR (length(query) > 20 AND NOT error_code AND NOT api_name AND regexp_matches(query, '什么是|如何|为什么')) THEN 'semantic' ELSE 'default' END"""
+
+
+@Q.query("query_rewrite", rf"""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark), k AS (SELECT item_id, w, list_filter(w, lambda x: lower(x) NOT IN ({STOPS})) AS kept FROM w),
 p AS (SELECT item_id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE w END) AS x, generate_subscripts(CASE WHEN len(kept) > 0 THEN kept ELSE w END, 1) AS i FROM k) SELECT item_id, string_agg(x, ' ' ORDER BY length(x) DESC, i) AS rewritten FROM p GROUP BY item_id""")
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", route.recovery_rewrite(F.col("text")).alias("rewritten"))
 
 
+SQL_EXPANDED = "query"
+for _word, _put in route.SYNONYMS.items():
+    SQL_EXPANDED = f"regexp_replace({SQL_EXPANDED}, '{_word}', '{_put}')"
+
+
+@Q.query("query_variants", rf"""WITH {ASKED}, p AS (SELECT *, list_filter(list_transform(string_split_regex(query, '{"|".join(("\\" + x) if x == "?" else x for x in route.SEPARATORS)}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts, {SQL_EXPANDED} AS expanded FROM q)
+SELECT conv_id, turn, CASE WHEN len(parts) > 1 THEN array_to_string(parts, ' ') ELSE expanded END AS rewritten, CASE WHEN len(parts) > 1 THEN query || '|' || array_to_string(parts, '|') WHEN expanded <> query THEN query || '|' || expanded ELSE query END AS variants,
+CASE WHEN len(parts) > 1 THEN 'decomposition' WHEN expanded <> query THEN 'expansion' ELSE 'none' END AS strategy FROM p""")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = questions(spark, sf_dir).select("conv_id", "turn", route.rewrite(F.col("query")).alias("r"))
+    return found.select("conv_id", "turn", "r.rewritten", F.array_join("r.variants", "|").alias("variants"), "r.strategy")
+
+
+@Q.query("query_types", f"""WITH {ASKED}, c AS (SELECT *, {sql_count(route.SEMANTIC_MARKERS)} AS s, {sql_count(route.KEYWORD_MARKERS)} AS k FROM q)
+SELECT conv_id, turn, CASE WHEN s > k THEN 'semantic' WHEN k > s THEN 'keyword' ELSE 'mixed' END AS query_type, {sql_has(route.CODE_QUERY)} AS code_query,
+CASE {" ".join("WHEN " + " OR ".join(f"contains(lower(query), '{w}')" for w in words) + f" THEN '{name}'" for name, words in route.LANGUAGES.items())} ELSE 'typescript' END AS language FROM c""")
+def query_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = F.col("query")
+    return questions(spark, sf_dir).select("conv_id", "turn", route.query_type(query).alias("query_type"), route.is_code_query(query).alias("code_query"), route.target_language(query).alias("language"))
+
+
+@Q.query("query_intents", f"""WITH {NAMED}, s AS (SELECT *, {SCENARIOS} AS scenarios FROM l)
+SELECT conv_id, turn, intents, scenarios, {TOOLS} AS tools, {SQL_MODE} AS mode, CAST({" + ".join(f"len(list_distinct(regexp_extract_all(query, '(?-s){p}', 0, 'i')))" for p in route.INTENT_PATTERNS.values())} AS INT) AS signals FROM s""")
+def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = F.col("query")
+    rows = questions(spark, sf_dir).select("conv_id", "turn", route.intents(query).alias("i"), route.scenarios(query).alias("s"), route.signals(query).alias("g"))
+    primary, total = F.col("i")[0], F.lit(0)
+    for name in route.INTENT_PATTERNS:
+        total = total + F.size(F.col("g")[name])
+    return rows.select("conv_id", "turn", F.array_join("i", ",").alias("intents"), F.array_join("s", ",").alias("scenarios"), F.array_join(route.tools(primary, F.col("s")), ",").alias("tools"), route.mode(primary).alias("mode"), total.cast("int").alias("signals"))
+
+
+@Q.query("query_features", f"WITH {ASKED}, {FLAGS} q) SELECT conv_id, turn, {', '.join(route.FEATURES)} FROM f")
+def query_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("conv_id", "turn", route.features(F.col("query")).alias("f")).select("conv_id", "turn", "f.*")
+
+
+KNOWN = "CASE conv_id % 5 WHEN 0 THEN 'migration' WHEN 1 THEN 'api_usage' WHEN 2 THEN 'concept_qa' WHEN 3 THEN 'exact' END"
+
+
+@Q.query("plan_choice", f"""WITH {ASKED}, {FLAGS} q), k AS (SELECT *, {KNOWN} AS known FROM f)
+SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'hybrid_only' WHEN known = 'migration' THEN 'graph_first' WHEN known = 'api_usage' THEN 'deep_keyword' WHEN known = 'concept_qa' THEN 'deep_vector' ELSE {RULED.format(exact="OR coalesce(known, '') = 'exact'")} END AS plan FROM k""")
+def plan_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("conv_id", "turn", route.plan_name(F.col("query"), F.col("conv_id") % 7 != 0, F.expr(KNOWN)).alias("plan"))
+
+
+@Q.query("decision_eval", f"""WITH {NAMED}, {FLAGS} l), d AS (SELECT intent, {SQL_MODE} AS mode, {RULED.format(exact="")} AS plan, slot FROM f), x AS (SELECT *, {", ".join(f"[{', '.join(repr(x[i]) for x in QUESTIONS)}][slot] AS expected_{n}" for i, n in ((1, "intent"), (2, "plan"), (3, "mode")))} FROM d)
+SELECT count(*) AS cases, avg((intent = expected_intent)::INT::DOUBLE) AS intent_accuracy, avg((plan = expected_plan)::INT::DOUBLE) AS plan_accuracy, avg((mode = expected_mode)::INT::DOUBLE) AS mode_accuracy FROM x""")
+def decision_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = F.col("query")
+    rows = questions(spark, sf_dir).withColumn("intent", route.intents(query)[0])
+    return evaluate.decision_accuracy(rows.withColumns({"mode": route.mode(F.col("intent")), "plan": route.plan_name(query, F.lit(True))}))
+
+
+@Q.query("proxy_scores", rf"""WITH {NAMED}, w AS (SELECT *, list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '') AS words FROM l)
+SELECT conv_id, turn, CASE intent {" ".join(f"WHEN '{i}' THEN least(1.0, greatest(0.3, ({' + '.join(f"list_contains(words, '{w}')::INT" for w in x)}) / {float(len(x))}::DOUBLE * 0.9::DOUBLE))" for i, x in evaluate.EXPECTED_WORDS.items())} ELSE 0.7::DOUBLE END::DOUBLE AS faithfulness,
+least(1.0, 0.5::DOUBLE + ((length(query) > 10)::INT + regexp_matches(query, '[?？]')::INT + (len(words) > 3)::INT + regexp_matches(query, '如何|怎么|什么|为什么')::INT + (intent <> 'unknown')::INT) / 10::DOUBLE)::DOUBLE AS relevancy FROM w""")
+def proxy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query, intent = F.col("query"), F.col("intent")
+    return questions(spark, sf_dir).withColumn("intent", route.intents(query)[0]).select("conv_id", "turn", evaluate.proxy_faithfulness(query, intent).alias("faithfulness"), evaluate.proxy_relevancy(query, intent).alias("relevancy"))
+
+
 @Q.query("intent_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{s}', {w}::DOUBLE)" for i, s, w in fusion.intent_weights()) + ") t(intent, source, weight)")
 def intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(fusion.intent_weights(), "intent string, source string, weight double")
 
 
-@Q.query("plan_templates", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {p['keyword']}::DOUBLE, {p['vector']}::DOUBLE, {p['graph']}::DOUBLE, {p['graph_depth']}::DOUBLE)" for n, p in route.PLANS.items()) + ") t(plan, keyword, vector, graph, graph_depth)")
+@Q.query("plan_templates", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p['mode']}', " + ", ".join(f"{p[k]}::DOUBLE" for k in ("keyword", "vector", "graph")) + ", " + ", ".join(f"{p[k]}::INT" for k in ("keyword_k", "vector_k", "graph_k", "graph_depth")) + ")" for n, p in route.PLANS.items()) + ") t(plan, mode, keyword, vector, graph, keyword_k, vector_k, graph_k, graph_depth)")
 def plan_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([(n,) for n in route.PLANS], "plan string")
     return names.select("plan", route.plan(F.col("plan")).alias("p")).select("plan", "p.*")
 
 
-@Q.query("fallback_decisions", """SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 4 >= 1 THEN 'human' ELSE 'retry_tool' END WHEN 'view' THEN CASE WHEN event_id % 4 >= 2 THEN 'human' ELSE 'rewrite_query' END WHEN 'click' THEN CASE WHEN event_id % 4 >= 2 THEN 'human' ELSE 'expand_search' END ELSE 'human' END AS action FROM events""")
+KINDS = {"error": "tool_failure", "view": "no_relevant_docs", "click": "low_retrieval_score", "purchase": "permission_denied", "signup": "unheard_of"}
+
+
+@Q.query("fallback_decisions", f"""WITH k AS (SELECT event_id, event_id % 4 AS tries, CASE event_type {" ".join(f"WHEN '{e}' THEN '{k if k in route.FALLBACKS else 'unknown_intent'}'" for e, k in KINDS.items())} ELSE 'unknown_intent' END AS kind FROM events),
+x AS (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN tries >= {n}" for k, (_, n) in route.FALLBACKS.items() if n is not None)} ELSE false END AS exhausted FROM k),
+a AS (SELECT *, CASE WHEN exhausted THEN 'human_fallback' ELSE CASE kind {" ".join(f"WHEN '{k}' THEN '{a}'" for k, (a, _) in route.FALLBACKS.items())} END END AS action FROM x) SELECT event_id, kind, action, exhausted, action <> 'final_refusal' AS recoverable FROM a""")
 def fallback_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "error", "tool_failure").when(F.col("event_type") == "view", "no_results").when(F.col("event_type") == "click", "low_score").otherwise("unknown_intent")
-    return table(spark, sf_dir, "events").select("event_id", route.fallback(kind, F.col("event_id") % 4)["action"].alias("action"))
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, k) for e, k in KINDS.items()], F.lit("other"))
+    return table(spark, sf_dir, "events").select("event_id", route.fallback(kind, F.col("event_id") % 4).alias("f")).select("event_id", "f.*")
+
+
+@Q.query("failure_kinds", """SELECT event_id, CASE WHEN user_id % 9 = 0 THEN 'permission_denied' WHEN event_type = 'signup' THEN 'unknown_intent' WHEN event_id % 6 = 0 THEN 'no_relevant_docs' WHEN value / 500 < 0.1 THEN 'low_retrieval_score' WHEN event_type = 'error' THEN 'tool_failure' WHEN event_id % 4 = 1 THEN 'answer_not_grounded' ELSE 'unknown_intent' END AS kind FROM events""")
+def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    granted = F.when(F.col("user_id") % 9 == 0, F.array(F.lit("chat"))).otherwise(F.array(F.lit("chat"), F.lit("knowledge_search")))
+    intent = F.when(F.col("event_type") == "signup", "unknown").otherwise("concept_qa")
+    kind = route.failure_kind(granted, intent, F.col("event_id") % 6, F.col("value") / 500, (F.col("event_type") == "error").cast("int"), F.col("event_id") % 4 != 1)
+    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
 
 
 @Q.query("next_steps", """WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'intent' WHEN 1 THEN 'retrieve' WHEN 2 THEN 'context' WHEN 3 THEN 'generate' WHEN 4 THEN 'verify' ELSE '' END AS last, value > 20 AS ok, event_id % 20 AS steps FROM events)

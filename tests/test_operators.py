@@ -157,24 +157,43 @@ def test_intents_and_plans(spark):
     got = [r[0] for r in rows.select(route.intents(F.col("x"))).collect()]
     assert got[0][0] == "error_diagnosis" and got[1][0] == "migration" and got[2] == ["concept_qa"] and "code_generation" in got[3] and got[4] == ["concept_qa"]
     plans = [r[0] for r in rows.select(route.plan_name(F.col("x"), F.lit(True))).collect()]
-    assert plans == ["exact", "default", "semantic", "default", "default"]
-    assert {r[0] for r in rows.select(route.plan_name(F.col("x"), F.lit(False))).collect()} == {"hybrid"}
+    assert plans == ["exact", "exact", "semantic", "default", "default"]
+    assert {r[0] for r in rows.select(route.plan_name(F.col("x"), F.lit(False))).collect()} == {"hybrid_only"}
     assert one(spark, "A 依赖 B 吗", route.plan_name(F.col("x"), F.lit(True))) == "graph_first"
+    assert one(spark, "A 依赖 B 吗", route.plan_name(F.col("x"), F.lit(True), F.lit("concept_qa"))) == "deep_vector"
+    assert got[0] == ["error_diagnosis"] or got[0][0] == "error_diagnosis"
+    assert one(spark, "项目白屏 demo", route.intents(F.col("x"))) == ["code_generation", "project_debug", "error_diagnosis"]
+    assert one(spark, "编译失败 permission denied", route.scenarios(F.col("x"))) == ["permission_error", "build_error"]
+    assert one(spark, "", route.tools(F.lit("error_diagnosis"), F.array(F.lit("permission_error"), F.lit("build_error")))) == ["keyword_search", "vector_search", "error_diagnosis_search", "official_doc_search", "version_compatibility_check", "ticket_search"]
+    assert one(spark, "", route.tools(F.lit("project_debug"), F.array(F.lit("build_error")))) == ["keyword_search", "vector_search"]
+    assert [one(spark, x, route.query_type(F.col("x"))) for x in ("为什么", "工单 版本", "如何 配置")] == ["semantic", "keyword", "mixed"]
 
 
 def test_rewrite(spark):
-    r = one(spark, "如何登录，怎么部署", route.rewrite(F.col("x")))
-    assert (r.strategy, r.variants) == ("decompose", ["如何登录", "怎么部署"])
-    r = one(spark, "登录失败", route.rewrite(F.col("x")))
-    assert (r.strategy, r.rewritten) == ("synonym", "登录 登陆 认证失败")
-    assert one(spark, "plain", route.rewrite(F.col("x"))).strategy == "none"
-    assert one(spark, "how to fix the broken pipe", route.recovery_rewrite(F.col("x"))) == "broken pipe fix"
-    assert one(spark, "how to", route.recovery_rewrite(F.col("x"))) == "how to"
+    r = one(spark, "如何登录？怎么部署", route.rewrite(F.col("x")))
+    assert (r.strategy, r.rewritten, r.variants) == ("decomposition", "如何登录 怎么部署", ["如何登录？怎么部署", "如何登录", "怎么部署"])
+    r = one(spark, "API 认证错误 API", route.rewrite(F.col("x")))
+    assert (r.strategy, r.rewritten) == ("expansion", "API 接口 应用程序接口 认证 鉴权 登录错误 异常 报错 故障 API")
+    assert one(spark, "plain?", route.rewrite(F.col("x"))).strategy == "none"
+    assert one(spark, "如何 fix 的 Broken 我们 pipe", route.recovery_rewrite(F.col("x"))) == "Broken pipe fix"
+    assert one(spark, "如何 的", route.recovery_rewrite(F.col("x"))) == "如何 的"
 
 
 def test_fallbacks(spark):
-    assert tuple(one(spark, "no_results", route.fallback(F.col("x"), F.lit(0)))) == ("rewrite_query", False)
-    assert tuple(one(spark, "no_results", route.fallback(F.col("x"), F.lit(2)))) == ("human", True)
+    kind = lambda x, n: tuple(one(spark, x, route.fallback(F.col("x"), F.lit(n))))
+    assert kind("no_relevant_docs", 0) == ("no_relevant_docs", "rewrite_query", False, True)
+    assert kind("no_relevant_docs", 1) == ("no_relevant_docs", "human_fallback", True, True)
+    assert kind("permission_denied", 9) == ("permission_denied", "final_refusal", False, False)
+    assert kind("odd", 9) == ("unknown_intent", "human_fallback", False, True)
+
+
+def test_memory_routes(spark):
+    rows = [(1, "以后请用中文回答"), (2, "我在做一个 RAG 平台"), (3, "今天我在做一个 RAG 平台"), (4, "password: x 以后用中文"), (5, " "), (6, "我主要写 Python，我负责 Agent 项目")]
+    got = {r.turn: (r.score, r.field, r.targets) for r in memory.routes(spark.createDataFrame(rows, "turn int, text string"), F.lit(False)).collect()}
+    assert got == {
+        1: (3, "preferred_language", ["short_term", "user_profile", "semantic"]), 2: (4, None, ["short_term", "episodic"]), 3: (1, None, ["short_term"]),
+        4: (-2, "preferred_language", ["short_term", "skip"]), 6: (7, "primary_stack", ["short_term", "user_profile", "semantic", "episodic"]),
+    }
 
 
 def test_importance_ages(spark):
