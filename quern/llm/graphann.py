@@ -300,7 +300,7 @@ def walk(starts: DataFrame, graph: DataFrame, kind: str, k: int, beam: int, slac
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable((b.slice(at, 256) for at in range(0, len(b), 256)) for b in batches):  # a row holds two widths of vectors
             out: tuple[list, list, list] = ([], [], [])
             cols = [batch.column(c).to_pylist() for c in ("query", "code", "bound", "codes")]
             ids = batch.column("ids")
