@@ -80,10 +80,10 @@ def word_ends(path: str) -> np.ndarray:
 class WordEncoder:
     """Encodes batches of texts. Keeps the ids of the first max_words distinct words; others are encoded when they come.
 
-    A task makes its own, so what it keeps goes with the task: some 10 MB at 50,000 words, most of which are frequent ones.
+    A task makes its own, so what it keeps goes with the task: some 50 MB at 250,000 words.
     """
 
-    def __init__(self, path: str, max_words: int = 50_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         self.tokenizer, self.max_words, self.ends_word = library_tokenizer(path), max_words, word_ends(path)
         self.place: dict[str, int] = {"": 0}  # the split leaves an empty string at an end with white space
         self.n, self.used = 1, 0
