@@ -91,9 +91,20 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     return ranked(scored, "query_id", [F.desc("score"), F.col("vec_id")], k)
 
 
-def confidence(hits: DataFrame) -> DataFrame:
-    """(query_id, confidence): mean score, discounted below ten hits."""
-    return hits.groupBy("query_id").agg(F.round(F.avg("score") * F.least(F.lit(1.0), F.count("*") / 10), 4).alias("confidence"))
+def scores_of_all(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, score): the scores of each query's hits, and one null for a query without any."""
+    return queries.select("query_id").distinct().join(hits.select("query_id", "score"), "query_id", "left")
+
+
+def confidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, confidence): mean score, discounted below ten hits; 0 without any."""
+    mean = F.avg("score") * F.least(F.lit(1.0), F.count("score") / 10)
+    return scores_of_all(queries, hits).groupBy("query_id").agg(F.coalesce(F.round(mean, 4), F.lit(0.0)).alias("confidence"))
+
+
+def needs_external(queries: DataFrame, hits: DataFrame, least: int = 5, score: float = 0.3) -> DataFrame:
+    """(query_id, external): whether a query has too few hits, or none, or only weak ones."""
+    return scores_of_all(queries, hits).groupBy("query_id").agg(((F.count("score") < least) | (F.max("score") < score)).alias("external"))
 
 
 def cascade(*levels: DataFrame) -> DataFrame:

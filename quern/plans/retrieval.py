@@ -110,9 +110,9 @@ def vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(queries, vectors.filter("label = 3"), 5)
 
 
-@Q.query("search_confidence", BASE + "SELECT query_id, round(avg(score) * least(1.0, count(*) / 10), 4) AS confidence FROM ov WHERE rank <= 7 GROUP BY query_id")
+@Q.query("search_confidence", BASE + "SELECT query_id, coalesce(round(avg(score) * least(1.0, count(score) / 10), 4), 0.0) AS confidence FROM q LEFT JOIN (SELECT query_id, score FROM ov WHERE rank <= 7) USING (query_id) GROUP BY query_id")
 def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.confidence(overlap(spark, sf_dir, 7))
+    return search.confidence(asked(spark, sf_dir), overlap(spark, sf_dir, 7))
 
 
 @Q.query("minimum_score", BASE + """, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ov WHERE rank <= 10)
@@ -255,21 +255,21 @@ def hybrid_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.query("retrieval_eval", BASE + """, rel AS (SELECT query_id, rank, CAST(contains(content, query) AS INT) AS hit FROM ov JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE rank <= 10),
 total AS (SELECT query_id, count(*) AS n FROM q JOIN c ON contains(content, query) GROUP BY query_id),
-per AS (SELECT query_id, max(CASE WHEN rank <= 3 THEN hit ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS hit5, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / coalesce(any_value(n), 1) AS recall5, coalesce(max(CASE WHEN hit = 1 THEN 1.0 / rank END), 0) AS mrr FROM rel LEFT JOIN total USING (query_id) GROUP BY query_id)
+per AS (SELECT query_id, max(CASE WHEN rank <= 3 THEN hit ELSE 0 END) AS hit3, max(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS hit5, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / coalesce(any_value(n), 1) AS recall5, coalesce(max(CASE WHEN hit = 1 THEN 1.0 / rank END), 0) AS mrr FROM q LEFT JOIN rel USING (query_id) LEFT JOIN total USING (query_id) GROUP BY query_id)
 SELECT count(*) AS queries, round(avg(hit3), 4) AS hit_at_3, round(avg(hit5), 4) AS hit_at_5, round(avg(recall5), 4) AS recall_at_5, round(avg(mrr), 4) AS mrr FROM per""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is relevant if it holds the whole item. Those that do share all its words, so overlap hits are enough to look at."""
     everything = overlap(spark, sf_dir, None).select("query_id", "chunk_id", "rank", "score")
     rows = everything.filter("score = 1 OR rank <= 10").join(asked(spark, sf_dir), "query_id").join(chunks(spark, sf_dir), "chunk_id").select("query_id", "rank", F.contains("content", "query").cast("int").alias("hit"))
     within = lambda k: F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)
-    per = rows.groupBy("query_id").agg(F.max(within(3)).alias("hit3"), F.max(within(5)).alias("hit5"), (F.sum(within(5)) / F.greatest(F.sum("hit"), F.lit(1))).alias("recall5"), F.coalesce(F.max(F.when((F.col("hit") == 1) & (F.col("rank") <= 10), 1 / F.col("rank"))), F.lit(0.0)).alias("mrr"))
+    per = asked(spark, sf_dir).select("query_id").join(rows, "query_id", "left").groupBy("query_id").agg(F.max(within(3)).alias("hit3"), F.max(within(5)).alias("hit5"), (F.sum(within(5)) / F.greatest(F.sum("hit"), F.lit(1))).alias("recall5"), F.coalesce(F.max(F.when((F.col("hit") == 1) & (F.col("rank") <= 10), 1 / F.col("rank"))), F.lit(0.0)).alias("mrr"))
     mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
     return per.agg(F.count("*").alias("queries"), mean("hit3", "hit_at_3"), mean("hit5", "hit_at_5"), mean("recall5", "recall_at_5"), mean("mrr", "mrr"))
 
 
-@Q.query("external_trigger", BASE + "SELECT query_id, count(*) < 5 OR max(score) < 0.3 AS external FROM ov WHERE rank <= 10 GROUP BY query_id")
+@Q.query("external_trigger", BASE + "SELECT query_id, count(score) < 5 OR max(score) < 0.3 AS external FROM q LEFT JOIN (SELECT query_id, score FROM ov WHERE rank <= 10) USING (query_id) GROUP BY query_id")
 def external_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap(spark, sf_dir).groupBy("query_id").agg(((F.count("*") < 5) | (F.max("score") < 0.3)).alias("external"))
+    return search.needs_external(asked(spark, sf_dir), overlap(spark, sf_dir))
 
 
 @Q.query("citations", BASE + """SELECT query_id, rank AS citation, chunk_id, source, substr(content, 1, 120) AS excerpt FROM top WHERE rank <= 5""")
