@@ -8,17 +8,85 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of entities and the patterns that find them, in the order in which they are tried.
-ENTITY_PATTERNS = (
-    ("ERROR_CODE", r"\b(\d{8,})\b"),
-    ("API", r"(@ohos\.[\w.]+)"),
-    ("API_LEVEL", r"\b(API\s*\d{1,2})\b"),
-    ("VERSION", r"\b(v?\d+\.\d+(?:\.\d+)*)\b"),
-    ("FUNCTION", r"\b([a-z_]\w+)\(\)"),
-    ("CLASS", r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"),
-    ("FILE", r"\b([\w-]+\.(?:ets|ts|js|py|json5?|md))\b"),
-)
-#: How two entities are related, by the words between them.
+#: Kinds of entities and the patterns that find them, in the order in which they are tried; letters in either case.
+ENTITY_PATTERNS = {
+    "ERROR_CODE": [
+        r"\b\d{5,10}\b",
+        r"\bERR[A-Z_]+\b",
+        r"\bAUTH_\w+\b",
+        r"\b[A-Z]{2,6}_\d{3,8}\b",
+        r"\b错误码\s*[:：]?\s*\d+\b",
+        r"\bError\s*Code\s*[:：]?\s*\d+\b",
+    ],
+    "API": [
+        r"@ohos\.\w+(?:\.\w+)*",
+        r"\b[A-Z]\w*API\b",
+        r"\b\w+接口\b",
+        r"\bAPI\s+\w+\b",
+        r"\bREST\w*\s+API\b",
+        r"\b\w+\.\w+\(\)",
+        r"\bimport\s+\{[^}]+\}\s+from\s+['\"][^'\"]+['\"]",
+    ],
+    "FUNCTION": [
+        r"\b(onCreate|onDestroy|onStart|onStop|onResume|onPause)\b",
+        r"\b(onWindowStageCreate|onWindowStageDestroy)\b",
+        r"\b(onForeground|onBackground)\b",
+        r"\b(onPageShow|onPageHide|onBackPress)\b",
+        r"\b\w+\(.*?\)\s*\{",
+        r"\b(function|async function)\s+(\w+)",
+        r"\b(def\s+\w+\()",
+    ],
+    "CLASS": [
+        r"\bclass\s+(\w+)",
+        r"\b(Ability|EntryAbility|UIAbility|ServiceAbility|DataAbility)\b",
+        r"\bextends\s+(\w+)",
+        r"\bimplements\s+(\w+)",
+        r"\b@Component\b",
+        r"\b@Entry\b",
+        r"\b@Component\s*\n\s*struct\s+(\w+)",
+    ],
+    "CONFIG": [
+        r"\b[A-Z_]{3,30}\s*=\s*",
+        r"\b(config|Config|CONFIG)\w*\b",
+        r"\b(\.env|\.json|\.yaml|\.xml)\b",
+        r"\b配置\w*\s*[:：]",
+        r"\bmodule\.json5?\b",
+        r"\bapp\.json5?\b",
+    ],
+    "MODULE": [
+        r"\b@ohos\.\w+\b",
+        r"\bimport\s+.*\s+from\s+['\"]@ohos\.\w+['\"]",
+        r"\b(ohos\.\w+(?:\.\w+)*)\b",
+        r"\bnpm\s+(install|i)\s+\S+",
+    ],
+    "LIFECYCLE": [
+        r"\b生命周期\b",
+        r"\blifecycle\b",
+        r"\bLifeCycle\b",
+        r"\b(onCreate|onDestroy|onStart|onStop|onWindowStageCreate)\b",
+        r"\b(AbilityLifecycleCallback)\b",
+        r"\b(UIAbility onCreate onDestroy)\b",
+    ],
+    "COMPONENT": [
+        r"\b@Component\b",
+        r"\b@Entry\b",
+        r"\bstruct\s+(\w+)",
+        r"\b(Button|Text|Image|List|Column|Row|Flex)\b",
+        r"\bbuild\(\)\s*\{",
+        r"\b@Builder\b",
+    ],
+    "CONCEPT": [
+        r"\b(ArkTS|ArkUI|Stage模型|FA模型)\b",
+        r"\b(页面跳转|路由|导航)\b",
+        r"\b(HAP|HAR|HSP)\b",
+        r"\b(签名|证书|权限)\b",
+        r"\b(白屏|黑屏|闪退|崩溃)\b",
+        r"\b(性能优化|内存泄漏|卡顿)\b",
+    ],
+}
+#: What is cut from either end of a match to give a name.
+NAME_LEAD, NAME_TAIL = r"^(?:import|from|class|function|struct)\s+", r"[;:,{}\[\]()'\"]+$"
+#: How two entities are related, by the words between them.
 RELATION_PATTERNS = (("DEPENDS_ON", r"depends on|requires|依赖"), ("REPLACES", r"replaces|supersedes|替代"), ("CAUSES", r"causes|leads to|导致"), ("CALLS", r"calls|invokes|调用"))
 
 
@@ -87,22 +155,29 @@ def cooccurrence(mentions: DataFrame, within: int = 300) -> DataFrame:
 
 
 def extract_entities(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, name, normalized, kind, pos, snippet): first mention of each name and kind in a chunk."""
+    """(chunk_id, name, normalized, kind, pos, snippet): first mention of each name and kind in a chunk.
+
+    A name is a match's first group if that has two characters, else the whole match without keywords before it. Names of
+    one character are left out; null and empty texts have no rows. Symbols of code are those of quern.operators.documents.
+    """
     import re
 
-    rules = [(kind, re.compile(p, re.IGNORECASE | re.MULTILINE) if kind not in ("CLASS", "FUNCTION") else re.compile(p, re.MULTILINE)) for kind, p in ENTITY_PATTERNS]
+    rules = [(kind, re.compile(p, re.IGNORECASE | re.MULTILINE)) for kind, patterns in ENTITY_PATTERNS.items() for p in patterns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for chunk, text in zip(frame.chunk_id, frame.content, strict=True):
-                seen = set()
+                first = {}
                 for kind, rule in rules:
                     for m in rule.finditer(text or ""):
-                        name = m[1].strip()
-                        if name and (key := (name.lower(), kind)) not in seen:
-                            seen.add(key)
-                            rows.append((chunk, name, name.lower(), kind, m.start(1), text[max(0, m.start(1) - 40) : m.end(1) + 40]))
+                        group = 1 if m.lastindex and len(m[1] or "") > 1 else 0
+                        name = m[1] if group else re.sub(NAME_LEAD, "", m[0].strip())
+                        name = re.sub(NAME_TAIL, "", name).strip()
+                        if len(name) > 1:
+                            snippet = text[max(0, m.start() - 40) : m.end() + 40].replace("\n", " ").strip()
+                            first.setdefault((name.lower(), kind), (chunk, name, name.lower(), kind, m.start(group), snippet))
+                rows.extend(first.values())
             yield pd.DataFrame(rows, columns=["chunk_id", "name", "normalized", "kind", "pos", "snippet"])
 
     return chunks.select("chunk_id", "content").mapInPandas(run, "chunk_id string, name string, normalized string, kind string, pos int, snippet string")

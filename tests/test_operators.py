@@ -314,15 +314,30 @@ def test_cooccurrence_bounds(spark):
 
 
 def test_extraction(spark):
-    text = "RouterOptions depends on @ohos.router since API 10, see error 16000001 and pushUrl() in main.ets"
-    chunks = spark.createDataFrame([("c1", text), ("c2", None)], "chunk_id string, content string")
+    text = "class RouterOptions depends on @ohos.router since API 10, see error 16000001, Error Code: 401 and\npage.onCreate() { in module.json5 with ArkTS; struct Index, Button, X_TOKEN = 1"
+    chunks = spark.createDataFrame([("c1", text), ("c2", None), ("c3", ""), ("c4", text)], "chunk_id string, content string")
     found = graph.extract_entities(chunks)
-    got = {(r.name, r.kind) for r in found.collect()}
-    assert {("RouterOptions", "CLASS"), ("@ohos.router", "API"), ("API 10", "API_LEVEL"), ("16000001", "ERROR_CODE"), ("pushUrl", "FUNCTION"), ("main.ets", "FILE")} <= got
+    rows = found.collect()
+    want = {
+        ("RouterOptions", "CLASS"), ("@ohos.router", "API"), ("API 10", "API"), ("page.onCreate", "API"), ("16000001", "ERROR_CODE"), ("error", "ERROR_CODE"), ("Error Code: 401", "ERROR_CODE"),
+        ("onCreate", "FUNCTION"), ("onCreate()", "FUNCTION"), ("onCreate", "LIFECYCLE"), ("ohos.router", "MODULE"), ("module.json5", "CONFIG"), ("X_TOKEN =", "CONFIG"),
+        ("Index", "COMPONENT"), ("Button", "COMPONENT"), ("ArkTS", "CONCEPT"),
+    }
+    assert {(r.name, r.kind) for r in rows} == want
+    assert len(rows) == 2 * len(want) and {r.chunk_id for r in rows} == {"c1", "c4"}
+    assert all(text[r.pos :].startswith(r.name) for r in rows)
     rels = {(r.source, r.target, r.rel) for r in graph.pattern_relations(found, chunks).collect()}
     assert ("RouterOptions", "@ohos.router", "DEPENDS_ON") in rels
 
 
+def test_queries_without_hits(spark):
+    queries = spark.createDataFrame([(1, "a b"), (2, "zz"), (3, None), (4, "")], "query_id long, query string")
+    chunks = spark.createDataFrame([(i, "a b") for i in range(6)], "chunk_id long, content string")
+    hits = search.overlap_search(queries, chunks, 10)
+    assert {r.query_id: r.confidence for r in search.confidence(queries, hits).collect()} == {1: 0.6, 2: 0.0, 3: 0.0, 4: 0.0}
+    assert {r.query_id: r.external for r in search.needs_external(queries, hits).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
 def test_markdown_structure():
     text = "# A  \n二、B\n3) C\n\n| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 | 4 |\ntext\n```py\nimport os\nclass K:\n  def f(self): g()\n```\n```ts\nexport class Foo extends Bar {}\nnew Baz()\n```\n"
     assert documents.find_sections(text) == [(1, "A", 0), (2, "二、B", 6), (2, "3. C", 10)]
