@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """df.checkpoint() in the folder of setCheckpointDir or spark.checkpoint.dir.
+
+    Only where one machine runs all and neither is set is it a temporary folder; on a cluster that is an error, as executors
+    don't see each other's disks.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
