@@ -56,3 +56,27 @@ def contradictions(docs: DataFrame) -> DataFrame:
         F.when((F.size(advice(ta)) > 0) & (F.size(advice(tb)) > 0) & ~F.arrays_overlap(advice(ta), advice(tb)), F.struct(F.lit("recommendation").alias("kind"), F.lit("medium").alias("severity"))),
     )
     return rows.select("query_id", "a", "b", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("query_id", "a", "b", "x.kind", "x.severity")
+
+
+def annotate(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with ``conflicts``, an array of struct(kind, severity) of the contradictions that name their source; empty for others.
+
+    docs (query_id, chunk_id, source, ...), found as ``contradictions`` gives it. Documents of one source share its conflicts.
+    """
+    sides = found.select("query_id", F.explode(F.array("a", "b")).alias("chunk_id"), "kind", "severity")
+    named = sides.join(docs.select("query_id", "chunk_id", "source"), ["query_id", "chunk_id"]).groupBy("query_id", "source").agg(F.array_sort(F.collect_set(F.struct("kind", "severity"))).alias("conflicts"))
+    none = F.array().cast("array<struct<kind:string,severity:string>>")
+    return docs.join(named, ["query_id", "source"], "left").withColumn("conflicts", F.coalesce("conflicts", none))
+
+
+def conflict_stats(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, total_docs, conflicting_docs, consistent_docs, has_conflicts), also for queries without any conflict."""
+    held = F.count_if(F.size("conflicts") > 0)
+    return annotate(docs, found).groupBy("query_id").agg(F.count("*").alias("total_docs"), held.alias("conflicting_docs"), (F.count("*") - held).alias("consistent_docs"), (held > 0).alias("has_conflicts"))
+
+
+def warnings(found: DataFrame) -> DataFrame:
+    """(query_id, warning): the numbered lines that a prompt carries for each contradiction of its documents."""
+    rows = F.array_sort(F.collect_list(F.struct("a", "b", "kind", "severity")))
+    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". **"), x["kind"], F.lit("** (严重程度: "), x["severity"], F.lit(")"))
+    return found.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.concat(F.lit("证据冲突警告\n"), F.array_join(F.transform("rows", line), "\n")).alias("warning"))

@@ -86,8 +86,77 @@ ENTITY_PATTERNS = {
 }
 #: What is cut from either end of a match to give a name.
 NAME_LEAD, NAME_TAIL = r"^(?:import|from|class|function|struct)\s+", r"[;:,{}\[\]()'\"]+$"
-#: How two entities are related, by the words between them.
-RELATION_PATTERNS = (("DEPENDS_ON", r"depends on|requires|依赖"), ("REPLACES", r"replaces|supersedes|替代"), ("CAUSES", r"causes|leads to|导致"), ("CALLS", r"calls|invokes|调用"))
+#: Kinds of relations and the patterns whose groups name their two ends, in the order in which they are tried; letters in either case.
+RELATION_PATTERNS = {
+    "CAUSES": [
+        r"(\w+)\s*(导致|造成|引起|引发|触发)\s*(\w+)",
+        r"(\w+)\s*(因为|由于|原因是)\s*(\w+)",
+        r"(\w+)\s*(causes?|leads?\s+to|results?\s+in|triggers?)\s*(\w+)",
+        r"(白屏|黑屏|闪退|崩溃|报错|异常)\s*(因为|由于|原因是)\s*(\w+)",
+        r"(\w+)\s*(错误|异常|失败|超时|崩溃|卡死)\s*(因为|由于)\s*(\w+)",
+        r"(\w+)\s*(导致|造成)\s*(白屏|黑屏|闪退|崩溃|报错|卡顿)",
+    ],
+    "FIXES": [
+        r"(\w+)\s*(修复|解决|修正|处理)\s*(\w+)",
+        r"(\w+)\s*(fixes?|resolves?|solves?)\s*(\w+)",
+        r"(通过|使用|调用)\s*(\w+)\s*(修复|解决)\s*(\w+)",
+        r"(\w+)\s*修复\s*(错误码|问题|Bug|bug)\s*(\w+)",
+    ],
+    "DEPENDS_ON": [
+        r"(\w+)\s*(依赖|需要|必须|要求|取决于)\s*(\w+)",
+        r"(\w+)\s*(depends?\s+on|requires?|needs?)\s*(\w+)",
+        r"(\w+)\s*(import|require)\s+.*\s+from\s+['\"](\w+)['\"]",
+        r"(\w+)\s*依赖于\s*(\w+)",
+        r"配置\s*(\w+)\s*(依赖|需要)\s*(\w+)",
+    ],
+    "CALLS": [
+        r"(\w+)\s*(调用|执行|触发|启动)\s*(\w+)",
+        r"(\w+)\s*(calls?|invokes?|executes?)\s*(\w+)",
+        r"(\w+)\.(\w+)\(",
+        r"(\w+)\s*调用\s*(\w+)\s*(方法|函数|接口|API)",
+        r"import\s+\{[^}]*(\w+)[^}]*\}\s+from\s+['\"]@ohos\.(\w+)['\"]",
+    ],
+    "BELONGS_TO": [
+        r"(\w+)\s*(属于|归属于|是.*的一部分)\s*(\w+)",
+        r"(\w+)\s*(belongs?\s+to|is\s+part\s+of)\s*(\w+)",
+        r"(\w+)\s*位于\s*(\w+)\s*(模块|包|目录)",
+        r"import\s+.*\s+from\s+['\"]@ohos\.(\w+)['\"]",
+    ],
+    "PART_OF": [
+        r"(\w+)\s*(包含|包括|由.*组成)\s*(\w+)",
+        r"(\w+)\s*(contains?|includes?|consists?\s+of)\s*(\w+)",
+        r"(\w+)\s*(模块|组件|功能)\s*(包含|包括)\s*(\w+)",
+        r"(\w+)\s*是\s*(\w+)\s*的\s*(一部分|子模块|组件)",
+    ],
+    "HAS_LIFECYCLE": [
+        r"(\w+)\s*生命周期\s*(包括|包含|有)\s*(\w+)",
+        r"(\w+)\s*(onCreate|onDestroy|onStart|onStop|onWindowStageCreate)\b",
+        r"(\w+)\s*(的生命周期|生命周期方法|回调|callback)",
+        r"(\w+Ability)\s*(的|拥有|有)\s*(onCreate|onWindowStageCreate|生命周期)",
+    ],
+    "AFFECTS": [
+        r"(\w+)\s*(影响|波及|涉及)\s*(\w+)",
+        r"(\w+)\s*(affects?|impacts?|influences?)\s*(\w+)",
+        r"(\w+)\s*(修改|更新|变更)\s*后?\s*(影响|波及)\s*(\w+)",
+        r"(\w+)\s*变更\s*(会影响|会波及)\s*(\w+)",
+    ],
+    "RELATED_TO": [
+        r"(\w+)\s*(和|与|跟)\s*(\w+)\s*(相关|有关|关联|有关系|相关吗)",
+        r"(\w+)\s*(和|与|跟)\s*(\w+)\s*(有什么关系|的关联|的调用链)",
+        r"(\w+)\s*(is\s+)?related\s+to\s+(\w+)",
+        r"(\w+)\s+→\s+(\w+)",
+        r"(\w+)\s*>\s*(\w+)",
+        r"(\w+)\s*->\s*(\w+)",
+    ],
+    "IMPORTS": [
+        r"import\s+\{[^}]*(\w+)[^}]*\}\s+from\s+['\"]@ohos\.(\w+)['\"]",
+        r"import\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]",
+        r"require\(['\"]([^'\"]+)['\"]\)",
+        r"from\s+(\S+)\s+import\s+(\w+)",
+    ],
+    "EXTENDS": [r"class\s+(\w+)\s+extends\s+(\w+)", r"(\w+)\s+extends\s+(\w+)"],
+    "IMPLEMENTS": [r"class\s+(\w+)\s+implements\s+([\w\s,]+)", r"(\w+)\s+implements\s+([\w\s,]+)"],
+}
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -183,15 +252,62 @@ def extract_entities(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "content").mapInPandas(run, "chunk_id string, name string, normalized string, kind string, pos int, snippet string")
 
 
-def pattern_relations(mentions: DataFrame, chunks: DataFrame, within: int = 80) -> DataFrame:
-    """(chunk_id, source, target, rel): two mentions with a relation's words between them, first one each."""
-    a = mentions.select("chunk_id", F.col("name").alias("source"), F.col("pos").alias("p1"))
-    b = mentions.select("chunk_id", F.col("name").alias("target"), F.col("pos").alias("p2"))
-    pairs = a.join(b, "chunk_id").filter((F.col("p2") > F.col("p1") + F.length("source")) & (F.col("p2") - F.col("p1") <= within))
-    between = F.lower(F.substring(F.col("content"), F.col("p1") + F.length("source") + 1, F.col("p2") - F.col("p1") - F.length("source")))
-    rel = F.coalesce(*[F.when(between.rlike(p), F.lit(name)) for name, p in RELATION_PATTERNS])
-    found = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("rel", rel).filter("rel IS NOT NULL")
-    return found.groupBy("source", "target", "rel").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", "source", "target", "rel")
+def pattern_relations(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, source, target, rel, snippet): patterns whose groups name two different mentions of their chunk.
+
+    The first group that is a mention is the source, the next other one the target; each (source, target, rel) once a
+    chunk. Names are normalized. Chunks without mentions have no rows.
+    """
+    import re
+
+    rules = [(rel, re.compile(p, re.IGNORECASE | re.MULTILINE)) for rel, patterns in RELATION_PATTERNS.items() for p in patterns]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for chunk, text, names in zip(frame.chunk_id, frame.content, frame.names, strict=True):
+                known, first = set(names), {}
+                for rel, rule in rules:
+                    for m in rule.finditer(text or ""):
+                        ends = list(dict.fromkeys(g for g in (x.strip().lower() for x in m.groups() if x and len(x) > 1) if g in known))[:2]
+                        if len(ends) == 2:
+                            first.setdefault((*ends, rel), (chunk, *ends, rel, text[max(0, m.start() - 30) : m.end() + 30].replace("\n", " ").strip()))
+                rows.extend(first.values())
+            yield pd.DataFrame(rows, columns=["chunk_id", "source", "target", "rel", "snippet"])
+
+    named = mentions.groupBy("chunk_id").agg(F.collect_set("normalized").alias("names"))
+    return chunks.select("chunk_id", "content").join(named, "chunk_id").mapInPandas(run, "chunk_id string, source string, target string, rel string, snippet string")
+
+
+def build_graph(chunks: DataFrame, mentions: DataFrame, relations: DataFrame, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, label, name, content) and edges (src, dst, rel, n) of documents, chunks and entities; each key once.
+
+    chunks (doc_id, chunk_id, content); a chunk keeps its first ``most`` characters. An entity is its normalized name, as
+    relations name their ends so; its kinds are in ``content``, in order. n counts the rows that say the same of an edge.
+    """
+    node = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    documents = chunks.select(node("document", "doc_id").alias("node_id"), F.lit("Document").alias("label"), F.col("doc_id").cast("string").alias("name"), none.alias("content"))
+    pieces = chunks.select(node("chunk", "chunk_id").alias("node_id"), F.lit("Chunk").alias("label"), F.col("chunk_id").cast("string").alias("name"), F.substring("content", 1, most).alias("content"))
+    entities = mentions.groupBy("normalized").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("content"))
+    entities = entities.select(node("entity", "normalized").alias("node_id"), F.lit("Entity").alias("label"), F.col("normalized").alias("name"), "content")
+    edges = (
+        chunks.select(node("document", "doc_id").alias("src"), node("chunk", "chunk_id").alias("dst"), F.lit("HAS_CHUNK").alias("rel"))
+        .unionByName(mentions.select(node("chunk", "chunk_id").alias("src"), node("entity", "normalized").alias("dst"), F.lit("MENTIONS").alias("rel")))
+        .unionByName(relations.select(node("entity", "source").alias("src"), node("entity", "target").alias("dst"), "rel"))
+    )
+    nodes = merge_nodes(documents.unionByName(pieces), "node_id").unionByName(entities)
+    return nodes, edges.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
+
+
+def entity_candidates(entities: DataFrame, found: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, chunk_id, doc_id, content, score): entities as candidates of queries without any evidence chunk.
+
+    entities (query_id, entity_id, kind, name, score), found (query_id) of those that have evidence. Best first, ties by id.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    bare = entities.join(found.select("query_id").distinct(), "query_id", "left_anti").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return bare.select("query_id", F.concat(F.lit("entity:"), F.col("entity_id").cast("string")).alias("chunk_id"), F.lit("graph").alias("doc_id"), F.concat(F.lit("["), "kind", F.lit("] "), "name", F.lit(": 知识图谱实体")).alias("content"), "score")
 
 
 def merge_nodes(rows: DataFrame, *key: str) -> DataFrame:

@@ -107,3 +107,65 @@ def dashboard_alerts(rates: dict[str, Column], attempts: dict[str, Column]) -> C
 def critical(p95_ms: Column, error_rate: Column, pass_rate: Column, hallucination_rate: Column, bounds: dict[str, float] = CRITICAL) -> Column:
     """How many of the four bounds of a release are breached; two call for a rollback."""
     return breaches(p95_ms / 1000 > bounds["p95_latency"], error_rate > bounds["error_rate"], pass_rate < bounds["verification_pass_rate"], hallucination_rate > bounds["hallucination_rate"])
+
+
+#: Alert rules by group: name, severity, what is measured, over how many minutes, the side of the bound that calls, the bound,
+#: and for how many minutes it must hold.
+ALERTS = {
+    "latency": (("HighP95Latency", "warning", "p95_latency", 5, ">", 10.0, 5), ("CriticalP95Latency", "critical", "p95_latency", 5, ">", 30.0, 3)),
+    "errors": (
+        ("HighErrorRate", "warning", "errors/requests", 5, ">", 0.10, 5),
+        ("CriticalErrorRate", "critical", "errors/requests", 5, ">", 0.25, 3),
+        ("HighToolFailureRate", "warning", "tool_errors/tool_calls", 5, ">", 0.15, 5),
+    ),
+    "retrieval": (
+        ("LowRetrievalQuality", "warning", "top_score", 1, "<", 0.05, 10),
+        ("HighNoDocRate", "warning", "no_docs/retrievals", 10, ">", 0.20, 10),
+        ("HighFallbackRate", "warning", "fallbacks/requests", 10, ">", 0.25, 10),
+    ),
+    "verification": (("LowVerificationPassRate", "warning", "passes/checks", 10, "<", 0.85, 10), ("HighHallucinationRate", "critical", "hallucination_rate", 1, ">", 0.15, 10)),
+    "system": (
+        ("ServiceDown", "critical", "up", 1, "=", 0.0, 1),
+        ("HighMemoryUsage", "warning", "memory_gb", 1, ">", 20.0, 5),
+        ("CacheHitRateDrop", "info", "cache_hits/cache_requests", 10, "<", 0.3, 10),
+    ),
+}
+
+
+def bucket_quantile(counts: list[Column], bounds: tuple[float, ...], q: float = 0.95) -> Column:
+    """A quantile from the counts of each bucket, one more than bounds: linear within its bucket, the last bound beyond it; null without values."""
+    upto = [counts[0]]
+    for n in counts[1:]:
+        upto.append(upto[-1] + n)
+    target, found = upto[-1] * F.lit(q), F.when(upto[-1] == 0, F.lit(None).cast("double"))
+    for i, bound in enumerate(bounds):
+        low, before = (bounds[i - 1], upto[i - 1]) if i else (0.0, F.lit(0))
+        found = found.when(upto[i] >= target, F.lit(low) + F.lit(bound - low) * F.try_divide(target - before, counts[i].cast("double")))
+    return found.otherwise(float(bounds[-1]))
+
+
+def alert_rules(samples: DataFrame, key: str, minute: str, bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
+    """(key, group, alert, severity, started, ended): runs of minutes in which a rule's condition held, long enough to fire.
+
+    samples has one row for each key and minute (a whole number): counters of that minute, b0, b1, ... of latencies by
+    bucket, and gauges. A minute without a row, a rate without attempts and a null gauge end a run.
+    """
+    past = lambda n: Window.partitionBy(key).orderBy(minute).rangeBetween(1 - n, 0)
+    total = lambda c, n: F.sum(c).over(past(n))
+
+    def measured(what: str, n: int) -> Column:
+        if what == "p95_latency":
+            return bucket_quantile([total(f"b{i}", n) for i in range(len(bounds) + 1)], bounds)
+        if "/" in what:
+            part, whole = what.split("/")
+            return F.try_divide(total(part, n).cast("double"), total(whole, n).cast("double"))
+        return F.col(what)
+
+    rules = [(group, *rule) for group, listed in ALERTS.items() for rule in listed]
+    held = {">": lambda c, b: c > b, "<": lambda c, b: c < b, "=": lambda c, b: c == b}
+    flags = samples.select(key, minute, *[F.coalesce(held[side](measured(what, n), F.lit(bound)), F.lit(False)).alias(name) for _, name, _, what, n, side, bound, _ in rules])
+    rows = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(name).alias("alert"), F.lit(level).alias("severity"), F.lit(lasts).alias("lasts"), F.col(name).alias("over")) for g, name, level, _, _, _, _, lasts in rules])
+    over = flags.select(key, minute, F.explode(F.filter(rows, lambda x: x["over"])).alias("x")).select(key, minute, "x.*")
+    run = F.col(minute) - F.row_number().over(Window.partitionBy(key, "alert").orderBy(minute))
+    runs = over.withColumn("run", run).groupBy(key, "group", "alert", "severity", "lasts", "run").agg(F.min(minute).alias("started"), F.max(minute).alias("ended"))
+    return runs.filter(F.col("ended") - F.col("started") >= F.col("lasts")).select(key, "group", "alert", "severity", "started", "ended")

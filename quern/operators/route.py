@@ -294,3 +294,100 @@ def expansion_terms(paths: DataFrame, queries: DataFrame, most: int = 15) -> Dat
 
     order = Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "term")
     return terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "term", "rank")
+
+
+#: Words in a query that call for a tool, letters in either case; tickets and error codes.
+TOOL_TRIGGERS = {
+    "get_system_status": ("系统状态", "服务状态", "健康检查", "运行状态"),
+    "get_error_code_detail": ("错误码", "error code", "401", "429", "500", "AUTH"),
+    "query_ticket": ("工单", "ticket", "Ticket", "TKT"),
+    "get_user_profile": ("用户信息", "用户档案", "我的信息", "个人信息"),
+    "execute_code": ("执行代码", "运行代码", "验证代码", "执行示例", "运行示例"),
+}
+TICKET = r"TKT-[0-9]{3}"
+ERROR_CODE = r"AUTH_[0-9]{3}|RATE_[0-9]{3}|SYS_[0-9]{3}"
+#: What names an entity of a query; the first two tables are patterns, letters in either case, the others plain words.
+QUERY_APIS = (r"@ohos\.[\pL\pN_]+(?:\.[\pL\pN_]+)*", r"@system\.[\pL\pN_]+", r"@kit\.[\pL\pN_]+(?:\.[\pL\pN_]+)*")
+QUERY_ERRORS = (
+    r"BusinessError\s*[0-9]*", r"permission\s+denied", r"Cannot\s+find\s+module", r"hvigor\s+ERROR", r"compile\s+failed", r"runtime\s+error", "crash", "SIGABRT", "SIGSEGV",
+    "ArkTS:ERROR", "ArkCompiler", "TypeError", "ReferenceError", "SyntaxError", "RangeError", "URIError", "白屏", "黑屏", "闪退", "卡顿", "OOM", "内存泄漏", "死锁", "ANR",
+    "启动失败", "安装失败", "签名错误",
+)
+KNOWN_APIS = (
+    "ohos.net.http", "ohos.router", "ohos.data.preferences", "ohos.file.fs", "ohos.notificationManager", "ohos.abilityAccessCtrl", "ohos.app.ability.UIAbility",
+    "ohos.multimedia.media", "ohos.security.huks", "ohos.account.osAccount", "ohos.bundle.bundleManager", "ohos.distributedHardware.deviceManager", "ohos.telephony.radio", "ohos.wifiManager",
+)
+COMPONENTS = (
+    "ActionSheet", "AlertDialog", "AlphabetIndexer", "Badge", "Button", "CalendarPicker", "Canvas", "Checkbox", "Column", "ContextMenu", "Counter", "CustomDialog", "DataPanel",
+    "DatePicker", "Flex", "Gauge", "Grid", "GridCol", "GridItem", "GridRow", "Image", "List", "ListItem", "ListItemGroup", "LoadingProgress", "Marquee", "MenuItem",
+    "NavDestination", "NavPathStack", "NavRouter", "Navigation", "Panel", "Picker", "Popup", "Progress", "QRCode", "Radio", "Rating", "Refresh", "RelativeContainer", "RichText",
+    "Router", "Row", "Scroll", "Search", "SideBarContainer", "Slider", "Span", "Stack", "Swiper", "SymbolGlyph", "Tabs", "Text", "TextArea", "TextInput", "TextPicker",
+    "TimePicker", "Toggle", "Video", "WaterFlow", "Web", "XComponent",
+)
+FILES = ("module.json5", "Index.ets", "EntryAbility.ets", "build-profile.json5", "hvigorfile.ts", "hvigorw.bat", "oh-package.json5", "AppScope", "src/main/ets", "src/main/resources", "app.json5", "hap", "hsp")
+VERSIONS = {"HarmonyOS": r"HarmonyOS\s+([0-9]+\.[0-9]+(?:\.[0-9]+)?)", "OpenHarmony": r"OpenHarmony\s+([0-9]+\.[0-9]+(?:\.[0-9]+)?)", "SDK": r"SDK\s*([0-9]+)"}
+API_LEVEL = r"API\s*(?:Level\s*)?([0-9]{1,2})"
+MIGRATIONS = (
+    ("Router", "Navigation", r"Router.*迁移.*Navigation|Router.*替换.*Navigation|Router.*升级.*Navigation|Router.*改为.*Navigation"),
+    ("FA模型", "Stage模型", r"FA.*迁移.*Stage|FA.*替换.*Stage|FA.*升级.*Stage|FA.*改为.*Stage"),
+    ("JS", "ArkTS", r"JS.*迁移.*ArkTS|JS.*替换.*ArkTS|JavaScript.*迁移|JS.*转为.*ArkTS"),
+    ("Java", "ArkTS", r"Java.*迁移.*ArkTS|Java.*替换.*ArkTS|Java.*升级.*ArkTS"),
+    ("旧API", "新API", r"废弃.*API|替换.*API|旧.*API.*新|deprecated.*API"),
+    ("DataAbility", "DataShare", r"DataAbility.*迁移|DataAbility.*替换|DataAbility.*升级|DataAbility.*废弃"),
+    ("XComponent", "XComponent", r"XComponent.*迁移|XComponent.*升级"),
+)
+MIGRATION = r"(?:从|把|将)?\s*([\pL\pN_]+(?:\s*[\pL\pN_]+)?)\s*(?:迁移|升级|替换|改成|转(?:换)?为|转向)\s*(?:到|为|成)?\s*([\pL\pN_]+(?:\s*[\pL\pN_]+)?)"
+TERM_PATTERNS = (r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[A-Z_]{3,}\b", r"\b\d{4,10}\b", r"\b@[\w.]+", r"\b\w+Ability\b", r"\bohos\.\w+(?:\.\w+)*\b")
+
+
+def tool_calls(query: Column, intent: Column) -> Column:
+    """array of struct(tool, param): the tools that an intent and the words of a query call for, each once.
+
+    Tickets and error codes are named in capitals; only a ticket query asks for a ticket without a name (an empty param).
+    Creating a ticket asks for a confirmation first, so it is never called from here.
+    """
+    lower, named_as = F.lower(query), lambda rule: F.upper(F.regexp_extract(query, f"(?i)({rule})", 1))
+    ticket, error = named_as(TICKET), named_as(ERROR_CODE)
+    asks = {tool: reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w.lower())) for w in words]) for tool, words in TOOL_TRIGGERS.items()}
+    trouble, ticketing = intent == "troubleshooting", intent == "ticket_query"
+    rules = (
+        (trouble, "get_system_status", F.lit("")), (trouble & (error != ""), "get_error_code_detail", error), (ticketing, "query_ticket", ticket),
+        (~trouble & asks["get_system_status"], "get_system_status", F.lit("")), (~trouble & asks["get_error_code_detail"] & (error != ""), "get_error_code_detail", error),
+        (~ticketing & asks["query_ticket"] & (ticket != ""), "query_ticket", ticket), (asks["get_user_profile"], "get_user_profile", F.lit("")), (asks["execute_code"], "execute_code", F.lit("")),
+    )
+    return F.filter(F.array(*[F.when(held, F.struct(F.lit(tool).alias("tool"), param.alias("param"))) for held, tool, param in rules]), lambda x: x.isNotNull())
+
+
+def query_entities(query: Column) -> Column:
+    """struct(apis, components, errors, api_levels, versions, files, migration_from, migration_to) that a query names.
+
+    Components and files are found anywhere in the text, in the order of their tables; APIs and errors that differ in case
+    (or by a leading at-sign) count once. A known API needs two of its parts in the query, one of them of four letters.
+    """
+    lower = F.lower(query)
+    every = lambda rule, group=0: F.regexp_extract_all(query, F.lit(f"(?i){rule}"), group)
+    holds = lambda names: named([(F.contains(lower, F.lit(x.lower())), x) for x in names])
+    after = lambda name, found: F.transform(found, lambda x: F.concat(F.lit(name + " "), x))
+    none = F.array().cast("array<string>")
+
+    def known(api: str) -> Column:
+        parts = [(p, F.contains(lower, F.lit(p.lower()))) for p in api.split(".")]
+        return (reduce(lambda a, b: a + b, [c.cast("int") for _, c in parts]) >= 2) & reduce(lambda a, b: a | b, [c for p, c in parts if len(p) > 3])
+
+    bare = lambda x: F.lower(F.ltrim(x, F.lit("@")))
+    apis = F.concat(*[every(p) for p in QUERY_APIS], named([(known(a), a) for a in KNOWN_APIS]))
+    once = F.aggregate(apis, none, lambda acc, x: F.when(F.exists(acc, lambda y: bare(y) == bare(x)), acc).otherwise(F.array_append(acc, x)))
+    errors = T.ordered_distinct(F.transform(F.concat(*[every(p) for p in QUERY_ERRORS]), strip))
+    versions = F.concat(F.when(F.contains(lower, F.lit("harmonyos next")), F.array(F.lit("HarmonyOS NEXT"))).otherwise(none), *[after(name, every(p, 1)) for name, p in VERSIONS.items()])
+    moved = lambda i: F.coalesce(*[F.when(query.rlike(m[2]), m[i]) for m in MIGRATIONS], F.nullif(strip(F.regexp_extract(query, MIGRATION, i + 1)), F.lit("")))
+    return F.struct(
+        once.alias("apis"), holds(COMPONENTS).alias("components"), errors.alias("errors"), after("API", every(API_LEVEL, 1)).alias("api_levels"),
+        versions.alias("versions"), holds(FILES).alias("files"), moved(0).alias("migration_from"), moved(1).alias("migration_to"),
+    )
+
+
+def search_terms(entities: Column, keywords: Column, query: Column, most: int = 20) -> Column:
+    """What to look for in a graph: entities, else keywords, else what looks like a name in the query; once each, 20 at most."""
+    said = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: x != "")
+    raw = F.concat(*[F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(f"(?U){p}"), 0) for p in TERM_PATTERNS])
+    return F.slice(T.ordered_distinct(F.when(F.size(said(entities)) > 0, said(entities)).when(F.size(said(keywords)) > 0, said(keywords)).otherwise(raw)), 1, most)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import dialogue, ingestion, monitoring, quality, retrieval, routing, stores, traversal
+from quern.plans import dialogue, ingestion, monitoring, quality, retrieval, routing, rules, stores, traversal
 from quern.plans.registry import Query
 
-MODULES = (retrieval, ingestion, dialogue, monitoring, traversal, routing, stores, quality)
+MODULES = (retrieval, ingestion, dialogue, monitoring, traversal, routing, stores, quality, rules)
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,52 @@ def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     joined = old.select(key, F.col(digest).alias("old_digest")).join(new.select(key, F.col(digest).alias("new_digest")), key, "full_outer")
     status = F.when(F.col("old_digest").isNull(), "new").when(F.col("new_digest").isNull(), "deleted").when(F.col("old_digest") != F.col("new_digest"), "changed").otherwise("same")
     return joined.select(key, status.alias("status"))
+
+
+def append_once(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
+    """Appends to a Parquet log the rows whose key it doesn't hold yet, so a batch that is written again adds nothing."""
+    fresh = rows.dropDuplicates([key])
+    try:
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.write.mode("append").parquet(path)
+
+
+def export_newest(rows: DataFrame, path: str, newest: list[Column], most: int = 1000) -> None:
+    """Writes the newest rows as JSON lines."""
+    rows.orderBy(*newest).limit(most).write.mode("overwrite").json(path)
+
+
+def migrate(spark: SparkSession, sources: dict[str, tuple[str, str, str]], root: str, dry_run: bool = False) -> DataFrame:
+    """(name, rows) of JSON lines (path, schema, key) by name, appended once to tables under root; a dry run only counts them."""
+    counts = []
+    for name, (path, schema, key) in sources.items():
+        rows = json_lines(spark, path, schema)
+        if not dry_run:
+            append_once(spark, rows, f"{root}/{name}", key)
+        counts.append(rows.groupBy().agg(F.lit(name).alias("name"), F.count("*").alias("rows")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def update_mode(changed: Column, total: Column) -> Column:
+    """none, incremental, or full if more than half of the sources have changed."""
+    return F.when(changed == 0, "none").when(changed > total * 0.5, "full").otherwise("incremental")
+
+
+def given(rows: DataFrame, **equal: object) -> DataFrame:
+    """rows with each column equal to its value; None asks for nothing."""
+    for name, wanted in equal.items():
+        rows = rows if wanted is None else rows.filter(F.col(name) == wanted)
+    return rows
+
+
+def tenant_context(token: Column, headers: Column) -> Column:
+    """struct(tenant_id, user_id, role): what a token (a map) says, else a header (a map of lower-case names), else the default."""
+    said = lambda *found: F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+    return F.struct(
+        said(F.try_element_at(token, F.lit("tenant_id")), F.try_element_at(headers, F.lit("x-tenant-id")), F.lit("default")).alias("tenant_id"),
+        said(F.try_element_at(token, F.lit("sub")), F.try_element_at(token, F.lit("user_id")), F.try_element_at(headers, F.lit("x-user-id")), F.lit("anonymous")).alias("user_id"),
+        said(F.try_element_at(token, F.lit("role")), F.try_element_at(headers, F.lit("x-role")), F.lit("basic")).alias("role"),
+    )

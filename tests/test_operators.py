@@ -326,8 +326,78 @@ def test_extraction(spark):
     assert {(r.name, r.kind) for r in rows} == want
     assert len(rows) == 2 * len(want) and {r.chunk_id for r in rows} == {"c1", "c4"}
     assert all(text[r.pos :].startswith(r.name) for r in rows)
-    rels = {(r.source, r.target, r.rel) for r in graph.pattern_relations(found, chunks).collect()}
-    assert ("RouterOptions", "@ohos.router", "DEPENDS_ON") in rels
+
+
+def test_relations_and_graph(spark):
+    lines = {
+        "CAUSES": "Alpha causes Beta", "FIXES": "Alpha 修复 Beta", "DEPENDS_ON": "Alpha depends on Beta", "CALLS": "Alpha.Beta()", "BELONGS_TO": "Alpha belongs to Beta", "PART_OF": "Alpha 包含 Beta",
+        "HAS_LIFECYCLE": "Alpha onCreate", "AFFECTS": "Alpha affects Beta", "RELATED_TO": "Alpha -> Beta", "IMPORTS": "from Alpha import Beta", "EXTENDS": "Alpha extends Beta", "IMPLEMENTS": "Alpha implements Beta",
+    }
+    chunks = spark.createDataFrame([("d", rel, text) for rel, text in lines.items()] + [("d", "none", None), ("e", "alone", "Alpha causes Gamma and Alpha"), ("d", "CAUSES", "Alpha causes Beta")], "doc_id string, chunk_id string, content string")
+    names = [(c, n.lower(), k) for c in (*lines, "none", "alone") for n, k in (("Alpha", "CLASS"), ("Beta", "CLASS"), ("onCreate", "FUNCTION"))]
+    mentions = spark.createDataFrame(names, "chunk_id string, normalized string, kind string")
+    found = graph.pattern_relations(mentions, chunks.filter("NOT (chunk_id = 'none')").dropDuplicates(["chunk_id"]))
+    rows = {(r.chunk_id, r.source, r.target) for r in found.filter("chunk_id = rel").collect()}
+    assert rows == {(rel, "alpha", "oncreate" if rel == "HAS_LIFECYCLE" else "beta") for rel in lines}
+    assert found.filter("chunk_id = 'alone'").count() == 0
+    assert found.groupBy("chunk_id", "source", "target", "rel").count().filter("count > 1").count() == 0
+    nodes, edges = graph.build_graph(chunks, mentions, found, 5)
+    assert {r.node_id: (r.label, r.content) for r in nodes.collect() if r.label != "Chunk"} == {"document:d": ("Document", None), "document:e": ("Document", None), "entity:alpha": ("Entity", "CLASS"), "entity:beta": ("Entity", "CLASS"), "entity:oncreate": ("Entity", "FUNCTION")}
+    assert {r.content for r in nodes.filter("label = 'Chunk'").collect()} == {t[:5] for t in lines.values()} | {None, "Alpha"}
+    assert nodes.count() == nodes.select("node_id").distinct().count()
+    assert edges.filter("rel = 'HAS_CHUNK'").count() == len(lines) + 2 and edges.filter("rel = 'MENTIONS'").count() == len(names)
+
+
+def test_conflict_report(spark):
+    docs = spark.createDataFrame([(1, 10, "s"), (1, 11, "t"), (1, 12, "s"), (1, 13, "u"), (2, 10, "s"), (2, 11, None)], "query_id int, chunk_id int, source string")
+    found = spark.createDataFrame([(1, 10, 11, "version", "high"), (1, 10, 11, "negation", "high")], "query_id int, a int, b int, kind string, severity string")
+    marked = {(r.query_id, r.chunk_id): [c.kind for c in r.conflicts] for r in conflicts.annotate(docs, found).collect()}
+    both = ["negation", "version"]
+    assert marked == {(1, 10): both, (1, 11): both, (1, 12): both, (1, 13): [], (2, 10): [], (2, 11): []}
+    stats = {r.query_id: (r.total_docs, r.conflicting_docs, r.consistent_docs, r.has_conflicts) for r in conflicts.conflict_stats(docs, found).collect()}
+    assert stats == {1: (4, 3, 1, True), 2: (2, 0, 2, False)}
+    assert conflicts.warnings(found).first().warning == "证据冲突警告\n1. **negation** (严重程度: high)\n2. **version** (严重程度: high)"
+
+
+def test_alert_rules(spark):
+    names = ["requests", "errors", "tool_calls", "tool_errors", "retrievals", "no_docs", "fallbacks", "passes", "checks", "cache_hits", "cache_requests"]
+    quiet = dict.fromkeys(names, 0) | {"requests": 10, "checks": 10, "passes": 10, "b0": 10, "b1": 0, "b2": 0, "top_score": 0.5, "hallucination_rate": 0.0, "up": 1.0, "memory_gb": 1.0}
+    rows = [quiet | {"service": s, "minute": m} for s in ("calm", "bad") for m in range(20)]
+    for r in rows:
+        if r["service"] == "bad":
+            r |= {"b2": 10, "b0": 0} if 3 <= r["minute"] else {}
+            r |= {"up": 0.0} if r["minute"] in (4, 5, 8) else {}
+            r |= {"memory_gb": None} if r["minute"] == 7 else {"memory_gb": 21.0}
+            r |= {"errors": 3} if r["minute"] == 19 else {}
+    found = monitor.alert_rules(spark.createDataFrame(rows), "service", "minute", (1.0, 20.0)).collect()
+    got = {(r.service, r.alert): (r.started, r.ended) for r in found if r.alert != "HighMemoryUsage"}
+    assert got == {("bad", "ServiceDown"): (4, 5), ("bad", "HighP95Latency"): (3, 19)}
+    assert sorted((r.started, r.ended) for r in found if r.alert == "HighMemoryUsage") == [(0, 6), (8, 19)]
+
+
+def test_sinks(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, text string")
+    tables.append_once(spark, rows, log, "id")
+    tables.append_once(spark, rows.union(spark.createDataFrame([(3, "c")], rows.schema)), log, "id")
+    assert sorted(r.id for r in spark.read.parquet(log).collect()) == [1, 2, 3]
+    out = str(tmp_path / "out")
+    tables.export_newest(spark.read.parquet(log), out, [F.desc("id")], 2)
+    sources = {"cases": (out, "id long, text string", "id")}
+    root = str(tmp_path / "root")
+    assert [(r.name, r.rows) for r in tables.migrate(spark, sources, root, dry_run=True).collect()] == [("cases", 2)]
+    assert not (tmp_path / "root").exists()
+    for _ in range(2):
+        assert tables.migrate(spark, sources, root).first().rows == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/cases").collect()) == [2, 3]
+
+
+def test_query_entities_nothing(spark):
+    empty = one(spark, "", route.query_entities(F.col("x")))
+    assert not any(empty) and one(spark, "", route.search_terms(F.lit(None).cast("array<string>"), F.array(), F.col("x"))) == []
+    found = one(spark, "用 ohos.router 和 @ohos.router 替换，api 9 OOM oom，SDK12", route.query_entities(F.col("x")))
+    assert found.apis == ["@ohos.router"] and found.components == ["Router"] and found.errors == ["OOM"] and found.api_levels == ["API 9"] and found.versions == ["SDK 12"]
+    assert one(spark, "从 FA 模型迁移到 Stage", route.query_entities(F.col("x"))).migration_to == "Stage模型"
 
 
 def test_queries_without_hits(spark):
