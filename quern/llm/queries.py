@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, graphann, langid, media, neardup, packing, pii, secrets, tokenfiles
+from . import bpe, chat, filteraudit, graphann, langid, media, neardup, packing, pii, runs, secrets, tokenfiles, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +59,23 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_runs(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    ops = (op1_harmonic_packing, op2_language_id, op3_media_archive, op4_nn_descent, op5_chat_masks, op6_secret_scan, op7_order_minhash, op8_bpe_queue, op9_bit_planes, op10_pii_anchors)
+    ops = (op1_harmonic_packing, op2_language_id, op3_media_archive, op4_nn_descent, op5_chat_masks, op6_secret_scan, op7_order_minhash, op8_bpe_queue, op9_bit_planes, op10_pii_anchors, op11_periodic_runs, op12_filter_audit, op13_url_filter)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be expressed in SQL; tests/llm holds them against brute force."""
-    return {}
+    """The first eleven can't be expressed in SQL; tests/llm holds them against brute force."""
+    return {"op12_filter_audit": filteraudit.AUDIT_SQL, "op13_url_filter": urlfilter.judge_sql()}
