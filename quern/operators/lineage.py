@@ -5,19 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of setCheckpointDir or spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of setCheckpointDir or spark.checkpoint.dir, which the driver and all executors share.
 
     Only where one machine runs all and neither is set is it a temporary folder; on a cluster that is an error, as executors
     don't see each other's disks.
     """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quern-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in that folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quern-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

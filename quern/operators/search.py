@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.lineage import cut
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -29,23 +30,63 @@ def overlap_search(queries: DataFrame, chunks: DataFrame, k: int | None) -> Data
     return ranked(hits, "query_id", [F.desc("score"), F.col("chunk_id")], k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, word, tf, length): the index that BM25 reads."""
-    return chunks.select("chunk_id", T.words(F.col("content")).alias("w")).select("chunk_id", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+K1, B = 1.2, 0.75
+#: Chunks that a query's rare words may lead to in the first look.
+FIRST_LOOK = 1024
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 4) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25; scores are rounded before they are compared, ties go by chunk."""
-    index = postings(chunks)
+def bm25(df: Column, docs: Column, tf: Column, length: Column, mean: Column) -> Column:
+    idf = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def best_chunks(terms: DataFrame, postings: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks of each query by the sum over its words, in the best of their fields.
+
+    terms (query_id, field, word, df, docs, mean, boost, most, least) says what each word of a query counts, and the most
+    occurrences and least length that a posting (field, word, chunk_id, tf, length) of it can have. The result is exact:
+    1. A query's rarest words are scored first. The k-th of what they find is a score that each of the k best reaches.
+    2. Words that can't make up that score all together, even at their best, need no list of their own: a chunk with none
+       but these is not among the k best. The other words are scored in full.
+    3. What they find is kept if the words left out could still lift it to that score, and only these few are looked up in the
+       long lists of frequent words, which are read once for all queries.
+    """
+    own = Window.partitionBy("query_id", "field")
+    upto = lambda *order: own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.col("boost") * bm25(F.col("df"), F.col("docs"), F.col("most"), F.col("least"), F.col("mean"))
+    terms = terms.withColumn("bound", bound).withColumn("reach", F.sum("df").over(upto("df", "word"))).withColumn("below", F.sum("bound").over(upto("bound", "word")))
+    terms = cut(terms.select("query_id", "field", "word", "df", "docs", "mean", "boost", "bound", "below", (F.col("reach") - F.col("df") < FIRST_LOOK).alias("first")))
+    part = (F.col("boost") * bm25(F.col("df"), F.col("docs"), F.col("tf"), F.col("length"), F.col("mean"))).alias("part")
+    found = lambda some: some.join(postings, ["field", "word"]).select("query_id", "field", "chunk_id", part).groupBy("query_id", "field", "chunk_id").agg(F.sum("part").alias("s"))
+    best = lambda sums: ranked(sums.groupBy("query_id", "chunk_id").agg(F.round(F.max("s"), digits).alias("score")), "query_id", [F.desc("score"), F.col("chunk_id")], k)
+    least = best(found(terms.filter("first"))).filter(F.col("rank") == k).select("query_id", (F.col("score") - 2 * 10.0**-digits).alias("sure"))
+    judged = cut(terms.join(least, "query_id", "left").withColumn("needed", F.coalesce(F.col("below") >= F.col("sure"), F.lit(True))))
+    left_out = judged.filter("NOT needed")
+    room = left_out.groupBy("query_id", "field").agg(F.sum("bound").alias("room"), F.first("sure").alias("sure"))
+    main = found(judged.filter("needed")).join(room, ["query_id", "field"], "left").filter("room IS NULL OR s + room >= sure")
+    main = cut(main.select("query_id", "field", "chunk_id", "s", F.col("room").isNotNull().alias("open")))
+    looked = main.filter("open").select("query_id", "field", "chunk_id").join(left_out, ["query_id", "field"]).join(postings, ["field", "word", "chunk_id"])
+    return best(main.select("query_id", "field", "chunk_id", "s").unionByName(looked.select("query_id", "field", "chunk_id", part.alias("s"))).groupBy("query_id", "field", "chunk_id").agg(F.sum("s").alias("s")))
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 of the queries' words, over whole chunks.
+
+    One scan of the chunks: each gives its words and an empty one, which stands for the chunk itself and carries its length. Words
+    that no query has are dropped before anything is counted or shuffled; what is left is checkpointed, as counts, mean length and
+    scores all read it. An index that stays is in quern.sources.keyword_index.
+    """
     asked = queries.select("query_id", F.explode(T.word_set(F.col("query"))).alias("word"))
-    used = index.join(asked.select("word").distinct(), "word", "left_semi")
-    df = used.groupBy("word").agg(F.count("*").alias("df"))
-    size = chunks.select(F.count("*").alias("docs"), F.avg(F.size(T.words(F.col("content")))).alias("mean"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    words = df.join(F.broadcast(size)).join(used, "word").select("word", "chunk_id", weight.alias("w"))  # size has one row
-    hits = words.join(asked, "word").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
-    return ranked(hits, "query_id", [F.desc("score"), F.col("chunk_id")], k)
+    wanted = asked.select("word").unionByName(queries.sparkSession.range(1).select(F.lit("").alias("word"))).distinct()
+    split = chunks.select("chunk_id", T.words(F.col("content")).alias("w"))
+    split = split.select("chunk_id", F.size("w").alias("length"), F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>"))).alias("w"))
+    each = split.select("chunk_id", "length", F.explode("w").alias("word"))
+    used = cut(each.join(wanted, "word", "left_semi").groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+    size = used.filter("word = ''").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    held = used.filter("word <> ''").select(F.lit("content").alias("field"), "word", "chunk_id", "tf", "length")
+    counts = held.groupBy("field", "word").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("length").alias("least"))
+    terms = asked.join(counts, "word").join(F.broadcast(size)).withColumn("boost", F.lit(1.0))  # size has one row
+    return best_chunks(terms, held, k, digits)
 
 
 def blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import fusion, rank, search
 from quern.plans.registry import Registry
-from quern.sources.tables import table
+from quern.sources.tables import spread, table
 
 Q = Registry()
 
@@ -21,7 +21,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
 
 
 def overlap(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files give work to less than half of these: a small table in one file. Others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, source, content) of the Markdown files that aren't blank."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
