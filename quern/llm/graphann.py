@@ -7,14 +7,16 @@ own place: it looks at the neighbours of the nearest vectors that it has seen, u
 is measured again on the original vectors, in double precision.
 
 Vectors travel as they are, in the precision of their column, and distances are taken in double precision, so near copies keep
-their order. Equal vectors are one node; a node keeps as many of its least ids as a result can hold. A node answers the
-nearest nodes that name it, a width of them, and hears of the nearest that name it, so no group holds more than two widths
-of rows, however many nodes name a hub: rows beyond that are cut before they are shuffled. Rounds go on until few neighbours
-change.
-
-Vectors that are null, zero, hold null or non-finite components, or whose length is not that of most (of the longest where
-that is a tie) take no part, nor do rows with a null id. Rows with the same id and vector count once. Ties go to the lesser
-id. An empty table gives no rows. Other columns are not read.
+their order. Equal vectors are one node; a node keeps as many of its least ids as a result can hold. A node always gets the vectors
+of its own neighbours, and hears of the nearest that name it, so no group holds more than two widths of rows, however many
+nodes name a hub: rows beyond that are cut before they are shuffled. Rounds go on until few neighbours change.
+
+What the graph can't answer is answered exactly: queries whose walk finds fewer than k vectors, those whose walk ends because
+it holds all that it may, and those with vectors of another length than most (of the longest where that is a tie) are
+compared with all vectors of their length, in blocks. Vectors of different lengths are never neighbours.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id. Rows with the same
+id and vector count once. Ties go to the lesser id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,9 +44,12 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     """(id, vector array<double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     sound = F.expr("forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(vector, x -> x <> 0)")
-    rows = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & sound)
-    size = rows.groupBy(F.size("vector").alias("size")).count().agg(F.max_by("size", F.struct("count", "size"))).first()[0]
-    return rows.filter(F.size("vector") == (size or 0))
+    return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & sound)
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The length of most vectors."""
+    return rows.groupBy(F.size("vector").alias("size")).count().agg(F.max_by("size", F.struct("count", "size"))).first()[0] or 0
 
 
 def encode_nodes(rows: DataFrame, kind: str) -> DataFrame:
@@ -52,8 +57,9 @@ def encode_nodes(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else np.empty((0, 1))
-            codes = [row.tobytes() for row in (flat + 0.0).astype(kind)]  # no negative zeros
+            flat = (batch.column("vector").flatten().to_numpy(zero_copy_only=False) + 0.0).astype(kind)  # no negative zeros
+            ends = np.cumsum(batch.column("vector").value_lengths().to_numpy(zero_copy_only=False))
+            codes = [row.tobytes() for row in np.split(flat, ends[:-1])] if len(batch) else []
             yield batch_of(["id", "code", "digest"], [pa.int64(), pa.binary(), pa.binary()], [batch.column("id").to_pylist(), codes, [hashlib.md5(x).digest() for x in codes]])
 
     return rows.select("id", "vector").mapInArrow(run, NODE)
@@ -65,6 +71,7 @@ def decoded(codes: list[bytes], kind: str) -> np.ndarray:
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b."""
+    a, b = a - a[:1], b - a[:1]  # far from the origin near copies would lose their order
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
@@ -192,49 +199,21 @@ STATE_NAMES = ["id", "code", "ids", "ds", "fresh"]
 STATE_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.int32()]
 
 
-def around(state: DataFrame, width: int) -> DataFrame:
-    """(id, code, reach, ids, ds, back): each node, how far its neighbours reach, these, and the nearest width that name it.
+def told(state: DataFrame, width: int) -> DataFrame:
+    """(key, other, code, reach): every node is told of its own neighbours, and of the nearest that name it.
 
-    reach is infinite while a node has fewer neighbours than width.
+    Of a key's rows two widths are kept: all neighbours of its own first. reach is how far the other's neighbours reach, infinite
+    while it has fewer than width.
     """
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for parts in groups(batches, "key"):
-            own = parts[0]
-            if own.column("code")[0].as_py() is None:
-                continue
-            ids, ds = (own.column(c)[0].values.to_numpy() for c in ("ids", "ds"))
-            reach = float(ds.max()) if len(ids) >= width else float("inf")
-            out.append((own.column("key")[0].as_py(), own.column("code")[0].as_py(), reach, ids, ds, array(parts, "other")[1:]))
-            if len(out) == 2048:
-                yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
-                out = []
-        if out:
-            yield batch_of(NEAR_NAMES, NEAR_TYPES, list(zip(*out, strict=True)))
-
-    own = state.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", "ids", "ds")
-    pairs = state.select("id", F.explode(F.arrays_zip("ids", "ds")).alias("x")).select(F.col("x.ids").alias("key"), F.lit(1).alias("kind"), F.col("id").alias("other"), F.col("x.ds").alias("d"))
-    back = pairs.select("*", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
-    return limited(own.unionByName(back), width + 1, "kind", "d", "other").mapInArrow(gather, NEAR)
-
-
-NEAR = "id long, code binary, reach float, ids array<long>, ds array<float>, back array<long>"
-NEAR_NAMES = ["id", "code", "reach", "ids", "ds", "back"]
-NEAR_TYPES = [pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64())]
-
-
-def told(near: DataFrame, width: int) -> DataFrame:
-    """(key, other, code, reach): every node tells what it is to those of its back links, and to those that it names.
-
-    Of a key's rows two widths are kept: all answers, as it names no more than a width, and then the nearest that name it.
-    """
-    answers = near.select(F.explode("back").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("float").alias("d"), F.col("id").alias("other"), "code", "reach")
+    reach = F.when(F.size("ids") >= width, F.array_max("ds")).otherwise(F.lit(float("inf")).cast("float"))
+    near = state.select("id", "code", reach.alias("reach"), "ids", "ds")
+    links = near.select(F.col("id").alias("key"), F.explode("ids").alias("other"))
+    answers = links.join(near.select(F.col("id").alias("other"), "code", "reach"), "other").select("key", F.lit(0).alias("kind"), F.lit(0).cast("float").alias("d"), "other", "code", "reach")
     names = near.select(F.explode(F.arrays_zip("ids", "ds")).alias("x"), "id", "code", "reach").select(F.col("x.ids").alias("key"), F.lit(1).alias("kind"), F.col("x.ds").alias("d"), F.col("id").alias("other"), "code", "reach")
     return limited(answers.unionByName(names), 2 * width, "kind", "d", "other").select("key", "other", "code", "reach")
 
 
-def met(near: DataFrame, kind: str, best: int, width: int) -> DataFrame:
+def met(state: DataFrame, kind: str, best: int, width: int) -> DataFrame:
     """Links (key, other, d) between nodes that have a neighbour in common and are nearer than what one of them knows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +234,7 @@ def met(near: DataFrame, kind: str, best: int, width: int) -> DataFrame:
         if found:
             yield batch_of(*LINK, [np.concatenate(x) for x in zip(*found, strict=True)])
 
-    return told(near, width).mapInArrow(meet, LINKS)
+    return told(state, width).mapInArrow(meet, LINKS)
 
 
 LINKS = "key long, other long, d float"
@@ -271,7 +250,7 @@ def build_graph(nodes: DataFrame, kind: str, width: int, rounds: int, least_chan
     links = first_edges(nodes, kind, width, starts, block, spread)
     state = scratch.keep(with_links(nodes.select("id", "code"), links, width), "graph")
     for _ in range(rounds):
-        state = scratch.keep(with_links(state, met(around(state, width), kind, best, width), width), "graph")
+        state = scratch.keep(with_links(state, met(state, kind, best, width), width), "graph")
         if (state.agg(F.sum("fresh")).first()[0] or 0) < least_change * count * width:
             break
     return state
@@ -286,7 +265,7 @@ def fat_graph(state: DataFrame, width: int) -> DataFrame:
             codes = values(parts, "code")
             yield batch_of(["node", "ids", "codes"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())], [[parts[0].column("key")[0].as_py()], [ids], [[codes[i] for i in first]]])
 
-    return told(around(state, width), width).mapInArrow(collect, "node long, ids array<long>, codes array<binary>")
+    return told(state, width).mapInArrow(collect, "node long, ids array<long>, codes array<binary>")
 
 
 SEEN = "query long, ids array<long>, ds array<float>"
@@ -296,7 +275,8 @@ def walk(starts: DataFrame, graph: DataFrame, kind: str, k: int, beam: int, slac
     """(query, ids, ds): the nearest nodes that each query (query, code; a node itself) finds, nearest first.
 
     A query holds its beam nearest, and all within 1 + slack times the distance of its k-th, up to most. In each round it
-    opens all that it holds and hasn't opened; it ends when there are none. The graph should be bucketed by node: then only the open nodes and what they show are shuffled.
+    opens all that it holds and hasn't opened; it ends when there are none. The graph should be bucketed by node: then only the
+    open nodes and what they show are shuffled.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,33 +337,85 @@ def bucketed(df: DataFrame, key: str, folder: str) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def scanned(asked: DataFrame, nodes: DataFrame, kind: str, k: int, block: int = 1024) -> DataFrame:
+    """(query, node): the k nearest nodes (id, code) of each query (query, code; a node itself) and all as near as the last of these.
+
+    Nodes are dealt into slices and queries into blocks; a cell holds a slice and a block of vectors of one length.
+    """
+    slices = parts_of(nodes)
+    blocks = -(-asked.count() // block)
+    one = asked.select("query", "code", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(0).alias("kind"))
+    two = nodes.select(F.col("id").alias("query"), "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("s"), F.lit(1).alias("kind"))
+    key = F.xxhash64(F.length("code"), F.col("b").cast("long"), F.col("s").cast("long")).alias("key")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, None, None)
+        for batch in batches:
+            for part in groups(iter([batch]), "key"):
+                cell, kinds = part[0].column("key")[0].as_py(), array(part, "kind")
+                ids, codes = array(part, "query"), values(part, "code")
+                asked_n = int((kinds == 0).sum())
+                if asked_n:
+                    before = held if held[0] == cell else (cell, np.empty(0, np.int64), [])
+                    held = (cell, np.concatenate([before[1], ids[:asked_n]]), before[2] + codes[:asked_n])
+                if held[0] != cell or asked_n == len(ids):
+                    continue
+                others = ids[asked_n:]
+                x, y = decoded(held[2], kind), decoded(codes[asked_n:], kind)
+                d = squares(x, y)
+                d[held[1][:, None] == others[None]] = np.inf
+                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                noise = 1e-12 * float(d[np.isfinite(d)].max(initial=0.0))
+                q, at = np.nonzero((d <= last[:, None] * (1 + 1e-9) + noise) & np.isfinite(d))
+                yield batch_of(*LINK, [held[1][q], others[at], ((x[q] - y[at]) ** 2).sum(1)])
+
+    met = one.unionByName(two).withColumn("key", key).drop("b", "s")
+    found = sent(met, "kind").mapInArrow(meet, LINKS)
+    last = Window.partitionBy("key").orderBy("d")
+    ranked = found.withColumn("place", F.rank().over(last)).filter(F.col("place") <= k)
+    return ranked.select(F.col("key").alias("query"), F.col("other").alias("node"))
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, width: int = 20, rounds: int = 20, least_change: float = 0.25, starts: int = 2, block: int = 256, best: int = 6, beam: int = 400, slack: float = 0.15, most: int = 5000, spare: int = 30, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of queries (its ids, among those of vectors).
 
     width: neighbours that a node keeps; NN-descent ends when a round changes less than a share least_change of them, or after
     so many rounds; beam: nodes that a query holds at least; slack: it holds all within 1 + slack times the distance of its
-    k-th, up to most; spare: how many found nodes beyond k are measured again.
+    k-th, up to most, and is answered by a scan if it comes to that; spare: how many found nodes beyond k are measured again
+    at least.
     """
+    spark = vectors.sparkSession
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = valid_vectors(vectors, id_col, vector_col)
-    coded = checkpointed(encode_nodes(rows, kind), "codes")
-    reps = coded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("code").alias("code"))
-    reps = checkpointed(reps, "nodes")
-    ids = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
-    asked = ids.join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"), "code").distinct()
-    asked = checkpointed(asked, "asked")
-    with Scratch(vectors.sparkSession, "ann") as scratch:
-        state = build_graph(reps.select(F.col("rep").alias("id"), "code"), kind, width, rounds, least_change, starts, block, best, scratch)
+    usual = usual_length(rows) * int(kind[-1])
+    with Scratch(spark, "ann") as scratch:
+        coded = scratch.keep(encode_nodes(rows, kind), "codes")
+        reps = scratch.keep(coded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("code").alias("code")), "nodes")
+        ids = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
+        asked = ids.join(coded.select(F.col("id").alias("query_id"), "digest"), "query_id").join(reps, "digest").select("query_id", F.col("rep").alias("query"), "code").distinct()
+        asked = scratch.keep(asked, "asked")
+        order = Window.partitionBy("digest").orderBy("id")
+        least = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
+        members = scratch.keep(least.join(reps.select("digest", F.col("rep").alias("node")), "digest").select("node", F.col("id").alias("vec_id")), "members")
+        nodes = reps.select(F.col("rep").alias("id"), "code")
+        state = build_graph(nodes.filter(F.length("code") == usual), kind, width, rounds, least_change, starts, block, best, scratch)
         graph, name = bucketed(fat_graph(state, width), "node", scratch.root)
-        found = checkpointed(walk(asked.select("query", "code").dropDuplicates(["query"]), graph, kind, k, beam, slack, most, scratch), "walk")
-        vectors.sparkSession.sql(f"DROP TABLE {name}")
-    near = found.select("query", F.explode(F.slice(F.concat(F.array("query"), "ids"), 1, k + spare + 1)).alias("node"))
-    order = Window.partitionBy("digest").orderBy("id")
-    least = coded.select("digest", "id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
-    members = least.join(reps.select("digest", F.col("rep").alias("node")), "digest").select("node", F.col("id").alias("vec_id"))
-    pairs = asked.select("query_id", "query").join(near, "query").join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id")
-    exact = rows.select("id", "vector")
-    measured = pairs.join(exact.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(exact.select(F.col("id").alias("vec_id"), F.col("vector").alias("v")), "vec_id")
-    score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return measured.select("query_id", "vec_id", score.alias("score")).distinct().withColumn("rank", F.row_number().over(top).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        starts_at = asked.filter(F.length("code") == usual).select("query", "code").dropDuplicates(["query"])
+        found = scratch.keep(walk(starts_at, graph, kind, k, beam, slack, most, scratch), "walk")
+        spark.sql(f"DROP TABLE {name}")
+        # all that the k-th's rounding could hide are measured again, and some more
+        close = F.filter(F.arrays_zip("ids", "ds"), lambda x, i: (i < k + spare) | (x["ds"] <= F.try_element_at("ds", F.lit(k)) * (1 + 1e-5)))
+        near = found.select("query", F.explode(F.concat(F.array("query"), F.transform(close, lambda x: x["ids"]))).alias("node"))
+        near = scratch.keep(near, "near")
+        reached = near.join(members, "node").groupBy("query").agg(F.count("*").alias("n"))
+        done = reached.filter(F.col("n") > k).join(found.filter(F.size("ids") >= most), "query", "left_anti")
+        rest = scratch.keep(asked.select("query", "code").dropDuplicates(["query"]).join(done.select("query"), "query", "left_anti"), "rest")
+        if not rest.isEmpty():
+            near = near.unionByName(scanned(rest, nodes, kind, k)).unionByName(rest.select("query", F.col("query").alias("node"))).distinct()
+        pairs = asked.select("query_id", "query").join(near, "query").join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id")
+        exact = rows.select("id", "vector")
+        measured = pairs.join(exact.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(exact.select(F.col("id").alias("vec_id"), F.col("vector").alias("v")), "vec_id")
+        score = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        result = measured.filter(F.size("q") == F.size("v")).select("query_id", "vec_id", score.alias("score")).distinct()
+        return checkpointed(result.withColumn("rank", F.row_number().over(top).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")

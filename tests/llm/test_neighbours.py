@@ -276,5 +276,31 @@ def test_hub(spark):
     with graphann.Scratch(spark, "hub") as scratch:
         state = graphann.build_graph(nodes, "<f4", 20, 2, 0.0, 2, 256, 6, scratch)
         assert state.filter(F.array_contains("ids", 0)).count() > 700
-        heard = graphann.told(graphann.around(state, 20), 20).groupBy("key").count()
+        heard = graphann.told(state, 20).groupBy("key").count()
         assert heard.agg(F.max("count")).first()[0] <= 40
+
+
+def test_core_and_shell(spark):
+    """All neighbours of the points on a far shell are hubs of a tight core, or too many to tell apart; no query goes empty."""
+    rng = np.random.default_rng(6)
+    core, shell = 1e-2 * rng.standard_normal((300, 64)), rng.standard_normal((1700, 64))
+    points = np.concatenate([core, 10 * shell / np.linalg.norm(shell, axis=1)[:, None]]).astype(np.float32)
+    asked = list(range(0, 2000, 100))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<float>")
+    assert graphann.nearest_neighbours(df, df.filter(F.col("vec_id").isin(asked))).count() == 200
+    assert recall(spark, points, asked) >= 0.9
+
+
+def test_exact_way(spark):
+    """Queries whose walk may not hold all that it wants, and lengths that few vectors have, are scanned."""
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((25, 5)) + 1e6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 20 = 0")
+    found: dict = {}
+    for r in graphann.nearest_neighbours(df, queries, most=10, beam=5).collect():
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert found.keys() == {i for i, _ in rows if i % 20 == 0}
+    for query, got in found.items():
+        same = [r for r in rows if (r[0] >= 1000) == (query >= 1000)]
+        assert [v for _, v in sorted(got)] == [v for _, v in brute_nearest(same, query)]
