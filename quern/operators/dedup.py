@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.lineage import cut
-from quern.operators.search import blocks
 
 
 def first_of_each(rows: DataFrame, digest: Column, order: Column, *columns: str) -> DataFrame:
@@ -19,29 +16,37 @@ def first_of_each(rows: DataFrame, digest: Column, order: Column, *columns: str)
     return rows.groupBy(digest.alias("digest")).agg(F.min_by(F.struct(*columns), order).alias("first"), F.count("*").alias("copies")).select("digest", "first.*", "copies")
 
 
-def similar_pairs(vectors: DataFrame, dims: int, least: float, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, similarity), a < b, of all vectors of dims components whose cosine is at least ``least``.
+def similar_pairs(vectors: DataFrame, dims: int, least: float, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, similarity), a < b, of different vectors of dims components whose cosine is at least ``least``.
 
-    Blocks of vectors meet as matrix products; what comes near the threshold there is measured as in the result.
+    Equal vectors count as one, under their least id; representatives() says which that is. Vectors are dealt into slots, and two slots
+    meet in one cell, once, as a matrix product; what comes near the threshold there is measured as in the result.
     """
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, one, others, two in zip(*(batch.column(c).to_pylist() for c in ("ids", "matrix", "others", "two")), strict=True):
-                x, y = np.frombuffer(one).reshape(len(ids), -1), np.frombuffer(two).reshape(len(others), -1)
-                ids, others = np.asarray(ids), np.asarray(others)
-                for at in range(0, len(ids), 256):
-                    near = ~(x[at : at + 256] @ y.T < least - 1e-5) & (ids[at : at + 256, None] < others[None])
-                    i, j = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i], pa.int64()), pa.array(others[j], pa.int64())], names=["a", "b"])
+    def meet(table: pa.Table) -> pa.Table:
+        ids, x = table["id"].to_numpy(), table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        i, j = np.nonzero((unit @ unit.T >= least - 1e-5) & (ids[:, None] < ids[None]))
+        return pa.table({"a": ids[i], "b": ids[j]})
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
-    packed = blocks(rows, "id", "v", block)
-    pairs = packed.crossJoin(packed.select(F.col("ids").alias("others"), F.col("matrix").alias("two"))).mapInArrow(meet, "a long, b long").distinct()
+    rows = representatives(vectors, dims, id_col, vector_col).filter("id = rep").select("id", "v")
+    slots = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    cells = dealt.select("id", "v", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
+    pairs = cells.groupBy("i", "j").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
     found = pairs.join(rows.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(rows.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     return found.select("a", "b", F.round(T.cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def representatives(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, v, rep): each vector of dims components with the least id of those equal to it."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dims))
+    digest = F.xxhash64("v"), F.md5(F.to_json(F.struct("v")))
+    keyed = rows.select("id", "v", *(d.alias(f"d{i}") for i, d in enumerate(digest)))
+    return keyed.join(keyed.groupBy("d0", "d1").agg(F.min("id").alias("rep")), ["d0", "d1"]).select("id", "v", "rep")
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ids that a pass in ascending order keeps: one is dropped only if it is similar to one kept before it.
 

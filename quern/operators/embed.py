@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from quern.functions import text as T
+
 
 def chain_vector(text: str, size: int) -> np.ndarray:
     """Bytes of the digest of the text, of the digest of that and so on, each between -1 and 1."""
@@ -27,3 +29,17 @@ def mock_embedding(c: Column, size: int = 768) -> Column:
             yield texts.map(lambda x: chain_vector(x or "", size))
 
     return F.pandas_udf(run, ArrayType(DoubleType()))(c)
+
+
+def pair_vectors(rows: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
+    """(id, v): each text's adjacent pairs of words, counted with signs in dims buckets by their MD5 (dims: 256 at most).
+
+    Texts with the same pairs have a cosine of 1, unrelated ones one near 0. Texts of less than two words have no vector and no row.
+    """
+    words = T.words(F.col(text_col))
+    pairs = rows.select(F.col(id_col).alias("id"), words.alias("w")).filter(F.size("w") > 1)
+    each = pairs.select("id", F.explode(F.transform(F.slice("w", F.lit(2), F.size("w")), lambda x, i: F.md5(F.concat(F.element_at("w", i + 1), F.lit(" "), x)))).alias("h"))
+    bucket = F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dims
+    counts = each.groupBy("id", bucket.alias("bucket")).agg(F.sum(F.when(F.substring("h", 3, 1) < "8", 1).otherwise(-1)).cast("double").alias("n"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("v"))

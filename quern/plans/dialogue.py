@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import memory
+from quern.operators import memory, near
+from quern.plans.ingestion import PASS_SQL, VECTORS_SQL, print_vectors
 from quern.plans.registry import Registry
 from quern.sources.tables import table
 
@@ -112,6 +113,32 @@ def memory_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).groupBy("conv_id", T.query_key(F.col("text")).alias("key")).agg(F.min("turn").alias("turn"), F.count("*").alias("copies")).drop("key")
 
 
+def remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as what is told in a scope (their language) in the order of ids, one each five minutes."""
+    vectors = print_vectors(spark, sf_dir).withColumnRenamed("id", "at")
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("scope"), F.col("doc_id").alias("at"), T.query_key(F.col("text")).alias("key"), (F.col("doc_id") * 300.0).alias("t"))
+    return rows.join(vectors, "at", "left")
+
+
+TOLD_SQL = "WITH RECURSIVE " + VECTORS_SQL + """, rows AS (SELECT coalesce(lang, '') AS scope, doc_id AS pos, sha256(lower(trim(text))) AS key, doc_id * 300.0 AS t FROM documents),
+same AS (SELECT a.scope, a.pos AS a, b.pos AS b, b.t - a.t AS age FROM rows a JOIN rows b ON a.scope = b.scope AND a.key = b.key AND a.pos < b.pos),
+close AS (SELECT x.scope, a, b, y.t - x.t AS age FROM cosines JOIN rows x ON x.pos = a JOIN rows y ON y.pos = b AND y.scope = x.scope WHERE similarity >= 0.92),
+pairs AS (SELECT DISTINCT scope, a, b FROM (SELECT * FROM same UNION ALL SELECT * FROM close) {where})""" + PASS_SQL
+
+
+@Q.query("memory_near_dedup", TOLD_SQL.format(where="") + " SELECT scope AS user_id, pos AS doc_id, kept FROM g")
+def memory_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories of a user that are new: no kept one has the same text, or a cosine of 0.92 or more."""
+    return near.keep_new(remembered(spark, sf_dir)).select(F.col("scope").alias("user_id"), F.col("at").alias("doc_id"), "kept")
+
+
+@Q.query("cache_near_lookup", TOLD_SQL.format(where="WHERE age < 150000") + """, hit AS (SELECT DISTINCT g.scope, g.pos FROM g JOIN same ON same.scope = g.scope AND same.b = g.pos AND age < 150000 JOIN g k ON k.scope = g.scope AND k.pos = same.a AND k.kept WHERE NOT g.kept)
+SELECT g.scope, g.pos AS doc_id, CASE WHEN kept THEN 'miss' WHEN hit.pos IS NOT NULL THEN 'exact' ELSE 'near' END AS outcome FROM g LEFT JOIN hit ON hit.scope = g.scope AND hit.pos = g.pos""")
+def cache_near_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a scope that a cached one answers: the same text first, else one that is close; both for 150,000 seconds."""
+    return near.cache_outcomes(remembered(spark, sf_dir), ttl=150_000.0).select("scope", F.col("at").alias("doc_id"), "outcome")
+
+
 @Q.query("cache_lookup", """WITH k AS (SELECT conv_id, turn, sha256(lower(trim(text))) AS key FROM conversations WHERE role = 'user'), f AS (SELECT key, min(conv_id * 1000 + turn) AS first FROM k GROUP BY key)
 SELECT conv_id, turn, first < conv_id * 1000 + turn AS hit FROM k JOIN f USING (key)""")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

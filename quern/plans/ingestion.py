@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, dedup
+from quern.operators import chunking, dedup, embed, near
 from quern.plans.registry import Registry
 from quern.sources.tables import changes, table
 
@@ -72,16 +72,40 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of_each(documents(spark, sf_dir), T.content_hash(F.col("text")), F.col("doc_id"), "doc_id", "source")
 
 
-@Q.query("near_dup_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.95")
+#: Signed counts of adjacent word pairs in 256 buckets, of a text's first and last characters as in fingerprint_text; and cosines of two.
+VECTORS_SQL = r"""f AS (SELECT doc_id, source, CASE WHEN length(text) > 300 THEN substr(text, 1, 500) || chr(10) || '...' || chr(10) || right(text, 300) ELSE text END AS print FROM documents),
+w AS (SELECT doc_id, source, print, list_filter(string_split_regex(lower(print), '\s+'), lambda x: x <> '') AS w FROM f),
+h AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: md5(w[i] || ' ' || w[i + 1]))) AS h FROM w WHERE len(w) > 1),
+n AS (SELECT doc_id, substr(h, 1, 2) AS bucket, sum(CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS n FROM h GROUP BY ALL),
+norm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY doc_id),
+cosines AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.n * b.n) / any_value(x.norm * y.norm), 6) AS similarity FROM n a JOIN n b ON a.bucket = b.bucket AND a.doc_id < b.doc_id JOIN norm x ON x.doc_id = a.doc_id JOIN norm y ON y.doc_id = b.doc_id WHERE x.norm > 0 AND y.norm > 0 GROUP BY ALL)"""
+
+
+def print_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v) of the fingerprint texts of documents."""
+    prints = documents(spark, sf_dir).select("doc_id", T.fingerprint_text(F.col("text")).alias("print"))
+    return embed.pair_vectors(prints, "doc_id", "print")
+
+
+@Q.query("near_dup_pairs", "WITH " + VECTORS_SQL + """, v AS (SELECT doc_id, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS v FROM n WHERE n <> 0 GROUP BY doc_id), r AS (SELECT min(doc_id) AS rep FROM v GROUP BY v)
+SELECT a, b, similarity FROM cosines WHERE similarity >= 0.95 AND a IN (SELECT rep FROM r) AND b IN (SELECT rep FROM r)""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.similar_pairs(table(spark, sf_dir, "embeddings"), 64, 0.95)
+    """Pairs of different fingerprint vectors; documents with equal ones stand under their least id (exact_dedup lists texts that are equal)."""
+    return dedup.similar_pairs(print_vectors(spark, sf_dir), 256, 0.95, id_col="id", vector_col="v")
+
+
+#: A pass in ascending order over rows (scope, pos, key), given pairs (scope, a, b) that exclude each other.
+PASS_SQL = """, o AS (SELECT scope, pos, row_number() OVER (PARTITION BY scope ORDER BY pos) AS n FROM rows), e AS (SELECT scope, b AS pos, list(a) AS early FROM pairs GROUP BY ALL), x AS (SELECT scope, pos, n, coalesce(early, []) AS early FROM o LEFT JOIN e USING (scope, pos)),
+g AS (SELECT scope, n, pos, true AS kept, [pos] AS held FROM x WHERE n = 1
+      UNION ALL SELECT x.scope, x.n, x.pos, len(list_intersect(g.held, x.early)) = 0, CASE WHEN len(list_intersect(g.held, x.early)) = 0 THEN list_append(g.held, x.pos) ELSE g.held END FROM g JOIN x ON x.scope = g.scope AND x.n = g.n + 1)"""
 
 
-@Q.query("greedy_dedup")
+@Q.query("greedy_dedup", "WITH RECURSIVE " + VECTORS_SQL + """, rows AS (SELECT '' AS scope, doc_id AS pos FROM documents), same AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id),
+pairs AS (SELECT DISTINCT '' AS scope, a, b FROM (SELECT a, b FROM cosines WHERE similarity >= 0.95 UNION ALL SELECT a, b FROM same))""" + PASS_SQL + " SELECT pos AS doc_id FROM g WHERE kept")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order decides who is kept: held against a plain loop in the tests."""
-    vectors = table(spark, sf_dir, "embeddings")
-    return dedup.greedy_keep(vectors.select(F.col("vec_id").alias("id")), dedup.similar_pairs(vectors, 64, 0.95))
+    """Documents in order, each kept unless a kept one has its text or a fingerprint that is as good as equal."""
+    rows = documents(spark, sf_dir).select(F.lit("").alias("scope"), F.col("doc_id").alias("at"), F.sha2("text", 256).alias("key")).join(print_vectors(spark, sf_dir).withColumnRenamed("id", "at"), "at", "left")
+    return near.keep_new(rows, 0.95).filter("kept").select(F.col("at").alias("doc_id"))
 
 
 @Q.query("chunk_documents")
