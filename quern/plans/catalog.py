@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import dialogue, indexes, ingestion, monitoring, quality, retrieval, routing, rules, stores, traversal
+from quern.plans import dialogue, indexes, ingestion, monitoring, orchestration, quality, retrieval, routing, rules, stores, traversal
 from quern.plans.registry import Query
 
-MODULES = (retrieval, ingestion, dialogue, monitoring, traversal, routing, stores, quality, rules, indexes)
+MODULES = (retrieval, ingestion, dialogue, monitoring, traversal, routing, stores, quality, rules, indexes, orchestration)
 
 
 def queries() -> dict[str, Query]:
