@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import embed, orchestrate, search
+from quern.operators import context, embed, orchestrate, search
 from quern.operators.route import STOP_WORDS
 from quern.plans.registry import Registry
-from quern.plans.retrieval import WORDS, chunks
+from quern.plans.retrieval import BASE, WORDS, chunks, top
 from quern.sources.tables import table
 from quern.sources.versions import VersionedTables
 
@@ -153,3 +153,32 @@ def agent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, more = orchestrate.answer_requests(now, store.read("cache"), workflow)
     store.replace(store.read("cache").unionByName(more), "cache", "all")
     return answers.select("request_id", "path", "attempts", F.size("hits").cast("long").alias("hits"), F.coalesce(F.try_element_at("hits", F.lit(1))["chunk_id"], F.lit(-1)).alias("first_chunk"))
+
+
+@Q.query("context_build", BASE + """, est AS (SELECT query_id AS id, rank, source, chunk_id, content, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, length(content) // 2) END AS tokens FROM top),
+d AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY rank) AS used FROM est),
+tl AS (SELECT o_custkey - 1 AS id, o_orderkey AS place, greatest(1, length(repeat(o_orderstatus, 200)) // 2) AS tokens FROM orders),
+tr AS (SELECT *, sum(tokens) OVER (PARTITION BY id ORDER BY place) AS used FROM tl),
+h AS (SELECT q.query_id AS id, turn, role, text AS content, sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END) OVER (PARTITION BY q.query_id ORDER BY turn DESC) AS used FROM q JOIN conversations ON conv_id = q.query_id % 50),
+s AS (SELECT q.query_id AS id, query, greatest(1, length(query) // 2) AS qt, left(text, 400) AS summary, c_name AS user_context FROM q LEFT JOIN conversations ON conv_id = q.query_id % 50 AND turn = 0 LEFT JOIN customer ON c_custkey = q.query_id + 1),
+a AS (SELECT s.*, least(qt, 4096) AS query_tokens FROM s),
+b AS (SELECT a.*, coalesce((SELECT max(used) FROM d WHERE d.id = a.id AND used <= 4096 - query_tokens), 0) AS docs_tokens FROM a),
+e AS (SELECT b.*, coalesce((SELECT max(used) FROM tr WHERE tr.id = b.id AND used <= 4096 - query_tokens - docs_tokens), 0) AS tools_tokens FROM b),
+f AS (SELECT e.*, least(CASE WHEN coalesce(length(summary), 0) = 0 THEN 0 ELSE greatest(1, length(summary) // 2) END, 4096 - query_tokens - docs_tokens - tools_tokens) AS summary_tokens FROM e),
+g AS (SELECT f.*, coalesce((SELECT max(used) FROM h WHERE h.id = f.id AND used <= 4096 - query_tokens - docs_tokens - tools_tokens - summary_tokens), 0) AS history_tokens FROM f),
+dd AS (SELECT d.id, count(*) AS n, string_agg('- **[' || rank || ']** `' || source || '` — ' || replace(substr(content, 1, 120), chr(10), ' '), chr(10) ORDER BY rank) AS refs FROM d JOIN g ON g.id = d.id WHERE used <= 4096 - query_tokens GROUP BY d.id),
+hh AS (SELECT id, string_agg('  ' || role || ': ' || substr(content, 1, 150), chr(10) ORDER BY turn) AS said FROM (SELECT h.*, row_number() OVER (PARTITION BY h.id ORDER BY turn DESC) AS back FROM h JOIN g ON g.id = h.id WHERE used <= history_tokens) WHERE back <= 6 GROUP BY id)
+SELECT g.id AS query_id, query_tokens::BIGINT AS query_tokens, docs_tokens::BIGINT AS docs_tokens, tools_tokens::BIGINT AS tools_tokens, summary_tokens::BIGINT AS summary_tokens, history_tokens::BIGINT AS history_tokens, (4096 - query_tokens - docs_tokens - tools_tokens - summary_tokens - history_tokens)::BIGINT AS remaining,
+ coalesce(chr(10) || '---' || chr(10) || '## 📚 参考来源' || chr(10) || chr(10) || refs, '') AS "references",
+ concat_ws(chr(10) || chr(10), '[用户信息]' || chr(10) || nullif(user_context, ''), '[会话摘要]' || chr(10) || nullif(summary, ''), '[历史对话]' || chr(10) || said, '[参考文档] (' || n || ' 篇)') AS "window" FROM g LEFT JOIN dd USING (id) LEFT JOIN hh USING (id)""")
+def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item with the documents that share most words, orders as outputs of tools, and a conversation before it."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"), (F.col("item_id") % 50).alias("conv_id"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    first = turns.filter("turn = 0").select("conv_id", F.substring("content", 1, 400).alias("summary"))
+    names = table(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("id"), F.col("c_name").alias("user_context"))
+    docs = top(spark, sf_dir).select(F.col("query_id").alias("id"), "rank", "source", "chunk_id", "score", "content")
+    tools = table(spark, sf_dir, "orders").select((F.col("o_custkey") - 1).alias("id"), F.col("o_orderkey").alias("place"), F.expr("repeat(o_orderstatus, 200)").alias("output"))
+    queries = items.join(first, "conv_id", "left").join(names, "id", "left").select("id", "query", "summary", "user_context")
+    built = context.build_contexts(queries, docs, tools, items.select("id", "conv_id").join(turns, "conv_id").drop("conv_id"))
+    return built.select(F.col("id").alias("query_id"), "query_tokens", "docs_tokens", "tools_tokens", "summary_tokens", "history_tokens", "remaining", "references", "window")
