@@ -108,6 +108,14 @@ class KeywordIndex:
         now = self.tables.version()
         return self._remove(now, self.chunks(now).filter(F.col(column) == value), f"deleted {column} {value}")
 
+    def delete_ids(self, ids: DataFrame) -> Version:
+        """Removes the chunks of ids (chunk_id)."""
+        return self._remove(self.tables.version(), ids, "deleted ids")
+
+    def drop(self) -> Version:
+        """An empty index; older versions can still be rolled back to."""
+        return self.tables.drop()
+
     def compact(self, parts: int | None = None) -> Version:
         """Fresh files with just the rows that count."""
         now, parts = self.tables.version(), parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))

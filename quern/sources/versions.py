@@ -9,8 +9,9 @@ number fails, as the folder of its manifest is there. Files that a failed writer
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,11 @@ class Version:
 
 
 class VersionedTables:
-    def __init__(self, spark: SparkSession, root: str | None = None, schemas: Mapping[str, str] | None = None):
-        """root: a folder that all executors share; a fresh one if none is named. schemas: of tables that may have no folder yet."""
+    def __init__(self, spark: SparkSession, root: str | None = None, schemas: Mapping[str, str] | None = None, partitioned: Collection[str] = ()):
+        """root: a folder that all executors share; a fresh one if none is named. schemas: of tables that may have no folder yet;
+        partitioned: tables whose folders are partitioned by a column, the last of the schema."""
         self.spark, self.root, self.schemas = spark, root or f"{shared_root(spark)}/store-{uuid.uuid4().hex}", dict(schemas or {})
+        self.partitioned = frozenset(partitioned)
 
     def history(self) -> DataFrame:
         """All manifests."""
@@ -72,7 +75,10 @@ class VersionedTables:
         folders = (self.version() if version is None else version).folders.get(name, [])
         if not folders:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*folders) if name in self.schemas else self.spark.read.parquet(*folders)
+        reader = self.spark.read.schema(self.schemas[name]) if name in self.schemas else self.spark.read
+        if name not in self.partitioned:
+            return reader.parquet(*folders)
+        return reduce(DataFrame.unionByName, (reader.parquet(f) for f in folders))  # each has partitions of its own
 
     def rollback(self, number: int) -> Version:
         """A new version with the tables and figures of an old one."""
