@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,19 @@ def sensitive(c: Column) -> Column:
     return c.rlike(SENSITIVE)
 
 
+#: What code may not hold, in any case.
+DANGEROUS = (
+    "import os", "import subprocess", "import sys", "os.system", "os.popen", "os.exec", "subprocess.call", "subprocess.Popen", "__import__", "eval(", "exec(",
+    "require('child_process')", "require('fs')", "process.exit", "Deno.run", "rm -rf", "mkfs.", "dd if=", "> /dev/", "chmod", "chown", "sudo",
+)
+
+
+def dangerous(code: Column) -> Column:
+    """Whether code holds one of DANGEROUS."""
+    low = F.lower(code)
+    return reduce(lambda a, p: a | F.contains(low, F.lit(p.lower())), DANGEROUS, F.lit(False))
+
+
 def split_claims(c: Column) -> Column:
     """Sentences of more than three characters; the mark stays with its sentence."""
     parts = F.split(c, r"(?<=[。！？.!?\n])")

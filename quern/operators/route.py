@@ -211,12 +211,6 @@ def features(query: Column) -> Column:
     return F.struct(*[query.rlike(EXACT_CASE + p).alias(name) for name, p in FEATURES.items()])
 
 
-def intent_confidence(candidates: Column, entities: Column) -> Column:
-    """A few signals added up, less where there are many candidates."""
-    score = F.lit(0.5) + F.least(F.lit(0.2), entities * 0.05) + F.when(F.size(candidates) == 1, 0.15).otherwise(0.05) - F.when(F.size(candidates) > 3, 0.05).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
-
-
 def plan_name(query: Column, graph_on: Column, intent: Column | None = None) -> Column:
     """The plan of a query: by its intent where that calls for one, else relational, exact and semantic questions in this order.
 
@@ -271,21 +265,6 @@ def target_language(query: Column) -> Column:
     return F.coalesce(*[F.when(reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False)), F.lit(name)) for name, words in LANGUAGES.items()], F.lit("typescript"))
 
 
-def next_step(last: Column, has_docs: Column, verified: Column, steps: Column, budget: int = 18) -> Column:
-    """The node that a log's state leads to."""
-    return (
-        F.when(steps >= budget, "human_fallback")
-        .when(last == "intent", "retrieve")
-        .when((last == "retrieve") & has_docs, "context")
-        .when(last == "retrieve", "recover")
-        .when(last == "context", "generate")
-        .when(last == "generate", "verify")
-        .when((last == "verify") & verified, "finalize")
-        .when(last == "verify", "recover")
-        .otherwise("intent")
-    )
-
-
 def expansion_terms(paths: DataFrame, queries: DataFrame, most: int = 15) -> DataFrame:
     """(query_id, term): path terms that aren't words of the query, longest first, ties by term."""
     words = queries.select("query_id", F.explode(T.word_set(F.col("query"))).alias("term"))

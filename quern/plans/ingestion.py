@@ -51,10 +51,15 @@ def sensitive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).filter(T.sensitive(F.col("text"))).select("doc_id")
 
 
-@Q.query("blocklist_filter", "SELECT item_id, contains(lower(text), 'the') OR contains(lower(text), 'eval(') OR contains(lower(text), 'exec(') AS blocked FROM benchmark")
+#: Texts get lines of code, by their number: three that are blocked in different cases, one that only looks like it, one that is harmless.
+SNIPPETS = ("import OS", "x = Eval(y)", "RM -RF /tmp", "import ossify_", "print(1)")
+
+
+@Q.query("blocklist_filter", f"""WITH s AS (SELECT doc_id, text || chr(10) || {list(SNIPPETS)}[doc_id % 5 + 1] AS code FROM documents)
+SELECT doc_id, regexp_matches(lower(code), 'import os|import subprocess|import sys|os[.]system|os[.]popen|os[.]exec|subprocess[.]call|subprocess[.]popen|__import__|eval[(]|exec[(]|require[(]''child_process''[)]|require[(]''fs''[)]|process[.]exit|deno[.]run|rm -rf|mkfs[.]|dd if=|> /dev/|chmod|chown|sudo') AS blocked FROM s""")
 def blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.array(*map(F.lit, ("the", "eval(", "exec(")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.exists(marks, lambda m: F.contains(F.lower("text"), m)).alias("blocked"))
+    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", T.dangerous(F.concat("text", F.lit("\n"), snippet)).alias("blocked"))
 
 
 @Q.query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, substr(sha256(text), 1, 12) AS prompt_hash, sha256(lower(trim(text))) AS query_key FROM documents")

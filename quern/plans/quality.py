@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import conflicts, documents, embed, evaluate, graph
+from quern.operators import conflicts, documents, embed, evaluate, graph, master
 from quern.plans import retrieval
 from quern.plans.registry import Registry
 from quern.sources.tables import table
@@ -59,13 +59,18 @@ def regression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.regression(rows.select((F.col("lang") == "en").alias("intent_ok"), found.alias("found"), F.lit(2).alias("expected"), (F.col("toxic") == 0).alias("verified")))
 
 
-@Q.query("gate_thresholds", """WITH m AS (SELECT event_type, avg(value) AS mean, count(*) AS n FROM events GROUP BY event_type), t(event_type, least_n, most_mean) AS (VALUES ('view', 1000, 60.0), ('error', 100, 40.0), ('click', 1000, 80.0))
-SELECT event_type, n >= least_n AS enough, mean <= most_mean AS within, n >= least_n AND mean <= most_mean AS passes FROM m JOIN t USING (event_type)""")
+#: Nine rates of each event type, from the share of its values over some bounds.
+RATES = {"hit_at_k": 5, "recall_at_k": 8, "avg_retrieval_score": 20, "citation_present_rate": 1, "groundedness_rate": 4, "refusal_correctness_rate": 2, "verification_pass_rate": 3, "fallback_rate": 30, "tool_success_rate": 2}
+
+
+@Q.query("gate_thresholds", "WITH m AS (SELECT user_id, " + ", ".join(f"avg((value > {b})::INT) AS {n}" for n, b in RATES.items()) + """ FROM events GROUP BY user_id), f AS (SELECT *, concat_ws(',', CASE WHEN hit_at_k < 0.8 THEN 'hit_at_k' END, CASE WHEN recall_at_k < 0.75 THEN 'recall_at_k' END, CASE WHEN avg_retrieval_score < 0.6 THEN 'avg_retrieval_score' END,
+ CASE WHEN citation_present_rate < 0.95 THEN 'citation_present_rate' END, CASE WHEN groundedness_rate < 0.85 THEN 'groundedness_rate' END, CASE WHEN refusal_correctness_rate < 0.9 THEN 'refusal_correctness_rate' END,
+ CASE WHEN verification_pass_rate < 0.85 THEN 'verification_pass_rate' END, CASE WHEN fallback_rate > 0.25 THEN 'fallback_rate' END, CASE WHEN tool_success_rate < 0.9 THEN 'tool_success_rate' END) AS failed FROM m)
+SELECT user_id, failed, hit_at_k >= 0.8 AND recall_at_k >= 0.75 AND avg_retrieval_score >= 0.6 AS rag, citation_present_rate >= 0.95 AND groundedness_rate >= 0.85 AND refusal_correctness_rate >= 0.9 AS answer, verification_pass_rate >= 0.85 AND fallback_rate <= 0.25 AND tool_success_rate >= 0.9 AS agent, failed = '' AS passes FROM f""")
 def gate_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = spark.createDataFrame([("view", 1000, 60.0), ("error", 100, 40.0), ("click", 1000, 80.0)], "event_type string, least_n int, most_mean double")
-    measured = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    enough, within = F.col("n") >= F.col("least_n"), F.col("mean") <= F.col("most_mean")
-    return measured.join(limits, "event_type").select("event_type", enough.alias("enough"), within.alias("within"), (enough & within).alias("passes"))
+    measured = table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.avg((F.col("value") > b).cast("int")).alias(n) for n, b in RATES.items()))
+    gated = measured.select("user_id", master.gate({n: F.col(n) for n in RATES}).alias("g"))
+    return gated.select("user_id", F.array_join("g.failed", ",").alias("failed"), "g.rag", "g.answer", "g.agent", "g.passes")
 
 
 @Q.query("priority_budget", """WITH c AS (SELECT conv_id, sum(CASE WHEN role = 'user' THEN greatest(1, length(text) // 2) ELSE 0 END) AS q, sum(CASE WHEN role = 'assistant' THEN greatest(1, length(text) // 2) ELSE 0 END) AS d, sum(CASE WHEN role = 'system' THEN greatest(1, length(text) // 2) ELSE 0 END) AS t FROM conversations GROUP BY conv_id),

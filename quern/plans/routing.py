@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import evaluate, fusion, route
+from quern.operators import master, evaluate, fusion, route
 from quern.plans.registry import Registry
 from quern.sources.tables import table
 
@@ -160,11 +160,69 @@ def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
 
 
-@Q.query("next_steps", """WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'intent' WHEN 1 THEN 'retrieve' WHEN 2 THEN 'context' WHEN 3 THEN 'generate' WHEN 4 THEN 'verify' ELSE '' END AS last, value > 20 AS ok, event_id % 20 AS steps FROM events)
-SELECT event_id, CASE WHEN steps >= 18 THEN 'human_fallback' WHEN last = 'intent' THEN 'retrieve' WHEN last = 'retrieve' AND ok THEN 'context' WHEN last = 'retrieve' THEN 'recover' WHEN last = 'context' THEN 'generate' WHEN last = 'generate' THEN 'verify' WHEN last = 'verify' AND ok THEN 'finalize' WHEN last = 'verify' THEN 'recover' ELSE 'intent' END AS step FROM s""")
+def cases(key: str, *values: str) -> str:
+    """SQL that Spark and DuckDB share: one of the values by the remainder of key."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+#: States of the master by the numbers of events, for Spark and DuckDB alike. k is a tenth of the number.
+STATE_SQL = {
+    "last_step": cases("event_id", "'recognize_intent'", "'call_tools'", "'retrieve'", "'rewrite_query'", "'build_context'", "'generate_code'", "'execute_code'", "'generate_answer'", "'verify_answer'", "'check_permission'"),
+    "intent": cases("k", "'concept_qa'", "'error_diagnosis'", "'code_generation'", "'api_usage'"), "query": cases("k", "'Ticket TKT-001'", "'查询系统状态'", "'how to'", "'why'", "'an Error Code'", "''", "'x'"),
+    "needs_clarification": "k % 3 = 0", "confidence": "(k % 10) * 0.05", "tool_errors": "k % 2", "tool_retries": "(k % 8 - k % 2) / 2", "retrieve_retries": "(k % 4 - k % 2) / 2", "verify_retries": cases("k", "0", "0", "0", "1", "1"),
+    "code_retries": cases("k", "0", "0", "1", "1", "1"), "best_score": cases("k", "NULL", "0.0", "value", "value", "value"), "fallback_reason": cases("k", "'low_retrieval_score'", "''", "''", "'other'"), "has_code": "k % 8 < 4",
+    "code_verified": "k % 3 = 1", "verified": "k % 10 < 5", "steps": "k % 20", "may": "k % 7 <> 3",
+}
+STATES = "WITH e AS (SELECT event_id, value, (event_id - event_id % 10) // 10 AS k FROM events), s AS (SELECT event_id, " + ", ".join(f"{v} AS {k}" for k, v in STATE_SQL.items()) + " FROM e)"
+
+
+def master_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("k", F.expr("event_id div 10"))
+    return rows.select("event_id", F.struct(*(F.expr(v).alias(k) for k, v in STATE_SQL.items())).alias("s"))
+
+
+@Q.query("next_steps", STATES + """, d AS (SELECT event_id, CASE
+ WHEN steps >= 18 THEN 'human_fallback|graph step budget exceeded'
+ WHEN last_step = 'recognize_intent' THEN CASE WHEN needs_clarification AND confidence < 0.2 THEN 'human_fallback|deep intent needs clarification' WHEN intent = 'error_diagnosis' OR regexp_matches(lower(query), '工单|ticket|tkt-|系统状态|服务状态|健康检查|运行状态|错误码|error code|用户信息|用户档案|我的信息|个人信息') THEN 'call_tools|master selected tool agent from intent/query signals' ELSE 'retrieve_knowledge|intent routes to knowledge retrieval' END
+ WHEN last_step = 'call_tools' THEN CASE WHEN tool_errors = 0 THEN 'retrieve_knowledge|tools completed; retrieve supporting knowledge' WHEN tool_retries < 2 THEN 'call_tools|tool failed and retry budget remains' ELSE 'retrieve_knowledge|tool retry exhausted; continue with knowledge retrieval' END
+ WHEN last_step = 'retrieve' THEN CASE WHEN fallback_reason = 'low_retrieval_score' AND retrieve_retries >= 1 THEN CASE WHEN intent = 'code_generation' THEN 'build_context|code request can continue with template context' ELSE 'human_fallback|retrieval quality is too low' END
+   WHEN coalesce(best_score, 0) > 0 THEN 'build_context|retrieval found usable evidence' WHEN retrieve_retries < 1 THEN 'rewrite_query|no usable docs; rewrite and retry retrieval' WHEN intent = 'code_generation' THEN 'build_context|code request can continue without retrieved docs' ELSE 'human_fallback|no usable docs and retrieval retry exhausted' END
+ WHEN last_step = 'rewrite_query' THEN 'retrieve_knowledge|query rewritten; retry retrieval'
+ WHEN last_step = 'build_context' THEN CASE WHEN intent = 'code_generation' AND NOT has_code THEN 'generate_code|code generation requested' ELSE 'generate_answer|context ready for answer generation' END
+ WHEN last_step = 'generate_code' THEN 'execute_code|code generated; execute in sandbox'
+ WHEN last_step = 'execute_code' THEN CASE WHEN code_verified THEN 'generate_answer|code verified; generate final explanation' WHEN code_retries = 0 THEN 'generate_code|code execution failed; retry code generation' ELSE 'finalize_answer|code execution failed after retry; finalize with disclaimer' END
+ WHEN last_step = 'generate_answer' THEN 'verify_answer|draft answer ready; verify grounding'
+ WHEN last_step = 'verify_answer' THEN CASE WHEN verified THEN 'finalize_answer|answer verified' WHEN verify_retries < 1 THEN 'build_context|answer not grounded; regenerate with same context' ELSE 'human_fallback|answer verification failed and retry exhausted' END
+ ELSE 'retrieve_knowledge|default to retrieval' END AS d FROM s) SELECT event_id, split_part(d, '|', 1) AS next_node, split_part(d, '|', 2) AS reason FROM d""")
 def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.expr("CASE event_id % 6 WHEN 0 THEN 'intent' WHEN 1 THEN 'retrieve' WHEN 2 THEN 'context' WHEN 3 THEN 'generate' WHEN 4 THEN 'verify' ELSE '' END")
-    return table(spark, sf_dir, "events").select("event_id", route.next_step(last, F.col("value") > 20, F.col("value") > 20, F.col("event_id") % 20).alias("step"))
+    return master_states(spark, sf_dir).select("event_id", master.master_step(F.col("s")).alias("d")).select("event_id", "d.next_node", "d.reason")
+
+
+@Q.query("graph_steps", STATES + """ SELECT event_id, CASE last_step WHEN 'check_permission' THEN CASE WHEN may THEN 'deep_intent_recognition' ELSE 'final_refusal' END
+ WHEN 'recognize_intent' THEN CASE WHEN (needs_clarification AND confidence < 0.2) OR intent = 'error_diagnosis' THEN 'master_agent' ELSE 'retrieve_knowledge' END
+ WHEN 'retrieve' THEN CASE WHEN coalesce(best_score, 0) <= 0 AND fallback_reason = 'low_retrieval_score' THEN 'master_agent' ELSE 'build_context' END
+ WHEN 'build_context' THEN CASE WHEN intent = 'code_generation' AND NOT has_code THEN 'generate_code' ELSE 'generate_answer' END
+ WHEN 'generate_answer' THEN 'verify_answer' WHEN 'verify_answer' THEN CASE WHEN verified THEN 'finalize_answer' ELSE 'human_fallback' END ELSE 'master_agent' END AS node FROM s""")
+def graph_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    permissions = F.when(F.col("s.may"), F.array(F.lit("chat"), F.lit("knowledge_search"))).otherwise(F.array(F.lit("chat")))
+    return master_states(spark, sf_dir).select("event_id", master.graph_step(F.col("s"), permissions).alias("node"))
+
+
+@Q.query("intent_confidences", """WITH i AS (SELECT event_id, event_id % 7 AS own, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 7 + event_id % 3 END AS total, event_id % 5 AS n_candidates, event_id % 4 AS kind, event_id % 8 AS kinds, event_id % 6 AS scene, event_id % 9 < 4 AS unclear, event_id % 5 AS questions, event_id % 4 AS tools, event_id % 3 * 60 AS chars FROM events),
+p AS (SELECT *, CASE WHEN total IS NULL THEN 0.1 WHEN total = 0 THEN 0.05 ELSE CASE WHEN own >= 5 THEN 0.3 WHEN own >= 3 THEN 0.25 WHEN own = 2 THEN 0.2 WHEN own = 1 THEN 0.15 ELSE 0 END END - CASE WHEN total IS NOT NULL AND n_candidates > 3 THEN 0.05 ELSE 0 END AS rules,
+ 0.2 * least(1.0, CASE WHEN kinds = 7 THEN 7 ELSE kinds END / 6) AS entities, CASE WHEN scene = 0 THEN 0.15 WHEN scene = 1 THEN 0.1 ELSE 0 END AS scenario, CASE WHEN kind < n_candidates THEN 0.15 WHEN n_candidates > 0 AND kind = 3 THEN 0.08 ELSE 0 END AS agrees, CASE WHEN unclear THEN greatest(0, 0.1 - 0.03 * questions) ELSE 0.1 END AS clear,
+ CASE WHEN tools >= 3 THEN 0.1 WHEN tools >= 1 THEN 0.05 ELSE 0 END AS helped, CASE WHEN chars > 100 THEN 0.05 WHEN chars > 50 THEN 0.03 ELSE 0 END AS answered FROM i)
+SELECT event_id, round((rules + entities + scenario + agrees + clear + helped + answered)::DOUBLE, 3) AS confidence FROM p""")
+def intent_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised intents by the numbers of events: up to four candidates i0 to i3 of the rules, and i0 as second choice."""
+    e = F.col("event_id")
+    names = F.array(*(F.lit(f"i{k}") for k in range(5)))
+    candidates = F.slice(names, F.lit(1), (e % 5).cast("int"))
+    some = lambda k: F.when(e % 8 > k, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    entities = F.struct(*(some(k).alias(name) for k, name in enumerate(("apis", "components", "errors", "api_levels", "versions", "files"))), F.lit("a").alias("migration_from"), F.when(e % 8 > 6, "b").otherwise("").alias("migration_to"))
+    second = F.when(e % 4 == 3, F.array(F.lit("i0"))).otherwise(F.array().cast("array<string>"))
+    score = master.intent_confidence(e % 7, F.when(e % 11 != 0, e % 7 + e % 3), candidates, F.concat(F.lit("i"), (e % 4).cast("string")), second, master.entity_coverage(entities), F.when(e % 6 == 0, "s").otherwise(""), F.when(e % 6 == 1, F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")), e % 9 < 4, e % 5, e % 4, e % 3 * 60)
+    return table(spark, sf_dir, "events").select("event_id", F.round(score, 3).alias("confidence"))
 
 
 @Q.query("expansion_terms", r"""WITH w AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark), p AS (SELECT DISTINCT query_id, lower(p_name) AS term FROM w JOIN part ON p_partkey % 40 = query_id % 40),
