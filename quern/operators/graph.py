@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
+
 #: Kinds of entities and the patterns that find them, in the order in which they are tried; letters in either case.
 ENTITY_PATTERNS = {
     "ERROR_CODE": [
@@ -172,11 +176,26 @@ def one_hop(seeds: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
     return steps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "edge_id", F.col("dst").alias("node"), "rel", "weight", "rank")
 
 
+def strongest(edges: DataFrame, limit: int, slack: Column) -> DataFrame:
+    """Of each src the edges whose weight is within slack of that of its limit-th heaviest neighbour, ties included."""
+    best = edges.groupBy("src", "dst").agg(F.max("weight").alias("top"))
+    ranked = best.withColumn("rank", F.rank().over(Window.partitionBy("src").orderBy(F.desc("top")))).filter(F.col("rank") <= limit)
+    floor = ranked.groupBy("src").agg(F.min("top").alias("floor"))
+    return edges.join(floor, "src").filter(F.col("weight") >= F.col("floor") - slack).drop("floor")
+
+
 def two_hop(seeds: DataFrame, edges: DataFrame, limit: int = 15, digits: int = 2) -> DataFrame:
-    """(seed, mid, node, rels, weight): paths over two different edges to another node; weights multiply."""
-    both = both_ways(edges)
+    """(seed, mid, node, rels, weight): paths over two different edges to another node; weights multiply.
+
+    Of a middle node only the edges to its limit + 2 heaviest neighbours are followed: two of them may be the seed and the
+    node itself, and each of the others gives a path that is heavier than one over any other edge, by more than rounding takes.
+    So a hub is left by few edges, whatever their number. That needs first edges of positive weight; if there are others all are followed.
+    """
+    both = cut(both_ways(edges))
     first = seeds.select("seed").join(both, F.col("seed") == F.col("src")).select("seed", F.col("edge_id").alias("e1"), F.col("dst").alias("mid"), F.col("rel").alias("r1"), F.col("weight").alias("w1"))
-    second = both.select(F.col("edge_id").alias("e2"), F.col("src").alias("at"), F.col("dst").alias("node"), F.col("rel").alias("r2"), F.col("weight").alias("w2"))
+    least = first.agg(F.min("w1")).first()[0]
+    slack = F.lit(10.0**-digits / least if least is not None and least > 0 else float("inf"))
+    second = strongest(both, limit + 2, slack).select(F.col("edge_id").alias("e2"), F.col("src").alias("at"), F.col("dst").alias("node"), F.col("rel").alias("r2"), F.col("weight").alias("w2"))
     paths = first.join(second, F.col("mid") == F.col("at")).filter("node <> seed AND mid <> seed AND node <> mid AND e1 <> e2").withColumn("weight", F.round(F.col("w1") * F.col("w2"), digits))
     order = Window.partitionBy("seed").orderBy(F.desc("weight"), "node", "mid", "e1", "e2")
     return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("seed", "mid", "node", F.concat_ws(",", "r1", "r2").alias("rels"), "weight", "rank")
@@ -223,15 +242,35 @@ def cooccurrence(mentions: DataFrame, within: int = 300) -> DataFrame:
     return near.select("chunk_id", "left", "right", F.round(F.greatest(F.lit(0.1), 1 - (F.col("p2") - F.col("p1")) / within), 2).alias("weight"))
 
 
+def word_led(pattern: str) -> Callable[[str], Iterator[re.Match]]:
+    """What finditer gives for a pattern, letters in either case and by lines; in linear time where it begins with a group of word characters.
+
+    Such a pattern that matches from inside a run of word characters matches from the start of the run, too, as its first group can
+    take more. So it is tried where a run begins, and where the last match ended, instead of at every character of a run.
+    """
+    rule = re.compile(pattern, re.IGNORECASE | re.MULTILINE)
+    if r"\s+from\s+" in pattern:  # these look for "from" up to a line's end
+        return lambda text: rule.finditer(text) if re.search("from", text, re.IGNORECASE) else iter(())
+    if not pattern.startswith(r"(\w+"):
+        return rule.finditer
+    led = re.compile(r"(?<!\w)" + pattern, re.IGNORECASE | re.MULTILINE)
+
+    def found(text: str) -> Iterator[re.Match]:
+        at = 0
+        while m := rule.match(text, at) or led.search(text, at):
+            yield m
+            at = m.end()
+
+    return found
+
+
 def extract_entities(chunks: DataFrame) -> DataFrame:
     """(chunk_id, name, normalized, kind, pos, snippet): first mention of each name and kind in a chunk.
 
     A name is a match's first group if that has two characters, else the whole match without keywords before it. Names of
     one character are left out; null and empty texts have no rows. Symbols of code are those of quern.operators.documents.
     """
-    import re
-
-    rules = [(kind, re.compile(p, re.IGNORECASE | re.MULTILINE)) for kind, patterns in ENTITY_PATTERNS.items() for p in patterns]
+    rules = [(kind, word_led(p)) for kind, patterns in ENTITY_PATTERNS.items() for p in patterns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -239,7 +278,7 @@ def extract_entities(chunks: DataFrame) -> DataFrame:
             for chunk, text in zip(frame.chunk_id, frame.content, strict=True):
                 first = {}
                 for kind, rule in rules:
-                    for m in rule.finditer(text or ""):
+                    for m in rule(text or ""):
                         group = 1 if m.lastindex and len(m[1] or "") > 1 else 0
                         name = m[1] if group else re.sub(NAME_LEAD, "", m[0].strip())
                         name = re.sub(NAME_TAIL, "", name).strip()
@@ -258,9 +297,7 @@ def pattern_relations(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     The first group that is a mention is the source, the next other one the target; each (source, target, rel) once a
     chunk. Names are normalized. Chunks without mentions have no rows.
     """
-    import re
-
-    rules = [(rel, re.compile(p, re.IGNORECASE | re.MULTILINE)) for rel, patterns in RELATION_PATTERNS.items() for p in patterns]
+    rules = [(rel, word_led(p)) for rel, patterns in RELATION_PATTERNS.items() for p in patterns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -268,7 +305,7 @@ def pattern_relations(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
             for chunk, text, names in zip(frame.chunk_id, frame.content, frame.names, strict=True):
                 known, first = set(names), {}
                 for rel, rule in rules:
-                    for m in rule.finditer(text or ""):
+                    for m in rule(text or ""):
                         ends = list(dict.fromkeys(g for g in (x.strip().lower() for x in m.groups() if x and len(x) > 1) if g in known))[:2]
                         if len(ends) == 2:
                             first.setdefault((*ends, rel), (chunk, *ends, rel, text[max(0, m.start() - 30) : m.end() + 30].replace("\n", " ").strip()))

@@ -42,12 +42,12 @@ def graph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.query("path_score", f"""WITH {EDGES_SQL}, {ONE_SQL}, {TWO_SQL}, p AS (SELECT node AS chunk_id, seed, weight, 1 AS hops FROM one WHERE rank <= 20 UNION ALL SELECT node, seed, weight, 2 FROM two WHERE rank <= 15),
 g AS (SELECT chunk_id, count(DISTINCT seed) AS seeds, avg(weight) AS weight, avg(hops) AS hops FROM p GROUP BY chunk_id)
-SELECT chunk_id, round(0.4::DOUBLE * least(1.0, seeds / 100) + 0.3::DOUBLE * least(1.0, weight) + 0.1::DOUBLE / greatest(hops, 1.0), 6) AS score FROM g""")
+SELECT chunk_id, round(0.4::DOUBLE * least(1.0, seeds / 100) + 0.3::DOUBLE * least(1.0, weight) + 0.2::DOUBLE * (chunk_id LIKE 'p%')::INT + 0.1::DOUBLE / greatest(hops, 1.0), 6) AS score FROM g""")
 def path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = graph_1hop(spark, sf_dir).select(F.col("node").alias("chunk_id"), "seed", "weight", F.lit(1).alias("hops"))
     two = graph_2hop(spark, sf_dir).select(F.col("node").alias("chunk_id"), "seed", "weight", F.lit(2).alias("hops"))
-    nothing = one.select("chunk_id", F.lit("").alias("content")).distinct()
-    return graph.path_scores(one.unionByName(two), nothing, 100, 6)
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("chunk_id"), F.col("p_name").alias("content"))
+    return graph.path_scores(one.unionByName(two), names, 100, 6)
 
 
 @Q.query("path_relations", f"WITH {EDGES_SQL}, {TWO_SQL} SELECT DISTINCT rels FROM two WHERE rank <= 15")

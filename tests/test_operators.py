@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -499,3 +501,35 @@ def test_session_and_batches_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     written = spark.read.parquet(str(tmp_path / "out"))
     assert written.count() == 10 and replay.newest(written, "session_id").count() == 2
+
+
+def test_patterns_take_linear_time(spark):
+    """A hundred thousand characters without a blank, and matches that follow each other in one run."""
+    patterns = [p for kinds in (graph.ENTITY_PATTERNS, graph.RELATION_PATTERNS) for rules in kinds.values() for p in rules]
+    for text in ("x" * 100_000, "中文字符" * 25_000, "a" * 50_000 + " causes " + "b" * 50_000, "import " * 15_000):
+        began = time.perf_counter()
+        found = [m[0] for p in patterns for m in graph.word_led(p)(text)]
+        assert time.perf_counter() - began < 3 and ("causes" not in text or len(found) >= 1)
+    tokens = ["导致", "causes", " ", "\n", "崩溃", "abc", "X", "的生命周期", "和", "相关", "Ability", "onCreate", "是", "的", "一部分", ".f(", "->", " extends ", "A, B", "修复", "问题", "import", " from 'x'", "调用", "方法", "→", "_", "9"]
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = "".join(rnd.choice(tokens) for _ in range(20))
+        for p in patterns:
+            assert [(m.span(), m.groups()) for m in graph.word_led(p)(text)] == [(m.span(), m.groups()) for m in re.compile(p, re.IGNORECASE | re.MULTILINE).finditer(text)]
+
+
+@pytest.mark.parametrize("digits", [2, 6])
+def test_two_hops_of_hubs(spark, digits):
+    """Pruned edges give the paths of a plain loop: many ties, parallel edges, self loops, a hub."""
+    rnd = random.Random(digits)
+    edges = [(i, f"n{rnd.choice([0, 0, 0, rnd.randrange(40)])}", f"n{rnd.randrange(40)}", f"r{i % 3}", rnd.choice([0.05, 0.5, 0.51, rnd.random() + 0.01])) for i in range(500)]
+    both = [(i, a, b, r, w) for i, a, b, r, w in edges] + [(i, b, a, r, w) for i, a, b, r, w in edges]
+    seeds = [f"n{k}" for k in range(0, 40, 4)]
+    found = graph.two_hop(spark.createDataFrame([(s,) for s in seeds], "seed string"), spark.createDataFrame(edges, "edge_id long, src string, dst string, rel string, weight double"), 5, digits).collect()
+    for seed in seeds:
+        paths = []
+        for e1, a, mid, r1, w1 in both:
+            if a == seed and mid != seed:
+                paths += [(-round(w1 * w2, digits), node, mid, e1, e2, f"{r1},{r2}") for e2, m, node, r2, w2 in both if m == mid and node not in (seed, mid) and e1 != e2]
+        want = [(p[1], p[2], p[5]) for p in sorted(paths)[:5]]
+        assert [(r.node, r.mid, r.rels) for r in sorted((r for r in found if r.seed == seed), key=lambda r: r.rank)] == want
