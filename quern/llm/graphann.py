@@ -24,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed
@@ -271,6 +272,18 @@ def fat_graph(state: DataFrame, width: int) -> DataFrame:
 SEEN = "query long, ids array<long>, ds array<float>"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once by Arrow, in what runs meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def walk(starts: DataFrame, graph: DataFrame, kind: str, k: int, beam: int, slack: float, most: int, scratch: Scratch) -> DataFrame:
     """(query, ids, ds): the nearest nodes that each query (query, code; a node itself) finds, nearest first.
 
@@ -401,7 +414,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, widt
         state = build_graph(nodes.filter(F.length("code") == usual), kind, width, rounds, least_change, starts, block, best, scratch)
         graph, name = bucketed(fat_graph(state, width), "node", scratch.root)
         starts_at = asked.filter(F.length("code") == usual).select("query", "code").dropDuplicates(["query"])
-        found = scratch.keep(walk(starts_at, graph, kind, k, beam, slack, most, scratch), "walk")
+        with small_batches(spark, 1000):  # a row of the graph holds two widths of vectors
+            found = scratch.keep(walk(starts_at, graph, kind, k, beam, slack, most, scratch), "walk")
         spark.sql(f"DROP TABLE {name}")
         # all that the k-th's rounding could hide are measured again, and some more
         close = F.filter(F.arrays_zip("ids", "ds"), lambda x, i: (i < k + spare) | (x["ds"] <= F.try_element_at("ds", F.lit(k)) * (1 + 1e-5)))
