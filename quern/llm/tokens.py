@@ -109,6 +109,8 @@ class WordEncoder:
         back = self.n, self.used
         self._add(fresh[room:], other)
         place = self.place
+        if not other:
+            return np.fromiter(map(place.__getitem__, words), np.int64, len(words)), *back
         return np.fromiter((place[w] if w in place else other[w] for w in words), np.int64, len(words)), *back
 
     def _add(self, words: list[str], held: dict[str, int]) -> None:
