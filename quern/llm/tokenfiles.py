@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, part = WordEncoder(path), None, TaskContext.get().partitionId()
         for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
+            for rows in slices(batch, "text", 8 << 20):
                 if not len(rows):
                     continue
                 if writer is None:
