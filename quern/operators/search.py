@@ -92,19 +92,22 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 4)
 def blocks(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
     """(ids, matrix): rows packed into blocks, matrix holding unit vectors in double precision. Nothing is shuffled.
 
-    Zero vectors stay zero, so their cosine is 0. Null vectors are left out.
+    Zero vectors stay zero, so their cosine is 0. Vectors that are null, empty, or hold null or NaN components are left out. A block holds
+    vectors of one length.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), size):
-                part = batch.slice(at, size)
-                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
-                unit = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], names=["ids", "matrix"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+                lengths = batch.slice(at, size).column("v").value_lengths().to_numpy(zero_copy_only=False)
+                for length in np.unique(lengths):
+                    part = batch.slice(at, size).filter(pa.array(lengths == length))
+                    flat = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                    norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+                    unit = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))")
     return rows.mapInArrow(pack, "ids array<long>, matrix binary")
 
 
@@ -112,13 +115,15 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     """(query_id, vec_id, score, rank): exact cosine search of a stated set of queries (query_id, q) against all vectors.
 
     Blocks of queries meet blocks of vectors, each pair of blocks is one matrix product, and only a block's best k of each
-    query go on. All vectors have one length.
+    query go on. Vectors of another length than a query's are no hits of it.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, matrix, asked, wanted in zip(*(batch.column(c).to_pylist() for c in ("ids", "matrix", "asked", "wanted")), strict=True):
                 v, q = np.frombuffer(matrix).reshape(len(ids), -1), np.frombuffer(wanted).reshape(len(asked), -1)
+                if v.shape[1] != q.shape[1]:
+                    continue
                 ids, asked = np.asarray(ids), np.asarray(asked)
                 scores = np.round(q @ v.T, digits)
                 scores[asked[:, None] == ids[None]] = -np.inf

@@ -67,3 +67,14 @@ def test_pair_vectors(spark):
     found = {r.id: r.v for r in embed.pair_vectors(df, "id", "text").collect()}
     assert found.keys() == {0, 1, 4} and found[0] == found[1] and len(found[4]) == 256 and sum(map(abs, found[0])) <= 4
     assert embed.pair_vectors(df.filter(F.col("id") > 9), "id", "text").count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """Odd vectors neither stop a search nor are hits."""
+    from quern.operators import search
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [1.0, float("nan")]), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [2.0]), (-3, [1.0, 2.0, 3.0]), (-4, None)], "query_id long, q array<double>")
+    found = [(r.query_id, r.vec_id, r.score) for r in search.vector_search(asked, df, 3).orderBy("query_id", "rank").collect()]
+    assert found == [(-2, 4, 1.0), (-1, 0, 1.0), (-1, 1, round(1 / 1.01**0.5, 6)), (-1, 2, 0.0)]

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the others must give rows."""
+"""Every query with SQL against DuckDB on the smallest tables; the others must give rows, but for two that find nothing there."""
 
 import duckdb
 import pandas as pd
@@ -36,6 +36,8 @@ def test_query(spark, sf_dir, duck, name):
         want = duck.sql(SQL[name]).df()
         assert sorted(found.columns) == sorted(want.columns)
         assert rows(found) == rows(want)
+    else:
+        assert len(found) > 0 or name in ("contradictions", "page_outline")
 
 
 def test_entry(spark):

@@ -100,3 +100,59 @@ def test_index_odd_batches(spark):
     assert index.tables.version().number == 1  # nothing to delete
     index.delete("source", "s")
     assert index.search(asked).count() == 0 and index.stats().first().docs == 1
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, source string, embedding array<double>, tenant_id string")
+
+
+def test_vector_store(spark, tmp_path):
+    from quern.sources.vector_store import VectorStore
+
+    root = f"file://{tmp_path}/vectors"
+    store = VectorStore(spark, 2, root)
+    assert not store.stats().first().exists and store.rows().count() == 0
+    store.upsert(vectors(spark, [(1, "a", [1.0, 0.0], "t"), (2, "a", [0.0, 1.0], None), (3, "b", [1.0, 1.0], "t")]))
+    store.upsert(vectors(spark, [(3, "b", [-1.0, 0.0], "u"), (4, "c", [0.9, 0.1], "t")]))  # 3 moves to another tenant
+    asked = spark.createDataFrame([(-1, [1.0, 0.0])], "query_id long, q array<double>")
+    found = lambda where=None, s=store: [r.vec_id for r in s.search(asked, 3, where).orderBy("rank").collect()]
+    assert found() == [1, 4, 2] and found("t") == [1, 4] and found("u") == [3] and found("default") == [2]
+    before = store.tables.version().number
+    store.delete_by_source("a")
+    assert found() == [4, 3] and store.stats().first().rows == 2
+    store.delete_by_source("nowhere")
+    assert store.tables.version().number == before + 1
+    again = VectorStore(spark, 2, root)  # opened again
+    assert found(s=again) == [4, 3]
+    for bad in ([(5, "a", [1.0], "t")], [(5, "a", None, "t")], [(5, "a", [1.0, 2.0], "t"), (5, "b", [1.0, 2.0], "t")]):
+        with pytest.raises(ValueError):
+            again.upsert(vectors(spark, bad))
+    with pytest.raises(ValueError):
+        VectorStore(spark, 3, root)
+    again.drop()
+    assert not again.stats().first().exists
+    again.tables.rollback(before)
+    assert found(s=again) == [1, 4, 2]
+
+
+def test_updates(spark):
+    from pyspark.sql import functions as F
+
+    from quern.sources.vector_store import DocumentStores, VectorStore
+
+    chunk = lambda docs: docs.select(F.col("source").cast("long").alias("chunk_id"), "source", "content", F.lit("t").alias("tenant_id"))
+    embed = lambda chunks: chunks.select(F.col("chunk_id").alias("id"), F.array(F.length("content").cast("double"), F.lit(1.0)).alias("v"))
+    stores = DocumentStores(spark, KeywordIndex(spark), VectorStore(spark, 2), chunk, embed)
+    docs = lambda texts: spark.createDataFrame(list(texts.items()), "source string, content string")
+    texts = {str(i): f"word{i} common" for i in range(10)}
+    assert list(stores.update(docs(texts)).values()) == ["full", 10, 0, 0, 0, 0, 10]
+    assert list(stores.update(docs(texts)).values()) == ["none", 0, 0, 0, 10, 0, 0]
+    texts |= {"0": "fresh common", "10": "word10"}
+    del texts["1"]
+    assert list(stores.update(docs(texts)).values()) == ["incremental", 1, 1, 1, 8, 2, 2]
+    asked = spark.createDataFrame([(1, "fresh"), (2, "word0"), (3, "word1"), (4, "word10"), (5, "word5")], "query_id long, query string")
+    assert {r.query_id: r.chunk_id for r in stores.index.search(asked).collect()} == {1: 0, 4: 10, 5: 5}
+    assert sorted(r.vec_id for r in stores.vectors.rows().collect()) == [0, *range(2, 11)]
+    changed = {k: v + " again" for k, v in texts.items()}
+    assert stores.update(docs(changed))["mode"] == "full" and stores.index.stats().first().docs == 10
+    assert stores.update(docs({})) == {"mode": "full", "new": 0, "changed": 0, "deleted": 10, "same": 0, "removed": 10, "added": 0}
