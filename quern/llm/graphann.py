@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed
+from .common import checkpointed, Scratch, tidy
 
 NODE = "id long, code binary, digest binary"
 
@@ -63,7 +63,7 @@ def encode_nodes(rows: DataFrame, kind: str) -> DataFrame:
             codes = [row.tobytes() for row in np.split(flat, ends[:-1])] if len(batch) else []
             yield batch_of(["id", "code", "digest"], [pa.int64(), pa.binary(), pa.binary()], [batch.column("id").to_pylist(), codes, [hashlib.md5(x).digest() for x in codes]])
 
-    return rows.select("id", "vector").mapInArrow(run, NODE)
+    return rows.select("id", "vector").mapInArrow(tidy(run), NODE)
 
 
 def decoded(codes: list[bytes], kind: str) -> np.ndarray:
@@ -145,7 +145,7 @@ def first_edges(nodes: DataFrame, kind: str, width: int, starts: int, block: int
                 rows = rows.slice(take)
 
     order = ["place", "along", "id"]
-    return nodes.select("id", "code").mapInArrow(mark, "id long, code binary, place long, along double").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(meet, LINKS)
+    return nodes.select("id", "code").mapInArrow(tidy(mark), "id long, code binary, place long, along double").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(tidy(meet), LINKS)
 
 
 def sent(df: DataFrame, *columns: str) -> DataFrame:
@@ -192,7 +192,7 @@ def with_links(nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
     has = "ids" in nodes.columns
     own = nodes.select(F.col("id").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("float").alias("d"), "code", *([F.col("ids"), F.col("ds")] if has else [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds")]))
     new = links.select("key", F.lit(1).alias("kind"), "other", "d", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("ds"))
-    return sent(own.unionByName(new), "kind").mapInArrow(merge, STATE)
+    return sent(own.unionByName(new), "kind").mapInArrow(tidy(merge), STATE)
 
 
 STATE = "id long, code binary, ids array<long>, ds array<float>, fresh int"
@@ -235,7 +235,7 @@ def met(state: DataFrame, kind: str, best: int, width: int) -> DataFrame:
         if found:
             yield batch_of(*LINK, [np.concatenate(x) for x in zip(*found, strict=True)])
 
-    return told(state, width).mapInArrow(meet, LINKS)
+    return told(state, width).mapInArrow(tidy(meet), LINKS)
 
 
 LINKS = "key long, other long, d float"
@@ -266,7 +266,7 @@ def fat_graph(state: DataFrame, width: int) -> DataFrame:
             codes = values(parts, "code")
             yield batch_of(["node", "ids", "codes"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())], [[parts[0].column("key")[0].as_py()], [ids], [[codes[i] for i in first]]])
 
-    return told(state, width).mapInArrow(collect, "node long, ids array<long>, codes array<binary>")
+    return told(state, width).mapInArrow(tidy(collect), "node long, ids array<long>, codes array<binary>")
 
 
 SEEN = "query long, ids array<long>, ds array<float>"
@@ -329,10 +329,10 @@ def walk(starts: DataFrame, graph: DataFrame, kind: str, k: int, beam: int, slac
     state = starts.select("query", "code", F.expr("array()").cast("array<long>").alias("ids"), F.expr("array()").cast("array<float>").alias("ds"), F.array("query").alias("done"), F.array("query").alias("fresh"), F.lit(float("inf")).alias("bound"))
     while True:  # each round opens nodes that were not open before
         frontier = state.select("query", "code", "bound", F.explode("fresh").alias("node"))
-        seen = frontier.join(graph, "node").select("query", "code", "bound", "ids", "codes").mapInArrow(look, SEEN)
+        seen = frontier.join(graph, "node").select("query", "code", "bound", "ids", "codes").mapInArrow(tidy(look), SEEN)
         own = state.select(F.col("query").alias("key"), F.lit(0).alias("kind"), "code", "ids", "ds", "done")
         new = seen.select(F.col("query").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("code"), "ids", "ds", F.lit(None).cast("array<long>").alias("done"))
-        state = scratch.keep(sent(own.unionByName(new), "kind").mapInArrow(merge, WALK), "walk")
+        state = scratch.keep(sent(own.unionByName(new), "kind").mapInArrow(tidy(merge), WALK), "walk")
         if state.filter(F.size("fresh") > 0).isEmpty():
             return state.select("query", "ids", "ds")
 
@@ -383,7 +383,7 @@ def scanned(asked: DataFrame, nodes: DataFrame, kind: str, k: int, block: int =
                 yield batch_of(*LINK, [held[1][q], others[at], ((x[q] - y[at]) ** 2).sum(1)])
 
     met = one.unionByName(two).withColumn("key", key).drop("b", "s")
-    found = sent(met, "kind").mapInArrow(meet, LINKS)
+    found = sent(met, "kind").mapInArrow(tidy(meet), LINKS)
     last = Window.partitionBy("key").orderBy("d")
     ranked = found.withColumn("place", F.rank().over(last)).filter(F.col("place") <= k)
     return ranked.select(F.col("key").alias("query"), F.col("other").alias("node"))

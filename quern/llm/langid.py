@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, tidy
 
 BLANK = 32
 UNKNOWN = "und"
@@ -112,7 +112,7 @@ def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     counts = np.bincount(place, np.concatenate([n for _, n in found]), len(codes)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    total = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = picked.select("lang", "text").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).select("lang", "rank", "gram")
     by_lang: dict[str, list[int]] = {}
@@ -130,7 +130,7 @@ def predict_language(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id"
                 found = [profiles.predict(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(predict), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, slices
+from .common import checkpointed, Scratch, slices, tidy
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -189,7 +189,7 @@ def sketch_documents(docs: DataFrame, k: int, count: int, taken: int, id_col: st
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "digest", "n", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, digest binary, n int, keys array<long>")
 
 
 def sequences(docs: DataFrame, k: int) -> DataFrame:
@@ -203,7 +203,7 @@ def sequences(docs: DataFrame, k: int) -> DataFrame:
                 columns = [part.column("id"), pa.array([len(x) for x in held], pa.int32()), pa.array([x.tobytes() for x in held], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "seq"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, seq binary")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, n int, seq binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     left = texts.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def small_pairs(members: DataFrame, least: float) -> DataFrame:
@@ -360,7 +360,7 @@ def block_links(large: DataFrame, texts: DataFrame, least: float, scratch: Scrat
             yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     met = cells.join(sides[0], ["key", "left"]).join(sides[1], ["key", "right"]).select("key", (F.col("left") == F.col("right")).alias("same"), "one", "two")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return met.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 class Block:

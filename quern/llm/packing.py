@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, tidy
 from .tokens import END_ID, WordEncoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class int"
@@ -116,4 +116,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shortest: int = 64, vo
         bins.finish()
         yield out(bins.rows)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(pack, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(pack), SCHEMA)

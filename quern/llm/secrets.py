@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, tidy
 
 #: The base rules, and the kinds in the order in which they are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -232,7 +232,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(scan, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(tidy(scan), SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
