@@ -80,7 +80,7 @@ def folder_states(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def stores_of(spark: SparkSession) -> DocumentStores:
-    return DocumentStores(spark, KeywordIndex(spark, kept=("source", "tenant_id")), VectorStore(spark, 256), halves, lambda c: embed.pair_vectors(c, "chunk_id", "content"))
+    return DocumentStores(spark, KeywordIndex(spark, kept=("source", "tenant_id")), VectorStore(spark, 256), halves, lambda c: embed.pair_vectors(c, "chunk_id", "content", keep=("source", "tenant_id")))
 
 
 @Q.query("incremental_updates", """WITH d AS (SELECT doc_id, doc_id % 10 <> 0 AS first, doc_id % 13 <> 5 AS second, doc_id % 7 = 0 AS changed, doc_id % 5 <> 0 AS again FROM documents),

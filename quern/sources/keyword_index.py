@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.lineage import cut
 from quern.operators.search import best_chunks
 from quern.sources.versions import Version, VersionedTables
 
@@ -51,7 +52,7 @@ class KeywordIndex:
 
     @staticmethod
     def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-        last = gone.groupBy("chunk_id").agg(F.max("before").alias("before"))
+        last = cut(gone.groupBy("chunk_id").agg(F.max("before").alias("before")))  # of a known size: where that is small the postings stay where they are
         return rows.join(last, "chunk_id", "left").filter("before IS NULL OR seq >= before").drop("before")
 
     def chunks(self, version: Version | None = None) -> DataFrame:
@@ -95,7 +96,8 @@ class KeywordIndex:
         if now.facts.get("docs", 0):
             now = self._remove(now, added, "replaced")
         split = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), w.alias("w")) for f, w in words.items())))
-        each = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), split.alias("x")).select("chunk_id", "x.field", F.size("x.w").alias("length"), F.explode("x.w").alias("word"))
+        here = chunks.select("chunk_id", *self.fields).repartition("chunk_id")  # then a chunk's words are counted where its texts are
+        each = here.select(F.col("chunk_id").cast("long").alias("chunk_id"), split.alias("x")).select("chunk_id", "x.field", F.size("x.w").alias("length"), F.explode("x.w").alias("word"))
         counted = each.groupBy("chunk_id", "field", "word").agg(F.count("*").cast("int").alias("tf"), F.first("length").cast("int").alias("length"))
         rows = counted.withColumn("seq", F.lit(now.number + 1).cast("long")).select("field", "word", "chunk_id", "tf", "length", "seq")
         postings = self.tables.write(rows.repartitionByRange(parts, "field", "word", "chunk_id").sortWithinPartitions("field", "word", "chunk_id"), "postings")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import cut
 from quern.operators.search import vector_search
 from quern.sources.versions import Version, VersionedTables
 
@@ -29,7 +30,7 @@ class VectorStore:
         version = version or self.tables.version()
         rows = self.tables.read("vectors", version)
         if version.folders.get("gone"):
-            last = self.tables.read("gone", version).groupBy("vec_id").agg(F.max("before").alias("before"))
+            last = cut(self.tables.read("gone", version).groupBy("vec_id").agg(F.max("before").alias("before")))  # of a known size, see KeywordIndex
             rows = rows.join(last, "vec_id", "left").filter("before IS NULL OR seq >= before").drop("before")
         return rows.drop("seq")
 
@@ -79,7 +80,8 @@ class DocumentStores:
     """A keyword index, a collection of vectors and the digests of their sources, kept in step."""
 
     def __init__(self, spark: SparkSession, index, vectors: VectorStore, chunk, embed):
-        """chunk: documents (source, content) to (chunk_id, source, content, the partition column); embed: these to (id, v)."""
+        """chunk: documents (source, content) to (chunk_id, source, content, the partition column); embed: these to (id, v), better with source and the
+        partition column, as vectors are shuffled else."""
         self.spark, self.index, self.vectors, self.chunk, self.embed = spark, index, vectors, chunk, embed
         self.sources = VersionedTables(spark, schemas={"sources": "source string, digest string"})
 
@@ -87,8 +89,10 @@ class DocumentStores:
         chunks = self.chunk(docs)
         before = self.index.tables.version().facts.get("docs", 0)
         now = self.index.append(chunks)
-        found = self.embed(chunks).select(F.col("id").alias("vec_id"), F.col("v").alias("embedding"))
-        self.vectors.upsert(found.join(chunks.select(F.col("chunk_id").alias("vec_id"), "source", self.vectors.partition), "vec_id"))
+        found, own = self.embed(chunks).withColumnsRenamed({"id": "vec_id", "v": "embedding"}), ["source", self.vectors.partition]
+        if not {*own} <= {*found.columns}:
+            found = found.select("vec_id", "embedding").join(chunks.select(F.col("chunk_id").alias("vec_id"), *own), "vec_id")
+        self.vectors.upsert(found)
         return now.facts["docs"] - before
 
     def update(self, docs: DataFrame) -> dict[str, int | str]:

@@ -110,3 +110,13 @@ def test_projections_lose_no_pair(spark):
     want = {(a, b) for a in range(230) for b in range(a + 1, 230) if cos[a, b] >= 0.92}
     found = dedup.similar_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 256, 0.92, block=50).collect()
     assert {(r.a, r.b) for r in found} == want and len(want) > 100
+
+
+def test_pair_vectors_shuffle_nothing(spark):
+    """Rows are counted where they are, and columns that are kept come along, so no join brings them back."""
+    df = spark.createDataFrame([(1, "a b c", "s1"), (2, "p Q\n p  q ", None), (3, " x ", "s3")], "id long, text string, source string")
+    found = embed.pair_vectors(df, "id", "text", keep=("source",))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.id: r for r in found.collect()}
+    assert rows.keys() == {1, 2} and rows[1].source == "s1" and rows[2].source is None
+    assert sorted(set(rows[2].v)) in ([-2.0, 0.0, 1.0], [-1.0, 0.0, 2.0], [0.0, 1.0, 2.0], [-2.0, -1.0, 0.0], [-3.0, 0.0], [0.0, 3.0], [-1.0, 0.0], [0.0, 1.0])
