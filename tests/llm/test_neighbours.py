@@ -57,6 +57,25 @@ def test_classes_by_brute_force(spark):
     assert found == brute_classes(rows)
 
 
+def test_open_buckets_join_no_ids(spark, monkeypatch):
+    """A member's length and keys are not joined again to its row of each open bucket; ranges without another class in reach are left out."""
+    words = {1: 100, 2: 100, 3: 110, 4: 200}
+    texts = neardup.sequences(spark.createDataFrame([(i, " ".join(f"p{j}" for j in range(n))) for i, n in words.items()], "id long, text string"), 5)
+    large = spark.createDataFrame([(i, 1 if i < 3 else i, [7, 8], [n - 4]) for i, n in words.items()], "id long, label long, keys array<long>, lengths array<int>")
+    keep, seen = neardup.Scratch.keep, {}
+
+    def watched(self, df, name):
+        out = keep(self, df, name)
+        seen[name] = out.count(), df._jdf.queryExecution().optimizedPlan().toString()
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "keep", watched)
+    with neardup.Scratch(spark, "blocks") as scratch:
+        found = {tuple(r) for r in neardup.block_links(large, texts, 0.8, scratch).collect()}
+    assert found <= {(1, 3), (2, 3), (3, 1), (3, 2)} and len(found) == 1
+    assert seen["open"][0] == 6 and "Join Inner, (id" not in seen["dealt"][1]
+
+
 def test_large_bucket(spark):
     """An original with many copies that are less like each other than like it: more than a small bucket holds."""
     rng = random.Random(6)
