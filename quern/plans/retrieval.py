@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import fusion, rank, search
+from quern.operators.lineage import cut
 from quern.plans.registry import Registry
 from quern.sources.tables import spread, table
 
@@ -32,9 +35,9 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return search.bm25_search(asked(spark, sf_dir), chunks(spark, sf_dir), k)
 
 
-def shortest(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Of the 50 that share most words the shortest: a third list."""
-    hits = overlap(spark, sf_dir, 50).select("query_id", "chunk_id", "score").join(chunks(spark, sf_dir), "chunk_id").withColumn("n", F.length("content"))
+def shortest_of(spark: SparkSession, sf_dir: str, hits: DataFrame, k: int = 10) -> DataFrame:
+    """The shortest of hits: a third list."""
+    hits = hits.select("query_id", "chunk_id", "score").join(chunks(spark, sf_dir), "chunk_id").withColumn("n", F.length("content"))
     return search.ranked(hits, "query_id", [F.col("n"), F.col("chunk_id")], k).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -124,8 +127,10 @@ def minimum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query("search_cascade", BASE + """, a AS (SELECT query_id, chunk_id, score, rank, 1 AS level FROM ov WHERE rank <= 5 AND score >= 0.9 UNION ALL SELECT query_id, chunk_id, score, rank, 2 FROM bm WHERE rank <= 5),
 f AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS first FROM a) SELECT query_id, chunk_id, round(score, 4) AS score, rank, level FROM f WHERE level = first""")
 def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["query_id", "chunk_id", "score", "rank"]
-    return search.cascade(overlap(spark, sf_dir, 5).filter("score >= 0.9").select(*cols), bm25(spark, sf_dir, 5).select(*cols)).withColumn("score", F.round("score", 4))
+    cols, queries = ["query_id", "chunk_id", "score", "rank"], asked(spark, sf_dir)
+    used = search.counted_words(queries, chunks(spark, sf_dir))
+    most = search.overlap_of(queries, used.filter("word <> ''").select("chunk_id", "word").repartition("chunk_id"), 5)
+    return search.cascade(most.filter("score >= 0.9").select(*cols), search.bm25_of(queries, used, 5).select(*cols)).withColumn("score", F.round("score", 4))
 
 
 def rrf_sql(weights: dict[str, float]) -> str:
@@ -135,16 +140,22 @@ FROM lists WHERE list IN ({', '.join(f"'{s}'" for s in weights)}) GROUP BY ALL),
 src AS (SELECT f.*, source, content FROM fused f JOIN c USING (chunk_id))"""
 
 
-def three_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"keyword": overlap(spark, sf_dir), "vector": bm25(spark, sf_dir), "graph": shortest(spark, sf_dir)}
+def three_lists(spark: SparkSession, sf_dir: str, names: Collection[str] = tuple(THREE_WAY)) -> dict[str, DataFrame]:
+    """The lists of these names. All come from one scan of the texts; the third is of the 50 that share most words, of which the first ten are the first."""
+    queries, docs = asked(spark, sf_dir), chunks(spark, sf_dir)
+    most = 50 if "graph" in names else 10
+    used = search.counted_words(queries, docs) if "vector" in names else None
+    hits = search.overlap_search(queries, docs, most) if used is None else search.overlap_of(queries, used.filter("word <> ''").select("chunk_id", "word").repartition("chunk_id"), most)
+    hits = cut(hits)
+    make = {"keyword": lambda: hits.filter("rank <= 10"), "vector": lambda: search.bm25_of(queries, used, 10), "graph": lambda: shortest_of(spark, sf_dir, hits)}
+    return {name: make[name]() for name in names}
 
 
 @Q.query("rrf_two_way", BASE + rrf_sql(TWO_WAY) + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS own FROM src),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o WHERE own = 1)
 SELECT query_id, chunk_id, source, round(score, 4) AS score, rank FROM r WHERE rank <= 5""")
 def rrf_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = three_lists(spark, sf_dir)
-    fused = fusion.rrf({s: lists[s] for s in ("keyword", "vector")}, TWO_WAY).join(chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
+    fused = fusion.rrf(three_lists(spark, sf_dir, ("keyword", "vector")), TWO_WAY).join(chunks(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
     return fusion.first_per(fused, "source", [F.desc("score"), F.col("chunk_id")], 5).select("query_id", "chunk_id", "source", F.round("score", 4).alias("score"), "rank")
 
 
@@ -160,9 +171,8 @@ def rrf_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""")
 def rrf_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the vector list the other weights are scaled to a sum of 1."""
-    lists = three_lists(spark, sf_dir)
     weights = {s: round(w, 12) for s, w in fusion.renormalised(THREE_WAY, {"keyword", "graph"}).items()}
-    return search.ranked(fusion.rrf({s: lists[s] for s in weights}, weights), "query_id", [F.desc("score"), F.col("chunk_id")], 10).select("query_id", "chunk_id", "score", "rank")
+    return search.ranked(fusion.rrf(three_lists(spark, sf_dir, tuple(s for s in THREE_WAY if s in weights)), weights), "query_id", [F.desc("score"), F.col("chunk_id")], 10).select("query_id", "chunk_id", "score", "rank")
 
 
 #: How the driver's tables stand for document types: by source number.
@@ -247,8 +257,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rerank
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own > 1, rerank_score DESC, chunk_id) AS rank FROM o) SELECT query_id, chunk_id, source, rerank_score, rank FROM r WHERE rank <= 10""")
 def hybrid_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search twice, fuse to 20, rerank, and keep 10 with diverse sources."""
-    lists = three_lists(spark, sf_dir)
-    fused = search.ranked(fusion.rrf({s: lists[s] for s in ("keyword", "vector")}, TWO_WAY), "query_id", [F.desc("score"), F.col("chunk_id")], 20).drop("rank")
+    fused = search.ranked(fusion.rrf(three_lists(spark, sf_dir, ("keyword", "vector")), TWO_WAY), "query_id", [F.desc("score"), F.col("chunk_id")], 20).drop("rank")
     rows = fused.join(asked(spark, sf_dir), "query_id").join(chunks(spark, sf_dir), "chunk_id").withColumn("rerank_score", F.round(rank.simple_score(F.col("score"), F.col("query"), F.col("content")), 6))
     return rank.diverse(rows, 10, [F.desc("rerank_score"), F.col("chunk_id")]).select("query_id", "chunk_id", "source", "rerank_score", "rank")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import answers, chunking, conflicts, dedup, documents, embed, evaluate, fusion, graph, memory, monitor, rank, route, search
+from quern.plans import retrieval
 from quern.sources import tables
 from quern.streaming import replay
 
@@ -410,6 +411,13 @@ def test_queries_without_hits(spark):
     assert {r.query_id: r.external for r in search.needs_external(queries, hits).collect()} == {1: False, 2: True, 3: True, 4: True}
 
 
+def test_search_shuffles_no_row_for_each_query_and_chunk(spark, sf_dir):
+    """Sums over a chunk's words are whole where they are made; the lists of a fusion read the texts once."""
+    queries, docs = retrieval.asked(spark, sf_dir), retrieval.chunks(spark, sf_dir)
+    for hits in (search.overlap_search(queries, docs, 5), search.bm25_search(queries, docs, 5)):
+        assert not re.search(r"hashpartitioning\(query_id[^)]*chunk_id", hits._jdf.queryExecution().executedPlan().toString())
+
+
 def test_markdown_structure():
     text = "# A  \n二、B\n3) C\n\n| a | b |\n|---|:-:|\n| 1 | 2 |\n| 3 | 4 |\ntext\n```py\nimport os\nclass K:\n  def f(self): g()\n```\n```ts\nexport class Foo extends Bar {}\nnew Baz()\n```\n"
     assert documents.find_sections(text) == [(1, "A", 0), (2, "二、B", 6), (2, "3. C", 10)]
