@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int
             first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
             links = scratch.keep(links.union(own.join(first, "doc_id").select("a", F.col("rep").alias("b"))), "links")
 
-        of_large = members.filter(F.col("size") > small).groupBy("id").agg(F.sum("size").alias("met"), F.max_by("key", F.struct("size", "key")).alias("best"), F.collect_set("key").alias("keys"), F.collect_set("n").alias("lengths"))
+        of_large = members.filter(F.col("size") > small).groupBy("id").agg(F.sum("size").alias("met"), F.max_by("key", F.struct("size", "key")).alias("best"), F.collect_set("key").alias("keys"))
         large = scratch.keep(of_large.withColumns({"led": F.lit(False)}), "large")
         some, labels, later = not large.isEmpty(), None, None
         for turn in range(ROUNDS if some else 0):
@@ -309,8 +309,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, count: int
 def marked(large: DataFrame, labels: DataFrame, stars: DataFrame, roots: DataFrame | None) -> DataFrame:
     """large with each member's class: base by the first links, label by those that came later; and whether it has led."""
     led = stars.select(F.col("a").alias("id"), F.lit(True).alias("now")).distinct()
-    rows = large.select("id", "met", "keys", "lengths", "led").join(labels, "id", "left").join(led, "id", "left")
-    rows = rows.select("id", "met", "keys", "lengths", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"), F.coalesce("label", "id").alias("base"))
+    rows = large.select("id", "met", "keys", "led").join(labels, "id", "left").join(led, "id", "left")
+    rows = rows.select("id", "met", "keys", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"), F.coalesce("label", "id").alias("base"))
     if roots is None:
         return rows.withColumn("label", F.col("base"))
     return rows.join(roots.select(F.col("id").alias("base"), "label"), "base", "left").withColumn("label", F.coalesce("label", "base"))
@@ -324,14 +324,14 @@ def between(links: DataFrame, large: DataFrame, others: DataFrame | None) -> Dat
 
 
 def block_links(large: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b): links that join all classes of the open large buckets (id, label, keys, lengths) that are near each other.
+    """(a, b): links that join all classes of the open large buckets (id, label, keys) that are near each other.
 
     A bucket's members are dealt into blocks by length, a class of many members into blocks of its own, and blocks meet in
     pairs. Lengths of two neighbouring ranges may be near, others can't, so only ranges with several classes in reach are open.
-    Lengths come with the members and keys with the texts: only sequences are joined to a row for each member and bucket.
+    Lengths are joined to members and keys to texts: only sequences are joined to a row for each member and bucket.
     """
     size = F.floor(F.log("n") / (np.log(1 / least) * 1.0001)).cast("int") if least < 1 else F.col("n")
-    sized = large.select("id", "label", "keys", F.explode("lengths").alias("n")).withColumn("range", size)
+    sized = large.select("id", "label", "keys").join(texts.select("id", "n"), "id").withColumn("range", size)
     rows = sized.select("id", "label", "n", "range", F.explode("keys").alias("key"))
     reach = Window.partitionBy("key").orderBy("range").rangeBetween(-1, 1)
     still = rows.groupBy("key", "range").agg(F.min("label").alias("low"), F.max("label").alias("high"))
