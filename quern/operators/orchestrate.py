@@ -45,8 +45,9 @@ def expand_queries(queries: DataFrame, paths: DataFrame, chunks: DataFrame, most
     words = F.create_map(*(x for rel, names in RELATION_WORDS.items() for x in (F.lit(rel), F.array(*map(F.lit, names)))))
     none = F.array().cast("array<string>")
     named = F.concat("entities", F.flatten(F.transform("relations", lambda r: F.coalesce(F.try_element_at(words, r), none))))
-    ends = paths.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", key_terms(F.col("content")).alias("found")), "chunk_id")
-    terms = paths.select("query_id", F.explode(named).alias("term")).unionByName(ends.select("query_id", F.explode("found").alias("term"))).distinct()
+    held = chunks.select("chunk_id", "content").join(paths.select("chunk_id").distinct(), "chunk_id", "left_semi")  # so only these are looked through for terms; explode would filter all by them
+    ends = paths.select("query_id", "chunk_id").distinct().join(held.select("chunk_id", key_terms(F.col("content")).alias("found")), "chunk_id")
+    terms = paths.select("query_id", F.explode(named).alias("term")).unionByName(ends.select("query_id", F.explode_outer("found").alias("term"))).distinct()
     new = terms.join(queries.select("query_id", T.words(F.col("query")).alias("own")), "query_id").filter((F.length("term") >= 2) & ~F.array_contains("own", F.lower("term")))
     best = ranked(new, "query_id", [F.desc(F.length("term")), F.col("term")], most)
     listed = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
@@ -89,7 +90,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, keyword: Source, vector: Sou
     missed = asked.select("query_id", "query").join(fused.select("query_id").distinct(), "query_id", "left_anti")
     rescue = last(missed).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     found = cut(fused.withColumn("level", F.lit("fused")).unionByName(rescue.withColumn("level", F.lit("last"))))
-    words = found.join(asked.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    words = chunks.select("chunk_id", "content").join(found, "chunk_id").join(asked.select("query_id", "query"), "query_id")  # few hits first, so texts need no shuffle
     shared = F.size(F.array_intersect(T.word_set(F.col("query")), T.word_set(F.col("content"))))
     scored = words.select("query_id", "chunk_id", F.round(F.col("score") * 0.5 + shared * 0.5, 6).alias("rerank_score"))
     tally = lambda name: counts(hits.filter(F.col("list") == name), f"{name}_hits")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import context, embed, orchestrate, search
+from quern.operators.lineage import cut
 from quern.operators.route import STOP_WORDS
 from quern.plans.registry import Registry
 from quern.plans.retrieval import BASE, WORDS, chunks, top
@@ -25,10 +26,11 @@ def moded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select((-1 - item).alias("query_id"), text.alias("query"), F.element_at(modes, (item % 6 + 1).cast("int")).alias("mode"), state.alias("graph_state"))
 
 
-def long_words(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, n): words of nine letters or more, without what isn't a letter, and how often they occur."""
+def long_words(rows: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, word, n): words of nine letters or more, without what isn't a letter, and how often they occur; just those of ``only`` (word) if it is given."""
     letters = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{9,})"), 1)
-    return rows.select(key, F.explode(letters).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    each = rows.select(key, F.explode_outer(letters).alias("word"))  # explode would look for them twice, to filter rows first
+    return (each.filter("word IS NOT NULL") if only is None else each.join(only, "word", "left_semi")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def word_paths(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -37,11 +39,12 @@ def word_paths(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int = 10
     docs = chunks(spark, sf_dir)
     seeds = long_words(queries, "query_id", "query").select("query_id", "word")
     total = seeds.groupBy("query_id").agg(F.count("*").alias("terms"))
-    mentions = long_words(docs, "chunk_id", "content")
+    mentions = long_words(docs, "chunk_id", "content", seeds.select("word").distinct())
     met = seeds.join(mentions, "word").groupBy("query_id", "chunk_id").agg(F.count("*").alias("seeds"), F.avg(F.least(F.lit(1.0), F.col("n") / 5)).alias("weight"), F.collect_list("word").alias("words"))
     score = 0.4 * F.col("seeds") / F.col("terms") + 0.3 * F.col("weight") + 0.2 + 0.1
     best = search.ranked(met.join(total, "query_id").withColumn("score", F.round(score, 6)), "query_id", [F.desc("score"), F.col("chunk_id")], k)
-    ends = mentions.join(best.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    best = cut(best)
+    ends = long_words(docs.join(best.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "content")
     longest = search.ranked(ends, "chunk_id", [F.desc(F.length("word")), F.col("word")], 2).groupBy("chunk_id").agg(F.collect_list("word").alias("on"))
     return best.join(longest, "chunk_id").select("query_id", "chunk_id", "rank", F.array_distinct(F.concat("words", "on")).alias("entities"), F.array(F.lit("PART_OF")).alias("relations"))
 

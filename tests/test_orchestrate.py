@@ -70,3 +70,17 @@ def test_agent(spark):
     again, more = orchestrate.answer_requests(requests.filter("scope = 'a'"), gained, workflow)
     assert {r.request_id: r.path for r in again.collect()} == {1: "cache_hit", 2: "cache_hit", 4: "cache_hit", 5: "fail", 6: "cache_hit"} and more.count() == 0
     assert seen[2] == ["nothing"]
+
+
+def test_terms_of_path_ends_only(spark, sf_dir):
+    """Texts and words are looked through for chunks of paths, not to filter all chunks first."""
+    from quern.operators.lineage import cut
+    from quern.plans import orchestration, retrieval
+
+    docs, queries = retrieval.chunks(spark, sf_dir).select("chunk_id", "content"), retrieval.asked(spark, sf_dir)
+    paths = cut(spark.createDataFrame([(1, 5, ["Alpha"], ["PART_OF"])], "query_id long, chunk_id long, entities array<string>, relations array<string>"))
+    expanded = orchestrate.expand_queries(queries, paths, docs)
+    for df in (expanded, orchestration.long_words(docs, "chunk_id", "content")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" in plan and not any("Filter" in line and "regexp_extract_all" in line for line in plan.splitlines())
+    assert {"Alpha", "包含", "组成"} <= set(next(r.terms for r in expanded.collect() if r.query_id == 1))
