@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+
 
 def rule_judge(query: Column, answer: Column, n_docs: Column) -> Column:
     """struct of six marks, their mean and whether that is 0.6 or more."""
@@ -85,7 +87,7 @@ EXPECTED_WORDS = {
 
 def proxy_faithfulness(query: Column, intent: Column) -> Column:
     """Nine tenths of the share of an intent's expected words that the query has as words, 0.3 at least; 0.7 for other intents."""
-    words = F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda x: x != "")
+    words = T.words(query)
     share = lambda expected: F.size(F.array_intersect(words, F.array(*map(F.lit, expected)))) / float(len(expected))
     scores = [F.when(intent == i, F.least(F.lit(1.0), F.greatest(F.lit(0.3), share(x) * 0.9))) for i, x in EXPECTED_WORDS.items()]
     return F.coalesce(*scores, F.lit(0.7))
@@ -93,7 +95,7 @@ def proxy_faithfulness(query: Column, intent: Column) -> Column:
 
 def proxy_relevancy(query: Column, intent: Column) -> Column:
     """Half, and a tenth for each sign of a question that can be answered; 1 at most."""
-    words = F.filter(F.split(query, r"(?U)\s+"), lambda x: x != "")
+    words = F.array_remove(F.split(query, r"(?U)\s+"), "")
     signs = [F.length(query) > 10, query.rlike(r"[?？]"), F.size(words) > 3, query.rlike("如何|怎么|什么|为什么"), intent != "unknown"]
     total = F.lit(0)
     for sign in signs:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -142,7 +144,7 @@ def strip(c: Column) -> Column:
 
 def named(pairs: list[tuple[Column, str]]) -> Column:
     """The names whose conditions hold, in order."""
-    return F.filter(F.array(*[F.when(held, F.lit(name)) for held, name in pairs]), lambda x: x.isNotNull())
+    return F.array_remove(F.array(*[F.when(held, F.lit(name)).otherwise(F.lit("")) for held, name in pairs]), "")  # a filter's function would be interpreted
 
 
 def rewrite(query: Column) -> Column:
@@ -170,15 +172,41 @@ def query_type(query: Column) -> Column:
     return F.when(meaning > words, "semantic").when(words > meaning, "keyword").otherwise("mixed")
 
 
+def any_case(query: Column) -> Column:
+    """In lower case, with letters in place of those that Java takes for i, k and s in either case."""
+    return F.lower(F.translate(query, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def names_any(query: Column, low: Column, pattern: str) -> Column:
+    """query.rlike(ANY_CASE + pattern) of a pattern without groups, in less time; low is any_case(query).
+
+    Alternatives that are plain strings are looked for as such. The others are tried as a pattern only where the text has all the plain
+    strings that they hold.
+    """
+    parts = [(p, [x.lower() for x in re.split(r"\.\*|\\s\*|\\w\+", p) if x]) for p in dict.fromkeys(pattern.split("|"))]
+    plain = [x[0] for p, x in parts if x == [p.lower()]]
+    plain = [x for x in dict.fromkeys(plain) if not any(y != x and y in x for y in plain)]  # a longer one says nothing more
+    rest = [(p, x) for p, x in parts if x != [p.lower()] and not any(y in z for y in plain for z in x)]
+    held = [F.contains(low, F.lit(x)) for x in plain]
+    held += [reduce(lambda a, b: a & b, [F.contains(low, F.lit(y)) for y in dict.fromkeys(x)]) & query.rlike(ANY_CASE + p) for p, x in rest]
+    return reduce(lambda a, b: a | b, held)
+
+
 def intents(query: Column) -> Column:
     """Candidate intents, the first of which leads; concept_qa if nothing is named.
 
     Writing code goes before a project's troubles, these before an error, and migration, interfaces and concepts follow.
     """
-    has = {name: query.rlike(ANY_CASE + p) for name, p in INTENT_PATTERNS.items()}
-    code, project = has["code_generation"], has["project_debug"]
-    found = named([(code & project, "code_generation"), (project, "project_debug"), (has["error_diagnosis"], "error_diagnosis"), (code & ~project, "code_generation"), *((has[x], x) for x in ("migration", "api_usage", "concept_qa"))])
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("concept_qa")))
+    at = {name: i for i, name in enumerate(INTENT_PATTERNS)}
+
+    def first(has: Column) -> Column:
+        code, project = has[at["code_generation"]], has[at["project_debug"]]
+        return named([(code & project, "code_generation"), (project, "project_debug"), (has[at["error_diagnosis"]], "error_diagnosis"), (code & ~project, "code_generation"), *((has[at[x]], x) for x in ("migration", "api_usage", "concept_qa"))])
+
+    # arrays of one element, so that each step is taken once for a row
+    has = F.transform(F.array(any_case(query)), lambda low: F.array(*[names_any(query, low, p) for p in INTENT_PATTERNS.values()]))
+    found = F.transform(F.transform(has, first), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("concept_qa"))))
+    return found[0]
 
 
 def signals(query: Column) -> Column:

@@ -172,6 +172,21 @@ def test_intents_and_plans(spark):
     assert [one(spark, x, route.query_type(F.col("x"))) for x in ("为什么", "工单 版本", "如何 配置")] == ["semantic", "keyword", "mixed"]
 
 
+def test_intents_by_plain_strings(spark):
+    """Every alternative in either case, alone, inside and cut short, and letters that Java folds, give what the whole patterns give; none of these is run over a text."""
+    texts = [None, "", "x" * 3000, "ANR 和 API 区别", "H\u0130", "de\u017fcription DEBUG", "HV\u0130GOR f\u0131ll", "Desig\u017fn bui\u212ad IDE \u0130DE oom", "install\nfail", "启动\r了卡住", "GET\u3000请求 @ohos.é"]
+    for p in route.INTENT_PATTERNS.values():
+        for x in p.split("|"):
+            said = [re.sub(r"\.\*|\\s\*|\\w\+", y, x) for y in ("", " a ", "\n")]
+            texts += [*said, *(y.upper() for y in said), *(f"é{y.title()}e" for y in said), said[0][1:], said[0][:-1], said[0].replace("i", "\u0131").replace("s", "\u017f").replace("k", "\u212a"), said[1].replace("I", "\u0130")]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    x = F.col("x")
+    got = rows.select("x", *[route.names_any(x, route.any_case(x), p).eqNullSafe(x.rlike(route.ANY_CASE + p)).alias(n) for n, p in route.INTENT_PATTERNS.items()])
+    assert [r for r in got.collect() if not all(r[1:])] == []
+    plan = rows.select(route.intents(x))._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan and not any("|" in p for p in re.findall(r"RLIKE (.*?)\)", plan))
+
+
 def test_rewrite(spark):
     r = one(spark, "如何登录？怎么部署", route.rewrite(F.col("x")))
     assert (r.strategy, r.rewritten, r.variants) == ("decomposition", "如何登录 怎么部署", ["如何登录？怎么部署", "如何登录", "怎么部署"])
