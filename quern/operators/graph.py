@@ -88,6 +88,23 @@ ENTITY_PATTERNS = {
         r"\b(性能优化|内存泄漏|卡顿)\b",
     ],
 }
+#: Strings in lower case of which a text must hold one for each of these patterns to match; () is any digit.
+ENTITY_STRINGS = {
+    "ERROR_CODE": [(), ("err",), ("auth_",), ("_",), ("错误码",), ("code",)],
+    "API": [("@ohos.",), ("api",), ("接口",), ("api",), ("api",), ("()",), ("import",)],
+    "FUNCTION": [
+        ("oncreate", "ondestroy", "onstart", "onstop", "onresume", "onpause"), ("onwindowstage",), ("onforeground", "onbackground"), ("onpageshow", "onpagehide", "onbackpress"),
+        ("{",), ("function",), ("def",),
+    ],
+    "CLASS": [("class",), ("ability",), ("extends",), ("implements",), ("@component",), ("@entry",), ("@component",)],
+    "CONFIG": [("=",), ("config",), (".env", ".json", ".yaml", ".xml"), ("配置",), ("module.json",), ("app.json",)],
+    "MODULE": [("@ohos.",), ("import",), ("ohos.",), ("npm",)],
+    "LIFECYCLE": [("生命周期",), ("lifecycle",), ("lifecycle",), ("oncreate", "ondestroy", "onstart", "onstop", "onwindowstagecreate"), ("abilitylifecyclecallback",), ("uiability oncreate ondestroy",)],
+    "COMPONENT": [("@component",), ("@entry",), ("struct",), ("button", "text", "image", "list", "column", "row", "flex"), ("build()",), ("@builder",)],
+    "CONCEPT": [
+        ("arkts", "arkui", "stage模型", "fa模型"), ("页面跳转", "路由", "导航"), ("hap", "har", "hsp"), ("签名", "证书", "权限"), ("白屏", "黑屏", "闪退", "崩溃"), ("性能优化", "内存泄漏", "卡顿"),
+    ],
+}
 #: What is cut from either end of a match to give a name.
 NAME_LEAD, NAME_TAIL = r"^(?:import|from|class|function|struct)\s+", r"[;:,{}\[\]()'\"]+$"
 #: Kinds of relations and the patterns whose groups name their two ends, in the order in which they are tried; letters in either case.
@@ -264,21 +281,32 @@ def word_led(pattern: str) -> Callable[[str], Iterator[re.Match]]:
     return found
 
 
+def any_case(text: str) -> str:
+    """text in lower case, with letters in place of those that a pattern takes for i, k and s in either case."""
+    for other, letter in ("\u0130i", "\u0131i", "\u017fs", "\u212ak"):
+        text = text.replace(other, letter)
+    return text.lower()
+
+
 def extract_entities(chunks: DataFrame) -> DataFrame:
     """(chunk_id, name, normalized, kind, pos, snippet): first mention of each name and kind in a chunk.
 
     A name is a match's first group if that has two characters, else the whole match without keywords before it. Names of
     one character are left out; null and empty texts have no rows. Symbols of code are those of quern.operators.documents.
     """
-    rules = [(kind, word_led(p)) for kind, patterns in ENTITY_PATTERNS.items() for p in patterns]
+    rules = [(kind, held, word_led(p)) for kind, patterns in ENTITY_PATTERNS.items() for p, held in zip(patterns, ENTITY_STRINGS[kind], strict=True)]
+    digit = re.compile(r"\d")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for chunk, text in zip(frame.chunk_id, frame.content, strict=True):
-                first = {}
-                for kind, rule in rules:
-                    for m in rule(text or ""):
+                first, text = {}, text or ""
+                low = any_case(text)
+                for kind, held, rule in rules:
+                    if not (any(x in low for x in held) if held else digit.search(text)):
+                        continue
+                    for m in rule(text):
                         group = 1 if m.lastindex and len(m[1] or "") > 1 else 0
                         name = m[1] if group else re.sub(NAME_LEAD, "", m[0].strip())
                         name = re.sub(NAME_TAIL, "", name).strip()
