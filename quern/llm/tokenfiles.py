@@ -39,7 +39,12 @@ def to_planes(ids: np.ndarray, width: int) -> list[bytes]:
     used = int(ids.max()).bit_length() if len(ids) else 0
     if width == 8:
         return [(ids >> np.uint32(b)).astype(np.uint8).tobytes() for b in range(0, used, 8)]
-    return [np.packbits((ids >> np.uint32(b)) & np.uint32(1)).tobytes() for b in range(used)]
+    planes = []
+    for b in range(used):
+        if not b % 8:
+            low = (ids >> np.uint32(b)).astype(np.uint8)
+        planes.append(np.packbits(low & np.uint8(1 << b % 8)).tobytes())  # any bit but 0 counts as 1
+    return planes
 
 
 def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:

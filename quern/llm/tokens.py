@@ -1,7 +1,8 @@
 """Whole texts to token ids, as the tokenizers library gives them, a column at a time.
 
 The tokenizer of ``word_bpe_49k.json`` splits a text into words that never influence each other. So a batch of texts is
-split by Arrow, each distinct word is encoded once by the library and kept, and the ids are put together by NumPy.
+put in lower case and split by Arrow, each distinct word is encoded once by the library's model and kept, and the ids are
+put together by NumPy.
 Texts with rare characters, for which the split could differ from the library's, are encoded whole by the library.
 """
 
@@ -15,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: The vocabulary file, the end id of a document, and the file's own split of a text into words.
+#: The vocabulary file, the end id of a document, and the file's own split of a text in lower case into words.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-WORD_SPLIT = r"('[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\s\pL\pN]+|\pN)"
+WORD_SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|[^\s\pL\pN]+|\pN)"
 #: Characters whose class is the same in every Unicode version since long; no white space but tab, LF, CR and blank.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{391}-\x{3a1}\x{3a3}-\x{3c9}\x{410}-\x{44f}\x{2010}-\x{2027}\x{2030}-\x{203a}\x{20ac}]"
 ADDED = r"<\|(startoftext|endoftext)\|>"
@@ -41,6 +42,16 @@ def library_tokenizer(path: str):
     return tokenizer
 
 
+@cache
+def word_tokenizer(path: str):
+    """The library with the same model, for words that are in lower case and split already."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer(library_tokenizer(path).model)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[0], starts[0]+1, ... lengths[0] of them, then those of starts[1] and so on."""
     total = int(lengths.sum())
@@ -58,14 +69,22 @@ def plain_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, each word's place among them, and how many words each text has."""
-    words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, WORD_SPLIT, r" \1 "))
-    flat = words.flatten()
-    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = flat.dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), counts
+    """Distinct words in lower case, each word's place among them, and how many words each text has.
+
+    Most stretches between white space come again and again, so each distinct one is lowered and split once.
+    """
+    stretches = pc.ascii_split_whitespace(texts)
+    per_text = pc.list_value_length(stretches).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = stretches.flatten().dictionary_encode()
+    split = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), WORD_SPLIT, r" \1 ")
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(split))
+    per_stretch = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    sizes = per_stretch[at]
+    places = coded.indices.to_numpy(zero_copy_only=False)[ragged((np.cumsum(per_stretch) - per_stretch)[at], sizes)]
+    totals = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_text)])]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), places, np.diff(totals)
 
 
 @cache
@@ -84,7 +103,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, max_words: int = 250_000):
-        self.tokenizer, self.max_words, self.ends_word = library_tokenizer(path), max_words, word_ends(path)
+        self.tokenizer, self.by_word, self.max_words, self.ends_word = library_tokenizer(path), word_tokenizer(path), max_words, word_ends(path)
         self.place: dict[str, int] = {"": 0}  # the split leaves an empty string at an end with white space
         self.n, self.used = 1, 0
         self.ids = np.empty(1 << 16, np.uint32)
@@ -93,11 +112,11 @@ class WordEncoder:
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words and how many each has: encoded as one text and cut after each id that ends a word."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.asarray(self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids])
         if len(ends) == len(words):
             return ids, np.diff(ends, prepend=-1)
-        found = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [np.asarray(e.ids, np.uint32) for e in self.by_word.encode_batch_fast(words, add_special_tokens=False)]
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def _places(self, words: list[str]) -> tuple[np.ndarray, int, int]:
@@ -114,8 +133,8 @@ class WordEncoder:
         return np.fromiter((place[w] if w in place else other[w] for w in words), np.int64, len(words)), *back
 
     def _add(self, words: list[str], held: dict[str, int]) -> None:
-        for k in range(0, len(words), 1 << 10):
-            part = words[k : k + (1 << 10)]
+        for k in range(0, len(words), 1 << 8):
+            part = words[k : k + (1 << 8)]
             found, lengths = self._encode_words(part)
             end, used = self.n + len(part), self.used + len(found)
             while end > len(self.starts):

@@ -39,12 +39,33 @@ def test_encoder_equals_library():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == ids_of(text), text
 
 
+def test_words_differing_in_case_or_neighbours_are_encoded_once(monkeypatch):
+    seen = []
+    encode = tokens.WordEncoder._encode_words
+    monkeypatch.setattr(tokens.WordEncoder, "_encode_words", lambda self, words: seen.extend(words) or encode(self, words))
+    texts = ["The cat THE (the) cat.", "", "the, Cat's tHe"]
+    ids, bounds = tokens.WordEncoder(tokens.vocabulary_path()).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [ids_of(x) for x in texts]
+    assert sorted(seen) == ["'s", "(", ")", ",", ".", "cat", "the"]
+
+
 def test_encoder_forgets_when_full():
     encoder = tokens.WordEncoder(tokens.vocabulary_path(), max_words=3)
     for text in ("one two three four five", "six seven eight nine", "one two"):
         assert encoder.encode(pa.array([text]))[0].tolist() == ids_of(text)
 
 
+def test_plain_characters_equal_library():
+    # each is lowered and split by Arrow, not by the library: alone, within a word, and next to others of all kinds
+    every = list(map(chr, range(0x2100)))
+    plain = [c for c, is_plain in zip(every, tokens.plain_texts(pa.array(every, pa.large_string()))[1], strict=True) if is_plain]
+    assert len(plain) > 600
+    texts = [x for c in plain for x in (c, f"A{c}b'{c}S", f"{c}{c} 1{c}.{c}'")]
+    ids, bounds = tokens.WordEncoder(tokens.vocabulary_path()).encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == ids_of(text), text
+
+
 def test_bpe_equals_library():
     model = bpe.bpe(tokens.vocabulary_path())
     for text in odd_texts(4000, 2):
