@@ -26,6 +26,10 @@ from .common import id_and_text, slices
 from .tokens import plain_texts, split_words, vocabulary_path
 
 
+#: So many words a task keeps what it knows of: some 70 MB.
+MAX_WORDS = 250_000
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte: itself, or the next one free from U+0100 on."""
     kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -97,12 +101,12 @@ class Bpe:
         return out
 
     def strings_of(self, words: list[str], known: dict, max_words: int) -> list[tuple[int, str, str]]:
-        """Of each word of a batch: how many ids, the ids with blanks between, the decoded ids. known keeps the first max_words."""
+        """Of each word in lower case: how many ids, the ids with blanks between, the decoded ids. known keeps the first max_words."""
         out = []
         for w in words:
             found = known.get(w)
             if found is None:
-                ids = self.word(self.normal(w))
+                ids = self.word(w)
                 found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
                 if len(known) < max_words:
                     known[w] = found
@@ -119,7 +123,7 @@ def digest(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def encode_batch(model: Bpe, batch: pa.RecordBatch, known: dict, max_words: int) -> list[tuple[int, str, str]]:
+def encode_batch(model: Bpe, batch: pa.RecordBatch, known: dict, max_words: int = MAX_WORDS) -> list[tuple[int, str, str]]:
     """Of each text: how many ids, the digest of the ids with blanks between, the digest of the decoded text."""
     texts, plain = plain_texts(batch.column("text").cast(pa.large_string()))
     words, coded, counts = split_words(texts.filter(pa.array(plain)))
@@ -145,17 +149,17 @@ def encode_batch(model: Bpe, batch: pa.RecordBatch, known: dict, max_words: int)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, max_words: int = 60_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: how many ids, the digest of the ids, and the digest of the text decoded from them.
 
-    A task keeps what it knows of its first max_words words (some 20 MB) and drops it at its end.
+    A task keeps what it knows of its first max_words words and drops it at its end.
     """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = bpe(path), {}
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 rows = encode_batch(model, part, known, max_words)
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])

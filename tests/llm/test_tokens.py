@@ -1,6 +1,7 @@
 """Tokenisation, packing, BPE and token files against the tokenizers library."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -84,6 +85,20 @@ def test_bpe_query_of_odd_documents(docs):
     assert rows == want
 
 
+def test_bpe_merges_each_word_once(monkeypatch):
+    model, merged = bpe.bpe(tokens.vocabulary_path()), []
+    word = bpe.Bpe.word
+    monkeypatch.setattr(bpe.Bpe, "word", lambda self, w: merged.append(w) or word(self, w))
+    words = ["".join(x) for x in itertools.product("abcdefghijklmnopqr", repeat=4)]  # 104,976, more than were kept once
+    texts = [" ".join(words), " ".join(words).upper(), ", ".join(words)]
+    known: dict = {}
+    rows = [bpe.encode_batch(model, pa.RecordBatch.from_arrays([pa.array([x])], names=["text"]), known)[0] for x in texts]
+    assert len(merged) == len(set(merged)) == len(words) + 1
+    for text, (n, digest, _) in zip(texts, rows, strict=True):
+        ids = ids_of(text)
+        assert (n, digest) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_bpe_tables_round_trip(docs):
     encoded = bpe.bpe_encode(docs)
     decoded = bpe.bpe_decode(encoded)
