@@ -156,3 +156,57 @@ def test_updates(spark):
     changed = {k: v + " again" for k, v in texts.items()}
     assert stores.update(docs(changed))["mode"] == "full" and stores.index.stats().first().docs == 10
     assert stores.update(docs({})) == {"mode": "full", "new": 0, "changed": 0, "deleted": 10, "same": 0, "removed": 10, "added": 0}
+
+
+def test_index_of_many_segments(spark, monkeypatch):
+    """Nothing is shuffled to add chunks; segments, shards, blocks of words and of queries are put together right; compaction merges segments."""
+    from quern.sources import keyword_index
+
+    rnd = random.Random(11)
+    text = lambda most: " ".join(f"W{int(rnd.paretovariate(0.6))}\u2003é" if rnd.random() < 0.3 else f"w{rnd.randint(0, 30)}" for _ in range(rnd.randint(0, most)))
+    for name, value in (("SEGMENT_BYTES", 300), ("TERMS", 20), ("PACKED_BYTES", 80_000)):
+        monkeypatch.setattr(keyword_index, name, value)
+    index, state, plans = KeywordIndex(spark, fields=("content", "title")), {}, []
+    write = index.tables.write
+    monkeypatch.setattr(index.tables, "write", lambda df, name, *by: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name, *by))
+    for ids in (range(0, 80), range(60, 120)):
+        batch = {i: {"content": None if i % 9 == 0 else text(40), "title": text(3)} for i in ids}
+        state |= batch
+        index.append(spark.createDataFrame([(i, t["content"], t["title"], f"s{i % 5}") for i, t in batch.items()], "chunk_id long, content string, title string, source string"))
+    assert len(plans) == 3 and all("Exchange" not in plan for name, plan in plans if name == "segments")
+    index.delete("source", "s1")
+    state = {i: t for i, t in state.items() if i % 5 != 1}
+    asked = [(q, text(9).replace("\u2003", " ")) for q in range(15)] + [(99, "w3")]
+    for pushed in (2000, 0):
+        monkeypatch.setattr(keyword_index, "PUSHED_WORDS", pushed)
+        found = index.search(spark.createDataFrame(asked, "query_id long, query string"), 200, {"content": 2.0, "title": 1.0}).collect()
+        for q, query in asked:
+            want = {c: s for c, s, _ in plain_search(state, query, 200, {"content": 2.0, "title": 1.0})}
+            got = {r.chunk_id: r.score for r in found if r.query_id == q}
+            assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 2e-4 for c in want)
+    before = index.tables.read("segments").filter("shard = -1").count()
+    index.compact()
+    assert index.tables.read("segments").filter("shard = -1").count() < before / 2 and index.chunks().count() == len(state)
+    again = index.search(spark.createDataFrame(asked, "query_id long, query string"), 200, {"content": 2.0, "title": 1.0}).collect()
+    assert sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in again) == sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in found)
+    source = index.search(spark.createDataFrame(asked, "query_id long, query string"), 200, where={"source": "s2"}).collect()
+    assert source and {r.chunk_id % 5 for r in source} == {2}
+
+
+def test_words_and_digests():
+    """Words as Python has them, and MD5 of all lengths around a block's end."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.operators import words
+
+    lines = ["a  b\tc ", " ", "\u3000é\u00a0漢字\x85x\n ", "\x1cz ", "w" * 70 + " v "]
+    data, starts, ends, counts = words.spans(pa.array(lines))
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["a", "b", "c", "é", "漢字", "x", "\x1cz", "w" * 70, "v"] and counts.tolist() == [3, 0, 3, 1, 2]
+    assert words.words_of(pa.array(lines).slice(2, 2))[0].to_pylist() == ["é", "漢字", "x", "\x1cz"]
+    texts = [bytes((7 * i + n) % 256 for i in range(n)) for n in range(130)]
+    at = np.cumsum([0, *map(len, texts)])
+    heads = words.md5_heads(np.frombuffer(b"".join(texts), np.uint8), at[:-1], at[1:])
+    assert heads.tolist() == [int.from_bytes(hashlib.md5(t).digest()[:4], "little") for t in texts]
