@@ -210,3 +210,20 @@ def test_words_and_digests():
     at = np.cumsum([0, *map(len, texts)])
     heads = words.md5_heads(np.frombuffer(b"".join(texts), np.uint8), at[:-1], at[1:])
     assert heads.tolist() == [int.from_bytes(hashlib.md5(t).digest()[:4], "little") for t in texts]
+
+
+def test_marks_meet_segments(spark):
+    """Vectors come back as they were written, and those that are marked as gone are left out without a join of vectors."""
+    from quern.sources.vector_store import VectorStore
+
+    rows = [(i, f"s{i % 3}", [float(i), -1.0, 0.0], "t") for i in range(5000)]
+    odd = [(6000, "a", [0.5, 1e300, -0.0], None), (6001, None, [None, 40000.0, float("nan")], "u"), (6002, "b", [32766.0, -32766.0, float("inf")], "u")]
+    store = VectorStore(spark, 3)
+    store.upsert(vectors(spark, rows + odd))
+    store.upsert(vectors(spark, [(7, "z", [9.0, 9.0, 9.0], "u")]))
+    store.delete_by_source("s1")
+    want = {r[0]: (r[1], str(r[2]), r[3] or "default") for r in rows + odd if r[1] != "s1"} | {7: ("z", str([9.0] * 3), "u")}
+    found = store.rows()
+    assert {r.vec_id: (r.source, str(r.embedding), r.tenant_id) for r in found.collect()} == want and store.stats().first().rows == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
