@@ -120,3 +120,28 @@ def test_pair_vectors_shuffle_nothing(spark):
     rows = {r.id: r for r in found.collect()}
     assert rows.keys() == {1, 2} and rows[1].source == "s1" and rows[2].source is None
     assert sorted(set(rows[2].v)) in ([-2.0, 0.0, 1.0], [-1.0, 0.0, 2.0], [0.0, 1.0, 2.0], [-2.0, -1.0, 0.0], [-3.0, 0.0], [0.0, 3.0], [-1.0, 0.0], [0.0, 1.0])
+
+
+def test_tiles_lose_no_pair(monkeypatch):
+    """Pairs of tiles of odd sizes are those of the whole product, in order; keys are met as in a loop."""
+    from quern.operators import cells
+
+    monkeypatch.setattr(cells, "TILE", (8, 24))
+    rnd = np.random.default_rng(3)
+    for n, m in ((1, 1), (7, 25), (33, 50), (0, 5), (5, 0)):
+        one, two = rnd.standard_normal((n, 4)).astype(np.float32), rnd.standard_normal((m, 4)).astype(np.float32)
+        want = [(i, j) for i in range(n) for j in range(m) if np.float32(one[i] @ two[j]) >= 1.5]
+        i, j = cells.reaching(one, two, 1.5)
+        assert list(zip(i.tolist(), j.tolist())) == want
+        a, b = rnd.integers(-3, 9, n), rnd.integers(-3, 9, m)
+        keys = {(i, j) for i in range(n) for j in range(m) if a[i] == b[j]}
+        i, j = cells.united(cells.reaching(one, two, 1.5), cells.equal_keys(a, b), m)
+        assert list(zip(i.tolist(), j.tolist())) == sorted(keys | set(want))
+
+
+def test_repeated_ids_and_digests(spark):
+    """Of an id that is there twice the vector counts that it stands for; nulls are no zeros; no vector meets another before its block."""
+    rows = [(3, [1.0, 0.0, 1.0]), (5, [1.0, 0.0, 1.0]), (5, [1.0, 0.1, 1.0]), (7, [0.0, 2.0, 0.0]), (8, [0.0, 2.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.id, r.rep) for r in dedup.representatives(df, 3).collect()} == {(3, 3), (5, 3), (5, 5), (7, 7), (8, 8)}
+    assert [(r.a, r.b) for r in dedup.similar_pairs(df.filter("vec_id < 8"), 3, 0.95).collect()] == [(3, 5)]
