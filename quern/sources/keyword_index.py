@@ -33,8 +33,8 @@ from quern.sources.versions import Version, VersionedTables
 FIELDS = {"content": 2.0, "title": 1.0}
 #: Words up to which a search reads only their shards; shards of a segment.
 PUSHED_WORDS, SHARDS = 2000, 16
-#: A segment's bytes of text and chunks, and the bytes of its lists that compact() aims at; terms of queries that meet a segment at once.
-SEGMENT_BYTES, SEGMENT_CHUNKS, PACKED_BYTES, TERMS = 16 << 20, 1 << 15, 4 << 20, 1 << 16
+#: A segment's bytes of text and chunks, and the bytes of its lists that compact() aims at; words asked, or terms of queries, that meet a segment at once (a copy goes with each row to Python).
+SEGMENT_BYTES, SEGMENT_CHUNKS, PACKED_BYTES, TERMS = 16 << 20, 1 << 15, 4 << 20, 1 << 14
 #: The shard of a segment's row of chunks.
 OF_CHUNKS = -1
 
@@ -317,7 +317,7 @@ def alive_of(chunks: pa.Table) -> dict[tuple[int, int], np.ndarray]:
 def present_lists(held: Mapping[str, pa.Array], alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, row, count) of the postings in lists whose chunk counts."""
     word = np.repeat(np.arange(len(held["words"])), held["sizes"].to_numpy())
-    place, count = held["places"].to_numpy(), held["counts"].to_numpy()
+    place, count = held["places"].to_numpy().astype(np.int64), held["counts"].to_numpy()
     row = np.where(place < len(alive), alive[np.minimum(place, len(alive) - 1)], -1)
     real = row >= 0
     return word[real], row[real], count[real]

@@ -227,3 +227,14 @@ def test_marks_meet_segments(spark):
     assert {r.vec_id: (r.source, str(r.embedding), r.tenant_id) for r in found.collect()} == want and store.stats().first().rows == len(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Join")
+
+
+def test_lists_of_a_segment_s_first_chunks(spark):
+    """Words that only the first 256 chunks of a longer segment hold, whose places take a byte."""
+    index = KeywordIndex(spark)
+    index.append(spark.createDataFrame([(i, f"w{i} both" if i < 9 else "rest", "s") for i in range(700)], "chunk_id long, content string, source string").coalesce(1))
+    asked = spark.createDataFrame([(1, "w3"), (2, "both")], "query_id long, query string")
+    want = [(1, 3)] + [(2, i) for i in range(9)]
+    assert sorted((r.query_id, r.chunk_id) for r in index.search(asked).collect()) == want
+    index.compact()
+    assert sorted((r.query_id, r.chunk_id) for r in index.search(asked).collect()) == want
